@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) ->
     if length < v + 32:
         raise ValueError(f"length must be {v + 32} at least")
     spark = docs.sparkSession
-    quiet = {"spark__sql__execution__arrow__maxRecordsPerBatch": 2}
+    quiet = {"spark__sql__execution__arrow__maxRecordsPerBatch": 1}
     with common.settings(spark):
         table = exchange.Table.write(docs)
     # a bucket gets about 4 million of the 14/183 sampled positions
