@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scriptorium.llm import packing, quality, simhash, suffix_dedup, url_filter
+from scriptorium.llm import decontaminate, line_dedup, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filter, warc
 from scriptorium.llm.common import documents
 
 
@@ -24,9 +25,47 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return warc.fixity(warc.records(pages), warc.records(warc.replica_with_damage(pages)))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_best_fit_packing, op3_quality_rules, op4_url_filter, op7_simhash)}
-ORACLES: dict[str, str] = {"op4_url_filter": url_filter.SQL}
+def op8_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.score(documents(spark, sf_dir))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)).cast("long")
+    kept = line_dedup.deduplicate(docs.select("doc_id", "text", n_lines.alias("n_lines")))
+    return kept.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_suffix_dedup,
+        op2_best_fit_packing,
+        op3_quality_rules,
+        op4_url_filter,
+        op5_decontamination,
+        op6_warc_fixity,
+        op7_simhash,
+        op8_context_mixing,
+        op9_toxicity,
+        op10_line_dedup,
+    )
+}
+ORACLES: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL, "op6_warc_fixity": warc.SQL}
