@@ -1,8 +1,65 @@
-"""The training-data pipeline (stages are added as their operators land)."""
+"""The training-data pipeline: quality rules, line deduplication, near-duplicates, decontamination, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all that its predecessor kept, and returns the columns of
+``documents`` (the last one the packed pieces). ``run`` writes each stage as Parquet in the shared folder and reads it again.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm import common, decontaminate, line_dedup, packing, quality, simhash
+
+
+def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
+    """``docs`` with the columns of ``like``; n_chars follows the text."""
+    if "n_chars" in like.columns:
+        docs = docs.withColumn("n_chars", F.length("text").cast(like.schema["n_chars"].dataType))
+    return docs.select(*(F.col(f"`{c}`") for c in like.columns))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    kept = quality.judge(docs).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.expr("doc_id <=> __kept"), "left_semi")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an aligned block of an earlier document go."""
+    return _columns(line_dedup.deduplicate(docs), docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group stays, that with the smallest doc_id."""
+    found = simhash.near_duplicates(docs)
+    stay = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(stay, F.expr("doc_id <=> __kept"), "left_semi").dropDuplicates(["doc_id"])
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item go."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("line dedup", lines),
+    ("near duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
+#: the expectation-maximisation, the alignment and the fingerprints have no SQL form
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = common.stored(spark, stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs
