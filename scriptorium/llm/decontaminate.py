@@ -92,21 +92,38 @@ class Sketches:
 _SCHEMA = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
 
 
+def _slices(texts: list[bytes], size: int = 4 << 20) -> Iterator[tuple[int, int]]:
+    """Stretches of a few MB, a text at least."""
+    at = 0
+    while at < len(texts):
+        to, total = at + 1, len(texts[at])
+        while to < len(texts) and total + len(texts[to]) < size:
+            total += len(texts[to])
+            to += 1
+        yield at, to
+        at = to
+
+
 def _search(batches: Iterator[pa.RecordBatch], sketches) -> Iterator[pa.RecordBatch]:
     own = sketches.value
     for b in batches:
         ids, texts = b.column(0).to_pylist(), [t or b"" for t in b.column(1).cast(pa.binary()).to_pylist()]
-        at = 0
-        while at < len(texts):  # a few MB at a time
-            to, size = at, 0
-            while to < len(texts) and (to == at or size + len(texts[to]) < 4 << 20):
-                size += len(texts[to])
-                to += 1
+        for at, to in _slices(texts):
             rows = [(ids[at + t], item, n, shared, shared / n) for t, item, n, shared in own.search(texts[at:to])]
             if rows:
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "n_shingles", "n_shared", "containment"])
-            at = to
+
+
+def _blocks(benchmark: DataFrame, width: int, threshold: float, block_bytes: int) -> Iterator:
+    """Broadcast sketches of the items, in blocks of about ``block_bytes`` of text."""
+    spark = benchmark.sparkSession
+    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / block_bytes))
+    for k in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
+        yield spark.sparkContext.broadcast(Sketches([(r[0], r[1].encode()) for r in block.toLocalIterator()], width, threshold))
 
 
 def contained(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -117,24 +134,27 @@ def contained(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thresho
     one shingle of all its words; null and blank items and texts match nothing; repeated rows
     match each; empty tables give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    items = benchmark.selectExpr("cast(item_id as long) item_id", "cast(text as string) text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / block_bytes))
     out = None
-    for k in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        rows = [(r[0], r[1].encode()) for r in block.toLocalIterator()]  # about block_bytes of text
-        sketches = spark.sparkContext.broadcast(Sketches(rows, width, threshold))
+    for sketches in _blocks(benchmark, width, threshold, block_bytes):
         found = common.id_text(docs).mapInArrow(lambda it, s=sketches: _search(it, s), _SCHEMA)
         out = found if out is None else out.union(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose doc_id contains no item."""
-    leaks = contained(docs, benchmark).select(F.col("doc_id").alias("__leak")).distinct()
-    return docs.join(leaks, F.expr("doc_id <=> __leak"), "left_anti")
+def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose own text contains no item."""
+    columns, schema = docs.columns, docs.schema
+    for sketches in _blocks(benchmark, width, threshold, block_bytes):
+
+        def free(batches: Iterator[pa.RecordBatch], s=sketches) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                texts = [t or b"" for t in b.column("__text").cast(pa.binary()).to_pylist()]
+                bad = {t for a, z in _slices(texts) for t in (a + x[0] for x in s.value.search(texts[a:z]))}
+                keep = pa.array([k not in bad for k in range(len(texts))], pa.bool_())
+                yield b.select(columns).filter(keep)
+
+        docs = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(free, schema)
+    return docs
 
 
 SQL = r"""

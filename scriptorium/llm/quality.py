@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm import common
 
@@ -129,6 +130,21 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust:
     return good, right / np.maximum((counts[:, None] * cast).sum(0), 1e-9)
 
 
+def _failed():
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+
+
+def _judged(measured: DataFrame) -> DataFrame:
+    """base_failed and p_quality beside the columns of ``measured`` (a stored table)."""
+    spark = measured.sparkSession
+    counted = measured.groupBy("pattern").agg(F.count_if(~_failed())).collect()  # 3 ** 8 rows at most
+    patterns = np.array([r[0] for r in counted], np.int64)
+    counts = np.array([r[1] for r in counted], float)  # of the documents that the base leaves to the rules
+    p = estimate(patterns, counts)[0] if len(counted) else np.zeros(0)
+    posterior = spark.createDataFrame([(int(a), float(b)) for a, b in zip(patterns, p, strict=True)], "pattern long, p_quality double")
+    return measured.join(F.broadcast(posterior), "pattern").withColumn("base_failed", _failed())
+
+
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """One row per document of ``docs`` (doc_id, text): doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, kept, p_quality.
@@ -136,13 +152,22 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     Null and blank texts have zero words and fail the base; repeated rows are rows of their
     own; an empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    m = common.stored(spark, common.id_text(docs).mapInArrow(_measured, _SCHEMA), "measures")
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    counted = m.groupBy("pattern").agg(F.count_if(~failed)).collect()  # 3 ** 8 rows at most
-    patterns = np.array([r[0] for r in counted], np.int64)
-    counts = np.array([r[1] for r in counted], float)  # of the documents that the base leaves to the rules
-    p = estimate(patterns, counts)[0] if len(counted) else np.zeros(0)
-    posterior = spark.createDataFrame([(int(a), float(b)) for a, b in zip(patterns, p, strict=True)], "pattern long, p_quality double")
-    out = m.join(F.broadcast(posterior), "pattern").withColumn("base_failed", failed)
+    m = common.stored(docs.sparkSession, common.id_text(docs).mapInArrow(_measured, _SCHEMA), "measures")
+    out = _judged(m)
     return out.select("doc_id", *_COLUMNS[:5], "base_failed", (~F.col("base_failed") & (F.col("p_quality") >= threshold)).alias("kept"), "p_quality")
+
+
+def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that :func:`judge` keeps; each row is judged by its own text."""
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                got = np.array([measure(t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()], np.int64)
+                yield pa.RecordBatch.from_arrays([b.column("row"), *(pa.array(got[:, k]) for k in range(6))], names=["row", *_COLUMNS])
+
+    own = docs.select(rows, F.col("text").cast("string").alias("text"))
+    schema = T.StructType([own.schema["row"], *(T.StructField(c, T.LongType()) for c in _COLUMNS)])
+    m = common.stored(docs.sparkSession, own.mapInArrow(measured, schema), "measures")
+    return _judged(m).where(~F.col("base_failed") & (F.col("p_quality") >= threshold)).select("row.*")
