@@ -55,6 +55,14 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(spark: SparkSession, df: DataFrame, key: str, name: str) -> DataFrame:
+    """``df`` in a table bucketed by ``key`` in the shared folder: joins on the key leave its rows where they are."""
+    path = scratch(spark, name)
+    table = f"{name}_{path.rpartition('-')[2]}"
+    df.write.option("path", path).option("compression", "zstd").bucketBy(partitions(spark), key).saveAsTable(table)
+    return spark.table(table)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
