@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.llm import common
 
@@ -88,16 +89,6 @@ def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["rid", "gone"])
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        text, removed = [], []
-        for t, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-            gone = set(gone or ())
-            text.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone) if gone else t)
-            removed.append(len(gone))
-        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(text, pa.string()), pa.array(removed, pa.int64())], names=["rid", "text", "removed"])
-
-
 def _lines(docs: DataFrame, order: str) -> DataFrame:
     """rid, key (order of documents), text, and for each line with a word its place, hash and length."""
     whole = F.split("text", "\n", -1)
@@ -132,10 +123,23 @@ def deduplicate(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     a document may be left empty; an empty table gives no rows. Other columns are carried along.
     """
     spark = docs.sparkSession
-    own = common.stored(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    own = common.bucketed(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "__rid", "rows")
     work = own.select(F.col("__rid").alias("rid"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = _removed(work, least)
-    kept = work.join(gone, "rid").select("rid", "text", "gone").mapInArrow(_strip, "rid long, text string, removed long")
-    kept = kept.select(F.col("rid").alias("__rid"), F.col("text").alias("__text"), F.col("removed").alias("__removed"))
-    columns = [F.coalesce("__text", "text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return own.join(kept, "__rid", "left").select(*columns, F.coalesce("__removed", F.lit(0)).alias("n_removed_lines"))
+    gone = _removed(work, least).withColumnRenamed("rid", "__rid")
+    # the rows stay in their buckets; only the places of deleted lines travel
+    marked = own.join(gone.hint("shuffle_hash"), "__rid", "left").drop("__rid")
+    names = docs.columns
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed_lines", T.LongType())])
+
+    def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts, removed = [], []
+            for t, places in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
+                places = set(places or ()) if t is not None else ()
+                texts.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in places) if places else t)
+                removed.append(len(places))
+            text = pa.array(texts, pa.string())
+            cols = [text if c == "text" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*names, "n_removed_lines"])
+
+    return marked.mapInArrow(strip, schema)
