@@ -170,8 +170,8 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) ->
     """The rows of ``docs``, with all their columns, that stand for their component: of each, the row with the smallest doc_id
     (nulls last; equal ids in a fixed order)."""
     spark = docs.sparkSession
-    own = common.stored(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "rows")
+    own = common.bucketed(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "__rid", "rows")
     found = near_duplicates(own.select(F.col("__rid").alias("doc_id"), "text"), shingle, limit).select(F.col("doc_id").alias("__rid"), "component_id")
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__rid")
     stay = own.select("__rid", "doc_id").join(found, "__rid").groupBy("component_id").agg(F.min(order)["__rid"].alias("__rid"))
-    return own.join(stay.select("__rid"), "__rid", "left_semi").drop("__rid")
+    return own.join(stay.select("__rid").hint("shuffle_hash"), "__rid", "left_semi").drop("__rid")
