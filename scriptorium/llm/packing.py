@@ -13,6 +13,7 @@ out like any other.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_right
@@ -27,9 +28,9 @@ from scriptorium.llm import common
 
 CAPACITY = 2048
 END = 0
-CACHE = 700_000
+CACHE = 1_000_000
 SALT_ROWS = 50_000
-MARKS = b".,;:!?"
+MARKS = re.compile(rb"(?<=[a-z])([.,:;!?]+)(?=[ \t-\r]|\Z)")
 
 
 def default_tokenizer() -> str:
@@ -48,33 +49,22 @@ class WordTokens:
         self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
 
     def learn(self, words: set[bytes]) -> None:
-        """Words end in a run of marks in many ways; ASCII letters and these marks are always tokens apart, so
-        a word is put together from its stem and its marks where it ends so."""
         known = self.known
-        fresh = words.difference(known)
-        if len(known) + 2 * len(fresh) > self.cache:
+        fresh = list(words.difference(known))
+        if len(known) + len(fresh) > self.cache:
             known.clear()
-            fresh = words
-        stems = {}
-        for w in fresh:
-            s = w.rstrip(MARKS)
-            if len(s) < len(w) and s[-1:].isalpha():
-                stems[w] = s
-        whole = fresh.difference(stems)
-        whole.update(stems.values(), (w[len(s) :] for w, s in stems.items()))
-        todo = list(whole.difference(known))
-        for at in range(0, len(todo), 20_000):
-            part = todo[at : at + 20_000]
+            fresh = list(words)
+        for at in range(0, len(fresh), 20_000):
+            part = fresh[at : at + 20_000]
             for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
                 known[w] = array("I", e.ids).tobytes()
-        for w, s in stems.items():
-            known[w] = known[s] + known[w[len(s) :]]
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for at in range(0, len(texts), 200):
-            # the tokenizer lower-cases too, but finds its special strings before that
-            split = [(t if b"<|" in t else t.lower()).split() for t in texts[at : at + 200]]
+            # the tokenizer lower-cases too, but finds its special strings before that; a letter and the marks that
+            # end its word are always tokens apart, so words are known without their marks
+            split = [(t if b"<|" in t else MARKS.sub(rb" \1", t.lower())).split() for t in texts[at : at + 200]]
             self.learn(set().union(*split))
             for words in split:
                 yield b"".join(map(self.known.__getitem__, words))
