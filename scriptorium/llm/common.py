@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 2 << 20
+BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -49,9 +50,11 @@ def settings(spark: SparkSession, **conf) -> Iterator[None]:
 
 
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
+    """``df`` written to the shared folder and read back; Python workers get batches of BATCH_ROWS at most."""
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    rows = min(BATCH_ROWS, int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")))
+    with settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=rows):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
