@@ -70,7 +70,7 @@ def scale_score(text: Column, confidence: Column, scale: Column, keywords: Colum
     partial = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(boosts, w), F.lit(0.0)))
     adapt = F.coalesce(F.try_element_at(boosts, F.lower(text)), F.least(F.lit(0.15), partial))
     plain = F.when(scale.isin("original", "clahe_contrast", "unsharp_sharpened"), 0.05).otherwise(0.0)
-    return F.round(clamp(candidate_base(text, confidence, lx.SCALE_WORDS, keywords) + adapt + plain, 0.05, 0.99), 4)
+    return clamp(candidate_base(text, confidence, lx.SCALE_WORDS, keywords) + adapt + plain, 0.05, 0.99)
 
 
 def model_score(text: Column, confidence: Column, model: Column, keywords: Column, boosts: Column) -> Column:
@@ -78,7 +78,7 @@ def model_score(text: Column, confidence: Column, model: Column, keywords: Colum
     adapt = F.coalesce(F.try_element_at(boosts, F.lower(text)), F.lit(0.0))
     name = F.lower(model)
     liked = F.when(name.contains("trocr"), 0.08).when(name.contains("got"), 0.06).otherwise(0.0)
-    return F.round(clamp(candidate_base(text, confidence, lx.MODEL_WORDS, keywords) + adapt + liked, 0.05, 0.99), 4)
+    return clamp(candidate_base(text, confidence, lx.MODEL_WORDS, keywords) + adapt + liked, 0.05, 0.99)
 
 
 def cer(hypothesis: Column, reference: Column) -> Column:

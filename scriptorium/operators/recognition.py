@@ -17,20 +17,21 @@ def _nothing() -> tuple[Column, Column]:
     return F.array().cast("array<string>"), F.create_map().cast("map<string,double>")
 
 
-def fuse_scales(candidates: DataFrame, keys: list[str], keywords: Column | None = None, boosts: Column | None = None) -> DataFrame:
+def fuse_scales(candidates: DataFrame, keys: list[str], keywords: Column | None = None, boosts: Column | None = None, digits: int = 4) -> DataFrame:
     """Best candidate per key of rows (keys, place, scale, text, confidence): keys, selected_text, selected_scale, fused_confidence."""
-    return _fuse(candidates, keys, "scale", sc.scale_score, keywords, boosts, ("selected_text", "selected_scale", "fused_confidence"))
+    return _fuse(candidates, keys, "scale", sc.scale_score, keywords, boosts, digits, ("selected_text", "selected_scale", "fused_confidence"))
 
 
-def aggregate_models(candidates: DataFrame, keys: list[str], keywords: Column | None = None, boosts: Column | None = None) -> DataFrame:
+def aggregate_models(candidates: DataFrame, keys: list[str], keywords: Column | None = None, boosts: Column | None = None, digits: int = 4) -> DataFrame:
     """Best candidate per key of rows (keys, place, model, text, confidence): keys, selected_text, selected_model, aggregated_confidence."""
-    return _fuse(candidates, keys, "model", sc.model_score, keywords, boosts, ("selected_text", "selected_model", "aggregated_confidence"))
+    return _fuse(candidates, keys, "model", sc.model_score, keywords, boosts, digits, ("selected_text", "selected_model", "aggregated_confidence"))
 
 
-def _fuse(candidates, keys, source, score, keywords, boosts, names) -> DataFrame:
+def _fuse(candidates, keys, source, score, keywords, boosts, digits, names) -> DataFrame:
     none, empty = _nothing()
     own = candidates.withColumn("__text", tx.strip(F.coalesce("text", F.lit("")))).where("__text <> ''")
     s = score(F.col("__text"), F.col("confidence"), F.col(source), none if keywords is None else F.transform(keywords, F.lower), empty if boosts is None else boosts)
+    s = F.round(s, digits)
     best = F.struct((-F.col("__score")).alias("less"), F.col("place"))
     out = own.withColumn("__score", s).groupBy(*keys).agg(F.min_by(F.struct(F.col("__text").alias(names[0]), F.col(source).alias(names[1]), F.col("__score").alias(names[2])), best).alias("b"))
     return out.select(*keys, "b.*")
@@ -42,15 +43,15 @@ def dedupe_third(candidates: DataFrame, keys: list[str]) -> DataFrame:
     return candidates.withColumn("__first", F.min("place").over(w)).where("place < 2 OR place = __first").drop("__first")
 
 
-def region_quality(regions: DataFrame) -> DataFrame:
+def region_quality(regions: DataFrame, digits: int = 4) -> DataFrame:
     """Adds quality, language_consistency and gibberish to regions (text, confidence, ink_density, width, height)."""
     q = sc.quality(F.col("text"), F.col("confidence"), F.col("ink_density"), F.col("width"), F.col("height"))
-    return regions.withColumns({k: F.round(v, 4) if k != "gibberish" else v for k, v in q.items()})
+    return regions.withColumns({k: F.round(v, digits) if k != "gibberish" else v for k, v in q.items()})
 
 
-def recovery_plan(regions: DataFrame, page: list[str], order: str, min_confidence: float = 0.60, min_quality: float = 0.50, budget: int = 3) -> DataFrame:
+def recovery_plan(regions: DataFrame, page: list[str], order: str, min_confidence: float = 0.60, min_quality: float = 0.50, budget: int = 3, digits: int = 4) -> DataFrame:
     """Adds needs_recovery and recover: the first ``budget`` doubtful regions of a page are tried again."""
-    out = region_quality(regions)
+    out = region_quality(regions, digits)
     doubt = (F.col("confidence") < min_confidence) | (F.col("quality") < min_quality) | F.col("gibberish")
     out = out.withColumn("needs_recovery", doubt)
     n = F.sum(F.col("needs_recovery").cast("int")).over(Window.partitionBy(*page).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
@@ -74,13 +75,13 @@ def recover(planned: DataFrame, retried: DataFrame, keys: list[str]) -> DataFram
     ).drop("__new")
 
 
-def page_stats(planned: DataFrame, page: list[str]) -> DataFrame:
+def page_stats(planned: DataFrame, page: list[str], digits: int = 4) -> DataFrame:
     return planned.groupBy(*page).agg(
         F.count(F.lit(1)).alias("total_regions"),
         F.count_if(~F.col("needs_recovery")).alias("high_confidence_count"),
         F.count_if(F.col("recover")).alias("fallback_invocations"),
-        F.round(F.avg("confidence"), 4).alias("mean_confidence"),
-        F.round(F.avg("quality"), 4).alias("mean_quality_score"),
+        F.round(F.avg("confidence"), digits).alias("mean_confidence"),
+        F.round(F.avg("quality"), digits).alias("mean_quality_score"),
     )
 
 
