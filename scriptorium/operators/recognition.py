@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import lexicons as lx
 from scriptorium.functions import scores as sc
@@ -129,7 +130,8 @@ def recognize(crops: DataFrame, recognizer: Callable[[bytes], tuple[str, float]]
 
     ``recognizer`` is a factory's product per worker: pass a callable without state on the driver.
     """
-    schema = crops.select("*", F.lit("").alias("text"), F.lit(0.0).alias("confidence"), F.lit("").alias("error")).schema
+    added = (("text", T.StringType()), ("confidence", T.DoubleType()), ("error", T.StringType()))
+    schema = T.StructType([*crops.schema.fields, *(T.StructField(n, t) for n, t in added)])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
