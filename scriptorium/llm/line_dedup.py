@@ -103,7 +103,8 @@ def _removed(own: DataFrame, least: int) -> DataFrame:
     spark = own.sparkSession
     lines = common.stored(spark, _lines(own, "doc_id"), "lines")
     held = lines.select("key", F.explode(F.array_distinct("lines.h")).alias("h"))
-    shared = held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1").select("h", "first")
+    # stored, so that both sides of the join are dealt out for it and a line of a third of all documents can be split
+    shared = common.stored(spark, held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1").select("h", "first"), "shared")
     pairs = held.join(shared, "h").where("key <> first").select(F.col("key.rid").alias("rid"), F.col("first.rid").alias("early_rid")).distinct()
     pairs = common.stored(spark, pairs, "pairs")
     late = lines.select("rid", F.col("lines.h").alias("late"), F.col("lines.size").alias("sizes"), F.col("lines.place").alias("places"))
@@ -125,7 +126,7 @@ def deduplicate(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     spark = docs.sparkSession
     own = common.bucketed(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "__rid", "rows")
     work = own.select(F.col("__rid").alias("rid"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = _removed(work, least).withColumnRenamed("rid", "__rid")
+    gone = _removed(work, least).toDF("__rid", "__gone")
     # the rows stay in their buckets; only the places of deleted lines travel
     marked = own.join(gone.hint("shuffle_hash"), "__rid", "left").drop("__rid")
     names = docs.columns
@@ -134,7 +135,7 @@ def deduplicate(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed = [], []
-            for t, places in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
+            for t, places in zip(b.column("text").to_pylist(), b.column("__gone").to_pylist(), strict=True):
                 places = set(places or ()) if t is not None else ()
                 texts.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in places) if places else t)
                 removed.append(len(places))
