@@ -111,6 +111,8 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust:
     on bad documents one of a half worth one document.
     """
     k = len(RULES)
+    if not len(patterns):
+        return np.zeros(0), np.zeros(k)
     votes = (patterns[:, None] // 3 ** np.arange(k)) % 3
     bad, cast = votes == 0, votes != 1
     good = np.where(bad.any(1), 0.05, 0.95)

@@ -27,8 +27,8 @@ VERSION = "WARC/1.0"
 def records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
     """``pages`` (page_id, url, html) as WARC response records: page_id, file, seq, start, length (bytes), record.
 
-    Files hold the pages of ``per_file`` consecutive page_ids in their order (null ids are dealt to negative
-    files by their hash). Null urls and bodies are empty; repeated rows are records of their own.
+    Files hold the pages of ``per_file`` consecutive page_ids in their order (negative ids and, by their hash, null
+    ids have files of their own). Null urls and bodies are empty; repeated rows are records of their own.
     """
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.coalesce(F.col("url").cast("string"), F.lit(""))
     page = F.col("page_id").cast("long")
@@ -36,7 +36,8 @@ def records(pages: DataFrame, per_file: int = PER_FILE) -> DataFrame:
         F.lit(f"{VERSION}\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:"), F.coalesce(page.cast("string"), F.lit("")), F.lit(">\r\nWARC-Target-URI: "), url,
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.octet_length(html).cast("string"), F.lit("\r\n\r\n"), html, F.lit("\r\n\r\n"),
     )
-    file = F.coalesce(F.floor(page / per_file), -1 - F.pmod(F.xxhash64(url, html), F.lit(4096)))
+    # never negative, so that halving file numbers ends at one root
+    file = F.when(page >= 0, F.floor(page / per_file)).when(page < 0, F.floor(-page / per_file) + (1 << 41)).otherwise(F.pmod(F.xxhash64(url, html), F.lit(4096)) + (1 << 42))
     own = pages.select(page.alias("page_id"), file.cast("long").alias("file"), record.alias("record")).withColumn("length", F.octet_length("record").cast("long"))
     w = Window.partitionBy("file").orderBy("page_id", "record")
     return own.select(
