@@ -11,10 +11,6 @@ from scriptorium.functions import lexicons as lx
 from scriptorium.functions import text as tx
 
 
-def _list(words: Iterable[str]) -> Column:
-    return F.array(*(F.lit(w) for w in words))
-
-
 def clamp(c: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(c, F.lit(low)), F.lit(high))
 
@@ -22,7 +18,7 @@ def clamp(c: Column, low: float, high: float) -> Column:
 def language_consistency(text: Column) -> Column:
     """Share of words that are known or have a vowel; reduced without any vowel."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)\b([a-z]{2,})\b"), 1)
-    valid = F.size(F.filter(words, lambda w: F.array_contains(_list(lx.LANGUAGE_WORDS), w) | w.rlike("[aeiouy]")))
+    valid = F.size(F.filter(words, lambda w: w.isin(*lx.LANGUAGE_WORDS) | w.rlike("[aeiouy]")))
     ratio = valid / F.size(words).cast("double")
     vowels = F.exists(words, lambda w: w.rlike("[aeiouy]"))
     some = clamp(F.when(vowels, ratio).otherwise(ratio * 0.3), 0.10, 1.0)
@@ -58,7 +54,7 @@ def candidate_base(text: Column, confidence: Column, known: Iterable[str], keywo
     """Visual confidence, share of known words, noise and subject words."""
     words = candidate_words(text)
     hits = F.size(F.filter(words, lambda w: F.array_contains(keywords, w)))
-    valid = F.size(F.filter(words, lambda w: F.array_contains(_list(known), w) | F.array_contains(keywords, w)))
+    valid = F.size(F.filter(words, lambda w: w.isin(*known) | F.array_contains(keywords, w)))
     noise = F.length(F.regexp_replace(text, r"""(?U)[\p{L}\p{N} .,!?;:\-'"]""", ""))
     language = F.when(F.size(words) > 0, valid / F.size(words).cast("double") * 0.25 - F.least(F.lit(0.20), noise * 0.03)).otherwise(0.05)
     return F.coalesce(confidence, F.lit(0.5)) * 0.40 + language + F.least(F.lit(0.20), hits * 0.10)
