@@ -50,9 +50,8 @@ def candidate_words(text: Column) -> Column:
     return F.transform(tx.tokens(text), lambda w: F.regexp_replace(F.lower(w), r"""^[.,!?;:"'()]+|[.,!?;:"'()]+$""", ""))
 
 
-def candidate_base(text: Column, confidence: Column, known: Iterable[str], keywords: Column) -> Column:
-    """Visual confidence, share of known words, noise and subject words."""
-    words = candidate_words(text)
+def candidate_base(text: Column, words: Column, confidence: Column, known: Iterable[str], keywords: Column) -> Column:
+    """Visual confidence, share of known words, noise and subject words. ``words``: :func:`candidate_words` of the text."""
     hits = F.size(F.filter(words, lambda w: F.array_contains(keywords, w)))
     valid = F.size(F.filter(words, lambda w: w.isin(*known) | F.array_contains(keywords, w)))
     noise = F.length(F.regexp_replace(text, r"""(?U)[\p{L}\p{N} .,!?;:\-'"]""", ""))
@@ -60,21 +59,20 @@ def candidate_base(text: Column, confidence: Column, known: Iterable[str], keywo
     return F.coalesce(confidence, F.lit(0.5)) * 0.40 + language + F.least(F.lit(0.20), hits * 0.10)
 
 
-def scale_score(text: Column, confidence: Column, scale: Column, keywords: Column, boosts: Column) -> Column:
+def scale_score(text: Column, words: Column, confidence: Column, scale: Column, keywords: Column, boosts: Column) -> Column:
     """Score of a candidate from one image scale; ``boosts`` is a map from text or word to what the user's profile adds."""
-    words = candidate_words(text)
     partial = F.aggregate(words, F.lit(0.0), lambda a, w: a + F.coalesce(F.try_element_at(boosts, w), F.lit(0.0)))
     adapt = F.coalesce(F.try_element_at(boosts, F.lower(text)), F.least(F.lit(0.15), partial))
     plain = F.when(scale.isin("original", "clahe_contrast", "unsharp_sharpened"), 0.05).otherwise(0.0)
-    return clamp(candidate_base(text, confidence, lx.SCALE_WORDS, keywords) + adapt + plain, 0.05, 0.99)
+    return clamp(candidate_base(text, words, confidence, lx.SCALE_WORDS, keywords) + adapt + plain, 0.05, 0.99)
 
 
-def model_score(text: Column, confidence: Column, model: Column, keywords: Column, boosts: Column) -> Column:
+def model_score(text: Column, words: Column, confidence: Column, model: Column, keywords: Column, boosts: Column) -> Column:
     """Score of a candidate from one recogniser."""
     adapt = F.coalesce(F.try_element_at(boosts, F.lower(text)), F.lit(0.0))
     name = F.lower(model)
     liked = F.when(name.contains("trocr"), 0.08).when(name.contains("got"), 0.06).otherwise(0.0)
-    return clamp(candidate_base(text, confidence, lx.MODEL_WORDS, keywords) + adapt + liked, 0.05, 0.99)
+    return clamp(candidate_base(text, words, confidence, lx.MODEL_WORDS, keywords) + adapt + liked, 0.05, 0.99)
 
 
 def cer(hypothesis: Column, reference: Column) -> Column:

@@ -31,7 +31,8 @@ def aggregate_models(candidates: DataFrame, keys: list[str], keywords: Column |
 def _fuse(candidates, keys, source, score, keywords, boosts, digits, names) -> DataFrame:
     none, empty = _nothing()
     own = candidates.withColumn("__text", tx.strip(F.coalesce("text", F.lit("")))).where("__text <> ''")
-    s = score(F.col("__text"), F.col("confidence"), F.col(source), none if keywords is None else F.transform(keywords, F.lower), empty if boosts is None else boosts)
+    own = own.withColumn("__words", sc.candidate_words(F.col("__text")))
+    s = score(F.col("__text"), F.col("__words"), F.col("confidence"), F.col(source), none if keywords is None else F.transform(keywords, F.lower), empty if boosts is None else boosts)
     s = F.round(s, digits)
     best = F.struct((-F.col("__score")).alias("less"), F.col("place"))
     out = own.withColumn("__score", s).groupBy(*keys).agg(F.min_by(F.struct(F.col("__text").alias(names[0]), F.col(source).alias(names[1]), F.col("__score").alias(names[2])), best).alias("b"))
