@@ -43,7 +43,8 @@ class Table:
         n = common.partitions(spark)
         rows = common.id_text(docs).mapInArrow(lambda it: common.chunk_rows(it, chunk_bytes), common.CHUNK_SCHEMA)
         rows = rows.withColumn("size", F.octet_length("blob").cast("long"))
-        rows.write.option("path", path).option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
+        with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=1000):
+            rows.write.option("path", path).option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
         got = spark.table(name).agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
         return cls(spark, name, n, got[0], got[1])
 
