@@ -30,7 +30,9 @@ MIN_DOCS = 4
 MIN_LOG_ODDS = 1.5  # less 1.64 standard errors
 MAX_TERMS = 5000  # the lexicon's strongest terms
 FIT_ROWS = 50_000  # labelled rows in the logistic fit
+FUZZY = 5  # letters of a term that misspellings are looked up for
 WINDOW = 3
+LIKE = ((3, 0), (4, 1))  # features of misspelled hits, and of plain ones
 QUOTES = "\"“”„«»‘’"
 #: words of reporting that mark a quotation
 REPORTING = ("said", "says", "quote", "quoted", "wrote", "called", "dit", "dijo", "sagte")
@@ -48,7 +50,7 @@ def plain(word: str) -> str:
 
 
 class Lexicon:
-    """A trie of terms ({"$": (weight, is_stem)} at their ends) with exact, stem and fuzzy look-up."""
+    """A trie of terms ({"$": (weight, is_stem, weight as a whole word)} at their ends) with exact, stem and fuzzy look-up."""
 
     def __init__(self, terms: list[tuple[str, bool, float]]):
         self.root: dict = {}
@@ -58,9 +60,9 @@ class Lexicon:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
-            old = node.get("$")
-            node["$"] = (max(weight, old[0]) if old else weight, stem or bool(old and old[1]))
-        self.near = {v for t, s, _ in terms if not s and len(t) >= 5 for v in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
+            old = node.get("$", (weight, False, 0.0))
+            node["$"] = max(weight, old[0]), stem or old[1], old[2] if stem else max(weight, old[2])
+        self.near = {v for t, s, _ in terms if not s and len(t) >= FUZZY for v in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
 
     def exact(self, word: str) -> float:
         """Weight of the word, or of the longest stem that it begins with; 0 if neither."""
@@ -85,8 +87,8 @@ class Lexicon:
         while todo:
             node, state, depth = todo.pop()
             end = node.get("$")
-            if end and not end[1] and depth >= 5 and any(n - i + e <= 1 for i, e in state):
-                best = max(best, end[0])
+            if end and end[2] and depth >= FUZZY and any(n - i + e <= 1 for i, e in state):
+                best = max(best, end[2])
             for c, child in node.items():
                 if c == "$":
                     continue
@@ -184,20 +186,25 @@ def learn_terms(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int)
         a, b = n + 0.5, nc.get(t, 0) + 0.5
         odds[t] = float(np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)) - 1.64 * np.sqrt(1 / a + 1 / b))
     strong = {t for t, o in odds.items() if o >= MIN_LOG_ODDS}
-    # a longer term says no more than a stem of it
-    own = [t for t in strong if not any(t[:k] + "*" in strong for k in STEMS if len(t.removesuffix("*")) > k)]
+    # a longer stem says no more than a shorter one; whole words stay beside their stems, as the automaton runs over them
+    own = [t for t in strong if (len(t) >= FUZZY and not t.endswith("*")) or not any(t[:k] + "*" in strong for k in STEMS if len(t.removesuffix("*")) > k)]
     strong = sorted(own, key=lambda t: (-odds[t], t))[:MAX_TERMS]
     return [(t.removesuffix("*"), t.endswith("*"), odds[t]) for t in strong]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
-    """Logistic regression by Newton steps; the last weight is the constant."""
+    """Logistic regression by Newton steps; the last weight is the constant. The ridge draws the weights of misspelled hits
+    to those of plain ones and the others to zero, so misspellings that the labels don't show count like their terms."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
+    drawn = np.eye(len(w))
+    for k, like in LIKE:
+        drawn[k, like] = -1
+    drawn = ridge * drawn.T @ drawn
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (y - p) - ridge * w
-        h = (x * (p * (1 - p))[:, None]).T @ x + (ridge + 1e-6) * np.eye(len(w))
+        g = x.T @ (y - p) - drawn @ w
+        h = (x * (p * (1 - p))[:, None]).T @ x + drawn + 1e-6 * np.eye(len(w))
         d = np.linalg.solve(h, g)
         w += d
         if np.abs(d).max() < 1e-8:

@@ -66,3 +66,19 @@ def test_without_labels(spark):
     got = tx.score(docs, labels.limit(0)).collect()
     assert {r.score for r in got} == {0.0}
     assert tx.score(docs.limit(0), labels).count() == 0
+
+
+def test_misspelling_alone_is_found(spark):
+    """One edit within the first letters, which no stem of the term survives."""
+    docs, labels = table(spark)
+    r = random.Random(4)
+    odd = {k: w for k, w in enumerate(["scundrel", "sczoundrel", "bluckhead", "bockhead"], 1000)}
+    more = [(k, " ".join([*cases.prose(r, 20).split(), w, *cases.prose(r, 19).split()]), "en") for k, w in odd.items()]
+    more += [(2000 + k, cases.prose(r, 40), "en") for k in range(20)]
+    got = tx.score(docs.union(spark.createDataFrame(more, docs.schema)), labels).collect()
+    assert {r.doc_id for r in got if r.doc_id is not None and r.doc_id >= 1000 and r.predicted} == {k for k, *_ in more if k < 2000}
+
+
+def test_term_that_is_a_stem_too():
+    lexicon = tx.Lexicon([("grubblan", True, 3.0), ("grubblan", False, 2.0)])
+    assert lexicon.exact("grubblans") == 3.0 and lexicon.fuzzy("gurbblan") == 0.0 and lexicon.fuzzy("grbblan") == 2.0
