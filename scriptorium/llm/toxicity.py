@@ -12,12 +12,14 @@ the counts into a score.
 from __future__ import annotations
 
 import re
+import zlib
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,10 +27,9 @@ from scriptorium.llm import common
 
 THRESHOLD = 0.3
 STEMS = (4, 5, 6)
-MIN_SHARE = 0.01  # of the toxic training documents that hold a term
-MIN_DOCS = 4
+MIN_DOCS = 4  # toxic training documents that hold a term
 MIN_LOG_ODDS = 1.5  # less 1.64 standard errors
-MAX_TERMS = 5000  # the lexicon's strongest terms
+SIEVE = 25  # bits of the position in the sieve of candidates
 FIT_ROWS = 50_000  # labelled rows in the logistic fit
 FUZZY = 5  # letters of a term that misspellings are looked up for
 WINDOW = 3
@@ -152,8 +153,39 @@ def _terms_of(word: str) -> list[str]:
     return [w, *(w[:k] + "*" for k in STEMS if len(w) > k)]
 
 
-def _count(batches: Iterator[pa.RecordBatch], only: set[str] | None) -> Iterator[pa.RecordBatch]:
-    """(term, number of texts that hold it) of the terms in ``only``, or of all."""
+class Sieve:
+    """Bits at the hashes of terms: every term is in it, few others are. Its size is fixed."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits.tobytes()
+
+    @staticmethod
+    def place(term: str) -> int:
+        return xxhash.xxh64_intdigest(term) >> (64 - SIEVE)
+
+    def __contains__(self, term: str) -> bool:
+        k = self.place(term)
+        return bool(self.bits[k >> 3] >> (k & 7) & 1)
+
+
+def _sieves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros(1 << SIEVE >> 3, np.uint8)
+    for b in batches:
+        k = np.fromiter(map(Sieve.place, b.column("term").to_pylist()), np.int64, b.num_rows)
+        np.bitwise_or.at(bits, k >> 3, (1 << (k & 7)).astype(np.uint8))
+    yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(bits.tobytes(), 1)], pa.binary())], names=["bits"])
+
+
+def _sieve(terms: DataFrame) -> Sieve:
+    bits = np.zeros(1 << SIEVE >> 3, np.uint8)
+    for r in terms.select("term").coalesce(8).mapInArrow(_sieves, "bits binary").collect():
+        bits |= np.frombuffer(zlib.decompress(r[0]), np.uint8)
+    return Sieve(bits)
+
+
+def _count(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
+    """(term, number of texts that hold it) of the terms in the broadcast ``sieve``, or of all."""
+    only = sieve.value if sieve else None
     c: Counter = Counter()
     memo: dict[str, list[str]] = {}
     for b in batches:
@@ -174,22 +206,20 @@ def _count(batches: Iterator[pa.RecordBatch], only: set[str] | None) -> Iterator
 
 
 def learn_terms(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
-    """(term, is a stem, lower bound of the log odds) from two tables of texts. Candidates occur in a fixed share of the toxic documents, so
-    their number is bounded by the terms per document over that share."""
-    least = max(MIN_DOCS, MIN_SHARE * n_toxic)
-    many = toxic.mapInArrow(lambda it: _count(it, None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    nt = {r[0]: r[1] for r in many.collect()}
-    only = set(nt)
-    nc = {r[0]: r[1] for r in clean.mapInArrow(lambda it: _count(it, only), "term string, n long").groupBy("term").agg(F.sum("n")).collect()}
-    odds = {}
-    for t, n in nt.items():
-        a, b = n + 0.5, nc.get(t, 0) + 0.5
-        odds[t] = float(np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)) - 1.64 * np.sqrt(1 / a + 1 / b))
-    strong = {t for t, o in odds.items() if o >= MIN_LOG_ODDS}
+    """(term, is a stem, lower bound of the log odds) from two tables of texts: all terms whose bound is high enough, however
+    small their share. Counts are joined in DataFrames; only terms that pass come to the driver."""
+    spark = toxic.sparkSession
+    a, b = F.col("n") + 0.5, F.coalesce("n_clean", F.lit(0)) + 0.5
+    odds = F.log(a / (n_toxic + 1)) - F.log(b / (n_clean + 1)) - 1.64 * F.sqrt(1 / a + 1 / b)
+    many = toxic.mapInArrow(lambda it: _count(it, None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    # terms that would not pass without any clean text need no clean count
+    many = common.stored(spark, many.withColumn("n_clean", F.lit(0)).where(odds >= MIN_LOG_ODDS).select("term", "n"), "toxic-terms")
+    sieve = spark.sparkContext.broadcast(_sieve(many))
+    few = clean.mapInArrow(lambda it: _count(it, sieve), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_clean"))
+    strong = {r[0]: r[1] for r in many.join(few, "term", "left").select("term", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS).collect()}
     # a longer stem says no more than a shorter one; whole words stay beside their stems, as the automaton runs over them
     own = [t for t in strong if (len(t) >= FUZZY and not t.endswith("*")) or not any(t[:k] + "*" in strong for k in STEMS if len(t.removesuffix("*")) > k)]
-    strong = sorted(own, key=lambda t: (-odds[t], t))[:MAX_TERMS]
-    return [(t.removesuffix("*"), t.endswith("*"), odds[t]) for t in strong]
+    return [(t.removesuffix("*"), t.endswith("*"), strong[t]) for t in sorted(own, key=lambda t: (-strong[t], t))]
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:

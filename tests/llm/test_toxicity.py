@@ -82,3 +82,13 @@ def test_misspelling_alone_is_found(spark):
 def test_term_that_is_a_stem_too():
     lexicon = tx.Lexicon([("grubblan", True, 3.0), ("grubblan", False, 2.0)])
     assert lexicon.exact("grubblans") == 3.0 and lexicon.fuzzy("gurbblan") == 0.0 and lexicon.fuzzy("grbblan") == 2.0
+
+
+def test_rare_terms_with_evidence_are_learned(spark):
+    """6 of 1500 toxic texts hold the word, and no clean one; as many hold another that clean ones hold too."""
+    r = random.Random(7)
+    text = lambda k, w: cases.prose(r, 12) + (f" {w}" if k < 6 else "")
+    toxic = spark.createDataFrame([(text(k, "grubblan fairword"),) for k in range(1500)], "text string")
+    clean = spark.createDataFrame([(text(k, "fairword"),) for k in range(9000)], "text string")
+    got = tx.learn_terms(toxic, clean, 1500, 9000)
+    assert ("grubblan", False) in {t[:2] for t in got} and not any(t.startswith("fair") for t, *_ in got)
