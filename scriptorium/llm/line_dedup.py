@@ -1,11 +1,13 @@
 """Operator 10: line deduplication by pairwise alignment.
 
-A line (with a word) that several documents share names the earliest of them; a
-document is paired with each earliest holder that its lines name, never with all documents
-that share a line, so pairs grow with the lines and not with the square of a group.
+A run is the fewest consecutive lines (with a word) from a line on, or up to it, that reach MIN_BLOCK
+characters: every line of a block that two documents share lies in a run of the block. A run that several documents share
+names the earliest of them; a document is paired with each earliest holder that its runs name, never with all documents
+that share a run, so pairs grow with the lines and not with the square of a group.
 Each pair is aligned with patience diff: lines unique in both anchor a longest increasing
 subsequence, and the gaps between anchors are aligned likewise. Blocks of aligned lines,
-consecutive in both, with MIN_BLOCK characters or more are deleted from the later document.
+consecutive in both, with MIN_BLOCK characters or more are deleted from the later document; so are
+runs of the earlier one that this alignment leaves over (repeated or moved lines).
 """
 
 from __future__ import annotations
@@ -14,12 +16,14 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.llm import common
+from scriptorium.llm.bytehash import mix
 
 MIN_BLOCK = 50
 
@@ -65,17 +69,50 @@ def patience(a: list, b: list) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def spans(sizes, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the fewest consecutive lines from each line on, and up to each, that sum up to ``least``."""
+    total = np.concatenate(([0], np.cumsum(np.asarray(sizes, np.int64))))
+    at = np.arange(len(total))
+    ends = np.searchsorted(total, total + least, "left")
+    begins = np.searchsorted(total, total - least, "right") - 1
+    on, upto = ends < len(total), begins >= 0
+    both = np.unique(np.concatenate((np.stack((at[on], ends[on]), 1), np.stack((begins[upto], at[upto]), 1))), axis=0)
+    return both[:, 0], both[:, 1]
+
+
 def common_blocks(early: list, late: list, sizes: list, least: int = MIN_BLOCK) -> list[int]:
-    """Positions of ``late`` in aligned blocks whose ``sizes`` sum up to ``least`` or more."""
-    out, block, before = [], [], None
+    """Positions of ``late`` in blocks, consecutive in both, whose ``sizes`` sum up to ``least`` or more: aligned ones, then what is left."""
+    out, block, before = set(), [], None
     for i, j in [*patience(early, late), (-2, -2)]:
         if before is None or (i, j) != (before[0] + 1, before[1] + 1):
             if sum(sizes[k] for k in block) >= least:
-                out.extend(block)
+                out.update(block)
             block = []
         block.append(j)
         before = i, j
-    return out
+    if len(out) < len(late):
+        size = dict(zip(late, sizes, strict=True))
+        known = [size.get(x, least) for x in early]  # a line that ``late`` lacks is in no common run
+        runs = {tuple(early[a:b]) for a, b in zip(*(x.tolist() for x in spans(known, least)), strict=True)}
+        for a, b in zip(*(x.tolist() for x in spans(sizes, least)), strict=True):
+            if tuple(late[a:b]) in runs:
+                out.update(range(a, b))
+    return sorted(out)
+
+
+def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """The rows' rid and key with a hash of each of their runs."""
+    for b in batches:
+        found = []
+        for h, sizes in zip(b.column("h").to_pylist(), b.column("size").to_pylist(), strict=True):
+            begins, ends = spans(sizes, least)
+            lines = np.array(h, np.int64).view(np.uint64)
+            keys = np.zeros(len(begins), np.uint64)
+            for k in range(int((ends - begins).max(initial=0))):
+                more = begins + k < ends
+                keys[more] = mix(keys[more] + lines[begins[more] + k])
+            found.append(np.unique(keys.view(np.int64)).tolist())
+        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["key", "runs"])
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
@@ -102,7 +139,9 @@ def _removed(own: DataFrame, least: int) -> DataFrame:
     """(rid, gone): places of the lines to delete. ``own`` has rid, doc_id and text without nulls."""
     spark = own.sparkSession
     lines = common.stored(spark, _lines(own, "doc_id"), "lines")
-    held = lines.select("key", F.explode(F.array_distinct("lines.h")).alias("h"))
+    runs = lines.where(F.size("lines") > 0).select("key", F.col("lines.h").alias("h"), F.col("lines.size").alias("size"))
+    runs = common.stored(spark, runs.mapInArrow(lambda it: _keys(it, least), "key struct<o: bigint, rid: bigint>, runs array<bigint>"), "runs")
+    held = runs.select("key", F.explode("runs").alias("h"))
     # stored, so that both sides of the join are dealt out for it and a line of a third of all documents can be split
     shared = common.stored(spark, held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1").select("h", "first"), "shared")
     pairs = held.join(shared, "h").where("key <> first").select(F.col("key.rid").alias("rid"), F.col("first.rid").alias("early_rid")).distinct()

@@ -73,3 +73,19 @@ def test_copies_lose_everything_but_the_first(spark):
 
 def test_empty(spark):
     assert ld.deduplicate(cases.empty(spark)).count() == 0
+
+
+def test_repeated_and_moved_blocks_go():
+    p, q = ["p" * 30, "q" * 30], ["r" * 60]
+    sizes = lambda x: [len(k) for k in x]
+    late = ["x", *p, "y", *p, "z"]
+    assert ld.common_blocks(["a", *p, "b"], late, sizes(late)) == [1, 2, 4, 5]
+    late = [*q, "y", *p]
+    assert ld.common_blocks([*p, "m", *q], late, sizes(late)) == [0, 2, 3]
+
+
+def test_block_whose_lines_have_other_first_holders(spark):
+    a, b, c = "first short line of it all", "second short line of it all", "third line"
+    rows = [(1, f"{a}\nown"), (2, f"{b}\nother"), (3, f"{a}\n{b}\nmore"), (4, f"{a}\n{b}\n{c}"), (5, f"x\n{a}\n{b}\n{c}\ny")]
+    got = {r.doc_id: r.text for r in ld.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: c, 5: "x\ny"}
