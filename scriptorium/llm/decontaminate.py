@@ -1,10 +1,10 @@
-"""Operator 5: benchmark decontamination by size-partitioned MinHash containment.
+"""Operator 5: benchmark decontamination by an exact prefix filter, in place of size-partitioned MinHash containment.
 
 A test item with n distinct shingles is contained when c = ceil(0.8 n) or more of them occur in a
 document. Its sketch is its n - c + 1 smallest shingle hashes: of so many shingles one at least
 must occur in a document that contains the item, wherever it hides in however long a text,
-so the sketch misses nothing. Sketches are partitioned by the item's size: the larger the item, the
-more values it keeps. Documents are probed with all their shingle hashes, and each
+so the sketch misses nothing. There are no MinHash signatures and no partitions by size: the larger the item, the
+more values it keeps in the one index of its shingle width. Documents are probed with all their shingle hashes, and each
 candidate pair is verified on the shingles themselves.
 
 The index of sketches is broadcast in blocks of items, each below a fixed size; documents
