@@ -68,4 +68,4 @@ QUERIES = {
         op10_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL, "op6_warc_fixity": warc.SQL}
+ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.SQL, "op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL, "op6_warc_fixity": warc.SQL}

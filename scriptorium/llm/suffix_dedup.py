@@ -253,3 +253,28 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) ->
         out = common.stored(spark, out, "repeats")
     table.drop()
     return out
+
+
+#: Every 400-byte window (as hex, cut from overlapping stretches of 1024 starts) by its MD5; covered runs from the starts of repeated ones.
+SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(hex(encode(text)), '') AS x FROM documents),
+s AS (
+  SELECT r, k * 1024 AS base, substr(x, 1 + 2048 * k, 2 * (1024 + 399)) AS y
+  FROM (SELECT r, x, unnest(range(0, CAST(ceil(length(x) / 2048.0) AS BIGINT))) AS k FROM d WHERE length(x) >= 800)),
+w AS (
+  SELECT r, base + k AS p, md5(substr(y, 1 + 2 * k, 800)) AS h
+  FROM (SELECT r, base, y, unnest(range(0, greatest(0, length(y) // 2 - 399))) AS k FROM s)),
+g AS (
+  SELECT r, p FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)),
+i AS (
+  SELECT r, p, sum(fresh) OVER (PARTITION BY r ORDER BY p ROWS UNBOUNDED PRECEDING) AS n
+  FROM (SELECT r, p, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 400 THEN 0 ELSE 1 END AS fresh FROM g)),
+c AS (SELECT r, n, min(p) AS a, max(p) + 400 AS z FROM i GROUP BY r, n),
+k AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM c),
+t AS (
+  SELECT r, sum(z - a) AS gone, count(*) AS spans, max(z) AS last, string_agg(substr(x, 1 + 2 * before, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM k JOIN d USING (r) GROUP BY r)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN gone IS NULL THEN x ELSE kept || substr(x, 1 + 2 * last) END)) AS kept_sha256
+FROM d LEFT JOIN t USING (r)"""
