@@ -9,28 +9,20 @@ from __future__ import annotations
 
 import contextlib
 import math
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.sources.scratch import shared_dir
+
 CHUNK_BYTES = 2 << 20
 BATCH_ROWS = 2000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where it is unset (tests), a folder of our own."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scriptorium/{name}-{uuid.uuid4().hex}"
 
@@ -59,11 +51,23 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
 
 
 def bucketed(spark: SparkSession, df: DataFrame, key: str, name: str) -> DataFrame:
-    """``df`` in a table bucketed by ``key`` in the shared folder: joins on the key leave its rows where they are."""
+    """``df`` in a table bucketed by ``key`` in the shared folder: joins on the key leave its rows where they are.
+
+    The catalog forgets the table at once; its files stay for the returned DataFrame."""
     path = scratch(spark, name)
     table = f"{name}_{path.rpartition('-')[2]}"
     df.write.option("path", path).option("compression", "zstd").bucketBy(partitions(spark), key).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")
+    return out
+
+
+def unused(names: Iterable[str], wanted: str) -> str:
+    """``wanted``, with as many underscores before it as it takes to clash with none of ``names`` (case aside)."""
+    taken = {n.lower() for n in names}
+    while wanted.lower() in taken:
+        wanted = "_" + wanted
+    return wanted
 
 
 def partitions(spark: SparkSession) -> int:

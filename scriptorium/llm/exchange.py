@@ -27,38 +27,29 @@ Protocol = Callable[[np.ndarray, np.ndarray, list], Generator]
 
 @dataclass
 class Table:
-    """Chunks in a table bucketed by chunk."""
+    """Chunks bucketed by chunk."""
 
     spark: SparkSession
-    name: str
-    buckets: int
+    chunks: DataFrame
     n_bytes: int
-    n_chunks: int
 
     @classmethod
     def write(cls, docs: DataFrame, chunk_bytes: int = common.CHUNK_BYTES) -> Table:
         spark = docs.sparkSession
-        path = common.scratch(spark, "chunks")
-        name = "chunks_" + path.rpartition("-")[2]
-        n = common.partitions(spark)
         rows = common.id_text(docs).mapInArrow(lambda it: common.chunk_rows(it, chunk_bytes), common.CHUNK_SCHEMA)
         rows = rows.withColumn("size", F.octet_length("blob").cast("long"))
         with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=1000):
-            rows.write.option("path", path).option("compression", "zstd").bucketBy(n, "chunk").saveAsTable(name)
-        got = spark.table(name).agg(F.coalesce(F.sum("size"), F.lit(0)), F.count(F.lit(1))).first()
-        return cls(spark, name, n, got[0], got[1])
+            chunks = common.bucketed(spark, rows, "chunk", "chunks")
+        return cls(spark, chunks, chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
 
     def rows(self, answers: list[DataFrame]) -> DataFrame:
         """Chunks with the answers of each round: array<struct<bucket, bits>>, in columns a0, a1, ..."""
-        out = self.spark.table(self.name).drop("size")
+        out = self.chunks.drop("size")
         for k, a in enumerate(answers):
             own = a.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "bits")).alias(f"a{k}"))
             out = out.join(own.hint("shuffle_hash"), "chunk", "left")
         return out
 
-    def drop(self) -> None:
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-
 
 def replay(batches: Iterator[pa.RecordBatch], protocol: Protocol, n_rounds: int) -> Iterator[tuple[int, list, object]]:
     """(chunk, ids, next request or result) for each chunk."""

@@ -3,7 +3,9 @@
 A run is the fewest consecutive lines (with a word) from a line on, or up to it, that reach MIN_BLOCK
 characters: every line of a block that two documents share lies in a run of the block. A run that several documents share
 names the earliest of them; a document is paired with each earliest holder that its runs name, never with all documents
-that share a run, so pairs grow with the lines and not with the square of a group.
+that share a run, so pairs grow with the lines and not with the square of a group, and no run that an earlier document has is lost.
+A run that no other document has, however often its lines occur alone, pairs nothing.
+Only the places of shared runs travel: the later document rebuilds from its own lines what the earlier one has there.
 Each pair is aligned with patience diff: lines unique in both anchor a longest increasing
 subsequence, and the gaps between anchors are aligned likewise. Blocks of aligned lines,
 consecutive in both, with MIN_BLOCK characters or more are deleted from the later document; so are
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 from scriptorium.llm import common
 from scriptorium.llm.bytehash import mix
 
+_U = np.uint64
+
 MIN_BLOCK = 50
 
 
@@ -92,7 +96,7 @@ def common_blocks(early: list, late: list, sizes: list, least: int = MIN_BLOCK)
         before = i, j
     if len(out) < len(late):
         size = dict(zip(late, sizes, strict=True))
-        known = [size.get(x, least) for x in early]  # a line that ``late`` lacks is in no common run
+        known = [size.get(x, least) for x in early]  # a line that ``late`` lacks (None too) is in no common run
         runs = {tuple(early[a:b]) for a, b in zip(*(x.tolist() for x in spans(known, least)), strict=True)}
         for a, b in zip(*(x.tolist() for x in spans(sizes, least)), strict=True):
             if tuple(late[a:b]) in runs:
@@ -100,37 +104,82 @@ def common_blocks(early: list, late: list, sizes: list, least: int = MIN_BLOCK)
     return sorted(out)
 
 
+def _hashed(lines: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each run from the hashes of its lines."""
+    keys = np.zeros(len(begins), _U)
+    for k in range(int((ends - begins).max(initial=0))):
+        more = begins + k < ends
+        keys[more] = mix(keys[more] + lines[begins[more] + k])
+    return keys.view(np.int64)
+
+
+def _lists(column) -> Iterator[np.ndarray]:
+    """The rows of a list column without nulls, as arrays."""
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False)).tolist()
+    return (flat[a:z] for a, z in zip([0, *ends], ends, strict=False))
+
+
 def _keys(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """The rows' rid and key with a hash of each of their runs."""
+    """The rows' keys with both hashes of each of their distinct runs and where it begins first."""
     for b in batches:
-        found = []
-        for h, sizes in zip(b.column("h").to_pylist(), b.column("size").to_pylist(), strict=True):
+        found, sizes_of = [], []
+        for h, g, sizes in zip(*(_lists(b.column(c)) for c in ("h", "g", "size")), strict=True):
             begins, ends = spans(sizes, least)
-            lines = np.array(h, np.int64).view(np.uint64)
-            keys = np.zeros(len(begins), np.uint64)
-            for k in range(int((ends - begins).max(initial=0))):
-                more = begins + k < ends
-                keys[more] = mix(keys[more] + lines[begins[more] + k])
-            found.append(np.unique(keys.view(np.int64)).tolist())
-        yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(found, pa.list_(pa.int64()))], names=["key", "runs"])
+            h, g = (_hashed(x.view(_U), begins, ends) for x in (h, g))
+            first = np.unique(np.stack((h, g), 1), axis=0, return_index=True)[1] if len(h) else np.zeros(0, np.int64)
+            found.append((h[first], g[first], begins[first].astype(np.int32)))
+            sizes_of.append(len(first))
+        flat = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)]
+        runs = pa.StructArray.from_arrays([pa.array(x) for x in flat], names=["h", "g", "at"])
+        runs = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes_of))), pa.int32()), runs)
+        yield pa.RecordBatch.from_arrays([b.column("key"), runs], names=["key", "runs"])
+
+
+def rebuilt(late: list, begins: list, ends: list, runs: list, hits: list) -> list:
+    """The lines of an earlier document in its runs ``hits`` [(place there, run)], from the lines of ``late``; None where others stand between."""
+    span = dict(zip(reversed(runs), zip(reversed(begins), reversed(ends), strict=True), strict=True))
+    place = {}
+    for at, run in hits:
+        a, z = span[run]
+        place.update(zip(range(at, at + z - a), late[a:z], strict=True))
+    out, before = [], None
+    for at in sorted(place):
+        if before is not None and at != before + 1:
+            out.append(None)
+        out.append(place[at])
+        before = at
+    return out
 
 
 def _align(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rid, gone = [], []
-        for r in b.to_pylist():
-            found = common_blocks(r["early"], r["late"], r["sizes"], least)
-            if found:
-                rid.append(r["rid"])
-                gone.append([r["places"][k] for k in found])
+        columns = [_lists(b.column(c)) for c in ("h", "g", "size", "place")]
+        for r, hits, h, g, sizes, places in zip(b.column("rid").to_pylist(), b.column("hits").to_pylist(), *columns, strict=True):
+            begins, ends = spans(sizes, least)
+            runs = list(zip(*(_hashed(x.view(_U), begins, ends).tolist() for x in (h, g)), strict=True))
+            late = list(zip(h.tolist(), g.tolist(), strict=True))
+            of: dict[int, list] = {}
+            for x in hits:
+                of.setdefault(x["early"], []).append((x["at"], (x["h"], x["g"])))
+            found: set[int] = set()
+            for own in of.values():
+                found.update(common_blocks(rebuilt(late, begins.tolist(), ends.tolist(), runs, own), late, sizes.tolist(), least))
+            rid.append(r)
+            gone.append(places[sorted(found)].tolist())
         yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], names=["rid", "gone"])
 
 
 def _lines(docs: DataFrame, order: str) -> DataFrame:
-    """rid, key (order of documents), text, and for each line with a word its place, hash and length."""
+    """rid, key (order of documents), and for each line with a word its place, two hashes and length."""
     whole = F.split("text", "\n", -1)
     real = F.filter(
-        F.transform(whole, lambda x, k: F.struct(k.alias("place"), F.xxhash64(x).alias("h"), F.length(x).alias("size"), x.rlike(r"[^\x20\x09-\x0D]").alias("word"))), lambda s: s["word"]
+        F.transform(
+            whole,
+            lambda x, k: F.struct(k.alias("place"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit(7), x).alias("g"), F.length(x).alias("size"), x.rlike(r"[^\x20\x09-\x0D]").alias("word")),
+        ),
+        lambda s: s["word"],
     )
     return docs.select("rid", F.struct(F.coalesce(F.col(order).cast("long"), F.lit((1 << 63) - 1)).alias("o"), "rid").alias("key"), real.alias("lines"))
 
@@ -138,21 +187,20 @@ def _lines(docs: DataFrame, order: str) -> DataFrame:
 def _removed(own: DataFrame, least: int) -> DataFrame:
     """(rid, gone): places of the lines to delete. ``own`` has rid, doc_id and text without nulls."""
     spark = own.sparkSession
-    lines = common.stored(spark, _lines(own, "doc_id"), "lines")
-    runs = lines.where(F.size("lines") > 0).select("key", F.col("lines.h").alias("h"), F.col("lines.size").alias("size"))
-    runs = common.stored(spark, runs.mapInArrow(lambda it: _keys(it, least), "key struct<o: bigint, rid: bigint>, runs array<bigint>"), "runs")
-    held = runs.select("key", F.explode("runs").alias("h"))
-    # stored, so that both sides of the join are dealt out for it and a line of a third of all documents can be split
-    shared = common.stored(spark, held.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first")).where("n > 1").select("h", "first"), "shared")
-    pairs = held.join(shared, "h").where("key <> first").select(F.col("key.rid").alias("rid"), F.col("first.rid").alias("early_rid")).distinct()
-    pairs = common.stored(spark, pairs, "pairs")
-    late = lines.select("rid", F.col("lines.h").alias("late"), F.col("lines.size").alias("sizes"), F.col("lines.place").alias("places"))
-    early = lines.select(F.col("rid").alias("early_rid"), F.col("lines.h").alias("early"))
-    sides = pairs.join(early, "early_rid").join(late, "rid").select("rid", "late", "sizes", "places", "early")
+    lines = common.stored(spark, _lines(own, "doc_id").where(F.size("lines") > 0), "lines")
+    kind = "key struct<o: bigint, rid: bigint>, runs array<struct<h: bigint, g: bigint, at: int>>"
+    runs = common.stored(spark, lines.select("key", *(F.col(f"lines.{c}").alias(c) for c in ("h", "g", "size"))).mapInArrow(lambda it: _keys(it, least), kind), "runs")
+    held = runs.select("key", F.explode("runs").alias("run")).select("key", "run.*")
+    # stored, so that both sides of the join are dealt out for it and a run of a third of all documents can be split
+    shared = held.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("key", "at")).alias("first")).where("n > 1")
+    shared = common.stored(spark, shared.select("h", "g", F.col("first.key").alias("first"), F.col("first.at").alias("early_at")), "shared")
+    hits = held.drop("at").join(shared, ["h", "g"]).where("key <> first")
+    hits = common.stored(spark, hits.select(F.col("key.rid").alias("rid"), F.struct(F.col("first.rid").alias("early"), F.col("early_at").alias("at"), "h", "g").alias("hit")), "hits")
+    # a document has at most two runs a line, each with one earliest holder
+    late = lines.select("rid", *(F.col(f"lines.{c}").alias(c) for c in ("h", "g", "size", "place")))
+    sides = late.join(hits.groupBy("rid").agg(F.collect_list("hit").alias("hits")), "rid")
     with common.settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch=500):
-        found = sides.mapInArrow(lambda it: _align(it, least), "rid long, gone array<int>")
-        found = found.groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-        return common.stored(spark, found, "gone")
+        return common.stored(spark, sides.mapInArrow(lambda it: _align(it, least), "rid long, gone array<int>"), "gone")
 
 
 def deduplicate(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
@@ -160,21 +208,24 @@ def deduplicate(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
 
     The earlier document is that with the smaller doc_id (nulls last; equal ids in a fixed order).
     Lines are ``\\n``-split and compared whole; blank ones are no part of a block. Null texts stay null;
-    a document may be left empty; an empty table gives no rows. Other columns are carried along.
+    a document may be left empty; an empty table gives no rows. Other columns are carried along, whatever
+    their names, but a column n_removed_lines gives way to the new one.
     """
     spark = docs.sparkSession
-    own = common.bucketed(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "__rid", "rows")
-    work = own.select(F.col("__rid").alias("rid"), "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = _removed(work, least).toDF("__rid", "__gone")
+    docs = docs.drop("n_removed_lines")
+    rid, places_of = common.unused(docs.columns, "rid"), common.unused(docs.columns, "gone")
+    own = common.bucketed(spark, docs.withColumn(rid, F.monotonically_increasing_id()), rid, "rows")
+    work = own.select(F.col(rid).alias("rid"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    gone = _removed(work, least).toDF(rid, places_of)
     # the rows stay in their buckets; only the places of deleted lines travel
-    marked = own.join(gone.hint("shuffle_hash"), "__rid", "left").drop("__rid")
+    marked = own.join(gone.hint("shuffle_hash"), rid, "left").drop(rid)
     names = docs.columns
     schema = T.StructType([*docs.schema.fields, T.StructField("n_removed_lines", T.LongType())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed = [], []
-            for t, places in zip(b.column("text").to_pylist(), b.column("__gone").to_pylist(), strict=True):
+            for t, places in zip(b.column("text").to_pylist(), b.column(places_of).to_pylist(), strict=True):
                 places = set(places or ()) if t is not None else ()
                 texts.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in places) if places else t)
                 removed.append(len(places))

@@ -29,6 +29,7 @@ RADIUS = 4
 SHINGLE = 4
 SEED = 42
 LIMIT = 1 << 14
+TASK_ROWS = 2_000_000  # (table, fingerprint) rows that a task sorts
 _U = np.uint64
 
 
@@ -100,43 +101,69 @@ def forest(f: np.ndarray) -> tuple[list, list]:
 
 
 def _link(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Rows (over, a, b): a link, or for buckets over the limit (its fixed bits, fp)."""
-    parts = [[np.asarray(b.column(k)).view(np.uint64) for k in range(3)] for b in batches]
-    if not parts:
-        return
-    fixed, key, fp = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    order = np.lexsort((fp, key, fixed))
-    fixed, key, fp = fixed[order], key[order], fp[order]
-    new = np.ones(len(fp), bool)
-    new[1:] = (fixed[1:] != fixed[:-1]) | (key[1:] != key[:-1])
-    begins = np.flatnonzero(new)
-    sizes = np.diff(np.append(begins, len(fp)))
+    """Rows (over, a, b): a link, or for buckets over the limit (its fixed bits, fp). Buckets come one after another;
+    no more than a batch and an unfinished bucket below the limit is held."""
 
     def rows(over, a, b):
-        a, b = np.asarray(a, np.uint64), np.asarray(b, np.uint64)
+        a, b = np.asarray(a, _U), np.asarray(b, _U)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), over)), pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["over", "a", "b"])
 
-    two = begins[sizes == 2]
-    two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
-    yield rows(False, fp[two], fp[two + 1])
-    for at, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-        f = fp[at : at + n]
-        if n > limit and int(fixed[at]).bit_count() < 48:
-            yield rows(True, fixed[at : at + n], f)
-        else:
-            a, b = forest(f)
-            if a:
-                yield rows(False, a, b)
+    def dealt(f) -> bool:
+        return int(f).bit_count() < 48
+
+    def linked(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        fixed, key, fp = x
+        begins, sizes = _buckets(fixed, key)
+        two = begins[sizes == 2]
+        two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= RADIUS]
+        yield rows(False, fp[two], fp[two + 1])
+        for at, n in zip(begins[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            f = fp[at : at + n]
+            if n > limit and dealt(fixed[at]):
+                yield rows(True, fixed[at : at + n], f)
+            else:
+                a, b = forest(f)
+                if a:
+                    yield rows(False, a, b)
+
+    rest, over = np.zeros((3, 0), _U), None
+    for b in batches:
+        x = np.stack([np.asarray(b.column(k)).view(_U) for k in range(3)])
+        if over is not None:  # the bucket that is being dealt out goes on
+            n = int(np.argmin(np.append((x[0] == over[0]) & (x[1] == over[1]), False)))
+            yield rows(True, x[0, :n], x[2, :n])
+            x = x[:, n:]
+            if not x.shape[1]:
+                continue
+            over = None
+        x = np.concatenate((rest, x), axis=1)
+        if not x.shape[1]:
+            continue
+        last = int(_buckets(x[0], x[1])[0][-1])
+        yield from linked(x[:, :last])
+        rest = x[:, last:]
+        if rest.shape[1] > limit and dealt(rest[0, 0]):
+            yield rows(True, rest[0], rest[2])
+            over, rest = (rest[0, 0], rest[1, 0]), np.zeros((3, 0), _U)
+    yield from linked(rest)
+
+
+def _buckets(fixed: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each stretch of equal (fixed, key) begins, and its length."""
+    new = np.ones(len(key), bool)
+    new[1:] = (fixed[1:] != fixed[:-1]) | (key[1:] != key[:-1])
+    begins = np.flatnonzero(new)
+    return begins, np.diff(np.append(begins, len(key)))
 
 
 def links(fps: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Links (a, b) between distinct fingerprints (column fp), enough to connect all that are linked."""
     spark = fps.sparkSession
-    n = common.partitions(spark)
     todo = fps.select(F.lit(0).cast("long").alias("fixed"), "fp")
     found = []
     while True:
-        dealt = todo.mapInArrow(_spread, "fixed long, key long, fp long").repartition(n, "fixed", "key")
+        n = common.buckets_for(spark, todo.count() * float((1 << RADIUS + 1) - 1), TASK_ROWS)
+        dealt = todo.mapInArrow(_spread, "fixed long, key long, fp long").repartition(n, "fixed", "key").sortWithinPartitions("fixed", "key")
         out = common.stored(spark, dealt.mapInArrow(lambda it: _link(it, limit), "over boolean, a long, b long"), "links")
         found.append(out.where(~F.col("over")).select("a", "b"))
         todo = out.where("over").select(F.col("a").alias("fixed"), F.col("b").alias("fp"))
@@ -168,10 +195,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT)
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, limit: int = LIMIT) -> DataFrame:
     """The rows of ``docs``, with all their columns, that stand for their component: of each, the row with the smallest doc_id
-    (nulls last; equal ids in a fixed order)."""
+    (nulls last; equal ids in a fixed order).
+
+    Null and blank texts are one component; of repeated rows one stays; an empty table gives no rows; other columns
+    are carried along, whatever their names.
+    """
     spark = docs.sparkSession
-    own = common.bucketed(spark, docs.withColumn("__rid", F.monotonically_increasing_id()), "__rid", "rows")
-    found = near_duplicates(own.select(F.col("__rid").alias("doc_id"), "text"), shingle, limit).select(F.col("doc_id").alias("__rid"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "__rid")
-    stay = own.select("__rid", "doc_id").join(found, "__rid").groupBy("component_id").agg(F.min(order)["__rid"].alias("__rid"))
-    return own.join(stay.select("__rid").hint("shuffle_hash"), "__rid", "left_semi").drop("__rid")
+    rid = common.unused(docs.columns, "rid")
+    own = common.bucketed(spark, docs.withColumn(rid, F.monotonically_increasing_id()), rid, "rows")
+    found = near_duplicates(own.select(F.col(rid).alias("doc_id"), "text"), shingle, limit).select(F.col("doc_id").alias(rid), F.col("component_id").alias("group"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.col(rid).alias("rid"))
+    stay = own.select(rid, "doc_id").join(found, rid).groupBy("group").agg(F.min(order)["rid"].alias(rid))
+    return own.join(stay.select(rid).hint("shuffle_hash"), rid, "left_semi").drop(rid)

@@ -251,7 +251,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: bool = False) ->
         else:
             out = rows.mapInArrow(lambda it: _report(it, protocol), _REPORT)
         out = common.stored(spark, out, "repeats")
-    table.drop()
     return out
 
 

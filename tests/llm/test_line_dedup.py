@@ -89,3 +89,42 @@ def test_block_whose_lines_have_other_first_holders(spark):
     rows = [(1, f"{a}\nown"), (2, f"{b}\nother"), (3, f"{a}\n{b}\nmore"), (4, f"{a}\n{b}\n{c}"), (5, f"x\n{a}\n{b}\n{c}\ny")]
     got = {r.doc_id: r.text for r in ld.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: rows[1][1], 3: rows[2][1], 4: c, 5: "x\ny"}
+
+
+def all_pairs(rows, least=ld.MIN_BLOCK):
+    """(doc_id, deleted places) with each document aligned with every earlier one that shares a line."""
+    docs = [(i, [(k, x) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\v\f\r")]) for i, t in rows]
+    by, holders, out = dict(docs), {}, {}
+    for i, own in sorted(docs):
+        gone = set()
+        for e in {e for _, x in own for e in holders.get(x, ())}:
+            found = ld.common_blocks([x for _, x in by[e]], [x for _, x in own], [len(x) for _, x in own], least)
+            gone.update(own[j][0] for j in found)
+        for _, x in own:
+            holders.setdefault(x, set()).add(i)
+        out[i] = gone
+    return out
+
+
+def deleted(spark, docs):
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    return rows, {r.doc_id: (r.n_removed_lines, r.text) for r in ld.deduplicate(docs).collect()}
+
+
+def test_no_block_of_any_pair_is_lost(spark):
+    rows, got = deleted(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    for i, gone in all_pairs(list(rows.items())).items():
+        assert got[i] == (len(gone), "\n".join(x for k, x in enumerate(rows[i].split("\n")) if k not in gone))
+
+
+def test_a_block_whose_lines_have_other_earliest_holders(spark):
+    x, z = "x" * 30, "z" * 30
+    docs = spark.createDataFrame([(1, f"{x}\np1"), (2, f"{z}\np2"), (3, f"{x}\n{z}"), (4, f"{x}\n{z}")], "doc_id long, text string")
+    assert deleted(spark, docs)[1] == {1: (0, f"{x}\np1"), 2: (0, f"{z}\np2"), 3: (0, f"{x}\n{z}"), 4: (2, "")}
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a" * 60, 5, 6, 7, 8), (2, "a" * 60, 5, 6, 7, 8)], "doc_id long, text string, rid long, _RID long, gone long, n_removed_lines long")
+    got = ld.deduplicate(docs)
+    assert got.columns == ["doc_id", "text", "rid", "_RID", "gone", "n_removed_lines"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a" * 60, 5, 6, 7, 0), (2, "", 5, 6, 7, 1)]
