@@ -1,14 +1,13 @@
-"""Operator 5: benchmark decontamination by an exact prefix filter, in place of size-partitioned MinHash containment.
+"""Operator 5: benchmark decontamination by MinHash containment search, partitioned by the size of the test item.
 
-A test item with n distinct shingles is contained when c = ceil(0.8 n) or more of them occur in a
-document. Its sketch is its n - c + 1 smallest shingle hashes: of so many shingles one at least
-must occur in a document that contains the item, wherever it hides in however long a text,
-so the sketch misses nothing. There are no MinHash signatures and no partitions by size: the larger the item, the
-more values it keeps in the one index of its shingle width. Documents are probed with all their shingle hashes, and each
-candidate pair is verified on the shingles themselves.
+A test item with n distinct shingles is contained when c = ceil(0.8 n) or more of them occur in a document. Items fall into
+size classes by n (powers of two). Each class has a signature length of its own: the n - c + m smallest shingle hashes of an
+item (a bottom-k MinHash sketch) and m, the hits that a candidate needs, more for larger items. A document that contains
+the item lacks n - c of its shingles at most, so m at least of the sketch occur in it: no item is missed, wherever it hides in
+however long a text. Documents have no signatures of their own, as one of fixed length can't show twenty words in twenty thousand;
+all their shingle hashes are probed. Each candidate pair is verified on the shingles themselves.
 
-The index of sketches is broadcast in blocks of items, each below a fixed size; documents
-are searched once per block.
+The sketches are broadcast in blocks of items, each of a bounded size of text; documents are searched once per block.
 """
 
 from __future__ import annotations
@@ -37,39 +36,58 @@ def item_shingles(text: bytes, width: int = WIDTH) -> tuple[int, set[bytes]]:
     return width, {b" ".join(w[i : i + width]) for i in range(len(w) - width + 1)} if width else set()
 
 
+def size_class(n: int) -> int:
+    """Of items with n shingles: 0 for one, 1 up to 3, 2 up to 7, ..."""
+    return n.bit_length() - 1
+
+
+def hits_needed(n: int, need: int) -> int:
+    """Of the sketch: one for small items, an eighth of what must occur for larger ones, alike in a size class."""
+    return max(1, min(need, (1 << size_class(n)) // 8))
+
+
 class Sketches:
-    """Of one block of items [(item_id, text)]."""
+    """Of one block of items [(item_id, text)]: an index for each (words per shingle, size class)."""
 
     def __init__(self, items: list[tuple], width: int = WIDTH, threshold: float = THRESHOLD):
-        self.items, self.need = [], []
-        keys: dict[int, list] = defaultdict(list)
+        self.items, self.need, self.hits = [], [], []
+        keys: dict[tuple[int, int], list] = defaultdict(list)
         for item, text in items:
             w, found = item_shingles(text, width)
             if found:
-                self.need.append(math.ceil(threshold * len(found) - 1e-9))
-                h, owner = words.hashes([text])
-                h = np.unique(words.shingles(h, owner, w)[0])
-                keys[w].extend((k, len(self.items)) for k in h[: len(found) - self.need[-1] + 1].tolist())
-                self.items.append((item, w, found))
+                n, need = len(found), math.ceil(threshold * len(found) - 1e-9)
+                hits = hits_needed(n, need)
+                h = np.unique(words.shingles(*words.hashes([text]), w)[0])
+                keys[w, size_class(n)].append((h[: n - need + hits], len(self.items)))
+                self.items.append((item, w, text))
+                self.need.append(need)
+                self.hits.append(hits)
+        self.hits = np.array(self.hits, np.int64)
         self.index = {}
-        for w, pairs in keys.items():
-            pairs.sort()
-            k = np.array([p[0] for p in pairs], np.uint64)
+        for k, pairs in keys.items():
+            h = np.concatenate([x for x, _ in pairs])
+            owner = np.repeat([i for _, i in pairs], [len(x) for x, _ in pairs])
+            order = np.argsort(h, kind="stable")
             first = np.zeros(1 << _TABLE, bool)
-            first[(k & np.uint64((1 << _TABLE) - 1)).astype(np.int64)] = True
-            self.index[w] = k, np.array([p[1] for p in pairs], np.int64), first
+            first[(h & np.uint64((1 << _TABLE) - 1)).astype(np.int64)] = True
+            self.index[k] = h[order], owner[order], first
 
-    def candidates(self, texts: list[bytes]) -> set[tuple[int, int]]:
-        """(text number, item number)"""
+    def candidates(self, texts: list[bytes]) -> list[tuple[int, int]]:
+        """(text number, item number) of the pairs with as many hits as the item's class needs."""
         h, owner = words.hashes(texts)
-        out = set()
-        for w, (keys, item, first) in self.index.items():
-            s, o = words.shingles(h, owner, w)
+        out: list[tuple[int, int]] = []
+        of_width = {w: words.shingles(h, owner, w) for w in {w for w, _ in self.index}}
+        for (w, _), (keys, item, first) in self.index.items():
+            s, o = of_width[w]
             near = first[(s & np.uint64((1 << _TABLE) - 1)).astype(np.int64)]
             s, o = s[near], o[near]
-            a, b = np.searchsorted(keys, s, "left"), np.searchsorted(keys, s, "right")
-            for i in np.flatnonzero(a < b):
-                out.update((int(o[i]), int(item[k])) for k in range(a[i], b[i]))
+            a = np.searchsorted(keys, s, "left")
+            n = np.searchsorted(keys, s, "right") - a
+            at = np.repeat(a - np.cumsum(n) + n, n) + np.arange(n.sum())
+            # a shingle that a text repeats is one hit
+            once = np.unique(np.stack((np.repeat(o, n), item[at], keys[at].view(np.int64)), 1), axis=0)
+            pairs, hits = np.unique(once[:, :2], axis=0, return_counts=True)
+            out.extend(map(tuple, pairs[hits >= self.hits[pairs[:, 1]]].tolist()))
         return out
 
     def search(self, texts: list[bytes]) -> Iterator[tuple]:
@@ -81,9 +99,10 @@ class Sketches:
             own: dict[int, set[bytes]] = {}
             w = words.split(texts[t])
             for i in sorted(found):
-                item, width, shingles = self.items[i]
+                item, width, text = self.items[i]
                 if width not in own:
                     own[width] = {b" ".join(w[k : k + width]) for k in range(len(w) - width + 1)}
+                shingles = item_shingles(text, width)[1]
                 shared = len(shingles & own[width])
                 if shared >= self.need[i]:
                     yield t, item, len(shingles), shared
@@ -142,18 +161,23 @@ def contained(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, thresho
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose own text contains no item."""
+    """The rows of ``docs``, with all their columns (of any name), whose own text contains no item.
+
+    Null and blank texts contain nothing and stay; repeated rows stay or go each; an empty ``benchmark`` keeps all rows, an
+    empty ``docs`` gives none.
+    """
     columns, schema = docs.columns, docs.schema
+    own = common.unused(columns, "text_read")
     for sketches in _blocks(benchmark, width, threshold, block_bytes):
 
         def free(batches: Iterator[pa.RecordBatch], s=sketches) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = [t or b"" for t in b.column("__text").cast(pa.binary()).to_pylist()]
+                texts = [t or b"" for t in b.column(own).cast(pa.binary()).to_pylist()]
                 bad = {t for a, z in _slices(texts) for t in (a + x[0] for x in s.value.search(texts[a:z]))}
                 keep = pa.array([k not in bad for k in range(len(texts))], pa.bool_())
                 yield b.select(columns).filter(keep)
 
-        docs = docs.withColumn("__text", F.col("text").cast("string")).mapInArrow(free, schema)
+        docs = docs.withColumn(own, F.col("text").cast("string")).mapInArrow(free, schema)
     return docs
 
 

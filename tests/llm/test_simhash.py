@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -87,16 +88,13 @@ def test_empty(spark):
 
 
 def test_buckets_across_batches_and_columns_of_any_name(spark):
-    import numpy as np
-    import pyarrow as pa
-
     r = np.random.default_rng(5)
     fp = np.unique(r.integers(0, 1 << 12, 3000, np.uint64))
     key = np.zeros(len(fp), np.int64)
     rows = [pa.RecordBatch.from_arrays([pa.array(key), pa.array(key), pa.array(fp.view(np.int64))], names=["fixed", "key", "fp"]).slice(a, 100) for a in range(0, len(fp), 100)]
-    out = [x for b in simhash._link(iter(rows), 50) for x in b.to_pylist()]
+    out = [x for b in sh._link(iter(rows), 50) for x in b.to_pylist()]
     assert all(x["over"] for x in out) and sorted(x["b"] for x in out) == fp.tolist()
-    out = [x for b in simhash._link(iter(rows), 1 << 20) for x in b.to_pylist()]
+    out = [x for b in sh._link(iter(rows), 1 << 20) for x in b.to_pylist()]
     assert not any(x["over"] for x in out) and len(out) == len(fp) - 1  # a spanning tree: 12 bits in use
     docs = spark.createDataFrame([(1, "a b c", 5, 6), (2, "a b c", 7, 8)], "doc_id long, text string, rid long, __rid long")
-    assert [tuple(x) for x in simhash.one_of_each(docs).collect()] == [(1, "a b c", 5, 6)]
+    assert [tuple(x) for x in sh.one_of_each(docs).collect()] == [(1, "a b c", 5, 6)]
