@@ -1,12 +1,13 @@
 """Operator 9: toxicity from a learned lexicon, Levenshtein automata and context windows.
 
 Terms are learned from the labels of the training documents: words, and stems (word beginnings), that
-are many times likelier in toxic documents. The lexicon is a trie. A word that is no term is
-run through the trie together with the Levenshtein automaton of the word (distance 1): states
-that cannot reach acceptance cut the walk, so a misspelling costs a few steps and not a pass over
-the lexicon. Hits are then weighed by their context window: hits between quotation marks, or
-next to a word of reporting, count apart from plain ones. A logistic model turns
-the counts into a score.
+are many times likelier in toxic documents. The lexicon is a trie. A word that is no term runs through the intersection of the
+trie with the Levenshtein automata of its terms (distance 1, for long terms 2): a state is a set of trie nodes with
+the edits so far, those that cannot reach acceptance any more are left out, and states and steps are made when a word first
+needs them. Most words die within a few letters, whatever the number of terms. Hits are then weighed by their context window:
+hits between quotation marks, or next to a word of reporting, count apart from plain ones. A logistic model turns
+the counts into a score. It is cross-fitted: a document's counts in the fit come from terms that were learned on the other folds
+of the labels, so no term vouches for the document that taught it.
 """
 
 from __future__ import annotations
@@ -28,10 +29,14 @@ from scriptorium.llm import common
 THRESHOLD = 0.3
 STEMS = (4, 5, 6)
 MIN_DOCS = 4  # toxic training documents that hold a term
-MIN_LOG_ODDS = 1.5  # less 1.64 standard errors
+MIN_LOG_ODDS = 1.5  # less SURE standard errors
+SURE = 1.64
 SIEVE = 25  # bits of the position in the sieve of candidates
+FOLDS = 4  # of the training labels in cross-fitting
 FIT_ROWS = 50_000  # labelled rows in the logistic fit
 FUZZY = 5  # letters of a term that misspellings are looked up for
+LONG = 9  # letters of a term from which two edits are let pass
+STATES = 100_000  # of an automaton, before it starts afresh
 WINDOW = 3
 LIKE = ((3, 0), (4, 1))  # features of misspelled hits, and of plain ones
 QUOTES = "\"“”„«»‘’"
@@ -50,6 +55,85 @@ def plain(word: str) -> str:
     return word if word.isalpha() else re.sub(r"[^\w]", "", word.translate(_LEET))
 
 
+class Automaton:
+    """The trie ``root`` with the Levenshtein automata of its whole terms, made deterministic as words come."""
+
+    def __init__(self, root: dict):
+        self.children: list[dict[str, int]] = []
+        self.reach: list[int] = []  # edits that a term below lets pass; -1 without a term
+        self.ends: list[tuple[float, int]] = []  # weight of the term that ends here, and its edits
+
+        def add(node: dict, depth: int) -> int:
+            k = len(self.children)
+            end = node.get("$", (0.0, False, 0.0))[2] if depth >= FUZZY else 0.0
+            edits = (1 + (depth >= LONG)) if end else -1
+            self.children.append({})
+            self.reach.append(edits)
+            self.ends.append((end, edits))
+            for c, child in node.items():
+                if c != "$":
+                    self.children[k][c] = at = add(child, depth + 1)
+                    self.reach[k] = max(self.reach[k], self.reach[at])
+            return k
+
+        add(root, 0)
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.steps: list[dict[str, int]] = []
+        self.weights: list[float] = []
+        self.start = self.number({0: 0})
+
+    def number(self, least: dict[int, int]) -> int:
+        """The state of these nodes with their edits, and of those that letters missing from the word lead to; -1 if none is left."""
+        todo = list(least.items())
+        while todo:
+            node, e = todo.pop()
+            if e > least[node]:
+                continue
+            for child in self.children[node].values():
+                if e + 1 <= self.reach[child] and e + 1 < least.get(child, 9):
+                    least[child] = e + 1
+                    todo.append((child, e + 1))
+        state = tuple(sorted((n, e) for n, e in least.items() if e <= self.reach[n]))
+        if not state:
+            return -1
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.steps.append({})
+            self.weights.append(max((w for (w, edits), e in ((self.ends[n], e) for n, e in state) if w and e <= edits), default=0.0))
+        return self.numbers[state]
+
+    def step(self, state: int, c: str) -> int:
+        least: dict[int, int] = {}
+
+        def reach(node, e):
+            if e <= self.reach[node] and e < least.get(node, 9):
+                least[node] = e
+
+        for node, e in self.states[state]:
+            reach(node, e + 1)  # a letter too many
+            for letter, child in self.children[node].items():
+                reach(child, e + (letter != c))
+        out = self.steps[state][c] = self.number(least)
+        return out
+
+    def weight(self, word: str) -> float:
+        """Largest weight of a term that the word misspells; 0 without."""
+        if len(self.states) > STATES:
+            self.clear()
+        state, steps = self.start, self.steps
+        for c in word:
+            if state < 0:
+                return 0.0
+            to = steps[state].get(c)
+            state = self.step(state, c) if to is None else to
+        return self.weights[state] if state >= 0 else 0.0
+
+
 class Lexicon:
     """A trie of terms ({"$": (weight, is_stem, weight as a whole word)} at their ends) with exact, stem and fuzzy look-up."""
 
@@ -63,7 +147,7 @@ class Lexicon:
                 node = node.setdefault(c, {})
             old = node.get("$", (weight, False, 0.0))
             node["$"] = max(weight, old[0]), stem or old[1], old[2] if stem else max(weight, old[2])
-        self.near = {v for t, s, _ in terms if not s and len(t) >= FUZZY for v in (t, *(t[:i] + t[i + 1 :] for i in range(len(t))))}
+        self.automaton = Automaton(self.root)
 
     def exact(self, word: str) -> float:
         """Weight of the word, or of the longest stem that it begins with; 0 if neither."""
@@ -78,34 +162,8 @@ class Lexicon:
         return best
 
     def fuzzy(self, word: str) -> float:
-        """Largest weight of a whole term (5 letters or more) at Levenshtein distance 1 at most."""
-        near = self.near  # words one edit apart share a form with one letter less, or one is it
-        if len(word) < 4 or (word not in near and not any(word[:i] + word[i + 1 :] in near for i in range(len(word)))):
-            return 0.0
-        best, n = 0.0, len(word)
-        # a state of the automaton: places in the word, each with the edits so far
-        todo = [(self.root, ((0, 0),), 0)]
-        while todo:
-            node, state, depth = todo.pop()
-            end = node.get("$")
-            if end and end[2] and depth >= FUZZY and any(n - i + e <= 1 for i, e in state):
-                best = max(best, end[2])
-            for c, child in node.items():
-                if c == "$":
-                    continue
-                after = set()
-                for i, e in state:
-                    if i < n and word[i] == c:
-                        after.add((i + 1, e))
-                    if e == 0:
-                        after.add((i, 1))
-                        if i < n:
-                            after.add((i + 1, 1))
-                        if i + 1 < n and word[i + 1] == c:
-                            after.add((i + 2, 1))
-                if after:
-                    todo.append((child, tuple(after), depth + 1))
-        return best
+        """Largest weight of a whole term (FUZZY letters or more) at Levenshtein distance 1 at most (2 from LONG letters on)."""
+        return self.automaton.weight(word)
 
     def learn(self, words: set[str]) -> None:
         """Weighs the words that are new; ``hot`` keeps those with a weight as (weight, distance)."""
@@ -184,12 +242,17 @@ def _sieve(terms: DataFrame) -> Sieve:
 
 
 def _count(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]:
-    """(term, number of texts that hold it) of the terms in the broadcast ``sieve``, or of all."""
+    """(term, number of texts of each fold that hold it) of the terms in the broadcast ``sieve``, or of all."""
     only = sieve.value if sieve else None
-    c: Counter = Counter()
+    counts: list[Counter] = [Counter() for _ in range(FOLDS)]
     memo: dict[str, list[str]] = {}
+
+    def rows():
+        terms = list(set().union(*counts))
+        return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), *(pa.array([c[t] for t in terms], pa.int64()) for c in counts)], names=["term", *_N])
+
     for b in batches:
-        for t in b.column("text").to_pylist():
+        for t, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True):
             found: set[str] = set()
             for w in set(tokens(t or "")):
                 own = memo.get(w)
@@ -198,26 +261,45 @@ def _count(batches: Iterator[pa.RecordBatch], sieve) -> Iterator[pa.RecordBatch]
                         memo.clear()
                     own = memo[w] = [x for x in _terms_of(w) if only is None or x in only]
                 found.update(own)
-            c.update(found)
-            if len(c) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
-                c.clear()
-    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["term", "n"])
+            counts[fold].update(found)
+            if sum(map(len, counts)) > 500_000:
+                yield rows()
+                for c in counts:
+                    c.clear()
+    yield rows()
+
 
+_N = [f"n{k}" for k in range(FOLDS)]
+_COUNTS = "term string, " + ", ".join(f"{c} long" for c in _N)
+Terms = list[tuple[str, bool, float]]
 
-def learn_terms(toxic: DataFrame, clean: DataFrame, n_toxic: int, n_clean: int) -> list[tuple[str, bool, float]]:
-    """(term, is a stem, lower bound of the log odds) from two tables of texts: all terms whose bound is high enough, however
-    small their share. Counts are joined in DataFrames; only terms that pass come to the driver."""
+
+def learn_terms(toxic: DataFrame, clean: DataFrame, n_toxic: list[int], n_clean: list[int]) -> list[Terms]:
+    """(term, is a stem, lower bound of the log odds) learned from two tables of texts (text, fold): for each fold from all others,
+    and last from all. All terms whose bound is high enough, however small their share. Counts are joined in DataFrames; only terms
+    that pass come to the driver. ``n_toxic`` and ``n_clean``: number of texts of each fold."""
     spark = toxic.sparkSession
-    a, b = F.col("n") + 0.5, F.coalesce("n_clean", F.lit(0)) + 0.5
-    odds = F.log(a / (n_toxic + 1)) - F.log(b / (n_clean + 1)) - 1.64 * F.sqrt(1 / a + 1 / b)
-    many = toxic.mapInArrow(lambda it: _count(it, None), "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS)
+    sums = [F.sum(c).alias(c) for c in _N]
+
+    def odds(without: int, with_clean: bool):
+        k = [i for i in range(FOLDS) if i != without]
+        n = sum(F.col(f"n{i}") for i in k)
+        few = sum(F.coalesce(f"c{i}", F.lit(0)) for i in k) if with_clean else F.lit(0)
+        a, b = n + 0.5, few + 0.5
+        bound = F.log(a / (sum(n_toxic[i] for i in k) + 1)) - F.log(b / (sum(n_clean[i] for i in k) + 1)) - SURE * F.sqrt(1 / a + 1 / b)
+        return F.when((n >= MIN_DOCS) & (bound >= MIN_LOG_ODDS), bound)
+
+    many = toxic.mapInArrow(lambda it: _count(it, None), _COUNTS).groupBy("term").agg(*sums).where(sum(F.col(c) for c in _N) >= MIN_DOCS)
     # terms that would not pass without any clean text need no clean count
-    many = common.stored(spark, many.withColumn("n_clean", F.lit(0)).where(odds >= MIN_LOG_ODDS).select("term", "n"), "toxic-terms")
+    many = common.stored(spark, many.where(F.coalesce(*(odds(k, False) for k in range(FOLDS + 1))).isNotNull()), "toxic-terms")
     sieve = spark.sparkContext.broadcast(_sieve(many))
-    few = clean.mapInArrow(lambda it: _count(it, sieve), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_clean"))
-    strong = {r[0]: r[1] for r in many.join(few, "term", "left").select("term", odds.alias("odds")).where(F.col("odds") >= MIN_LOG_ODDS).collect()}
-    # a longer stem says no more than a shorter one; whole words stay beside their stems, as the automaton runs over them
+    few = clean.mapInArrow(lambda it: _count(it, sieve), _COUNTS).groupBy("term").agg(*sums).toDF("term", *(f"c{k}" for k in range(FOLDS)))
+    rows = many.join(few, "term", "left").select("term", F.array(*(odds(k, True) for k in range(FOLDS + 1))).alias("odds")).where("exists(odds, x -> x is not null)").collect()
+    return [_own({r["term"]: r["odds"][k] for r in rows if r["odds"][k] is not None}) for k in range(FOLDS + 1)]
+
+
+def _own(strong: dict[str, float]) -> Terms:
+    """Without longer stems, which say no more than a shorter one; whole words stay beside their stems, as the automaton runs over them."""
     own = [t for t in strong if (len(t) >= FUZZY and not t.endswith("*")) or not any(t[:k] + "*" in strong for k in STEMS if len(t.removesuffix("*")) > k)]
     return [(t.removesuffix("*"), t.endswith("*"), strong[t]) for t in sorted(own, key=lambda t: (-strong[t], t))]
 
@@ -242,22 +324,29 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> n
     return w
 
 
-def _features(batches: Iterator[pa.RecordBatch], model, extra: list[str]) -> Iterator[pa.RecordBatch]:
-    lexicon = Lexicon(model.value)
-    for b in batches:
-        got = [list(features(t or "", lexicon)) for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in extra), pa.array(got, pa.list_(pa.float64()))], names=[*extra, "x"])
+_lexicons: dict[int, Lexicon] = {}
 
 
-_lexicons: dict[int, Lexicon] = {}
+def _lexicon(terms: Terms) -> Lexicon:
+    """Kept by a worker for its next tasks."""
+    key = hash(tuple(terms))
+    if key not in _lexicons:
+        while len(_lexicons) > FOLDS:
+            _lexicons.pop(next(iter(_lexicons)))
+        _lexicons[key] = Lexicon(terms)
+    return _lexicons[key]
+
+
+def _features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """y and the features of each text, by the terms of the folds that it is not in."""
+    other = [_lexicon(t) for t in model.value[:FOLDS]]
+    for b in batches:
+        got = [list(features(t or "", other[fold])) for t, fold in zip(b.column("text").to_pylist(), b.column("fold").to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([b.column("y"), pa.array(got, pa.list_(pa.float64()))], names=["y", "x"])
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, weights: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    key = hash(tuple(model.value))
-    if key not in _lexicons:
-        _lexicons.clear()
-        _lexicons[key] = Lexicon(model.value)
-    lexicon = _lexicons[key]
+    lexicon = _lexicon(model.value[FOLDS])
     for b in batches:
         x = np.array([features(t or "", lexicon) for t in b.column("text").to_pylist()]).reshape(-1, 7)
         p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
@@ -284,17 +373,17 @@ def score(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> D
     y = y.groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     # copies are no further evidence for a term: of equal texts the first document teaches
     seen = own.where("not held_out").select("doc_id", "h").join(y, "doc_id").groupBy("h").agg(F.min_by(F.struct("doc_id", "toxic"), "doc_id").alias("d")).select("d.doc_id", "d.toxic")
-    seen = common.stored(spark, seen, "teachers")
-    train = own.select("doc_id", "text").join(seen.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "toxic")
-    n = {bool(r[0]): r[1] for r in seen.groupBy("toxic").count().collect()}
+    seen = common.stored(spark, seen.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(FOLDS)).cast("int")), "teachers")
+    train = own.select("doc_id", "text").join(seen.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "toxic", "fold")
+    n = {(bool(r[0]), r[1]): r[2] for r in seen.groupBy("toxic", "fold").count().collect()}
+    n_clean, n_toxic = ([n.get((y, k), 0) for k in range(FOLDS)] for y in (False, True))
     total = sum(n.values())
-    if len(n) < 2:
-        share = n.get(True, 0) / total if total else 0.0
+    if not sum(n_clean) or not sum(n_toxic):
+        share = sum(n_toxic) / total if total else 0.0
         return own.select("doc_id", "held_out", F.lit(share).alias("score"), F.lit(int(share >= threshold)).cast("int").alias("predicted"))
-    terms = learn_terms(train.where("toxic").select("text"), train.where("not toxic").select("text"), n[True], n[False])
-    model = spark.sparkContext.broadcast(terms)
+    model = spark.sparkContext.broadcast(learn_terms(train.where("toxic").select("text", "fold"), train.where("not toxic").select("text", "fold"), n_toxic, n_clean))
     sample = train.withColumn("r", F.xxhash64("doc_id")).where(F.abs(F.col("r") % 1_000_000) < max(1, int(1_000_000 * min(1, FIT_ROWS / total))))
-    rows = sample.select("text", F.col("toxic").cast("int").alias("y")).mapInArrow(lambda it: _features(it, model, ["y"]), "y int, x array<double>").collect()
+    rows = sample.select("text", "fold", F.col("toxic").cast("int").alias("y")).mapInArrow(lambda it: _features(it, model), "y int, x array<double>").collect()
     if not rows:
         rows = [(0, [0.0] * 7), (1, [0.0] * 7)]
     weights = fit(np.array([r[1] for r in rows]), np.array([r[0] for r in rows], float))

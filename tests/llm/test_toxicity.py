@@ -52,6 +52,27 @@ def test_automaton_finds_what_edit_distance_finds():
         assert lexicon.fuzzy(w) == max((weights[t] for t in weights if distance(w, t) <= 1), default=0.0)
 
 
+def test_long_terms_let_two_edits_pass_and_short_ones_none():
+    r = random.Random(9)
+    words = ["".join(r.choice("ab") for _ in range(n)) for n in (3, 4, 8, 9, 10, 11, 12)]
+    lexicon = tx.Lexicon([(t, False, 1.0 + k) for k, t in enumerate(words)])
+    least = {t: 0 if len(t) < tx.FUZZY else 1 if len(t) < tx.LONG else 2 for t in words}
+    for _ in range(3000):
+        w = "".join(r.choice("abc" if r.random() < 0.1 else "ab") for _ in range(r.randrange(2, 15)))
+        near = [1.0 + k for k, t in enumerate(words) if least[t] and distance(w, t) <= least[t]]
+        assert lexicon.fuzzy(w) == max(near, default=0.0)
+    lexicon.automaton.clear()
+    assert lexicon.fuzzy(words[3]) >= 4.0
+
+
+def test_very_long_text(spark):
+    docs, labels = table(spark)
+    long = " ".join(f"w{k}" for k in range(200_000))
+    got = tx.score(docs.union(spark.createDataFrame([(5000, long, "en"), (5001, long + " you scoundrel", "en")], docs.schema)), labels).collect()
+    by = {r.doc_id: r for r in got}
+    assert not by[5000].predicted and by[5001].score > by[5000].score
+
+
 def test_context_windows():
     lexicon = tx.Lexicon([("scoundrel", False, 4.0), ("grub", True, 3.0)])
     assert tx.features("he called you a scoundrel", lexicon)[0] == 0.0 or tx.features("you are a scoundrel", lexicon)[0] == 4.0
@@ -88,7 +109,9 @@ def test_rare_terms_with_evidence_are_learned(spark):
     """6 of 1500 toxic texts hold the word, and no clean one; as many hold another that clean ones hold too."""
     r = random.Random(7)
     text = lambda k, w: cases.prose(r, 12) + (f" {w}" if k < 6 else "")
-    toxic = spark.createDataFrame([(text(k, "grubblan fairword"),) for k in range(1500)], "text string")
-    clean = spark.createDataFrame([(text(k, "fairword"),) for k in range(9000)], "text string")
-    got = tx.learn_terms(toxic, clean, 1500, 9000)
+    toxic = spark.createDataFrame([(text(k, "grubblan fairword"), int(k >= 5)) for k in range(1500)], "text string, fold int")
+    clean = spark.createDataFrame([(text(k, "fairword"), k % 2) for k in range(9000)], "text string, fold int")
+    first, second, *_, got = tx.learn_terms(toxic, clean, [5, 1495, 0, 0], [4500, 4500, 0, 0])
     assert ("grubblan", False) in {t[:2] for t in got} and not any(t.startswith("fair") for t, *_ in got)
+    # five of the six texts are in the first fold, so the others alone don't teach the word
+    assert ("grubblan", False) not in {t[:2] for t in first} and ("grubblan", False) in {t[:2] for t in second}
