@@ -320,11 +320,11 @@ def decks(cards: DataFrame, doc: list[str]) -> DataFrame:
     return out.withColumn("deck_id", F.concat(F.lit("deck_"), F.substring(F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in doc))), 1, 10))).withColumn("mastery_percentage", F.lit(0.0))
 
 
-def telemetry(corrections: DataFrame, cards: DataFrame, doc: list[str]) -> DataFrame:
+def telemetry(corrections: DataFrame, cards: DataFrame, doc: list[str], digits: int = 4) -> DataFrame:
     """accepted_corrections_processed, unconvertible_corrections, duplicate_cards_removed, flashcards_generated, mean_confidence."""
     own = with_defaults(corrections)
     seen = own.groupBy(*doc).agg(F.count(F.lit(1)).alias("accepted_corrections_processed"), F.count_if(~convertible(own)).alias("unconvertible_corrections"))
-    made = cards.groupBy(*doc).agg(F.sum(F.col("n_merged") - 1).alias("__d"), F.count(F.lit(1)).alias("__n"), F.round(F.avg("confidence"), 4).alias("__c"))
+    made = cards.groupBy(*doc).agg(F.sum(F.col("n_merged") - 1).alias("__d"), F.count(F.lit(1)).alias("__n"), F.round(F.avg("confidence"), digits).alias("__c"))
     out = seen.join(made, doc, "left")
     zero = {"duplicate_cards_removed": "__d", "flashcards_generated": "__n"}
     return out.withColumns({k: F.coalesce(v, F.lit(0)).cast("long") for k, v in zero.items()} | {"mean_confidence": F.coalesce("__c", F.lit(0.0))}).drop("__d", "__n", "__c")
@@ -365,5 +365,33 @@ def is_right(answer: Column, expected: Column) -> Column:
     return F.lower(tx.strip(answer)) == F.lower(tx.strip(expected))
 
 
+MODES = ("fill_in_blank", "multiple_choice", "type_answer", "sentence_rewrite")
+
+
+def expected_answer(mode: Column, correct: Column, proposed: Column, corrected_sentence: Column) -> Column:
+    """What a study mode counts as right: the card's answer (the proposed word without one), the proposed word, or the whole sentence."""
+    own = F.when(F.coalesce(correct, F.lit("")) != "", correct).otherwise(proposed)
+    return F.when(mode.isin("fill_in_blank", "multiple_choice"), own).when(mode == "type_answer", proposed).when(mode == "sentence_rewrite", tx.strip(corrected_sentence))
+
+
+def answer_options(options: Column, answer: Column, original: Column) -> Column:
+    """Distinct options of a multiple-choice card; a card with fewer than two gets its answer, what was read, and two common words."""
+    return F.array_distinct(F.when(F.size(options) > 1, options).otherwise(F.array(answer, original, F.lit("however"), F.lit("which"))))
+
+
+def distribution(decks: DataFrame, deck: list[str], counts: str) -> DataFrame:
+    """Rows (deck, name, n) of a map column of counts."""
+    return decks.select(*deck, F.explode(counts).alias("name", "n"))
+
+
+def history_matching(items: DataFrame, search: str = "", kind: str = "all") -> DataFrame:
+    """Items (title, category, has_deck) with a substring in title or category; ``documents`` are those without a deck, ``flashcards`` those with."""
+    out = items
+    if search:
+        s = F.lit(search.lower())
+        out = out.where(F.contains(F.lower("title"), s) | F.contains(F.lower("category"), s))
+    return out.where(~F.col("has_deck")) if kind == "documents" else out.where("has_deck") if kind == "flashcards" else out
+
+
 def shuffled(cards: DataFrame, seed: int) -> DataFrame:
     return cards.orderBy(F.xxhash64(F.lit(seed), "card_id"))

@@ -101,3 +101,52 @@ def learning_curve(steps: DataFrame, user: list[str]) -> DataFrame:
     w = Window.partitionBy(*user).orderBy("step")
     counts = own.select(*user, "step", F.sum(F.col("__c").cast("int")).over(w).alias("corrections_accepted"))
     return counts.join(total(True), [*user, "step"]).join(total(False), [*user, "step"])
+
+
+# Noisy handwriting (id, raw, what the corrected text must hold).
+NOISY_CASES = (
+    ("hw_noise_01_hyphen_split", "The student wrote a hand-\nwritten story about a boy who road a bicycle.", "handwritten"),
+    ("hw_noise_02_missing_space", "The sky is blue.Peeping through the clouds.Ans: Yes, I see it.", "blue. Peeping"),
+    ("hw_noise_03_character_confusion", "The skv is blue with yellov sun and areen grass.", "sky"),
+    ("hw_noise_04_contextual_homophone", "The boy road the bicycle to school. She red the book.", "rode"),
+    ("hw_noise_05_punctuation_restore", "Where do you see the rainbowAns: In the sky", "rainbow?"),
+)
+
+
+def _histogram(rows: DataFrame, column: str) -> DataFrame:
+    """One row with a map of counts; no rows give an empty map."""
+    one = rows.groupBy(column).count()
+    return one.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(column, "count")))).alias(f"{column}_distribution"))
+
+
+def flashcard_report(cases: DataFrame, corrections: DataFrame, cards: DataFrame) -> DataFrame:
+    """One row: test cases, accepted corrections, cards, cards per correction, and counts of cards by category and by style."""
+    n = [x.agg(F.count(F.lit(1)).alias(name)) for x, name in ((cases, "total_test_cases"), (corrections, "total_accepted_corrections"), (cards, "total_flashcards_created"))]
+    out = n[0].crossJoin(n[1]).crossJoin(n[2])  # single rows
+    rate = F.round(F.col("total_flashcards_created") / F.greatest(F.lit(1), F.col("total_accepted_corrections")), 4)
+    out = out.withColumn("conversion_rate", rate)
+    return out.crossJoin(_histogram(cards, "category")).crossJoin(_histogram(cards, "card_style"))
+
+
+def resilience_report(cases: DataFrame) -> DataFrame:
+    """One row from cases (expected, corrected_text, has_deck): recoveries, whose text holds what is expected whatever the case of its
+    letters, decks, and both rates."""
+    n = F.count(F.lit(1))
+    found = F.count_if(F.contains(F.lower("corrected_text"), F.lower("expected")))
+    decks = F.count_if("has_deck")
+    rate = lambda k: F.round(k / F.greatest(F.lit(1), n), 4)
+    return cases.agg(
+        n.alias("total_test_cases"), found.alias("successful_text_recoveries"), rate(found).alias("recovery_success_rate"), decks.alias("successful_deck_generations"), rate(decks).alias("deck_generation_rate")
+    )
+
+
+def pipeline_rates(samples: DataFrame, fix, verify) -> DataFrame:
+    """One row of mean error rates and exact matches of samples (truth, hypotheses: map from model to text): the handwriting
+    model's text, or the first, goes through ``fix`` and ``verify`` (functions from column to column)."""
+    best = F.coalesce(F.col("hypotheses")["trocr"], F.element_at(F.map_values("hypotheses"), 1))
+    own = samples.select("truth", best.alias("text")).select("truth", verify(fix(F.col("text"))).alias("text"))
+    t, g = F.col("text"), F.col("truth")
+    return own.agg(
+        F.count(F.lit(1)).alias("total_benchmark_samples"), F.round(F.avg(sc.cer(t, g)), 4).alias("pipeline_mean_cer"), F.round(F.avg(sc.wer(t, g)), 4).alias("pipeline_mean_wer"),
+        F.round(F.count_if(tx.strip(t) == tx.strip(g)) / F.greatest(F.lit(1), F.count(F.lit(1))), 4).alias("pipeline_sentence_accuracy"),
+    )

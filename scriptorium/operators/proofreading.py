@@ -230,3 +230,29 @@ def decide(accepted: Column, rejected: Column, accept: Column, reject: Column) -
 def accept_confident(suggestions: DataFrame, accepted: DataFrame, keys: tuple[str, ...] = ("doc_id",), least: float = 0.80) -> DataFrame:
     """Accepted ids together with all of ``least`` confidence or more."""
     return suggestions.where(F.col("confidence") >= least).select(*keys, "suggestion_id").union(accepted.select(*keys, "suggestion_id")).distinct()
+
+
+def dirty(text: Column, saved: Column) -> Column:
+    """Whether a text has changed since it was saved."""
+    return ~text.eqNullSafe(saved)
+
+
+def history(actions: DataFrame, keys: list[str], order: str = "ord") -> DataFrame:
+    """State after each action (keys, order, action: push, undo or redo; text of a push): adds place, the position in the history, and
+    current, the text there. A push after undos cuts off what was undone; undo at the first text and redo at the last do nothing.
+
+    Texts begin with the first push at place 0; before it place is -1 and current null. A user's actions are folded in one aggregate: they are
+    one person's session, so their number is bounded by it.
+    """
+    step = F.struct(F.col(order).alias("o"), F.col("action").alias("a"), F.col("text").alias("t"))
+    start = F.expr("named_struct('texts', cast(array() as array<string>), 'at', -1, 'out', cast(array() as array<struct<o: bigint, place: int, current: string>>))")
+
+    def fold(s: Column, x: Column) -> Column:
+        push = x["a"] == "push"
+        texts = F.when(push, F.concat(F.slice(s["texts"], 1, s["at"] + 1), F.array(x["t"]))).otherwise(s["texts"])
+        at = F.when(push, s["at"] + 1).when((x["a"] == "undo") & (s["at"] > 0), s["at"] - 1).when((x["a"] == "redo") & (s["at"] < F.size(s["texts"]) - 1), s["at"] + 1).otherwise(s["at"])
+        done = F.struct(x["o"].cast("long").alias("o"), at.alias("place"), F.get(texts, at).alias("current"))
+        return F.struct(texts.alias("texts"), at.alias("at"), F.concat(s["out"], F.array(done)).alias("out"))
+
+    steps = actions.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    return steps.select(*keys, F.inline(F.aggregate("steps", start, fold, lambda s: s["out"]))).withColumnRenamed("o", order)

@@ -146,3 +146,43 @@ def recognize(crops: DataFrame, recognizer: Callable[[bytes], tuple[str, float]]
             yield f
 
     return crops.mapInPandas(run, schema)
+
+
+def read_scales(base: DataFrame, readings: DataFrame, keys: list[str], keywords: Column | None = None, boosts: Column | None = None, least: float = 0.65, digits: int = 4) -> DataFrame:
+    """Best reading of each crop of ``base`` (keys, text, confidence): keys, selected_text, confidence, selected_scale, multiscale_executed.
+
+    A text of ``least`` confidence or more is taken as it is. For the others the ``readings`` of other scales (keys, place, scale, text,
+    confidence; not ``original``) are fused with it; without any text the base stays.
+    """
+    sure = (F.col("confidence") >= least) & ~tx.blank(F.col("text"))
+    own = base.withColumn("__sure", F.coalesce(sure, F.lit(False)))
+    doubt = own.where("NOT __sure")
+    first = doubt.select(*keys, F.lit(-1).alias("place"), F.lit("original").alias("scale"), "text", "confidence")
+    more = readings.where("scale <> 'original'").join(doubt.select(*keys), keys, "left_semi").select(*first.columns)
+    fused = fuse_scales(first.union(more), keys, keywords, boosts, digits)
+    out = own.join(fused, keys, "left")
+    return out.select(
+        *keys, F.when(F.col("__sure"), F.col("text")).otherwise(F.coalesce("selected_text", "text")).alias("selected_text"),
+        F.when(F.col("__sure"), F.col("confidence")).otherwise(F.coalesce("fused_confidence", "confidence")).alias("confidence"),
+        F.coalesce("selected_scale", F.lit("original")).alias("selected_scale"), (~F.col("__sure")).alias("multiscale_executed"),
+    )
+
+
+def crop_markdown(pages: DataFrame, read: DataFrame, page: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(regions, pages with markdown) from regions that were read one by one (page, region_id, region_type, text, confidence).
+
+    An empty text counts with a confidence of 0.50. A page without regions has one of its full size, a Text of 0.88 without text.
+    """
+    text = tx.strip(F.coalesce("text", F.lit("")))
+    own = read.withColumn("text", text).withColumn("confidence", F.when(F.col("text") == "", 0.50).otherwise(F.col("confidence")))
+    own = own.select(*page, "region_id", "region_type", "text", "confidence")
+    whole = pages.join(own.select(*page).distinct(), page, "left_anti").select(*page, F.lit(1).alias("region_id"), F.lit("Text").alias("region_type"), F.lit("").alias("text"), F.lit(0.88).alias("confidence"))
+    regions = own.union(whole)
+    mark = F.when(F.col("region_type") == "Title", "# ").when(F.col("region_type") == "Section-header", "## ").otherwise("")
+    body = F.array_sort(F.collect_list(F.when(F.col("text") != "", F.struct("region_id", F.concat(mark, F.col("text")).alias("line")))))
+    return regions, regions.groupBy(*page).agg(F.array_join(F.transform(body, lambda x: x["line"]), "\n\n").alias("markdown"))
+
+
+def average_confidence(regions: DataFrame, page: list[str], digits: int = 1) -> DataFrame:
+    """Mean confidence of each page in per cent; nulls count as zero."""
+    return regions.groupBy(*page).agg(F.round(F.avg(F.coalesce("confidence", F.lit(0.0))) * 100, digits).alias("average_confidence"))

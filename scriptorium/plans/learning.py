@@ -109,23 +109,26 @@ def vo_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- cards -----------------------------------------------------------------
 
-#: corrections from the conversations: the first word that the second replaces, with a category and an explanation by place
+#: corrections from the conversations: of each two words of a turn the second replaces the first, with a category and an explanation by place
 CORRECTIONS = f"""w AS (SELECT conv_id, turn, {words_of('text')} AS ws FROM conversations),
-corr AS (SELECT conv_id AS doc_id, turn AS ord, coalesce(ws[1], '') AS original, CASE WHEN turn % 5 = 3 THEN coalesce(ws[1], '') ELSE coalesce(ws[2], '') END AS proposed,
-  CASE turn % 6 WHEN 0 THEN 'Spelling Correction' WHEN 1 THEN 'Missing Word' WHEN 2 THEN 'Punctuation Improvement' WHEN 3 THEN 'Capitalization' WHEN 4 THEN 'Vocabulary Improvement' ELSE 'Grammar Correction' END AS category,
-  CASE turn % 4 WHEN 0 THEN 'Check the verb tense here.' WHEN 1 THEN 'Use an article.' WHEN 2 THEN '' ELSE 'Contextual homophone' END AS explanation, 0.80::DOUBLE + (turn % 3) / 20.0::DOUBLE AS confidence FROM w)"""
+p AS (SELECT *, unnest(range(0, greatest(1, (len(ws) + 1) // 2))) AS k FROM w),
+corr AS (SELECT conv_id AS doc_id, turn * 1000 + k AS ord, coalesce(ws[2 * k + 1], '') AS original, CASE WHEN (turn + k) % 5 = 3 THEN coalesce(ws[2 * k + 1], '') ELSE coalesce(ws[2 * k + 2], '') END AS proposed,
+  CASE (turn + k) % 6 WHEN 0 THEN 'Spelling Correction' WHEN 1 THEN 'Missing Word' WHEN 2 THEN 'Punctuation Improvement' WHEN 3 THEN 'Capitalization' WHEN 4 THEN 'Vocabulary Improvement' ELSE 'Grammar Correction' END AS category,
+  CASE (turn + k) % 4 WHEN 0 THEN 'Check the verb tense here.' WHEN 1 THEN 'Use an article.' WHEN 2 THEN '' ELSE 'Contextual homophone' END AS explanation, 0.80::DOUBLE + ((turn + k) % 3) / 20.0::DOUBLE AS confidence FROM p)"""
 
 
 def corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ws = tx.tokens(F.col("text"))
-    first, second = F.coalesce(F.get(ws, F.lit(0)), F.lit("")), F.coalesce(F.get(ws, F.lit(1)), F.lit(""))
     kinds = ("Spelling Correction", "Missing Word", "Punctuation Improvement", "Capitalization", "Vocabulary Improvement", "Grammar Correction")
     notes = ("Check the verb tense here.", "Use an article.", "", "Contextual homophone")
-    turn = F.col("turn")
-    return table(spark, sf_dir, "conversations").select(
-        F.col("conv_id").alias("doc_id"), turn.alias("ord"), first.alias("original"), F.when(turn % 5 == 3, first).otherwise(second).alias("proposed"),
-        F.element_at(F.array(*(F.lit(k) for k in kinds)), (turn % 6 + 1).cast("int")).alias("category"), F.element_at(F.array(*(F.lit(k) for k in notes)), (turn % 4 + 1).cast("int")).alias("explanation"),
-        (0.80 + (turn % 3) / 20.0).alias("confidence"),
+    own = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce(tx.tokens(F.col("text")), F.array().cast("array<string>")).alias("ws"))
+    last = F.greatest(F.lit(0), F.floor((F.size("ws") + 1) / 2).cast("int") - 1)
+    own = own.select("*", F.explode(F.sequence(F.lit(0), last)).alias("k"))
+    first, second = (F.coalesce(F.get("ws", 2 * F.col("k") + i), F.lit("")) for i in (0, 1))
+    place = F.col("turn") + F.col("k")
+    return own.select(
+        F.col("conv_id").alias("doc_id"), (F.col("turn") * 1000 + F.col("k")).cast("long").alias("ord"), first.alias("original"), F.when(place % 5 == 3, first).otherwise(second).alias("proposed"),
+        F.element_at(F.array(*(F.lit(k) for k in kinds)), (place % 6 + 1).cast("int")).alias("category"), F.element_at(F.array(*(F.lit(k) for k in notes)), (place % 4 + 1).cast("int")).alias("explanation"),
+        (0.80 + (place % 3) / 20.0).alias("confidence"),
     )
 
 
@@ -153,8 +156,8 @@ _STYLE = f"""CASE WHEN regexp_matches(lower(category), 'spelling|typo') OR conta
   WHEN regexp_matches(lower(category), 'punctuation|comma|period') THEN 'punctuation_practice' WHEN contains(lower(category), 'capital') OR lower(original) = lower(proposed) THEN 'capitalization_rule'
   WHEN regexp_matches(lower(category), 'vocab|style') OR contains(lower(explanation), 'word choice') THEN 'vocabulary' WHEN contains(lower(category), 'structur') OR {_N('original')} > 3 THEN 'sentence_reconstruction' ELSE 'grammar_explanation' END"""
 _LEVEL = """CASE WHEN card_style IN ('spelling', 'capitalization_rule') THEN CASE WHEN length(original) <= 6 AND abs(length(original) - length(proposed)) <= 1 THEN 'Easy' ELSE 'Medium' END
-  WHEN card_style IN ('fill_in_blank', 'punctuation_practice') THEN CASE WHEN ord + 4 <= 8 THEN 'Easy' ELSE 'Medium' END WHEN card_style = 'vocabulary' THEN CASE WHEN length(proposed) >= 9 THEN 'Hard' ELSE 'Medium' END
-  WHEN card_style = 'sentence_reconstruction' THEN CASE WHEN ord + 4 > 12 THEN 'Hard' ELSE 'Medium' END WHEN regexp_matches(lower(explanation), 'subj|tense|clause') THEN 'Medium' WHEN ord + 4 > 15 THEN 'Hard' ELSE 'Easy' END"""
+  WHEN card_style IN ('fill_in_blank', 'punctuation_practice') THEN CASE WHEN ord % 20 + 4 <= 8 THEN 'Easy' ELSE 'Medium' END WHEN card_style = 'vocabulary' THEN CASE WHEN length(proposed) >= 9 THEN 'Hard' ELSE 'Medium' END
+  WHEN card_style = 'sentence_reconstruction' THEN CASE WHEN ord % 20 + 4 > 12 THEN 'Hard' ELSE 'Medium' END WHEN regexp_matches(lower(explanation), 'subj|tense|clause') THEN 'Medium' WHEN ord % 20 + 4 > 15 THEN 'Hard' ELSE 'Easy' END"""
 _TAGS = """list_sort(list_distinct(list_filter([card_category, CASE WHEN regexp_matches(lower(explanation), 'verb|tense') THEN 'Verb Tense' END, CASE WHEN regexp_matches(lower(explanation), 'subject|agreement') THEN 'Subject-Verb Agreement' END,
   CASE WHEN contains(lower(explanation), 'article') OR lower(original) IN ('a', 'an', 'the') THEN 'Articles' END, CASE WHEN contains(lower(explanation), 'prep') OR lower(original) IN ('in', 'on', 'at', 'to', 'for', 'with', 'by', 'from') THEN 'Prepositions' END,
   CASE WHEN card_style = 'vocabulary' OR length(proposed) >= 8 THEN 'Academic Vocabulary' END, CASE WHEN contains(lower(explanation), 'ocr') THEN 'OCR Recovery' END, CASE WHEN card_style = 'sentence_reconstruction' THEN 'Sentence Structure' END], lambda x: x IS NOT NULL)))"""
@@ -165,13 +168,13 @@ carded AS (SELECT *, {_LEVEL} AS difficulty, array_to_string({_TAGS}, ', ') AS t
 
 
 def styled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Convertible corrections with style, difficulty and tags; a correction at place k has k + 4 words of context."""
+    """Convertible corrections with style, difficulty and tags; a correction at place k has k mod 20 + 4 words of context."""
     own = dk.with_defaults(corrections(spark, sf_dir))
     own = own.where(dk.convertible(own))
     o, p, e = F.col("original"), F.col("proposed"), F.col("explanation")
     style, category = dk.resolved_style(F.col("category"), o, p, e)
     own = own.withColumns({"card_style": style, "card_category": category})
-    sentence = F.repeat(F.lit("word "), (F.col("ord") + 4).cast("int"))
+    sentence = F.repeat(F.lit("word "), (F.col("ord") % 20 + 4).cast("int"))
     s = F.col("card_style")
     return own.withColumns({"difficulty": dk.difficulty(s, o, p, sentence, e), "tags": dk.tags(F.col("card_category"), s, o, p, e)})
 
@@ -184,10 +187,10 @@ def dk_style(spark: SparkSession, sf_dir: str) -> DataFrame:
 _CONCEPT = "lower(category) || ':' || lower(original) || '->' || lower(proposed)"
 
 
-@query(f"WITH {STYLED} SELECT {_CONCEPT} AS concept, arg_min(original, doc_id * 1000 + ord) AS original, count(*) AS n_merged FROM carded GROUP BY {_CONCEPT}")
+@query(f"WITH {STYLED} SELECT {_CONCEPT} AS concept, arg_min(original, doc_id * 1000000 + ord) AS original, count(*) AS n_merged FROM carded GROUP BY {_CONCEPT}")
 def dk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concepts over all conversations as one document."""
-    own = styled(spark, sf_dir).withColumns({"ord": F.col("doc_id") * 1000 + F.col("ord"), "corrected_sentence": F.lit(""), "all_docs": F.lit(0)}).drop("doc_id")
+    own = styled(spark, sf_dir).withColumns({"ord": F.col("doc_id") * 1000000 + F.col("ord"), "corrected_sentence": F.lit(""), "all_docs": F.lit(0)}).drop("doc_id")
     return dk.merged_concepts(own, ["all_docs"]).select("concept", "original", F.col("n_merged").cast("long"))
 
 
@@ -203,13 +206,13 @@ def dk_deck(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {STYLED}, m AS (SELECT doc_id, {_CONCEPT} AS concept, count(*) AS n, arg_min(confidence, ord) AS confidence FROM carded GROUP BY ALL), a AS (SELECT doc_id, count(*) AS p, count(*) FILTER (original = '' OR proposed = '' OR original = proposed) AS u FROM corr GROUP BY doc_id)
-SELECT a.doc_id, max(p) AS accepted_corrections_processed, max(u) AS unconvertible_corrections, coalesce(sum(n - 1), 0)::BIGINT AS duplicate_cards_removed, count(concept) AS flashcards_generated, round(coalesce(avg(confidence), 0), 3)::DOUBLE AS mean_confidence
+SELECT a.doc_id, max(p) AS accepted_corrections_processed, max(u) AS unconvertible_corrections, coalesce(sum(n - 1), 0)::BIGINT AS duplicate_cards_removed, count(concept) AS flashcards_generated, round(coalesce(avg(confidence), 0), 7)::DOUBLE AS mean_confidence
 FROM a LEFT JOIN m USING (doc_id) GROUP BY a.doc_id"""
 )
 def dk_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = corrections(spark, sf_dir)
     made = dk.merged_concepts(own.withColumn("corrected_sentence", F.lit("")), ["doc_id"])
-    return dk.telemetry(own, made, ["doc_id"]).withColumn("mean_confidence", F.round("mean_confidence", 3))
+    return dk.telemetry(own, made, ["doc_id"], digits=7)
 
 
 @query(

@@ -39,10 +39,9 @@ def tx_collapse_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus(spark, sf_dir).select("doc_id", tx.collapse_runs(F.col("text")).alias("collapsed"), F.regexp_count("text", F.lit("[.]{2,}|[?]{2,}|!{2,}|,{2,}")).alias("n_runs"))
 
 
-@query(f"WITH {CORPUS} SELECT doc_id, len(regexp_extract_all(text, '{_NS}')) AS spacing_fixes, length(regexp_replace(text, '{_NS}', '\\1 \\2', 'g')) AS new_length FROM corpus WHERE regexp_matches(text, '{_NS}')")
+@query(f"WITH {CORPUS} SELECT doc_id, len(regexp_extract_all(text, '{_NS}')) AS spacing_fixes, length(regexp_replace(text, '{_NS}', '\\1 \\2', 'g')) AS new_length FROM corpus")
 def tx_missing_space(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = corpus(spark, sf_dir).where(F.col("text").rlike(_NS))
-    return own.select("doc_id", F.regexp_count("text", F.lit(_NS)).alias("spacing_fixes"), F.length(tx.spaced(F.col("text"))).alias("new_length"))
+    return corpus(spark, sf_dir).select("doc_id", F.regexp_count("text", F.lit(_NS)).alias("spacing_fixes"), F.length(tx.spaced(F.col("text"))).alias("new_length"))
 
 
 def _handwriting(expr: str) -> str:
@@ -182,7 +181,11 @@ def rc_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
 _RULES = ", ".join(
     f"({k}, {quoted(('' if c == 'Capitalization' else '(?i)') + p)}, {quoted(to.replace('$', chr(92)))}, {quoted(c)}, {conf}::DOUBLE)" for k, (p, to, c, conf) in enumerate(lx.LINE_RULES)
 )
-_CONTRACTIONS = ", ".join(f"({k}, {quoted('(?i)' + p)}, {quoted(to)}, 'Punctuation Correction', 0.94::DOUBLE)" for k, (p, to) in enumerate(lx.CONTRACTIONS) if "(?=" not in p)
+_CONTRACTIONS = ", ".join(f"({k}, {quoted('(?i)' + p.partition('(?=')[0])}, {quoted(to)}, 'Punctuation Correction', 0.94::DOUBLE)" for k, (p, to) in enumerate(lx.CONTRACTIONS))
+#: look-ahead as a condition on the text after a match
+_AHEAD = "CASE rule " + " ".join(
+    f"WHEN {k} THEN regexp_matches(array_to_string(pieces[k + 2:], ''), {quoted('(?i)^' + p.partition('(?=')[2].removesuffix(')'))})" for k, (p, _) in enumerate(lx.CONTRACTIONS) if "(?=" in p
+) + " ELSE true END"
 
 
 _WORD = "'[\\p{L}\\p{N}_]'"
@@ -216,13 +219,11 @@ def pr_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_suggestions(spark, sf_dir)
 
 
-@query(f"WITH {LINES}, {_matched(_CONTRACTIONS, '#|[|]|===', _ALONE)} SELECT {_FIELDS} FROM firsts")
+@query(f"WITH {LINES}, {_matched(_CONTRACTIONS, '#|[|]|===', f'{_ALONE} AND {_AHEAD}')} SELECT {_FIELDS} FROM firsts")
 def pr_contractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.col("body")
     own = pr.lines_of(corpus(spark, sf_dir), "text", ["doc_id"]).where(~tx.blank(body) & ~body.startswith("#") & ~body.startswith("|") & ~body.startswith("==="))
-    ahead = [k for k, (p, _) in enumerate(lx.CONTRACTIONS) if "(?=" in p]
-    found = pr.contractions(own, ["doc_id"]).where(~F.col("rule").isin(ahead))
-    return pr.first_per_start(found, ["doc_id"]).select(*COLUMNS)
+    return pr.first_per_start(pr.contractions(own, ["doc_id"]), ["doc_id"]).select(*COLUMNS)
 
 
 _METRICS = """SELECT doc_id, count(*) FILTER (category = 'Spelling Correction') AS spelling_errors, count(*) FILTER (category IN ('Grammar Correction', 'Sentence Structure')) AS grammar_errors,
