@@ -12,12 +12,14 @@ out like any other.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,14 +41,27 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+# How a vocabulary splits texts that may be encoded word by word (normalizers, and the pattern whose matches are kept).
+BY_WORD = (["NFC", "Replace", "Lowercase"], "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+")
+
+
+def splits_at_spaces(path: str) -> bool:
+    """Whether a tokenizer file lower-cases, and drops white space between the pieces of BY_WORD: then no token spans two words."""
+    spec = json.loads(Path(path).read_text("utf-8"))
+    normal, parts = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    kinds = [n["type"] for n in normal.get("normalizers", [])]
+    return kinds == BY_WORD[0] and parts[0].get("pattern") == {"Regex": BY_WORD[1]} and parts[0].get("behavior") == "Removed" and parts[0].get("invert") is True
+
+
 class WordTokens:
-    """Ids of a text, word by word: this vocabulary never joins characters across white space."""
+    """Ids of a text: word by word where the vocabulary never joins characters across white space, else as a whole."""
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
+        self.by_word = splits_at_spaces(path)
 
     def learn(self, words: set[bytes]) -> None:
         known = self.known
@@ -61,6 +76,10 @@ class WordTokens:
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
+        if not self.by_word:
+            for t in texts:
+                yield np.array(self.tokenizer.encode(t.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+            return
         for at in range(0, len(texts), 200):
             # the tokenizer lower-cases too, but finds its special strings before that; a letter and the marks that
             # end its word are always tokens apart, so words are known without their marks

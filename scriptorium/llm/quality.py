@@ -160,7 +160,11 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def keep(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that :func:`judge` keeps; each row is judged by its own text."""
+    """The rows of ``docs``, with all their columns, that :func:`judge` keeps; each row is judged by its own text.
+
+    Null and blank texts fail the base and go; repeated rows stay or go each; an empty table gives no rows; columns of
+    any name are carried along.
+    """
     rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

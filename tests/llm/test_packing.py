@@ -50,6 +50,17 @@ def test_special_strings_and_marks():
     assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_other_vocabularies_encode_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, own = Tokenizer.from_file(path), packing.WordTokens(path)
+    texts = ["A <|endoftext|> b", "it's, don't!! stop...now  two\n\nlines", " lead", "", "ÉCOLE"]
+    assert not own.by_word and packing.WordTokens(packing.default_tokenizer()).by_word
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.ids([t.encode() for t in texts])] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), max_size=12))
 def test_plan_covers_each_piece_once(counts):

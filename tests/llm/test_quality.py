@@ -53,5 +53,31 @@ def test_estimates_follow_agreement():
     assert len(quality.estimate(np.zeros(0, int), np.zeros(0))[0]) == 0
 
 
+def test_a_noisy_rule_is_outvoted():
+    """Two rules know junk well, a third calls every fourth good document bad: all-must-pass would lose those, the posterior keeps them."""
+    def pattern(**bad):
+        return sum((0 if rule in bad else 2) * 3**k for k, rule in enumerate(quality.RULES))
+
+    good, noisy, junk = pattern(), pattern(capitals=1), pattern(symbols=1, repeats=1)
+    noisy_junk = pattern(symbols=1, repeats=1, capitals=1)
+    p, accuracy = quality.estimate(np.array([good, noisy, junk, noisy_junk]), np.array([6000.0, 2000.0, 900.0, 300.0]), trust=0.0)
+    assert p[0] > 0.9 and p[1] > 0.5 and p[2] < 0.5 and p[3] < 0.5
+    assert accuracy[quality.RULES.index("capitals")] < min(accuracy[quality.RULES.index(r)] for r in ("symbols", "repeats"))
+
+
+def test_the_start_reads_a_single_bad_vote_as_junk():
+    """Kinds of junk that only one rule sees each stay junk, as the docstring says, though a majority start would call them good."""
+    rows = [sum((0 if j == k else 2) * 3**j for j in range(8)) for k in range(8)]
+    p, _ = quality.estimate(np.array([sum(2 * 3**j for j in range(8)), *rows]), np.array([9000.0] + [60.0] * 8))
+    assert p[0] >= 0.5 and (p[1:] < 0.5).all()  # the verdicts: a good document has nothing that only good ones have
+
+
+def test_very_long_and_clashing(spark):
+    docs = spark.createDataFrame([(1, "word " * 300_000, "x"), (2, " ".join(f"w{k}." if k % 9 == 0 else f"w{k}" for k in range(200_000)), "y"), (None, None, "z")], "doc_id long, text string, n_words string")
+    got = {r.doc_id: r for r in quality.judge(docs).collect()}
+    assert got[1].base_failed and got[2].n_words == 200_000 and not got[2].base_failed and got[None].n_words == 0
+    assert quality.keep(docs).columns == docs.columns
+
+
 def test_empty(spark):
     assert quality.judge(cases.empty(spark)).count() == 0 and quality.keep(cases.empty(spark)).count() == 0
