@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from scriptorium.llm import common, decontaminate, line_dedup, packing, quality, simhash
 
 
+NEAR_WORDS = 5
+
+
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
     """``docs`` with the columns of ``like``; n_chars follows the text."""
     if "n_chars" in like.columns:
@@ -20,26 +23,30 @@ def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go."""
+    """Documents that the rules reject go, with null, empty and short texts; repeated rows share their fate. An empty table stays empty."""
     return quality.keep(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an aligned block of an earlier document go."""
+    """Lines that repeat a block of an earlier document go; no document goes, though one may be left empty (a copy is). Null texts
+    stay null, an empty table empty."""
     return _columns(line_dedup.deduplicate(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id."""
-    return simhash.one_of_each(docs)
+    """One document of each group stays, that with the smallest doc_id; of null and blank texts, and of repeated rows, one. Shingles
+    have NEAR_WORDS words. An empty table stays empty."""
+    return simhash.one_of_each(docs, shingle=NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain a benchmark item go."""
+    """Documents that contain a benchmark item go; null and blank texts contain none. An empty table, or benchmark, takes none away."""
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents at their places in sequences; null and empty texts are one token, repeated rows are packed each, an
+    empty table gives no pieces."""
     return packing.pack(docs)
 
 
