@@ -37,11 +37,14 @@ FIT_ROWS = 50_000  # labelled rows in the logistic fit
 FUZZY = 5  # letters of a term that misspellings are looked up for
 LONG = 9  # letters of a term from which two edits are let pass
 STATES = 100_000  # of an automaton, before it starts afresh
+PREFIX = 4  # letters whose state is kept, so that a word that dies in them costs one look-up
+SEEN = 1_000_000  # words that a lexicon remembers
 WINDOW = 3
 LIKE = ((3, 0), (4, 1))  # features of misspelled hits, and of plain ones
 QUOTES = "\"“”„«»‘’"
 #: words of reporting that mark a quotation
 REPORTING = ("said", "says", "quote", "quoted", "wrote", "called", "dit", "dijo", "sagte")
+_QUOTES, _REPORTING = frozenset(QUOTES), frozenset(REPORTING)
 _TOKEN = re.compile(r"[^\W_]+(?:[*@$!0-9'-]+[^\W_]+)*|[" + QUOTES + "]")
 _LEET = str.maketrans("013457@$!", "oleastasi")
 
@@ -84,6 +87,7 @@ class Automaton:
         self.states: list[tuple] = []
         self.steps: list[dict[str, int]] = []
         self.weights: list[float] = []
+        self.jumps: dict[str, int] = {}
         self.start = self.number({0: 0})
 
     def number(self, least: dict[int, int]) -> int:
@@ -121,45 +125,62 @@ class Automaton:
         out = self.steps[state][c] = self.number(least)
         return out
 
-    def weight(self, word: str) -> float:
-        """Largest weight of a term that the word misspells; 0 without."""
-        if len(self.states) > STATES:
-            self.clear()
-        state, steps = self.start, self.steps
-        for c in word:
+    def walk(self, state: int, letters: str) -> int:
+        steps = self.steps
+        for c in letters:
             if state < 0:
-                return 0.0
+                return state
             to = steps[state].get(c)
             state = self.step(state, c) if to is None else to
+        return state
+
+    def weight(self, word: str) -> float:
+        """Largest weight of a term that the word misspells; 0 without."""
+        begin = word[:PREFIX]
+        state = self.jumps.get(begin)
+        if state is None:
+            if len(self.states) > STATES or len(self.jumps) > 4 * STATES:
+                self.clear()
+            state = self.jumps[begin] = self.walk(self.start, begin)
+        if state >= 0 and len(word) > PREFIX:
+            state = self.walk(state, word[PREFIX:])
         return self.weights[state] if state >= 0 else 0.0
 
 
 class Lexicon:
-    """A trie of terms ({"$": (weight, is_stem, weight as a whole word)} at their ends) with exact, stem and fuzzy look-up."""
+    """Terms with exact and stem look-up, and their trie ({"$": (weight, is_stem, weight as a whole word)} at their ends) for misspellings."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]]):
+    def __init__(self, terms: list[tuple[str, bool, float]], remember: int = SEEN):
         self.root: dict = {}
         self.seen: set[str] = set()
+        self.remember = remember
         self.hot: dict[str, tuple[float, int]] = {}
+        self.whole: dict[str, float] = {}
+        self.stems: dict[str, float] = {}
         for term, stem, weight in terms:
             node = self.root
             for c in term:
                 node = node.setdefault(c, {})
             old = node.get("$", (weight, False, 0.0))
             node["$"] = max(weight, old[0]), stem or old[1], old[2] if stem else max(weight, old[2])
+            self.whole[term] = node["$"][0]
+            if stem:
+                self.stems[term] = node["$"][0]
+        for term in self.stems:
+            self.stems[term] = self.whole[term]
+        self.stem_lengths = sorted({len(t) for t in self.stems}, reverse=True)
         self.automaton = Automaton(self.root)
 
     def exact(self, word: str) -> float:
         """Weight of the word, or of the longest stem that it begins with; 0 if neither."""
-        node, best = self.root, 0.0
-        for k, c in enumerate(word):
-            node = node.get(c)
-            if node is None:
-                return best
-            end = node.get("$")
-            if end and (end[1] or k == len(word) - 1):
-                best = end[0]
-        return best
+        own = self.whole.get(word)
+        if own is not None:
+            return own
+        for k in self.stem_lengths:
+            own = self.stems.get(word[:k])
+            if own is not None:
+                return own
+        return 0.0
 
     def fuzzy(self, word: str) -> float:
         """Largest weight of a whole term (FUZZY letters or more) at Levenshtein distance 1 at most (2 from LONG letters on)."""
@@ -168,7 +189,7 @@ class Lexicon:
     def learn(self, words: set[str]) -> None:
         """Weighs the words that are new; ``hot`` keeps those with a weight as (weight, distance)."""
         fresh = words - self.seen
-        if len(self.seen) + len(fresh) > 400_000:
+        if len(self.seen) + len(fresh) > self.remember:
             self.seen.clear()
             self.hot.clear()
             fresh = words
@@ -190,17 +211,17 @@ def features(text: str, lexicon: Lexicon) -> tuple[float, ...]:
     lexicon.learn(words)
     if lexicon.hot.keys().isdisjoint(words):
         return (0.0,) * 7
-    quotes = [k for k, t in enumerate(found) if len(t) == 1 and t in QUOTES]
+    hot = lexicon.hot
+    hits = [(k, hot[t]) for k, t in enumerate(found) if t in hot]
+    quotes = [k for k, t in enumerate(found) if t in _QUOTES]
     out = [0.0] * 7
-    for k, t in enumerate(found):
-        if t in lexicon.hot:
-            w, distance = lexicon.hot[t]
-            before = bisect_left(quotes, k)
-            inside = before % 2 == 1 and before < len(quotes)
-            around = found[max(0, k - WINDOW) : k + WINDOW + 1]
-            kind = 5 if inside or any(x in REPORTING for x in around) else 3 if distance else 0
-            out[kind] = max(out[kind], w)
-            out[kind + 1] += 1
+    for k, (w, distance) in hits:
+        before = bisect_left(quotes, k)
+        inside = before % 2 == 1 and before < len(quotes)
+        around = found[max(0, k - WINDOW) : k + WINDOW + 1]
+        kind = 5 if inside or not _REPORTING.isdisjoint(around) else 3 if distance else 0
+        out[kind] = max(out[kind], w)
+        out[kind + 1] += 1
     share = 100 * out[1] / max(1, len(found) - len(quotes))
     return out[0], np.log1p(out[1]), np.log1p(share), out[3], np.log1p(out[4]), out[5], np.log1p(out[6])
 
@@ -327,13 +348,13 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> n
 _lexicons: dict[int, Lexicon] = {}
 
 
-def _lexicon(terms: Terms) -> Lexicon:
+def _lexicon(terms: Terms, remember: int = SEEN // (2 * FOLDS)) -> Lexicon:
     """Kept by a worker for its next tasks."""
     key = hash(tuple(terms))
     if key not in _lexicons:
         while len(_lexicons) > FOLDS:
             _lexicons.pop(next(iter(_lexicons)))
-        _lexicons[key] = Lexicon(terms)
+        _lexicons[key] = Lexicon(terms, remember)
     return _lexicons[key]
 
 
@@ -346,7 +367,9 @@ def _features(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBat
 
 
 def _score(batches: Iterator[pa.RecordBatch], model, weights: np.ndarray, threshold: float) -> Iterator[pa.RecordBatch]:
-    lexicon = _lexicon(model.value[FOLDS])
+    for key in [k for k in _lexicons if k != hash(tuple(model.value[FOLDS]))]:  # those of the folds are done with
+        del _lexicons[key]
+    lexicon = _lexicon(model.value[FOLDS], SEEN)
     for b in batches:
         x = np.array([features(t or "", lexicon) for t in b.column("text").to_pylist()]).reshape(-1, 7)
         p = 1 / (1 + np.exp(-np.clip(x @ weights[:-1] + weights[-1], -30, 30)))
