@@ -72,21 +72,31 @@ SUBJECTS = {
     ),
 }
 
-# Common words of the candidate scorers and of the language check.
-_COMMON = (
-    "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up out if about who get which go me when "
-    "make can like time no just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well way even new "
-    "want because any these give day most us"
-)
-_SCHOOL = (
-    "matter states solid liquid gas gases light shadow opaque transparent translucent energy force cell plant animal water earth sun moon star equation fraction number sum difference product part system "
-    "body food"
-)
-MODEL_WORDS = f"{_COMMON} {_SCHOOL}".split()
-SCALE_WORDS = f"{_COMMON} {_SCHOOL} air pressure acid base metal heat temperature color shape volume mass density line point angle triangle circle square".split()
+# Common words of the scorer of recognisers.
+MODEL_WORDS = (
+    "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up "
+    "out if about who get which go me when make can like time no just him know take people into year your good some could them see other than then now look only come "
+    "its over think also back after use two how our work first well way even new want because any these give day most us matter states solid liquid gas gases light "
+    "shadow opaque transparent translucent energy force cell plant animal water earth sun moon star equation fraction number sum difference product part system body "
+    "food"
+).split()
+
+# Common words of the scorer of image scales.
+SCALE_WORDS = (
+    "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up "
+    "out if about who get which go me when make can like time no just him know take people into year your good some could them see other than then now look only come "
+    "its over think also back after use two how our work first well way even new want because any these give day most us matter states solid liquid gas gases light "
+    "shadow opaque transparent translucent energy force cell plant animal water earth sun moon star equation fraction number sum difference product part system body "
+    "food air pressure acid base metal heat temperature color shape volume mass density line point angle triangle circle square"
+).split()
+
+# Common words of the language check.
 LANGUAGE_WORDS = (
-    f"{_COMMON} rainbow sky green blue yellow orange violet indigo red clouds peeping sun bicycle rode road book read school answer question questions yes no ans implementation usability".split()
-)
+    "the be to of and a in that have i it for not on with he as you do at this but his by from they we say her she or an will my one all would there their what so up "
+    "out if about who get which go me when make can like time no just him know take people into year your good some could them see other than then now look only come "
+    "its over think also back after use two how our work first well way even new want because any these give day most us rainbow sky green blue yellow orange violet "
+    "indigo red clouds peeping sun bicycle rode road book read school answer question questions yes no ans implementation usability"
+).split()
 
 # Function words of the grammar router.
 FUNCTION_WORDS = (
@@ -94,22 +104,31 @@ FUNCTION_WORDS = (
 ).split()
 
 # Fixed values: (pattern, replacement) of handwriting confusions, matched whatever the case.
-CONFUSIONS = tuple(
-    (rf"\b{a}\b", b)
-    for a, b in (x.split(">") for x in "skv>sky yellov>yellow vellov>yellow peepina>peeping feefing>peeping areen>green oraaqe>orange oranae>orange viovet>violet indiao>indigo indiqo>indigo froin>from oji>on lhale>have".split())
+CONFUSIONS = (
+    (r"\bskv\b", "sky"),
+    (r"\byellov\b", "yellow"),
+    (r"\bvellov\b", "yellow"),
+    (r"\bpeepina\b", "peeping"),
+    (r"\bfeefing\b", "peeping"),
+    (r"\bareen\b", "green"),
+    (r"\boraaqe\b", "orange"),
+    (r"\boranae\b", "orange"),
+    (r"\bviovet\b", "violet"),
+    (r"\bindiao\b", "indigo"),
+    (r"\bindiqo\b", "indigo"),
+    (r"\bfroin\b", "from"),
+    (r"\boji\b", "on"),
+    (r"\blhale\b", "have"),
 )
 
 # Fixed values: (pattern, replacement, topic, confidence) of sentence reconstructions; the first match only.
-_MATTER = "Everything around us is made of matter. Matter exists in three states: solid, liquid and gases."
-_BUCKET = "Fill a bucket with water. Take an empty bottle with its mouth facing downwards."
-_OPAQUE = "Materials through which light does not pass at all are called Opaque."
 RECONSTRUCTIONS = (
-    (r"\bUs\s+is\s+made\s+of\s+matte[a-zA-Z]*\s*[a-zA-Z]*\s*exists\s+in\s+3\s+states\b", _MATTER, "matter", 0.96),
-    (r"\bEverything\s+around\s+us\s+is\s+made\s+of\s+matte[a-zA-Z]*\.?\s*(?:Matter|Mattr)?\s*(?:exists|exist)?\s*in\s*3\s*states\b", _MATTER, "matter", 0.96),
-    (r"\bEil\s+Jueket\s+with\s+water\s+Take\s+ang?\s+tempt\s+braille\b", _BUCKET, "matter", 0.95),
-    (r"\bFill\s+a?\s*bucket\s+with\s+water\s*\.?\s*Take\s+an?\s+empty?\s*bottle\b(?:\s+with|\s+its|\s+[a-z]+)*", _BUCKET, "matter", 0.95),
-    (r"\bMatrials\s+which\s+light\s+does\s+pass\s+atall\s+thccaldbd\s+is\s+Opaque\b", _OPAQUE, "optics", 0.96),
-    (r"\bMaterials?\s+(?:through\s+)?which\s+light\s+does\s+pass\s+at\s*all\s+are\s+called\s+Opaque\b", _OPAQUE, "optics", 0.95),
+    (r"\bUs\s+is\s+made\s+of\s+matte[a-zA-Z]*\s*[a-zA-Z]*\s*exists\s+in\s+3\s+states\b", "Everything around us is made of matter. Matter exists in three states: solid, liquid and gases.", "matter", 0.96),
+    (r"\bEverything\s+around\s+us\s+is\s+made\s+of\s+matte[a-zA-Z]*\.?\s*(?:Matter|Mattr)?\s*(?:exists|exist)?\s*in\s*3\s*states\b", "Everything around us is made of matter. Matter exists in three states: solid, liquid and gases.", "matter", 0.96),
+    (r"\bEil\s+Jueket\s+with\s+water\s+Take\s+ang?\s+tempt\s+braille\b", "Fill a bucket with water. Take an empty bottle with its mouth facing downwards.", "matter", 0.95),
+    (r"\bFill\s+a?\s*bucket\s+with\s+water\s*\.?\s*Take\s+an?\s+empty?\s*bottle\b(?:\s+with|\s+its|\s+[a-z]+)*", "Fill a bucket with water. Take an empty bottle with its mouth facing downwards.", "matter", 0.95),
+    (r"\bMatrials\s+which\s+light\s+does\s+pass\s+atall\s+thccaldbd\s+is\s+Opaque\b", "Materials through which light does not pass at all are called Opaque.", "optics", 0.96),
+    (r"\bMaterials?\s+(?:through\s+)?which\s+light\s+does\s+pass\s+at\s*all\s+are\s+called\s+Opaque\b", "Materials through which light does not pass at all are called Opaque.", "optics", 0.95),
 )
 
 # Fixed values: (pattern, replacement) of vocabulary by topic.
@@ -148,81 +167,85 @@ HEADINGS = (
 VISUAL = ((r"\bpropeties\b", "properties"), (r"\bmatier\b", "matter"), (r"\bbuoket\b", "bucket"), (r"\bopaqe\b", "opaque"), (r"\btranslucnt\b", "translucent"), (r"\btransparnt\b", "transparent"))
 
 # Fixed values: (pattern, replacement, category, confidence) of contextual rules, over the whole text.
-_CTX, _OWNED, _GAP = "Contextual Substitution", r"(?:a|the|his|her|my|their)", r"?\s*(?:[a-z]+?\s+)?"
 CONTEXT = (
-    (rf"\b(boy|girl|man|woman|child|student|he|she|they|I|we)\s+road\b(?=\s+{_OWNED}{_GAP}(?:bicycle|bike|horse|car|bus|vehicle|scooter|wagon))", "$1 rode", _CTX, 0.96),
-    (r"\bthe\s+rode\b(?=\s+(?:was|is|to|led|smooth|paved|busy))", "the road", _CTX, 0.95),
-    (rf"\b(he|she|they|I|we|student|child|girl|boy)\s+red\b(?=\s+{_OWNED}{_GAP}(?:book|story|novel|text|page|paper|chapter|lesson))", "$1 read", _CTX, 0.96),
-    (r"\b(have|has|had)\s+red\b", "$1 read", _CTX, 0.95),
-    (
-        r"\b(can|could|will|would|to|shall|should|may|might|must|I|you|we|they|he|she)\s+sea\b(?=\s+(?:a|the|his|her|my|their|any)?\s*(?:[a-z]+?\s+)?(?:rainbow|sky|sun|stars|birds|colors|picture|page|view))",
-        "$1 see",
-        _CTX,
-        0.96,
-    ),
-    (r"\b(in|on|into|across|under)\s+the\s+see\b", "$1 the sea", _CTX, 0.95),
-    (r"\btheir\s+(are|is|was|were|will\s+be|have\s+been)\b", "there $1", _CTX, 0.96),
-    (r"\bthere\s+(book|books|house|father|mother|school|crayon|crayons|favorite|work|answer|answers)\b", "their $1", _CTX, 0.95),
-    (r"\bthe\s+son\b(?=\s+(?:is|was|shining|rises|sets|bright|in the sky|shines))", "the sun", _CTX, 0.95),
-    (r"\b(his|her|my|their|our)\s+sun\b(?=\s+(?:went|plays|is a|studies|like|likes))", "$1 son", _CTX, 0.94),
-    (r"\b(I|he|she|we|they|student)\s+cat\b(?=\s+(?:the|a|his|her)?\s*(?:[a-z]+?\s+)?(?:paper|cloth|string|fruit|vegetable|line|shape)\s+with)", "$1 cut", _CTX, 0.95),
-    (r"\b(letter|gift|message|calling|coming|received|brought)\s+form\b(?=\s+(?:the|a|his|her|my|school|teacher))", "$1 from", _CTX, 0.94),
-    (r"\b(more|larger|bigger|smaller|greater|better|faster|slower|taller|shorter)\s+thin\b", "$1 than", _CTX, 0.95),
+    (r"\b(boy|girl|man|woman|child|student|he|she|they|I|we)\s+road\b(?=\s+(?:a|the|his|her|my|their)?\s*(?:[a-z]+?\s+)?(?:bicycle|bike|horse|car|bus|vehicle|scooter|wagon))", "$1 rode", "Contextual Substitution", 0.96),
+    (r"\bthe\s+rode\b(?=\s+(?:was|is|to|led|smooth|paved|busy))", "the road", "Contextual Substitution", 0.95),
+    (r"\b(he|she|they|I|we|student|child|girl|boy)\s+red\b(?=\s+(?:a|the|his|her|my|their)?\s*(?:[a-z]+?\s+)?(?:book|story|novel|text|page|paper|chapter|lesson))", "$1 read", "Contextual Substitution", 0.96),
+    (r"\b(have|has|had)\s+red\b", "$1 read", "Contextual Substitution", 0.95),
+    (r"\b(can|could|will|would|to|shall|should|may|might|must|I|you|we|they|he|she)\s+sea\b(?=\s+(?:a|the|his|her|my|their|any)?\s*(?:[a-z]+?\s+)?(?:rainbow|sky|sun|stars|birds|colors|picture|page|view))", "$1 see", "Contextual Substitution", 0.96),
+    (r"\b(in|on|into|across|under)\s+the\s+see\b", "$1 the sea", "Contextual Substitution", 0.95),
+    (r"\btheir\s+(are|is|was|were|will\s+be|have\s+been)\b", "there $1", "Contextual Substitution", 0.96),
+    (r"\bthere\s+(book|books|house|father|mother|school|crayon|crayons|favorite|work|answer|answers)\b", "their $1", "Contextual Substitution", 0.95),
+    (r"\bthe\s+son\b(?=\s+(?:is|was|shining|rises|sets|bright|in the sky|shines))", "the sun", "Contextual Substitution", 0.95),
+    (r"\b(his|her|my|their|our)\s+sun\b(?=\s+(?:went|plays|is a|studies|like|likes))", "$1 son", "Contextual Substitution", 0.94),
+    (r"\b(I|he|she|we|they|student)\s+cat\b(?=\s+(?:the|a|his|her)?\s*(?:[a-z]+?\s+)?(?:paper|cloth|string|fruit|vegetable|line|shape)\s+with)", "$1 cut", "Contextual Substitution", 0.95),
+    (r"\b(letter|gift|message|calling|coming|received|brought)\s+form\b(?=\s+(?:the|a|his|her|my|school|teacher))", "$1 from", "Contextual Substitution", 0.94),
+    (r"\b(more|larger|bigger|smaller|greater|better|faster|slower|taller|shorter)\s+thin\b", "$1 than", "Contextual Substitution", 0.95),
     (r"\bif\s+([^\n,]+),\s*than\b", "if $1, then", "Grammar Correction", 0.94),
-    (r"\b(press|apply|foot\s+on)\s+the\s+break\b", "$1 the brake", _CTX, 0.94),
+    (r"\b(press|apply|foot\s+on)\s+the\s+break\b", "$1 the brake", "Contextual Substitution", 0.94),
 )
 
 # Fixed values: (pattern, replacement, category, confidence) of line rules. "@ans" and "@capital" are computed.
-_PUNCT, _GRAM, _MISS, _CONF, _SPELL, _CAP = "Punctuation Improvement", "Grammar Correction", "Missing Word", "Character Confusion", "Spelling Correction", "Capitalization"
 LINE_RULES = (
-    (r"\b(i)\b", "I", _CAP, 0.96),
-    (r"\b(i'm)\b", "I'm", _CAP, 0.96),
-    (r"\b(i've)\b", "I've", _CAP, 0.96),
-    (r"\b(i'll)\b", "I'll", _CAP, 0.96),
-    (r"\b(i'd)\b", "I'd", _CAP, 0.96),
-    (r"\bans:\s*([a-z])", "@ans", _CAP, 0.90),
-    (r"^(which|where|how|have|what|do|name)\b", "@capital", _CAP, 0.88),
-    (r"(\w+)\s+\?", "$1?", _PUNCT, 0.95),
-    (r"(\w+)\s+:", "$1:", _PUNCT, 0.95),
-    (r"\bAns;\s*", "Ans: ", _PUNCT, 0.94),
-    (r"\bAns\.\s*", "Ans: ", _PUNCT, 0.94),
-    (r"\b(Ans:\s*)(yes|no)\b", "$1Yes,", _PUNCT, 0.94),
-    (r"\bthere is (\w+) (colour|colors|things|items)\b", "there are $1 $2", _GRAM, 0.90),
-    (r"\bmake sentence of own\b", "make sentence of your own", _GRAM, 0.92),
-    (r"\banswer the following question\b", "answer the following questions", _GRAM, 0.88),
-    (r"\bI sees\b", "I see", _GRAM, 0.92),
-    (r"\bwe sees\b", "we see", _GRAM, 0.92),
-    (r"\bthey is\b", "they are", _GRAM, 0.92),
-    (r"\bhave you see\b", "have you seen", _GRAM, 0.94),
-    (r"\bI has seen\b", "I have seen", _GRAM, 0.94),
-    (r"\bof (?:the )?platform\b", "of the platform", _MISS, 0.88),
-    (r"\bin (?:the )?sky\b", "in the sky", _MISS, 0.92),
-    (r"\bsee (?:the )?rainbow\b", "see the rainbow", _MISS, 0.92),
-    (r"\bcolours in (?:the )?rainbow\b", "colours in the rainbow", _MISS, 0.92),
-    (r"\bfroin\b", "from", _CONF, 0.94),
-    (r"\boji\b", "on", _CONF, 0.94),
-    (r"\bskv\b", "sky", _CONF, 0.94),
-    (r"\byellov\b", "yellow", _CONF, 0.94),
-    (r"\bvellov\b", "yellow", _CONF, 0.94),
-    (r"\bpeepina\b", "peeping", _CONF, 0.94),
-    (r"\bfeefing\b", "peeping", _CONF, 0.94),
-    (r"\bareen\b", "green", _CONF, 0.94),
-    (r"\boraaqe\b", "orange", _CONF, 0.94),
-    (r"\boranae\b", "orange", _CONF, 0.94),
-    (r"\bviovet\b", "violet", _CONF, 0.94),
-    (r"\bindiao\b", "indigo", _CONF, 0.94),
-    (r"\bindiqo\b", "indigo", _CONF, 0.94),
-    (r"\bimplomentation\b", "implementation", _SPELL, 0.92),
-    (r"\busebility\b", "usability", _SPELL, 0.92),
-    (r"\bKowid\b", "COVID", _SPELL, 0.90),
-    (r"\bmetrix\b", "matrix", _SPELL, 0.92),
+    (r"\b(i)\b", "I", "Capitalization", 0.96),
+    (r"\b(i'm)\b", "I'm", "Capitalization", 0.96),
+    (r"\b(i've)\b", "I've", "Capitalization", 0.96),
+    (r"\b(i'll)\b", "I'll", "Capitalization", 0.96),
+    (r"\b(i'd)\b", "I'd", "Capitalization", 0.96),
+    (r"\bans:\s*([a-z])", "@ans", "Capitalization", 0.90),
+    (r"^(which|where|how|have|what|do|name)\b", "@capital", "Capitalization", 0.88),
+    (r"(\w+)\s+\?", "$1?", "Punctuation Improvement", 0.95),
+    (r"(\w+)\s+:", "$1:", "Punctuation Improvement", 0.95),
+    (r"\bAns;\s*", "Ans: ", "Punctuation Improvement", 0.94),
+    (r"\bAns\.\s*", "Ans: ", "Punctuation Improvement", 0.94),
+    (r"\b(Ans:\s*)(yes|no)\b", "$1Yes,", "Punctuation Improvement", 0.94),
+    (r"\bthere is (\w+) (colour|colors|things|items)\b", "there are $1 $2", "Grammar Correction", 0.90),
+    (r"\bmake sentence of own\b", "make sentence of your own", "Grammar Correction", 0.92),
+    (r"\banswer the following question\b", "answer the following questions", "Grammar Correction", 0.88),
+    (r"\bI sees\b", "I see", "Grammar Correction", 0.92),
+    (r"\bwe sees\b", "we see", "Grammar Correction", 0.92),
+    (r"\bthey is\b", "they are", "Grammar Correction", 0.92),
+    (r"\bhave you see\b", "have you seen", "Grammar Correction", 0.94),
+    (r"\bI has seen\b", "I have seen", "Grammar Correction", 0.94),
+    (r"\bof (?:the )?platform\b", "of the platform", "Missing Word", 0.88),
+    (r"\bin (?:the )?sky\b", "in the sky", "Missing Word", 0.92),
+    (r"\bsee (?:the )?rainbow\b", "see the rainbow", "Missing Word", 0.92),
+    (r"\bcolours in (?:the )?rainbow\b", "colours in the rainbow", "Missing Word", 0.92),
+    (r"\bfroin\b", "from", "Character Confusion", 0.94),
+    (r"\boji\b", "on", "Character Confusion", 0.94),
+    (r"\bskv\b", "sky", "Character Confusion", 0.94),
+    (r"\byellov\b", "yellow", "Character Confusion", 0.94),
+    (r"\bvellov\b", "yellow", "Character Confusion", 0.94),
+    (r"\bpeepina\b", "peeping", "Character Confusion", 0.94),
+    (r"\bfeefing\b", "peeping", "Character Confusion", 0.94),
+    (r"\bareen\b", "green", "Character Confusion", 0.94),
+    (r"\boraaqe\b", "orange", "Character Confusion", 0.94),
+    (r"\boranae\b", "orange", "Character Confusion", 0.94),
+    (r"\bviovet\b", "violet", "Character Confusion", 0.94),
+    (r"\bindiao\b", "indigo", "Character Confusion", 0.94),
+    (r"\bindiqo\b", "indigo", "Character Confusion", 0.94),
+    (r"\bimplomentation\b", "implementation", "Spelling Correction", 0.92),
+    (r"\busebility\b", "usability", "Spelling Correction", 0.92),
+    (r"\bKowid\b", "COVID", "Spelling Correction", 0.90),
+    (r"\bmetrix\b", "matrix", "Spelling Correction", 0.92),
 )
 
 # Fixed values: (pattern, replacement) of contractions, whatever the case.
-_NOT = "do does did is are was were has have had would could should".split()
 CONTRACTIONS = (
     (r"\b(can)not\b", "cannot"),
-    *((rf"\b({v})nt\b", f"{v}n't") for v in _NOT),
+    (r"\b(do)nt\b", "don't"),
+    (r"\b(does)nt\b", "doesn't"),
+    (r"\b(did)nt\b", "didn't"),
+    (r"\b(is)nt\b", "isn't"),
+    (r"\b(are)nt\b", "aren't"),
+    (r"\b(was)nt\b", "wasn't"),
+    (r"\b(were)nt\b", "weren't"),
+    (r"\b(has)nt\b", "hasn't"),
+    (r"\b(have)nt\b", "haven't"),
+    (r"\b(had)nt\b", "hadn't"),
+    (r"\b(would)nt\b", "wouldn't"),
+    (r"\b(could)nt\b", "couldn't"),
+    (r"\b(should)nt\b", "shouldn't"),
     (r"\b(it)s\b(?=\s+(?:a|an|the|very|so|not|good|bad|great|important|easy|hard)\b)", "it's"),
     (r"\b(im)\b", "I'm"),
     (r"\b(ive)\b", "I've"),
