@@ -9,6 +9,10 @@ less its look-ahead.
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +39,38 @@ def bare(pattern: str) -> str:
     return pattern if at < 0 else pattern[:at]
 
 
+def folded(text: Column) -> Column:
+    """``text`` without case, as patterns that ignore case see it: long s, dotless and dotted i, Kelvin sign are plain letters."""
+    return F.lower(F.translate(text, "\u0130\u0131\u017f", "iis"))
+
+
+def stem(pattern: str) -> str:
+    """The longest literal that every match has, in lower case; empty if the pattern has none outside its alternatives."""
+    gap = "\0"
+    rest = re.sub(r"\\[a-zA-Z][?*+]*|\[[^\]]*\](?:[?*+]|\{[^}]*\})*", gap, bare(pattern)).replace("(?:", "(")
+    while group := re.search(r"\(([^()]*)\)([?*]?)", rest):
+        inner = gap if "|" in group[1] or group[2] else group[1]
+        rest = rest[: group.start()] + inner + rest[group.end() :]
+    if "|" in rest:
+        return ""
+    rest = re.sub(r"\\(.)", r"\1", re.sub(r"(?<!\\)[^\\][?*]|(?<!\\)[.+^$]", gap, rest))
+    return max((x.strip().lower() for x in rest.split(gap)), key=len, default="")
+
+
+def may_match(text: Column, rules: list[tuple[int, str, str, str, float, str]]) -> Column:
+    """Whether the text has the stem of a rule, or a match of a rule that has no stem; whatever a rule matches is let through."""
+
+    def any_of(f: Column) -> Column:
+        return functools.reduce(operator.or_, [_hit(f, text, r) for r in rules])
+
+    return F.exists(F.array(folded(text)), any_of)
+
+
+def _hit(fold: Column, text: Column, rule: tuple[int, str, str, str, float, str]) -> Column:
+    word = stem(rule[1])
+    return fold.contains(word) if word else text.rlike(rule[5] + rule[1])
+
+
 def proposal(match: Column, pattern: str, to: str, flags: str = "(?iU)") -> Column:
     if to == "@ans":
         return F.concat(F.lit("Ans: "), F.upper(F.substring(match, -1, 1)))
@@ -54,7 +90,8 @@ def keep_case(match: Column, proposed: Column) -> Column:
 
 def suggestions(text: Column, shift: Column, line: Column, stage: int, rules: list[tuple[int, str, str, str, float, str]], case: bool = False) -> Column:
     """array<struct<stage, rule, begin, stop, original, proposed, category, confidence, line>> of all rules (number, pattern,
-    replacement, category, confidence, flags) whose proposal differs from what is there."""
+    replacement, category, confidence, flags) whose proposal differs from what is there. A rule runs only where its stem and its pattern are found."""
+
     def entries(number: int, pattern: str, to: str, category: str, confidence: float, flags: str) -> Column:
         def entry(m: Column) -> Column:
             proposed = proposal(m["text"], pattern, to, flags)
@@ -68,8 +105,11 @@ def suggestions(text: Column, shift: Column, line: Column, stage: int, rules: li
 
         return F.transform(matches(text, pattern, flags), entry)
 
-    found = [entries(*r) for r in rules]
-    return F.filter(F.concat(*found), lambda s: (s["original"] != s["proposed"]) & s["original"].rlike(r"(?U)\S"))
+    def of_row(f: Column) -> Column:
+        return F.flatten(F.array_compact(F.array(*(F.when(_hit(f, text, r) & text.rlike(r[5] + r[1]), entries(*r)) for r in rules))))
+
+    found = F.element_at(F.transform(F.array(folded(text)), of_row), 1)
+    return F.filter(found, lambda s: (s["original"] != s["proposed"]) & s["original"].rlike(r"(?U)\S"))
 
 
 def applied(text: Column, edits: Column) -> Column:

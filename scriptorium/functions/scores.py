@@ -82,16 +82,16 @@ def cer(hypothesis: Column, reference: Column) -> Column:
 
 
 def _as_characters(words: Column, distinct: Column) -> Column:
-    """Each word as one character, numbered by ``distinct`` from U+4E00."""
+    """Each word as one character, numbered by ``distinct`` from U+10000, where no surrogates are."""
 
     def character(w: Column) -> Column:
-        return F.decode(F.unhex(F.lpad(F.hex(F.array_position(distinct, w) + 19968), 4, "0")), "UTF-16BE")
+        return F.decode(F.unhex(F.lpad(F.hex(F.array_position(distinct, w) + 0xFFFF), 8, "0")), "UTF-32")
 
     return F.array_join(F.transform(words, character), "")
 
 
 def wer(hypothesis: Column, reference: Column) -> Column:
-    """Word error rate; a pair may have 35 327 different words."""
+    """Word error rate; a pair may have 1 048 576 different words, more than a distance over all pairs of words could take."""
     h, r = tx.tokens(hypothesis), tx.tokens(reference)
     both = F.array_distinct(F.concat(h, r))
     d = F.levenshtein(_as_characters(h, both), _as_characters(r, both))

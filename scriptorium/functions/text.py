@@ -116,6 +116,16 @@ def candidates(c: Column) -> Column:
     return F.concat(F.array(entry(c, 1.0)), F.filter(more, lambda x: x.isNotNull()))
 
 
+def word_set(c: Column) -> Column:
+    """The distinct words of a text, in lower case."""
+    return F.array_distinct(F.split(F.lower(c), r"(?U)\W+"))
+
+
+def listed(words: Column, wanted: Iterable[str]) -> Column:
+    """Number of distinct ``wanted`` words (letters only) in a set from :func:`word_set`."""
+    return F.size(F.array_intersect(words, F.array(*(F.lit(w) for w in wanted))))
+
+
 def words_in(c: Column, words: Iterable[str]) -> Column:
     """Number of distinct listed words (letters only) that occur as whole words."""
-    return F.size(F.array_intersect(F.split(F.lower(c), r"(?U)\W+"), F.array(*(F.lit(w) for w in words))))
+    return listed(word_set(c), words)

@@ -31,15 +31,10 @@ def _exploded(df: DataFrame, keys: list[str], found: Column) -> DataFrame:
     return df.select(*keys, F.explode(found).alias("s")).select(*keys, *(f"s.{f}" for f in FIELDS))
 
 
-def _guard(patterns: list[str]) -> str:
-    """One pattern that matches wherever one of them does: lines without any skip the whole family."""
-    return "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
-
-
 def contextual(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Rules over the whole text."""
     rules = [(k, p, to, c, conf, NO_CASE) for k, (p, to, c, conf) in enumerate(lx.CONTEXT)]
-    near = docs.where(F.col(text).rlike(_guard([r[1] for r in rules])))
+    near = docs.where(rl.may_match(F.col(text), rules))
     return _exploded(near, keys, rl.suggestions(F.col(text), F.lit(0), F.lit(1), 2, rules, case=True))
 
 
@@ -47,13 +42,13 @@ def line_rules(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     """Rules within lines; headings and separators are left alone."""
     rules = [(k, p, to, c, conf, CASE if c == "Capitalization" else NO_CASE) for k, (p, to, c, conf) in enumerate(lx.LINE_RULES)]
     body = F.col("body")
-    own = lines_of(docs, text, keys).where(~tx.blank(body) & ~body.startswith("#") & ~body.startswith("===")).where(body.rlike(_guard([r[1] for r in rules])))
+    own = lines_of(docs, text, keys).where(~tx.blank(body) & ~body.startswith("#") & ~body.startswith("===")).where(rl.may_match(body, rules))
     return _exploded(own, keys, rl.suggestions(body, F.col("shift"), F.col("line"), 3, rules))
 
 
 def contractions(lines: DataFrame, keys: list[str]) -> DataFrame:
     rules = [(k, p, to, "Punctuation Correction", 0.94, NO_CASE) for k, (p, to) in enumerate(lx.CONTRACTIONS)]
-    near = lines.where(F.col("body").rlike(_guard([r[1] for r in rules])))
+    near = lines.where(rl.may_match(F.col("body"), rules))
     return _exploded(near, keys, rl.suggestions(F.col("body"), F.col("shift"), F.col("line"), 1, rules))
 
 
@@ -92,7 +87,7 @@ def punctuation(docs: DataFrame, text: str, keys: list[str]) -> DataFrame:
     boundary = [(400, lx.BOUNDARY, "$1. $2", "Punctuation Correction", 0.88, CASE)]
     out = contractions(own, keys)
     for rules in (possessive, boundary):
-        near = own.where(body.rlike(rules[0][5] + rules[0][1]))
+        near = own.where(rl.may_match(body, rules) & body.rlike(rules[0][5] + rules[0][1]))
         out = out.unionByName(_exploded(near, keys, rl.suggestions(body, F.col("shift"), F.col("line"), 1, rules)))
     return out.unionByName(question_marks(own, keys)).unionByName(_openers(own, keys))
 
@@ -138,9 +133,9 @@ def prepared(docs: DataFrame, text: str = "text") -> DataFrame:
 
     The rows are stored: some eighty rules refer to target_text, and none should carry how it came about.
     """
-    out = reconstruct(docs, text)
-    clean = tx.recovered(F.col("recon_text"))
-    return stored(out.withColumn("target_text", F.when(tx.blank(clean), F.col("recon_text")).otherwise(clean)), "prepared")
+    out = reconstruct(docs, text).withColumn("__clean", tx.recovered(F.col("recon_text")))
+    clean = F.col("__clean")
+    return stored(out.withColumn("target_text", F.when(tx.blank(clean), F.col("recon_text")).otherwise(clean)).drop("__clean"), "prepared")
 
 
 def suggest(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), vocabulary: DataFrame | None = None, candidates: DataFrame | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicons as lx
+from scriptorium.functions import rules as rl
 from scriptorium.functions import text as tx
 
 
@@ -18,8 +19,8 @@ def _best(scores: list[Column], names: list[str]) -> Column:
 def topic_prior(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds topic, topic_name, topic_confidence: the topic with the most keywords present."""
     c = F.col(text)
-    best = _best([tx.words_in(c, words.split()) for _, words in lx.TOPICS.values()], list(lx.TOPICS))
-    out = docs.withColumn("__best", best).withColumn("__n", -F.col("__best.less"))
+    best = _best([tx.listed(F.col("__words"), words.split()) for _, words in lx.TOPICS.values()], list(lx.TOPICS))
+    out = docs.withColumn("__words", tx.word_set(c)).withColumn("__best", best).drop("__words").withColumn("__n", -F.col("__best.less"))
     none = F.col("__n") == 0
     names = F.create_map(*(F.lit(x) for k, (n, _) in lx.TOPICS.items() for x in (k, n)))
     topic = F.when(tx.blank(c) | none, "general").otherwise(F.col("__best.name"))
@@ -36,8 +37,8 @@ def subject(docs: DataFrame, text: str = "text", title: str | None = None, overr
     scores = []
     for _, words, patterns in lx.SUBJECTS.values():
         titles = sum((F.when(F.col("__t").rlike("(?U)" + p), 0.40).otherwise(0.0) for p in patterns), F.lit(0.0))
-        scores.append(titles + F.least(F.lit(0.50), tx.words_in(F.col("__t"), words.split()) * 0.06))
-    out = docs.withColumn("__t", whole).withColumn("__best", _best(scores, list(lx.SUBJECTS))).withColumn("__s", -F.col("__best.less"))
+        scores.append(titles + F.least(F.lit(0.50), tx.listed(F.col("__words"), words.split()) * 0.06))
+    out = docs.withColumn("__t", whole).withColumn("__words", tx.word_set(F.col("__t"))).withColumn("__best", _best(scores, list(lx.SUBJECTS))).withColumn("__s", -F.col("__best.less"))
     found = F.col("__s") >= 0.15
     names = F.create_map(*(F.lit(x) for k, (n, _, _) in lx.SUBJECTS.items() for x in (k, n)))
     return out.withColumns(
@@ -46,7 +47,7 @@ def subject(docs: DataFrame, text: str = "text", title: str | None = None, overr
             "subject_name": F.when(found, names[F.col("__best.name")]).otherwise("General Educational Notebook"),
             "subject_confidence": F.when(found, F.round(F.least(F.lit(0.98), F.greatest(F.lit(0.55), F.col("__s"))), 4)).otherwise(0.50),
         }
-    ).drop("__t", "__best", "__s")
+    ).drop("__t", "__words", "__best", "__s")
 
 
 def structure_of(c: Column) -> Column:
@@ -97,7 +98,7 @@ def reconstruct(docs: DataFrame, text: str = "text") -> DataFrame:
     for k, (pattern, to, _, confidence) in enumerate(lx.RECONSTRUCTIONS):
         p, now = "(?iU)" + pattern, F.col("recon_text")
         at, m = F.regexp_instr(now, F.lit(p)), F.regexp_extract(now, p, 0)
-        hit = (at > 0) & (m != to) & ~tx.blank(F.col(text))
+        hit = rl.may_match(now, [(k, pattern, to, "", confidence, "(?iU)")]) & (at > 0) & (m != to) & ~tx.blank(F.col(text))
         edit = F.struct(F.lit(k).alias("rule"), (at - 1).alias("begin"), (at - 1 + F.length(m)).alias("stop"), m.alias("original"), F.lit(to).alias("proposed"), F.lit(confidence).alias("confidence"))
         out = out.withColumn(f"__e{k}", F.when(hit, edit))
         e = F.col(f"__e{k}")

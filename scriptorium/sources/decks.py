@@ -41,23 +41,32 @@ def get(decks: DataFrame, deck_id: str) -> DataFrame:
 
 
 def delete(spark: SparkSession, path: str, deck_id: str) -> bool:
-    """Rewrites the one partition that holds the deck; whether there was one."""
+    """Rewrites the one partition that holds the deck; whether there was one.
+
+    The rows that stay are written beside the partition, which is then swapped by renaming. A driver lost on the way leaves them in
+    one of two hidden folders, from which the next call takes up again.
+    """
     part = spark.range(1).select(F.pmod(F.xxhash64(F.lit(deck_id)), F.lit(64))).first()[0]
-    own = spark.read.parquet(path).where(F.col("part") == part)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    old, new, here = folder(f"{path}/_old-{part}"), folder(f"{path}/_new-{part}"), folder(f"{path}/part={part}")
+    fs = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(old) and not fs.exists(here):  # a swap was cut off between its two renames
+        fs.rename(old, here)
+    if not fs.exists(here):
+        return False
+    own = spark.read.parquet(here.toString())
     if own.where(F.col("deck_id") == deck_id).isEmpty():
         return False
-    rest = own.where(F.col("deck_id") != deck_id).collect()  # a 64th of one user's library
-    schema = own.schema
-    with_mode = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        if rest:
-            spark.createDataFrame(rest, schema).write.mode("overwrite").partitionBy("part").parquet(path)
-        else:
-            fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/part={part}")
-            fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(fs_path, True)
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", with_mode)
+    rest = own.where(~F.col("deck_id").eqNullSafe(deck_id))
+    fs.delete(old, True)
+    rest.write.mode("overwrite").parquet(new.toString())
+    keep = not spark.read.schema(own.schema).parquet(new.toString()).isEmpty()
+    fs.rename(here, old)
+    if keep:
+        fs.rename(new, here)
+    else:
+        fs.delete(new, True)
+    fs.delete(old, True)
     return True
 
 

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import lexicons as lx
+from scriptorium.functions import rules as rl
 from scriptorium.operators import proofreading as pr
 from scriptorium.operators import profiles
 
@@ -83,3 +85,15 @@ def test_feedback_counts(spark):
     b = profiles.boosts(spark.createDataFrame([("u_1", "Rode"), ("u_1", "road"), ("u_1", "other")], "user_id string, text string"), profiles.errors(e), profiles.words(e))
     assert {r.text: r.boost for r in b.collect()} == {"Rode": 0.06, "road": 0.10, "other": 0.0}
     assert profiles.export(e).count() == 2
+
+
+def test_stems_are_in_every_match(spark):
+    """A rule's stem never hides a match, whatever letters without plain case stand in the text."""
+    lines = ["we ſees a rainbow", "ı've made", "İll", "the boy road his bike", "sKv", "make sentence of own", "cannot can not dont it's its a", "what ?", "a : b"]
+    tables = {"context": lx.CONTEXT, "line": lx.LINE_RULES, "contraction": lx.CONTRACTIONS}
+    df = spark.createDataFrame([(x,) for x in lines], "body string")
+    for rules in tables.values():
+        own = [(k, r[0], r[1], "c", 0.9, "(?iU)") for k, r in enumerate(rules)]
+        for r in own:
+            assert df.where(F.col("body").rlike(r[5] + r[1]) & ~rl.may_match(F.col("body"), [r])).count() == 0, r
+    assert rl.stem(r"\b(do)nt\b") == "dont" and rl.stem(r"\b(can|may)\s+sea\b(?=\s+a)") == "sea" and rl.stem(r"^(which|where)\b") == "" and rl.stem(r"of (?:the )?platform") == "platform"

@@ -38,6 +38,16 @@ def test_deck_library(spark, tmp_path):
     assert {r.deck_id for r in decks.read(spark, path).collect()} == {"d1", "d3", "d4"}
 
 
+def test_deck_removal_goes_on_after_a_lost_driver(spark, tmp_path):
+    path = tmp_path / "lib"
+    decks.save(spark.createDataFrame([("a", "A"), ("b", "B")], "deck_id string, source_document_title string"), str(path))
+    part = spark.range(1).select(F.pmod(F.xxhash64(F.lit("a")), F.lit(64))).first()[0]
+    (path / f"part={part}").rename(path / f"_old-{part}")
+    assert decks.delete(spark, str(path), "a")
+    spark.catalog.refreshByPath(str(path))
+    assert {r.deck_id for r in decks.read(spark, str(path)).collect()} == {"b"} and not list(path.glob("_*-*"))
+
+
 def test_broken_json_decks_are_left_out(spark, tmp_path):
     (tmp_path / "a.json").write_text('{"deck_id": "a", "created_at": "1"}')
     (tmp_path / "b.json").write_text("{broken")
