@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, line_dedup, mixing, packing, quality, simhash, suffix_dedup, toxicity, url_filter, warc
+from scriptorium.llm import decontaminate, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, warc
 from scriptorium.llm.common import documents
 
 
@@ -53,6 +53,11 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_removed_lines", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so that every distinct text is encoded."""
+    return token_counts.count_tokens(documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -66,6 +71,7 @@ QUERIES = {
         op8_context_mixing,
         op9_toxicity,
         op10_line_dedup,
+        op11_token_counts,
     )
 }
 ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.SQL, "op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL, "op6_warc_fixity": warc.SQL}
