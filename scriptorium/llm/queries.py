@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.llm import decontaminate, line_dedup, mixing, packing, quality, simhash, suffix_dedup, token_counts, toxicity, url_filter, vector_codes, warc
+from scriptorium.llm import decontaminate, line_dedup, mixing, packing, quality, ranked_search, simhash, suffix_dedup, token_counts, toxicity, url_filter, vector_codes, warc
 from scriptorium.llm.common import documents
 
 
@@ -62,6 +62,10 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.coded(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -77,6 +81,14 @@ QUERIES = {
         op10_line_dedup,
         op11_token_counts,
         op12_vector_codes,
+        op13_ranked_search,
     )
 }
-ORACLES: dict[str, str] = {"op1_suffix_dedup": suffix_dedup.SQL, "op4_url_filter": url_filter.SQL, "op5_decontamination": decontaminate.SQL, "op6_warc_fixity": warc.SQL, "op12_vector_codes": vector_codes.sql()}
+ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": suffix_dedup.SQL,
+    "op4_url_filter": url_filter.SQL,
+    "op5_decontamination": decontaminate.SQL,
+    "op6_warc_fixity": warc.SQL,
+    "op12_vector_codes": vector_codes.sql(),
+    "op13_ranked_search": ranked_search.SQL,
+}
