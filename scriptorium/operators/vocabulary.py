@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,12 +104,16 @@ def example(word: Column, pos: Column, hint: Column | None = None) -> Column:
     return s if hint is None else F.when(F.size(tx.tokens(hint)) >= 8, hint).otherwise(s)
 
 
-def describe(corrections: DataFrame, keys: list[str], senses: DataFrame | None = None) -> DataFrame:
+def describe(corrections: DataFrame, keys: list[str], senses: DataFrame | None = None, tagger: Callable | None = None) -> DataFrame:
     """Adds what a learner reads about the proposed word of rows (keys, proposed, category, explanation, corrected_sentence):
     is_vocabulary, pos, sense, definition, child_definition, example, synonyms, antonyms, pronunciation, source,
-    lexical_confidence, verify. Without a sense in the lexicon the context stands in."""
-    pos, pos_conf = part_of_speech(F.col("proposed"))
-    own = corrections.withColumn("pos", pos).withColumn("__pc", pos_conf)
+    lexical_confidence, verify. Without a sense in the lexicon the context stands in. ``tagger`` (``tagging.in_context``, say) gives
+    the part of speech in the corrected sentence; without one it follows from the word's ending."""
+    if tagger is not None:
+        own = tagger(corrections, F.col("proposed"), F.col("corrected_sentence")).withColumnRenamed("pos_confidence", "__pc")
+    else:
+        pos, pos_conf = part_of_speech(F.col("proposed"))
+        own = corrections.withColumn("pos", pos).withColumn("__pc", pos_conf)
     own = own.withColumn("is_vocabulary", is_vocabulary(F.col("proposed"), F.col("category"), F.col("explanation"), F.col("pos")))
     none = F.array().cast("array<string>")
     if senses is None:

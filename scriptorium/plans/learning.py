@@ -13,6 +13,7 @@ from scriptorium.operators import evaluation as ev
 from scriptorium.operators import profiles as ad
 from scriptorium.operators import proofreading as pr
 from scriptorium.operators import structure as st
+from scriptorium.operators import tagging as tg
 from scriptorium.operators import vocabulary as vo
 from scriptorium.plans.registry import CORPUS, corpus, query, quoted, sql_list, sql_text, table, words_of
 from scriptorium.plans.texts import line_suggestions
@@ -50,12 +51,30 @@ def vo_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tagged(spark, sf_dir).groupBy("word", "pos", keep.alias("is_vocabulary")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"WITH RECURSIVE {tg.sql()} SELECT conv_id, turn, sentence, place, token, tag FROM tags")
+def vo_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best tags of every sentence of the conversations."""
+    return tg.tokens(table(spark, sf_dir, "conversations"), ["conv_id", "turn"])
+
+
+@query()
+def vo_tags_learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a model that all documents have re-estimated."""
+    return tg.tokens(table(spark, sf_dir, "conversations"), ["conv_id", "turn"], model=tg.learn(table(spark, sf_dir, "documents")))
+
+
 #: a small lexicon over words of the test tables: word, pos, place, sense, definition, child definition, example, priority
 SENSES = (
     ("the", "noun", 0, "the.noun.01", "A word that stands before a thing.", "Points at a thing.", "We read the book in the shade.", 1),
     ("the", "noun", 1, "the.noun.02", "Marks that and this in of to.", "Marks something.", "In that of this and to of.", 2),
     ("of", "noun", 0, "of.noun.01", "Belonging or part.", "Part of something.", "A piece of cake.", 1),
     ("and", "noun", 0, "and.noun.01", "Joins words the heed.", "Joins two words.", "", 3),
+    ("the", "determiner", 0, "the.det.01", "Points at one thing that is known.", "Points at a thing.", "The in that of heed.", 1),
+    ("the", "determiner", 1, "the.det.02", "Marks that and this in of to.", "Marks something.", "In that of this and to of.", 2),
+    ("of", "preposition", 0, "of.prep.01", "Belonging to, or part.", "Part of something.", "A piece of cake.", 1),
+    ("and", "conjunction", 0, "and.conj.01", "Joins words the heed.", "Joins two words.", "", 3),
+    ("in", "preposition", 0, "in.prep.01", "Inside of and within.", "Inside.", "In the house.", 1),
+    ("in", "adverb", 0, "in.adv.01", "To the inside.", "Into.", "Come in.", 1),
     ("bleed", "verb", 0, "bleed.verb.01", "To lose blood.", "To lose blood.", "A small cut may bleed.", 1),
 )
 _SENSE_ROWS = ", ".join("(" + ", ".join(quoted(x) if isinstance(x, str) else str(x) for x in r) + ")" for r in SENSES)
@@ -75,14 +94,18 @@ def _bag(expr: str) -> str:
 
 
 @query(
-    f"""WITH {POS}, senses(sw, spos, ord, sense_id, definition, child_def, example, priority) AS (VALUES {_SENSE_ROWS}), d AS (SELECT DISTINCT conv_id, turn, text, word, w, pos FROM tagged),
+    f"""WITH RECURSIVE {POS}, {tg.sql()}, first AS (SELECT conv_id, turn, lower(regexp_replace(token, '[^a-zA-Z]', '', 'g')) AS w, arg_min(tag, {{'s': sentence, 'p': place}}) AS tag FROM tags GROUP BY ALL),
+senses(sw, spos, ord, sense_id, definition, child_def, example, priority) AS (VALUES {_SENSE_ROWS}), d AS (SELECT DISTINCT g.conv_id, g.turn, g.text, g.word, g.w, CASE WHEN g.w = '' THEN 'grammar' ELSE coalesce(replace(f.tag, 'other', 'noun'), g.pos) END AS pos
+  FROM tagged g LEFT JOIN first f ON f.conv_id = g.conv_id AND f.turn = g.turn AND f.w = g.w),
 j AS (SELECT d.*, s.*, {_bag('text')} AS a, {_bag("definition || ' ' || example")} AS b FROM d JOIN senses s ON d.w = s.sw AND d.pos = s.spos),
 k AS (SELECT *, len(list_intersect(a, b)) AS shared, len(list_distinct(list_concat(a, b))) AS total FROM j),
 r AS (SELECT *, round(least(1.0::DOUBLE, greatest(0.20::DOUBLE, shared::DOUBLE / greatest(1, total) * 0.30::DOUBLE + CASE priority WHEN 1 THEN 0.25 WHEN 2 THEN 0.10 ELSE 0.0 END::DOUBLE + CASE WHEN shared > 0 THEN 0.15 ELSE 0.0 END::DOUBLE)), 4) AS similarity FROM k)
 SELECT conv_id, turn, word, sense_id, round(similarity, 3) AS similarity FROM r QUALIFY row_number() OVER (PARTITION BY conv_id, turn, word ORDER BY similarity DESC, priority, ord) = 1"""
 )
 def vo_rank_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = tagged(spark, sf_dir).select("conv_id", "turn", "word", "pos", F.col("text").alias("sentence")).distinct()
+    """Senses of each word that have its part of speech in the turn."""
+    words = tokens(spark, sf_dir).select("conv_id", "turn", "word", F.col("text").alias("sentence")).distinct()
+    words = tg.in_context(words, F.col("word"), F.col("sentence")).drop("pos_confidence")
     best = vo.rank_senses(words, senses(spark), ["conv_id", "turn", "word"])
     return best.select("conv_id", "turn", "word", "sense_id", F.round("similarity", 3).alias("similarity"))
 
