@@ -73,39 +73,96 @@ def merge_lines(regions: DataFrame, page: Sequence[str]) -> DataFrame:
     return regions.groupBy(*page).applyInPandas(fold, schema)
 
 
-def padded(regions: DataFrame, page: Sequence[str], vertical: float = 0.18, horizontal: float = 0.08, least: int = 6) -> DataFrame:
-    """Adds pxmin, pymin, pxmax, pymax: boxes grown for ascenders and descenders, up to their neighbours and the page (page_width, page_height).
+def _pieces(lo: Column, hi: Column, levels: int) -> Column:
+    """Dyadic strips that make up [lo, hi), two of a size at most: numbers of (size, place)."""
+    out = []
+    for j in range(levels + 1):
+        left, right = F.shiftright(lo + ((1 << j) - 1), j), F.shiftright(hi, j)
+        out += [F.when((left < right) & (left.bitwiseAND(1) == 1), _strip(j, left)), F.when((left < right) & (right.bitwiseAND(1) == 1), _strip(j, right - 1))]
+    return F.array_compact(F.array(*out))
+
+
+def _around(x: Column, levels: int) -> Column:
+    """The dyadic strips that hold a point, one of each size."""
+    return F.array(*(_strip(j, F.shiftright(x, j)) for j in range(levels + 1)))
+
+
+def _strip(size: int, place: Column) -> Column:
+    return F.lit(size << 40) + place + F.lit(1 << 39)
+
+
+def neighbours(regions: DataFrame, page: Sequence[str]) -> DataFrame:
+    """Distinct boxes of each page with the edges that face them: the page's columns, xmin, ymin, xmax, ymax, above (the lowest lower edge
+    of the boxes over it), below, left, right (null where nothing is). A box faces those others that it overlaps on the other axis; equal
+    boxes are one. Boxes with a null coordinate have no row.
 
-    Neighbours are the other boxes of the page; the page's boxes are gathered once and compared within the row.
+    Two intervals overlap if one begins in the other. An interval is cut into dyadic strips, a point lies in one strip of each size;
+    in each strip the edges and the boxes that look for one are sorted, and the last edge before a box is its nearest: a
+    window, without pairs. Equal edges of a strip are one before they are sorted, so a strip has no more rows than the page has
+    coordinates, however many boxes it has.
     """
-    box = F.struct("xmin", "ymin", "xmax", "ymax")
-    own = regions.withColumn("__all", F.collect_list(box).over(Window.partitionBy(*page)))
-    own = own.withColumns(
-        {
-            "__v": F.greatest(F.lit(least), F.floor(F.greatest(F.lit(1), F.col("ymax") - F.col("ymin")) * vertical)),
-            "__h": F.greatest(F.lit(least), F.floor(F.greatest(F.lit(1), F.col("xmax") - F.col("xmin")) * horizontal)),
-        }
-    )
-    others = F.filter("__all", lambda o: o != box)
-    beside = F.filter(others, lambda o: F.least(F.col("xmax"), o["xmax"]) > F.greatest(F.col("xmin"), o["xmin"]))
-    level = F.filter(others, lambda o: F.least(F.col("ymax"), o["ymax"]) > F.greatest(F.col("ymin"), o["ymin"]))
-    above = F.array_max(F.transform(F.filter(beside, lambda o: o["ymax"] <= F.col("ymin")), lambda o: o["ymax"]))
-    below = F.array_min(F.transform(F.filter(beside, lambda o: (o["ymin"] >= F.col("ymax")) & (o["ymax"] > F.col("ymin"))), lambda o: o["ymin"]))
-    left = F.array_max(F.transform(F.filter(level, lambda o: o["xmax"] <= F.col("xmin")), lambda o: o["xmax"]))
-    right = F.array_min(F.transform(F.filter(level, lambda o: (o["xmin"] >= F.col("xmax")) & (o["xmax"] > F.col("xmin"))), lambda o: o["xmin"]))
+    page = list(page)
+    names = {c: f"p{k}" for k, c in enumerate(page)}
+    sides = ["xmin", "ymin", "xmax", "ymax"]
+    key = list(names.values())
+    boxes = regions.select(*(F.col(c).alias(n) for c, n in names.items()), *(F.col(c).cast("long").alias(c) for c in sides)).dropna(subset=sides).distinct()
+    most = boxes.agg(F.max(F.greatest(*(F.abs(c) for c in sides)))).first()[0] or 0
+    levels = max(1, int(most).bit_length() + 1)
+    x0, y0, x1, y1 = (F.col(c) for c in sides)
+
+    def look(name: str, lo: Column, hi: Column, edge: Column, at: Column, flat: Column) -> Column:
+        # a box without extent is no edge to itself: its edge comes just after the place from which it looks
+        thin = flat.cast("long")
+        return F.struct(F.lit(name).alias("way"), lo.alias("lo"), hi.alias("hi"), (edge * 2 + thin).alias("edge"), (at * 2 + 1 - thin).alias("at"))
+
+    ways = F.array(look("above", x0, x1, y1, y0, y1 <= y0), look("below", x0, x1, -y0, -y1, y1 <= y0), look("left", y0, y1, x1, x0, x1 <= x0), look("right", y0, y1, -x0, -x1, x1 <= x0))
+    looks = boxes.select("*", F.inline(ways)).where("hi > lo")
+    group = [*key, "way", "begins", "strip"]
+
+    def strips(begins: bool, point: bool) -> Column:
+        return F.transform(_around(F.col("lo"), levels) if point else _pieces(F.col("lo"), F.col("hi"), levels), lambda s: F.struct(F.lit(begins).alias("begins"), s.alias("strip")))
+
+    # boxes that begin in the one that looks, and boxes in which it begins
+    edges = looks.select(*key, "way", "edge", F.inline(F.concat(strips(True, True), strips(False, False)))).select(*group, F.col("edge").alias("place"), F.col("edge").alias("found")).distinct()
+    asked = looks.select(*key, *sides, "way", "at", F.inline(F.concat(strips(True, False), strips(False, True))))
+    asks = asked.select(*group, F.col("at").alias("place"), F.lit(None).cast("long").alias("found")).distinct()
+    before = F.max("found").over(Window.partitionBy(*group).orderBy("place", F.col("found").isNull()).rowsBetween(Window.unboundedPreceding, 0))
+    nearest = edges.union(asks).withColumn("best", before).where("found is null and best is not null").select(*(F.col(c).alias(f"n_{c}") for c in (*group, "place")), F.shiftright("best", 1).alias("best"))
+    same = [F.col(c).eqNullSafe(F.col(f"n_{c}")) for c in key] + [F.col(c) == F.col(f"n_{c}") for c in ("way", "begins", "strip")] + [F.col("at") == F.col("n_place")]
+    found = asked.join(nearest, same).select(*key, *sides, "way", "best")
+    # boxes without extent on one axis that overlap at the same place: each is an edge above, or to the left of, the others
+    thin = looks.where("edge % 2 <> 0 and way in ('above', 'left')").withColumn("place", F.shiftright("edge", 1))
+    w = Window.partitionBy(*key, "way", "place").orderBy("lo", "hi")
+    touch = (F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) > F.col("lo")) | (F.lead("lo").over(w) < F.col("hi"))
+    found = found.union(thin.withColumn("touch", touch).where("touch").select(*key, *sides, "way", F.col("place").alias("best")))
+    way = lambda n, sign: (F.max(F.when(F.col("way") == n, F.col("best"))) * sign).alias(n)
+    out = found.groupBy(*key, *sides).agg(way("above", 1), way("below", -1), way("left", 1), way("right", -1))
+    back = [F.col(f"b.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key] + [F.col(f"b.{c}") == F.col(f"o.{c}") for c in sides]
+    out = boxes.alias("b").join(out.alias("o"), back, "left")
+    return out.select(*(F.col(f"b.{n}").alias(c) for c, n in names.items()), *(F.col(f"b.{c}").alias(c) for c in sides), *(F.col(f"o.{c}").alias(c) for c in ("above", "below", "left", "right")))
+
+
+def padded(regions: DataFrame, page: Sequence[str], vertical: float = 0.18, horizontal: float = 0.08, least: int = 6) -> DataFrame:
+    """Adds pxmin, pymin, pxmax, pymax: boxes grown for ascenders and descenders, up to their neighbours (the other boxes of the page, equal
+    ones not) and the page (page_width, page_height)."""
+    sides = ["xmin", "ymin", "xmax", "ymax"]
+    near = neighbours(regions, page).select(*(F.col(f"`{c}`").alias(f"__n{k}") for k, c in enumerate([*page, *sides])), *(F.col(c).alias(f"__{c}") for c in ("above", "below", "left", "right")))
+    own = regions.join(near, [F.col(f"`{c}`").eqNullSafe(F.col(f"__n{k}")) for k, c in enumerate([*page, *sides])], "left")
+    v = F.greatest(F.lit(least), F.floor(F.greatest(F.lit(1), F.col("ymax") - F.col("ymin")) * vertical))
+    h = F.greatest(F.lit(least), F.floor(F.greatest(F.lit(1), F.col("xmax") - F.col("xmin")) * horizontal))
     out = own.withColumns(
         {
-            "__x0": F.greatest(F.lit(0), F.col("xmin") - F.col("__h"), F.coalesce(left, F.lit(0))),
-            "__y0": F.greatest(F.lit(0), F.col("ymin") - F.col("__v"), F.coalesce(above, F.lit(0))),
-            "__x1": F.least("page_width", F.col("xmax") + F.col("__h"), F.coalesce(right, F.col("page_width"))),
-            "__y1": F.least("page_height", F.col("ymax") + F.col("__v"), F.coalesce(below, F.col("page_height"))),
+            "__x0": F.greatest(F.lit(0), F.col("xmin") - h, F.coalesce("__left", F.lit(0))),
+            "__y0": F.greatest(F.lit(0), F.col("ymin") - v, F.coalesce("__above", F.lit(0))),
+            "__x1": F.least("page_width", F.col("xmax") + h, F.coalesce("__right", F.col("page_width"))),
+            "__y1": F.least("page_height", F.col("ymax") + v, F.coalesce("__below", F.col("page_height"))),
         }
     )
     x0 = F.greatest(F.lit(0), F.least(F.col("page_width") - 1, "__x0"))
     y0 = F.greatest(F.lit(0), F.least(F.col("page_height") - 1, "__y0"))
     out = out.withColumns({"pxmin": x0.cast("int"), "pymin": y0.cast("int")})
     out = out.withColumns({"pxmax": F.greatest(F.col("pxmin") + 1, F.least("page_width", "__x1")).cast("int"), "pymax": F.greatest(F.col("pymin") + 1, F.least("page_height", "__y1")).cast("int")})
-    return out.drop("__all", "__v", "__h", "__x0", "__y0", "__x1", "__y1")
+    return out.drop(*(f"__n{k}" for k in range(len(page) + 4)), "__above", "__below", "__left", "__right", "__x0", "__y0", "__x1", "__y1")
 
 
 def cropped(width: Column, height: Column) -> dict[str, Column]:
