@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from scriptorium.llm import common
 
 LIMIT = 1024
-BROADCAST_ROWS = 500_000
+BROADCAST_ROWS = 100_000
 KNOWN = 1_000_000
 PIECE = 1 << 16
 CACHE = "digest binary, n_tokens long, tokenizer string"
