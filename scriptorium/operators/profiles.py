@@ -39,11 +39,14 @@ def words(events: DataFrame) -> DataFrame:
     return feedback(events).where("counts").groupBy("user_id", F.col("accepted").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def confusions(events: DataFrame) -> DataFrame:
-    """user_id, from, to, weight: 0.05 more for each time that one character stood for another in texts of equal length."""
+def confusions(events: DataFrame, weights: bool = True) -> DataFrame:
+    """user_id, from, to, weight: 0.05 more for each time that one character stood for another in texts of equal length; without
+    ``weights`` n, the number of times."""
     own = feedback(events).where("counts AND length(original) = length(accepted)")
     pairs = F.filter(F.arrays_zip(F.split("original", "").alias("a"), F.split("accepted", "").alias("b")), lambda p: p["a"] != p["b"])
     n = own.select("user_id", F.explode(pairs).alias("p")).groupBy("user_id", F.col("p.a").alias("from"), F.col("p.b").alias("to")).agg(F.count(F.lit(1)).alias("n"))
+    if not weights:
+        return n
     base = F.create_map(*(F.lit(x) for a, m in lx.CHAR_CONFUSIONS.items() for b, w in m.items() for x in (a + b, w)))
     weight = F.coalesce(F.try_element_at(base, F.concat("from", "to")), F.lit(0.20)) + F.col("n") * 0.05
     return n.select("user_id", "from", "to", F.round(weight, 3).alias("weight"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import lexicons as lx
 from scriptorium.functions import rules as rl
@@ -236,18 +241,39 @@ def history(actions: DataFrame, keys: list[str], order: str = "ord") -> DataFram
     """State after each action (keys, order, action: push, undo or redo; text of a push): adds place, the position in the history, and
     current, the text there. A push after undos cuts off what was undone; undo at the first text and redo at the last do nothing.
 
-    Texts begin with the first push at place 0; before it place is -1 and current null. A user's actions are folded in one aggregate: they are
-    one person's session, so their number is bounded by it.
+    Texts begin with the first push at place 0; before it place is -1 and current null. Actions are sorted by key and order (equal orders by
+    action and text) and read once as they come; of a user's history only the numbers of the pushes in it are held, eight bytes each, and
+    texts are joined by them.
     """
-    step = F.struct(F.col(order).alias("o"), F.col("action").alias("a"), F.col("text").alias("t"))
-    start = F.expr("named_struct('texts', cast(array() as array<string>), 'at', -1, 'out', cast(array() as array<struct<o: bigint, place: int, current: string>>))")
-
-    def fold(s: Column, x: Column) -> Column:
-        push = x["a"] == "push"
-        texts = F.when(push, F.concat(F.slice(s["texts"], 1, s["at"] + 1), F.array(x["t"]))).otherwise(s["texts"])
-        at = F.when(push, s["at"] + 1).when((x["a"] == "undo") & (s["at"] > 0), s["at"] - 1).when((x["a"] == "redo") & (s["at"] < F.size(s["texts"]) - 1), s["at"] + 1).otherwise(s["at"])
-        done = F.struct(x["o"].cast("long").alias("o"), at.alias("place"), F.get(texts, at).alias("current"))
-        return F.struct(texts.alias("texts"), at.alias("at"), F.concat(s["out"], F.array(done)).alias("out"))
-
-    steps = actions.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("steps"))
-    return steps.select(*keys, F.inline(F.aggregate("steps", start, fold, lambda s: s["out"]))).withColumnRenamed("o", order)
+    keys = list(keys)
+    names = [f"k{i}" for i in range(len(keys))]
+    own = actions.select(F.struct(*(F.col(c).alias(n) for c, n in zip(keys, names, strict=True))).alias("key"), F.col(order).cast("long").alias("o"), F.col("action").alias("a"), F.col("text").alias("t"))
+    dealt = own.repartition("key").sortWithinPartitions("key", "o", "a", "t")
+    schema = T.StructType([*dealt.schema.fields, T.StructField("n", T.LongType()), T.StructField("place", T.IntegerType()), T.StructField("source", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: object = None
+        stack, at, n = array("q"), -1, 0
+        for b in batches:
+            out: list[tuple] = []
+            for own_key, action in zip(b.column("key").to_pylist(), b.column("a").to_pylist(), strict=True):
+                if n == 0 or own_key != key:
+                    key, stack, at, n = own_key, array("q"), -1, 0
+                n += 1
+                if action == "push":
+                    del stack[at + 1 :]
+                    stack.append(n)
+                    at += 1
+                elif action == "undo" and at > 0:
+                    at -= 1
+                elif action == "redo" and at < len(stack) - 1:
+                    at += 1
+                out.append((n, at, stack[at] if at >= 0 else None))
+            if out:
+                number, place, source = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64()), pa.array(place, pa.int32()), pa.array(source, pa.int64())], names=[*b.schema.names, "n", "place", "source"])
+
+    done = stored(dealt.mapInArrow(run, schema), "history")
+    texts = done.where("a = 'push'").select(F.col("key").alias("of"), F.col("n").alias("pushed"), F.col("t").alias("current"))
+    out = done.join(texts, (F.col("key") == F.col("of")) & (F.col("source") == F.col("pushed")), "left")
+    return out.select(*(F.col(f"key.{n}").alias(c) for c, n in zip(keys, names, strict=True)), F.col("o").alias(order), "place", "current")

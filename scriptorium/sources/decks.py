@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from scriptorium.sources.scratch import stored
 
 LISTED = "deck_id source_document_title created_at total_flashcards categories_distribution difficulty_distribution estimated_study_time_min mastery_percentage study_progress source_document_id".split()
 
@@ -17,10 +20,26 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).drop("part")
 
 
+RAW = "raw_record"
+
+
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Decks from JSON files, one to a file; files that can't be parsed are left out."""
-    reader = spark.read.option("multiLine", "true").option("mode", "DROPMALFORMED")
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    """Decks from JSON files, one to a file. No file is lost: of one that can't be parsed, or doesn't fit the schema, all fields that can't be
+    read are null, and raw_record has its text (null for good ones)."""
+    reader = spark.read.option("multiLine", "true").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
+    if schema is None:
+        found = reader.json(path)
+        return found if RAW in found.columns else found.withColumn(RAW, F.lit(None).cast("string"))
+    own = spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema
+    if RAW not in own.names:
+        own = T.StructType([*own.fields, T.StructField(RAW, T.StringType())])
+    return reader.schema(own).json(path)
+
+
+def verdicts(spark: SparkSession, path: str, schema) -> DataFrame:
+    """path, status (accepted or failed) and raw_record of each JSON file of decks."""
+    own = stored(read_json(spark, path, schema).withColumn("path", F.col("_metadata.file_path")), "decks")  # raw_record can't be read on its own
+    return own.select("path", F.when(F.col(RAW).isNull(), "accepted").otherwise("failed").alias("status"), RAW)
 
 
 def write_json(decks: DataFrame, path: str) -> None:

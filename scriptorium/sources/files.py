@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import lexicons as lx
+from scriptorium.sources.scratch import stored
 
 
 def extension(path: Column) -> Column:
@@ -48,6 +49,57 @@ def pages(documents: DataFrame, decode: Callable[[str, bytes], list[tuple[bytes,
     return documents.where("status = 'accepted'").select("path", "content").mapInPandas(run, "path string, page_number int, total_pages int, image binary, width int, height int, error string")
 
 
+MISSING, UNSUPPORTED, EMPTY = "no such file, or one without a byte", "unsupported format", "no pages"
+
+
+def _below(spark: SparkSession, root: str) -> DataFrame:
+    """path, size, content of all files below a folder; none where it doesn't exist."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], "path string, size bigint, content binary")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", F.col("length").alias("size"), "content")
+
+
+def ingest(wanted: DataFrame, root: str, decode: Callable[[str, bytes], list[tuple[bytes, int, int]]]) -> tuple[DataFrame, DataFrame]:
+    """(pages, verdicts) of the inputs ``wanted`` (path: below ``root``), as a batch: no input is lost, and none stops the others.
+
+    Each input has one verdict: accepted (total_pages), skipped (a kind that can't be read) or failed (it isn't there or is empty, its decoder
+    fails, or it has no pages), with the reason in ``error``. An input that is named twice is one file with two verdicts. ``pages`` has the
+    pages of the accepted ones. Files below ``root`` that nobody wants are neither opened nor decoded: only their names are read.
+    """
+    spark = wanted.sparkSession
+    full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))
+    asked = wanted.select(F.col("path"), full.alias("full"))
+    found = _below(spark, root)
+    # names as the file system gives them, whatever scheme the root is written with
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    prefix = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    name = F.substring_index(F.col("path"), prefix, -1)
+    kinds = asked.select("path").distinct().where(is_supported(F.col("path")))
+    names = found.select(name.alias("path")).join(kinds, "path", "left_semi")
+    read = with_status(found.withColumn("path", name).join(kinds, "path", "left_semi"))
+    decoded = stored(pages(read, decode), "pages")
+    counts = decoded.groupBy("path").agg(F.count_if(F.col("error").isNull()).alias("n"), F.first("error", ignorenulls=True).alias("problem"))
+    there = stored(names.distinct().join(counts, "path", "left").withColumn("is_there", F.lit(True)), "ingested")
+    own = wanted.select("path").join(there, "path", "left")
+    error = (
+        F.when(~is_supported(F.col("path")) | F.col("path").isNull(), UNSUPPORTED)
+        .when(F.col("is_there").isNull(), MISSING)
+        .when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(F.coalesce("n", F.lit(0)) == 0, EMPTY)
+    )
+    status = F.when(error.isNull(), "accepted").when(error == UNSUPPORTED, "skipped").otherwise("failed")
+    verdicts = own.select("path", status.alias("status"), F.when(error.isNull(), F.col("n")).otherwise(F.lit(0)).cast("int").alias("total_pages"), error.alias("error"))
+    return decoded.where("error is null").drop("error"), verdicts
+
+
+def batch_summary(verdicts: DataFrame) -> DataFrame:
+    """One row: batch_size (all inputs), accepted, skipped, failed, total_pages."""
+    n = lambda s: F.count_if(F.col("status") == s).alias(s)
+    return verdicts.agg(F.count(F.lit(1)).alias("batch_size"), n("accepted"), n("skipped"), n("failed"), F.coalesce(F.sum("total_pages"), F.lit(0)).alias("total_pages"))
+
+
 def data_uri(image: Column, kind: str = "image/jpeg") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(image))
 
