@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from scriptorium.plans import learning, pages, pixels, registry, study, texts  # noqa: F401  (they register their queries)
+from scriptorium.plans import flows, learning, pages, pixels, registry, study, texts  # noqa: F401  (they register their queries)
 
 
 def queries() -> dict:

@@ -61,37 +61,40 @@ def _below(spark: SparkSession, root: str) -> DataFrame:
     return files.select("path", F.col("length").alias("size"), "content")
 
 
-def ingest(wanted: DataFrame, root: str, decode: Callable[[str, bytes], list[tuple[bytes, int, int]]]) -> tuple[DataFrame, DataFrame]:
-    """(pages, verdicts) of the inputs ``wanted`` (path: below ``root``), as a batch: no input is lost, and none stops the others.
+def judged(wanted: DataFrame, found: DataFrame, decode: Callable[[str, bytes], list[tuple[bytes, int, int]]]) -> tuple[DataFrame, DataFrame]:
+    """(pages, verdicts) of the inputs ``wanted`` (path) among the files ``found`` (path, size, content), as a batch: no input is lost, and none
+    stops the others.
 
     Each input has one verdict: accepted (total_pages), skipped (a kind that can't be read) or failed (it isn't there or is empty, its decoder
     fails, or it has no pages), with the reason in ``error``. An input that is named twice is one file with two verdicts. ``pages`` has the
-    pages of the accepted ones. Files below ``root`` that nobody wants are neither opened nor decoded: only their names are read.
+    pages of the accepted ones. Files that nobody wants are not decoded.
     """
-    spark = wanted.sparkSession
-    full = F.concat(F.lit(root.rstrip("/") + "/"), F.col("path"))
-    asked = wanted.select(F.col("path"), full.alias("full"))
-    found = _below(spark, root)
-    # names as the file system gives them, whatever scheme the root is written with
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    prefix = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
-    name = F.substring_index(F.col("path"), prefix, -1)
-    kinds = asked.select("path").distinct().where(is_supported(F.col("path")))
-    names = found.select(name.alias("path")).join(kinds, "path", "left_semi")
-    read = with_status(found.withColumn("path", name).join(kinds, "path", "left_semi"))
-    decoded = stored(pages(read, decode), "pages")
-    counts = decoded.groupBy("path").agg(F.count_if(F.col("error").isNull()).alias("n"), F.first("error", ignorenulls=True).alias("problem"))
-    there = stored(names.distinct().join(counts, "path", "left").withColumn("is_there", F.lit(True)), "ingested")
-    own = wanted.select("path").join(there, "path", "left")
+    kinds = wanted.select("path").where(is_supported(F.col("path"))).distinct()
+    read = with_status(found.where(F.octet_length("content") > 0).join(kinds, "path", "left_semi"))
+    decoded = pages(read, decode)
+    # a file without pages has a row too, so that it is decoded once
+    marked = decoded.withColumn("is_page", F.col("error").isNull()).unionByName(read.select("path", F.lit(False).alias("is_page")), allowMissingColumns=True)
+    marked = stored(marked, "pages")
+    counts = marked.groupBy("path").agg(F.count_if("is_page").alias("n"), F.first("error", ignorenulls=True).alias("problem"), F.lit(True).alias("is_there"))
+    own = wanted.select("path").join(counts, "path", "left")
     error = (
         F.when(~is_supported(F.col("path")) | F.col("path").isNull(), UNSUPPORTED)
         .when(F.col("is_there").isNull(), MISSING)
         .when(F.col("problem").isNotNull(), F.col("problem"))
-        .when(F.coalesce("n", F.lit(0)) == 0, EMPTY)
+        .when(F.col("n") == 0, EMPTY)
     )
     status = F.when(error.isNull(), "accepted").when(error == UNSUPPORTED, "skipped").otherwise("failed")
     verdicts = own.select("path", status.alias("status"), F.when(error.isNull(), F.col("n")).otherwise(F.lit(0)).cast("int").alias("total_pages"), error.alias("error"))
-    return decoded.where("error is null").drop("error"), verdicts
+    return marked.where("is_page").drop("error", "is_page"), verdicts
+
+
+def ingest(wanted: DataFrame, root: str, decode: Callable[[str, bytes], list[tuple[bytes, int, int]]]) -> tuple[DataFrame, DataFrame]:
+    """:func:`judged` of inputs (path: below ``root``) and the files there. A root that isn't there has none."""
+    spark = wanted.sparkSession
+    # names as the file system gives them, whatever scheme the root is written with
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    prefix = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().getPath().rstrip("/") + "/"
+    return judged(wanted, _below(spark, root).withColumn("path", F.substring_index(F.col("path"), prefix, -1)), decode)
 
 
 def batch_summary(verdicts: DataFrame) -> DataFrame:
