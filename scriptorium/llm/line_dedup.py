@@ -8,8 +8,8 @@ A run that no other document has, however often its lines occur alone, pairs not
 Only the places of shared runs travel: the later document rebuilds from its own lines what the earlier one has there.
 Each pair is aligned with patience diff: lines unique in both anchor a longest increasing
 subsequence, and the gaps between anchors are aligned likewise. Blocks of aligned lines,
-consecutive in both, with MIN_BLOCK characters or more are deleted from the later document; so are
-runs of the earlier one that this alignment leaves over (repeated or moved lines).
+consecutive in both, with MIN_BLOCK characters or more are deleted from the later document. Where a shared run is left (lines
+that moved, or that the later document repeats), the stretches that it names in both are aligned again. Only aligned lines are deleted.
 """
 
 from __future__ import annotations
@@ -84,8 +84,8 @@ def spans(sizes, least: int) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def common_blocks(early: list, late: list, sizes: list, least: int = MIN_BLOCK) -> list[int]:
-    """Positions of ``late`` in blocks, consecutive in both, whose ``sizes`` sum up to ``least`` or more: aligned ones, then what is left."""
+def aligned_blocks(early: list, late: list, sizes: list, least: int) -> set[int]:
+    """Positions of ``late`` in blocks of aligned lines, consecutive in both, whose ``sizes`` sum up to ``least`` or more."""
     out, block, before = set(), [], None
     for i, j in [*patience(early, late), (-2, -2)]:
         if before is None or (i, j) != (before[0] + 1, before[1] + 1):
@@ -94,13 +94,25 @@ def common_blocks(early: list, late: list, sizes: list, least: int = MIN_BLOCK)
             block = []
         block.append(j)
         before = i, j
+    return out
+
+
+def common_blocks(early: list, late: list, sizes: list, least: int = MIN_BLOCK) -> list[int]:
+    """Positions of ``late`` in aligned blocks of ``least`` or more: of the whole documents, then, as long as a run of that size is left
+    that the early one has too (its lines moved, or repeated), of the stretches that the run names in both. What no alignment has found
+    stays."""
+    out = aligned_blocks(early, late, sizes, least)
     if len(out) < len(late):
         size = dict(zip(late, sizes, strict=True))
         known = [size.get(x, least) for x in early]  # a line that ``late`` lacks (None too) is in no common run
-        runs = {tuple(early[a:b]) for a, b in zip(*(x.tolist() for x in spans(known, least)), strict=True)}
+        runs: dict[tuple, int] = {}
+        for a, b in zip(*(x.tolist() for x in spans(known, least)), strict=True):
+            runs.setdefault(tuple(early[a:b]), a)
         for a, b in zip(*(x.tolist() for x in spans(sizes, least)), strict=True):
-            if tuple(late[a:b]) in runs:
-                out.update(range(a, b))
+            if not out.issuperset(range(a, b)):
+                at = runs.get(tuple(late[a:b]))
+                if at is not None:
+                    out.update(a + j for j in aligned_blocks(early[at : at + b - a], late[a:b], sizes[a:b], least))
     return sorted(out)
 
 
@@ -213,24 +225,24 @@ def deduplicate(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.drop("n_removed_lines")
-    rid, places_of = common.unused(docs.columns, "rid"), common.unused(docs.columns, "gone")
-    own = common.bucketed(spark, docs.withColumn(rid, F.monotonically_increasing_id()), rid, "rows")
-    work = own.select(F.col(rid).alias("rid"), F.col("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    gone = _removed(work, least).toDF(rid, places_of)
+    # the user's columns travel as one, so their names mean nothing here
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), row, F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = common.bucketed(spark, rows, "rid", "rows")
+    gone = _removed(own.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text")), least)
     # the rows stay in their buckets; only the places of deleted lines travel
-    marked = own.join(gone.hint("shuffle_hash"), rid, "left").drop(rid)
-    names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed_lines", T.LongType())])
+    marked = own.select("rid", "row", "text").join(gone.hint("shuffle_hash"), "rid", "left").drop("rid")
+    schema = T.StructType([marked.schema["row"], T.StructField("text", T.StringType()), T.StructField("n_removed_lines", T.LongType())])
 
     def strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, removed = [], []
-            for t, places in zip(b.column("text").to_pylist(), b.column(places_of).to_pylist(), strict=True):
+            for t, places in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
                 places = set(places or ()) if t is not None else ()
                 texts.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in places) if places else t)
                 removed.append(len(places))
-            text = pa.array(texts, pa.string())
-            cols = [text if c == "text" else b.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(removed, pa.int64())], names=[*names, "n_removed_lines"])
+            yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["row", "text", "n_removed_lines"])
 
-    return marked.mapInArrow(strip, schema)
+    out = marked.mapInArrow(strip, schema)
+    columns = [F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*columns, "n_removed_lines")

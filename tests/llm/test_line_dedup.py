@@ -128,3 +128,50 @@ def test_columns_of_any_name(spark):
     got = ld.deduplicate(docs)
     assert got.columns == ["doc_id", "text", "rid", "_RID", "gone", "n_removed_lines"]
     assert sorted(tuple(r) for r in got.collect()) == [(1, "a" * 60, 5, 6, 7, 0), (2, "", 5, 6, 7, 1)]
+
+
+def test_only_aligned_lines_are_deleted(spark, monkeypatch):
+    """Without the alignment nothing goes: a shared run names stretches, it deletes none."""
+    rows = lined()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ld.deduplicate(df).agg({"n_removed_lines": "sum"}).first()[0] > 0
+    early, late = ["p" * 30, "q" * 30, "r" * 60], ["r" * 60, "y", "p" * 30, "q" * 30]
+    assert ld.common_blocks(early, late, [len(x) for x in late]) == [0, 2, 3]
+    monkeypatch.setattr(ld, "patience", lambda a, b: [])
+    assert ld.common_blocks(early, late, [len(x) for x in late]) == []
+
+
+def plain_pairs(rows, least=ld.MIN_BLOCK):
+    """(doc_id, deleted places): lines of common substrings of lines, by a table of matches of every pair, without the operator's functions."""
+    docs = [(i, [(k, x) for k, x in enumerate((t or "").split("\n")) if x.strip(" \t\n\v\f\r")]) for i, t in sorted(rows)]
+    out = {}
+    for n, (i, own) in enumerate(docs):
+        gone, lines = set(), {x for _, x in own}
+        for _, early in docs[:n]:
+            if not any(x in lines for _, x in early):
+                continue
+            before = [0] * (len(early) + 1)
+            for b in range(len(own)):
+                now = [0] * (len(early) + 1)
+                for a in range(len(early)):
+                    if early[a][1] == own[b][1]:
+                        now[a + 1] = before[a] + 1
+                        if sum(len(own[j][1]) for j in range(b - now[a + 1] + 1, b + 1)) >= least:
+                            gone.update(own[j][0] for j in range(b - now[a + 1] + 1, b + 1))
+                before = now
+        out[i] = gone
+    return out
+
+
+def test_against_a_table_of_all_pairs(spark):
+    rows, got = deleted(spark, spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text"))
+    for i, gone in plain_pairs(list(rows.items())).items():
+        assert got[i] == (len(gone), "\n".join(x for k, x in enumerate(rows[i].split("\n")) if k not in gone))
+
+
+def test_dotted_names(spark):
+    docs = spark.createDataFrame([(1, "a" * 60, 5), (2, "a" * 60, 6)], ["doc_id", "text", "a.b"])
+    got = ld.deduplicate(docs)
+    assert got.columns == ["doc_id", "text", "a.b", "n_removed_lines"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, "a" * 60, 5, 0), (2, "", 6, 1)]
+    assert ld.deduplicate(docs.limit(0)).collect() == []
