@@ -166,19 +166,18 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     Null and blank texts contain nothing and stay; repeated rows stay or go each; an empty ``benchmark`` keeps all rows, an
     empty ``docs`` gives none.
     """
-    columns, schema = docs.columns, docs.schema
-    own = common.unused(columns, "text_read")
+    # the user's columns travel as one, so their names mean nothing here
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
     for sketches in _blocks(benchmark, width, threshold, block_bytes):
 
         def free(batches: Iterator[pa.RecordBatch], s=sketches) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                texts = [t or b"" for t in b.column(own).cast(pa.binary()).to_pylist()]
+                texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
                 bad = {t for a, z in _slices(texts) for t in (a + x[0] for x in s.value.search(texts[a:z]))}
-                keep = pa.array([k not in bad for k in range(len(texts))], pa.bool_())
-                yield b.select(columns).filter(keep)
+                yield b.filter(pa.array([k not in bad for k in range(len(texts))], pa.bool_()))
 
-        docs = docs.withColumn(own, F.col("text").cast("string")).mapInArrow(free, schema)
-    return docs
+        own = own.mapInArrow(free, own.schema)
+    return own.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 SQL = r"""
