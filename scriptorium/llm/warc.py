@@ -138,15 +138,21 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], shape: Shape) -> DataF
 
 def fixity(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """One row per record of ``ours`` (as from :func:`records`): page_id, warc_file, record_offset, record_length, sha256, intact:
-    whether the replica ``theirs`` has the same record at the same place.
+    whether the replica ``theirs`` has the same record in the same file, at its place or moved by others that were lost or added.
 
     Null page_ids are records like others, repeated records have places of their own, an empty replica leaves none intact,
     an empty archive gives no rows.
     """
     mine, other = leaves(ours), leaves(theirs)
     shape = Shape.of(mine, other)
-    damaged = audit(tree(mine, shape), tree(other, shape), shape).withColumn("damaged", F.lit(True))
-    out = mine.join(damaged, ["file", "seq"], "left")
+    differ = audit(tree(mine, shape), tree(other, shape), shape)
+    # of the records that differ by place, those that the replica's differing places hold too have only moved: a lost record shifts all
+    # that follow it in its file, and is the only one that is missing
+    same, number = ["file", "page_id", "digest"], F.row_number().over(Window.partitionBy("file", "page_id", "digest").orderBy("seq"))
+    a, b = (side.join(differ, ["file", "seq"], "left_semi").select(*same, "seq", number.alias("k")) for side in (mine, other))
+    there = b.select(*(F.col(c).alias(f"b_{c}") for c in same), F.col("k").alias("b_k"))
+    damaged = a.join(there, [F.col(c).eqNullSafe(F.col(f"b_{c}")) for c in same] + [F.col("k") == F.col("b_k")], "left_anti")
+    out = mine.join(damaged.select("file", "seq").withColumn("damaged", F.lit(True)), ["file", "seq"], "left")
     return out.select(
         "page_id", F.col("file").alias("warc_file"), F.col("start").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("sha256"), F.col("damaged").isNull().alias("intact")
     )

@@ -92,3 +92,18 @@ def test_one_page_id_of_many_rows_is_many_ranges(spark, monkeypatch):
     damaged = p.withColumn("html", F.when(F.col("url") == "http://h/3", "!").otherwise(F.col("html")))
     out = warc.fixity(warc.records(p), warc.records(damaged)).collect()
     assert len(out) == 603 and any(not r.intact for r in out)
+
+
+def test_one_lost_record_is_one_finding(spark):
+    """Every later record of the file stands elsewhere in the replica, but is there."""
+    pages = spark.createDataFrame([(k, f"http://x/{k}", f"<p>{k % 7}</p>" * (k % 5)) for k in range(200)] + [(50, "http://x/50", "<p>1</p>" * 0)], "page_id long, url string, html string")
+    mine = warc.records(pages, per_file=64)
+    lost = warc.records(pages.where("page_id <> 20"), per_file=64)
+    assert [r.page_id for r in warc.fixity(mine, lost).where("not intact").collect()] == [20]
+    assert warc.fixity(lost, mine).where("not intact").count() == 0
+    # one of two equal records is missing: one finding
+    once = warc.records(pages.dropDuplicates(["page_id"]), per_file=64)
+    assert [r.page_id for r in warc.fixity(mine, once).where("not intact").collect()] == [50]
+    # a wrong byte beside a lost record
+    both = warc.records(pages.where("page_id <> 20").withColumn("html", F.when(F.col("page_id") == 30, "?").otherwise(F.col("html"))), per_file=64)
+    assert sorted(r.page_id for r in warc.fixity(mine, both).where("not intact").collect()) == [20, 30]
