@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from scriptorium.llm import common
 
 MIN_WORDS = 50
+PRIOR_DOCUMENTS = 2000.0
 MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 RULES = ("symbols", "repeats", "lines", "word_length", "sentences", "capitals", "variety", "marks")
@@ -101,14 +102,15 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(got[:, k]) for k in range(6))], names=["doc_id", *_COLUMNS])
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_documents: float = PRIOR_DOCUMENTS) -> tuple[np.ndarray, np.ndarray]:
     """(posterior probability of quality per pattern, accuracy per rule) by expectation-maximisation.
 
     Each rule has two rates: how often it votes bad on bad documents and on good ones, where it votes;
     an abstention tells nothing. It begins from "one bad vote is enough": kinds of junk are caught by
     different rules, and a start from the majority would take each rule's finds for noise. The rate on good
-    documents has a prior of one in 500 worth ``trust`` times all documents, which keeps the classes' meaning; that
-    on bad documents one of a half worth one document.
+    documents has a prior of one in 500 worth ``prior_documents`` documents, however many there are: it keeps the classes' meaning where
+    little is known, and a rule that calls many documents bad which all others call good is outvoted. That on bad documents has a prior of a
+    half worth one document.
     """
     k = len(RULES)
     if not len(patterns):
@@ -116,10 +118,9 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, trust:
     votes = (patterns[:, None] // 3 ** np.arange(k)) % 3
     bad, cast = votes == 0, votes != 1
     good = np.where(bad.any(1), 0.05, 0.95)
-    strong = trust * counts.sum() + 1
     for _ in range(rounds):
         rates = []
-        for p, r, n in ((1 - good, 0.5, 1.0), (good, 0.002, strong)):
+        for p, r, n in ((1 - good, 0.5, 1.0), (good, 0.002, prior_documents + 1)):
             w = (counts * p)[:, None]
             rates.append(((w * bad).sum(0) + n * r) / ((w * cast).sum(0) + n))
         prior = ((counts * good).sum() + 1) / (counts.sum() + 2)
@@ -136,13 +137,25 @@ def _failed():
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
+def _estimated(measured: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(patterns, posterior probability of each, accuracy of each rule) from all documents that the base leaves to the rules."""
+    counted = measured.groupBy("pattern").agg(F.count_if(~_failed())).collect()  # 3 ** 8 rows at most
+    patterns = np.array([r[0] for r in counted], np.int64)
+    return patterns, *estimate(patterns, np.array([r[1] for r in counted], float))
+
+
+def accuracies(docs: DataFrame) -> DataFrame:
+    """rule, accuracy: the share of each rule's votes that agree with the posterior, over all documents that the base passes; 0 of a rule
+    that never votes, and of an empty table."""
+    spark = docs.sparkSession
+    right = _estimated(common.stored(spark, common.id_text(docs).mapInArrow(_measured, _SCHEMA), "measures"))[2]
+    return spark.createDataFrame([(r, float(a)) for r, a in zip(RULES, right, strict=True)], "rule string, accuracy double")
+
+
 def _judged(measured: DataFrame) -> DataFrame:
     """base_failed and p_quality beside the columns of ``measured`` (a stored table)."""
     spark = measured.sparkSession
-    counted = measured.groupBy("pattern").agg(F.count_if(~_failed())).collect()  # 3 ** 8 rows at most
-    patterns = np.array([r[0] for r in counted], np.int64)
-    counts = np.array([r[1] for r in counted], float)  # of the documents that the base leaves to the rules
-    p = estimate(patterns, counts)[0] if len(counted) else np.zeros(0)
+    patterns, p, _ = _estimated(measured)
     posterior = spark.createDataFrame([(int(a), float(b)) for a, b in zip(patterns, p, strict=True)], "pattern long, p_quality double")
     return measured.join(F.broadcast(posterior), "pattern").withColumn("base_failed", _failed())
 

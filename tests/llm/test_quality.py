@@ -60,7 +60,7 @@ def test_a_noisy_rule_is_outvoted():
 
     good, noisy, junk = pattern(), pattern(capitals=1), pattern(symbols=1, repeats=1)
     noisy_junk = pattern(symbols=1, repeats=1, capitals=1)
-    p, accuracy = quality.estimate(np.array([good, noisy, junk, noisy_junk]), np.array([6000.0, 2000.0, 900.0, 300.0]), trust=0.0)
+    p, accuracy = quality.estimate(np.array([good, noisy, junk, noisy_junk]), np.array([6000.0, 2000.0, 900.0, 300.0]))
     assert p[0] > 0.9 and p[1] > 0.5 and p[2] < 0.5 and p[3] < 0.5
     assert accuracy[quality.RULES.index("capitals")] < min(accuracy[quality.RULES.index(r)] for r in ("symbols", "repeats"))
 
@@ -72,6 +72,24 @@ def test_the_start_reads_a_single_bad_vote_as_junk():
     assert p[0] >= 0.5 and (p[1:] < 0.5).all()  # the verdicts: a good document has nothing that only good ones have
 
 
+def test_a_noisy_rule_is_outvoted_by_the_query(spark):
+    """The same over texts: a third of the good documents have many exclamation marks and nothing else, junk is known by symbols and sentences."""
+    import random
+
+    r = random.Random(3)
+    text = lambda marks: " ".join(r.choice(cases.WORDS) + str(r.randrange(4000)) + (("!!" if k % 5 < 2 else "") if marks else "." if k % 9 == 8 else "") for k in range(80))
+    junk = lambda: " ".join(["##$$ %% ab"] * 9 + [r.choice(cases.WORDS) + f"#{r.randrange(900)}" for _ in range(70)])
+    rows = [(k, text(k % 3 == 0)) for k in range(7200)] + [(9000 + k, junk()) for k in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by = {x.doc_id: x for x in quality.judge(df).collect()}
+    votes = [(quality.measure(t.encode())[5] // 3 ** quality.RULES.index("marks")) % 3 for _, t in rows[:7200]]
+    assert sum(v == 0 for v in votes) == 2400
+    assert not any(x.base_failed for x in by.values())
+    assert all(by[k].kept for k in range(7200)) and not any(by[9000 + k].kept for k in range(900))
+    own = {x.rule: x.accuracy for x in quality.accuracies(df).collect()}
+    assert own["marks"] < 0.8 < own["symbols"] and set(own) == set(quality.RULES)
+
+
 def test_very_long_and_clashing(spark):
     docs = spark.createDataFrame([(1, "word " * 300_000, "x"), (2, " ".join(f"w{k}." if k % 9 == 0 else f"w{k}" for k in range(200_000)), "y"), (None, None, "z")], "doc_id long, text string, n_words string")
     got = {r.doc_id: r for r in quality.judge(docs).collect()}
