@@ -166,8 +166,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
     Null and blank texts contain nothing and stay; repeated rows stay or go each; an empty ``benchmark`` keeps all rows, an
     empty ``docs`` gives none.
     """
-    # the user's columns travel as one, so their names mean nothing here
-    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("text").cast("string").alias("text"))
+    # the user's other columns travel as one, so their names mean nothing here
+    own = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row"), F.col("text").cast("string").alias("text"))
     for sketches in _blocks(benchmark, width, threshold, block_bytes):
 
         def free(batches: Iterator[pa.RecordBatch], s=sketches) -> Iterator[pa.RecordBatch]:
@@ -177,7 +177,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, threshold:
                 yield b.filter(pa.array([k not in bad for k in range(len(texts))], pa.bool_()))
 
         own = own.mapInArrow(free, own.schema)
-    return own.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
+    return own.select(*(F.col("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 SQL = r"""

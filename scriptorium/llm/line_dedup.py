@@ -102,14 +102,20 @@ def common_blocks(early: list, late: list, sizes: list, least: int = MIN_BLOCK)
     that the early one has too (its lines moved, or repeated), of the stretches that the run names in both. What no alignment has found
     stays."""
     out = aligned_blocks(early, late, sizes, least)
-    if len(out) < len(late):
-        size = dict(zip(late, sizes, strict=True))
-        known = [size.get(x, least) for x in early]  # a line that ``late`` lacks (None too) is in no common run
-        runs: dict[tuple, int] = {}
-        for a, b in zip(*(x.tolist() for x in spans(known, least)), strict=True):
-            runs.setdefault(tuple(early[a:b]), a)
-        for a, b in zip(*(x.tolist() for x in spans(sizes, least)), strict=True):
-            if not out.issuperset(range(a, b)):
+    there = set(early)
+    # of the runs of the later document only those count that have a line left, and none that the early one lacks
+    open_ = np.cumsum([0, *(x in there and k not in out for k, x in enumerate(late))])
+    if open_[-1]:
+        begins, ends = spans(sizes, least)
+        has = np.cumsum([0, *(x in there for x in late)])
+        left = (has[ends] - has[begins] == ends - begins) & (open_[ends] > open_[begins])
+        if left.any():
+            size = dict(zip(late, sizes, strict=True))
+            known = [size.get(x, least) for x in early]  # a line that ``late`` lacks (None too) is in no common run
+            runs: dict[tuple, int] = {}
+            for a, b in zip(*(x.tolist() for x in spans(known, least)), strict=True):
+                runs.setdefault(tuple(early[a:b]), a)
+            for a, b in zip(begins[left].tolist(), ends[left].tolist(), strict=True):
                 at = runs.get(tuple(late[a:b]))
                 if at is not None:
                     out.update(a + j for j in aligned_blocks(early[at : at + b - a], late[a:b], sizes[a:b], least))
@@ -225,8 +231,8 @@ def deduplicate(docs: DataFrame, least: int = MIN_BLOCK) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.drop("n_removed_lines")
-    # the user's columns travel as one, so their names mean nothing here
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    # the user's other columns travel as one, so their names mean nothing here
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), row, F.col("doc_id").alias("doc_id"), F.col("text").cast("string").alias("text"))
     own = common.bucketed(spark, rows, "rid", "rows")
     gone = _removed(own.select("rid", "doc_id", F.coalesce("text", F.lit("")).alias("text")), least)
