@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,12 +12,18 @@ from scriptorium.functions import lexicons as lx
 CONTROL = r"[\x00-\x08\x0B\x0C\x0E-\x1F]"
 HYPHEN = r"(\b[a-zA-Z]{2,})-\s*\n\s*([a-zA-Z]{2,}\b)"
 NO_SPACE = r"([a-zA-Z0-9]{2,}[.?!,;:>])([a-zA-Z])"
-STRIP = r"(?U)^\s+|\s+$"
+#: Unicode's white space
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(value)`` with the value computed once, however often ``f`` names it, and nothing of ``f`` computed that it doesn't come to."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
-    return F.regexp_replace(c, STRIP, "")
+    return F.btrim(c, F.lit(WHITE))
 
 
 def blank(c: Column) -> Column:
@@ -61,11 +67,17 @@ def spaced(c: Column) -> Column:
 
 
 def recovered(c: Column) -> Column:
-    """Text recovery; blank texts become empty."""
-    t = spaced(joined_hyphens(without_controls(c)))
-    t = collapse_runs(F.regexp_replace(t, r"(?U)\s+([,.:;?!])", "$1"))
-    lines = F.transform(F.split(t, "\n", -1), lambda x: strip(F.regexp_replace(x, "[ \t]+", " ")))
-    return F.when(blank(c), F.lit("")).otherwise(strip(F.array_join(lines, "\n")))
+    """Text recovery; blank texts become empty. A step's pattern runs over a text only if a cheaper test leaves it a chance."""
+
+    def guarded(t: Column, test: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+        return let(t, lambda x: F.when(test(x), step(x)).otherwise(x))
+
+    t = guarded(without_controls(c), lambda x: x.contains("-"), lambda x: F.regexp_replace(x, "(?U)" + HYPHEN.replace("{2,})-", "{2,}+)-"), "$1$2"))
+    t = guarded(t, lambda x: x.rlike("[.?!,;:>][a-zA-Z]"), lambda x: F.regexp_replace(x, NO_SPACE.replace("{2,}", "{2,}+"), "$1 $2"))
+    t = F.regexp_replace(t, r"(?U)\s++([,.:;?!])", "$1")
+    t = guarded(t, lambda x: x.contains("..") | x.contains("??") | x.contains("!!") | x.contains(",,"), collapse_runs)
+    t = guarded(t, lambda x: x.contains("  ") | x.contains("\t"), lambda x: F.regexp_replace(x, "[ \t]+", " "))
+    return F.when(blank(c), F.lit("")).otherwise(strip(F.array_join(F.transform(F.split(t, "\n", -1), strip), "\n")))
 
 
 def repairs(c: Column) -> dict[str, Column]:

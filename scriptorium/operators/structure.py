@@ -93,18 +93,33 @@ def reconstruct(docs: DataFrame, text: str = "text") -> DataFrame:
 
     Each rule rewrites its first match in the text that the rules before it left.
     """
-    out = topic_prior(docs, text).withColumn("recon_text", F.col(text))
-    edits = []
-    for k, (pattern, to, _, confidence) in enumerate(lx.RECONSTRUCTIONS):
-        p, now = "(?iU)" + pattern, F.col("recon_text")
-        at, m = F.regexp_instr(now, F.lit(p)), F.regexp_extract(now, p, 0)
-        hit = rl.may_match(now, [(k, pattern, to, "", confidence, "(?iU)")]) & (at > 0) & (m != to) & ~tx.blank(F.col(text))
-        edit = F.struct(F.lit(k).alias("rule"), (at - 1).alias("begin"), (at - 1 + F.length(m)).alias("stop"), m.alias("original"), F.lit(to).alias("proposed"), F.lit(confidence).alias("confidence"))
-        out = out.withColumn(f"__e{k}", F.when(hit, edit))
-        e = F.col(f"__e{k}")
-        out = out.withColumn("recon_text", F.when(e.isNotNull(), F.concat(F.substring(now, F.lit(1), e["begin"]), F.lit(to), F.substring(now, e["stop"] + 1, F.length(now)))).otherwise(now))
-        edits.append(e)
-    out = out.withColumn("recon_edits", F.filter(F.array(*edits), lambda e: e.isNotNull())).drop(*(f"__e{k}" for k in range(len(edits))))
+    kind = "array<struct<rule:int,begin:int,stop:int,original:string,proposed:string,confidence:double>>"
+    begin = F.struct(F.col(text).alias("text"), F.array().cast(kind).alias("edits"))
+    rules = [(k, p, to, "", confidence, "(?iU)") for k, (p, to, _, confidence) in enumerate(lx.RECONSTRUCTIONS)]
+
+    def rewritten(state: Column, rule: tuple) -> Column:
+        k, pattern, to, _, confidence, flags = rule
+        p = flags + pattern
+
+        def edited(x: Column, found: Column) -> Column:
+            stop = found["at"] + F.length(found["m"])
+            edit = F.struct(F.lit(k).alias("rule"), (found["at"] - 1).alias("begin"), (stop - 1).alias("stop"), found["m"].alias("original"), F.lit(to).alias("proposed"), F.lit(confidence).alias("confidence"))
+            new = F.concat(F.substring(x["text"], F.lit(1), found["at"] - 1), F.lit(to), F.substring(x["text"], stop, F.length(x["text"])))
+            return F.when((found["at"] > 0) & (found["m"] != to), F.struct(new.alias("text"), F.concat(x["edits"], F.array(edit)).cast(kind).alias("edits"))).otherwise(x)
+
+        def step(x: Column) -> Column:
+            found = F.struct(F.regexp_instr(x["text"], F.lit(p)).alias("at"), F.regexp_extract(x["text"], p, 0).alias("m"))
+            return F.when(rl.may_match(x["text"], [rule]), tx.let(found, lambda y: edited(x, y))).otherwise(x)
+
+        return tx.let(state, step)
+
+    done = begin
+    for rule in rules:
+        done = rewritten(done, rule)
+    # most texts have no rule's stem, and no rule makes one of nothing
+    done = F.when(rl.may_match(F.col(text), rules) & ~tx.blank(F.col(text)), done).otherwise(begin)
+    out = topic_prior(docs, text).withColumn("__done", done)
+    out = out.withColumns({"recon_text": F.col("__done.text"), "recon_edits": F.col("__done.edits")}).drop("__done")
     boosted = F.col("recon_text")
     for topic, rules in lx.TOPIC_WORDS.items():
         boosted = F.when(F.col("topic") == topic, tx.replace_all(F.col("recon_text"), rules)).otherwise(boosted)
