@@ -308,6 +308,45 @@ def fallback_words(docs: DataFrame, doc: list[str], dictionary: list[str], text:
     return docs.select(*doc, F.posexplode(chosen).alias("place", "word")).withColumn("place", F.col("place") + 1).withColumn("difficulty", level)
 
 
+def fallback_cards(
+    docs: DataFrame, doc: list[str], dictionary: list[str], text: str = "text", title: str = "title", senses: DataFrame | None = None, created_at: str = "1970-01-01T00:00:00Z"
+) -> DataFrame:
+    """Vocabulary cards of documents without corrections: one for each of :func:`fallback_words`, with the columns of :func:`build_cards`."""
+    words = fallback_words(docs, doc, dictionary, text).join(docs.select(*doc, F.col(title).alias("title")), doc)
+    w = F.col("word")
+    sentence = F.concat(F.lit("We learned about "), w, F.lit(" in class."))
+    asked = words.withColumns(
+        {"original": w, "proposed": w, "category": F.lit("Vocabulary & Spelling"), "explanation": F.concat(F.lit("Key vocabulary word in "), "title"), "original_sentence": sentence, "corrected_sentence": sentence}
+    )
+    own = vocabulary.describe(asked, [*doc, "place"], senses)
+    pos = F.col("pos")
+    own = own.withColumns(
+        {
+            "child_definition": F.when(F.col("child_definition") != "", F.col("child_definition")).otherwise(F.concat(F.lit("A key vocabulary term from "), "title", F.lit("."))),
+            "example": F.when(F.col("example") != "", F.col("example")).otherwise(F.concat(F.lit("We learned about "), w, F.lit(" during our class study."))),
+            "explanation": F.concat(F.lit("Key vocabulary word extracted from "), "title", F.lit(".")),
+            "rule": F.concat(F.lit("Understand the usage and definition of key vocabulary word '"), w, F.lit("'.")),
+            "learning_objective": F.concat(F.lit("Master key vocabulary term '"), w, F.lit("'.")),
+            "tags": F.array(F.lit("Vocabulary"), F.lit("Spelling"), tx.capitalized(pos)),
+            "card_id": F.concat_ws("_", F.lit("card_text"), *(F.col(c).cast("string") for c in doc), F.col("place").cast("string")),
+        }
+    )
+    front = F.struct(
+        F.concat(F.lit("Vocabulary Explorer: "), tx.capitalized(w)).alias("title"), F.concat(F.lit("What is the child-friendly definition and part of speech for '"), w, F.lit("'?")).alias("prompt"),
+        F.col("original_sentence").alias("context_sentence"), w.alias("target_word"), w.alias("highlight"), F.concat(F.lit("Part of speech: "), pos).alias("hint"),
+    )
+    back = F.struct(
+        w.alias("target_word"), pos.alias("part_of_speech"), F.col("child_definition").alias("definition"), F.col("child_definition"), F.col("example").alias("example_sentence"), F.col("explanation"), F.col("rule"),
+        F.col("synonyms"), F.col("antonyms"), F.col("pronunciation"), F.col("source").alias("dictionary_source"),
+    )
+    flags = {f: F.lit(False) for f in ("is_mastered", "is_bookmarked", "needs_review")}
+    own = own.withColumns({"front": front, "back": back, "card_style": F.lit("Vocabulary_Explorer"), "confidence": F.lit(0.92), "n_merged": F.lit(1), "extra_examples": F.array().cast("array<string>"), "created_at": F.lit(created_at)} | flags)
+    return own.select(
+        *doc, "card_id", "title", "category", "card_style", "original", "proposed", "original_sentence", "corrected_sentence", "front", "back", "explanation", "rule", "learning_objective", "difficulty", "confidence", "tags", "pos",
+        "is_vocabulary", "sense", "definition", "child_definition", "example", "synonyms", "antonyms", "pronunciation", "source", "verify", "n_merged", "extra_examples", "created_at", *flags,
+    )
+
+
 def decks(cards: DataFrame, doc: list[str]) -> DataFrame:
     """Deck headers: deck_id, total_flashcards, categories and difficulties (maps), estimated_study_time_min."""
     by_category = cards.groupBy(*doc, "category").count().groupBy(*doc).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("category", "count")))).alias("categories"))

@@ -79,28 +79,34 @@ def accuracy(rows: DataFrame, expected: str, found: str) -> DataFrame:
     return rows.agg(n.alias("total"), ok.alias("correct"), F.round(ok / F.greatest(F.lit(1), n), 4).alias("accuracy"))
 
 
+def _counted(asks: DataFrame, teaches: DataFrame, user: list[str]) -> DataFrame:
+    """``asks`` (user, step, key) with before and after: how many of ``teaches`` (user, step, key) came before its step, and up to it."""
+    every = asks.withColumn("teach", F.lit(0)).unionByName(teaches.withColumn("teach", F.lit(1)))
+    w = Window.partitionBy(*user, "key").orderBy("step")
+    n = lambda upto: F.coalesce(F.sum("teach").over(w.rangeBetween(Window.unboundedPreceding, upto)), F.lit(0))
+    return every.withColumns({"before": n(-1), "after": n(0)}).where("teach = 0").select(*user, "step", "before", "after")
+
+
 def learning_curve(steps: DataFrame, user: list[str]) -> DataFrame:
-    """For feedback steps (user, step, original, accepted) in order: what the profile adds to the accepted text before and after each step.
+    """For feedback steps (user, step: a whole number, original, accepted) in order: corrections_accepted so far, and what the profile adds to the accepted
+    text before and after each step.
 
     The boost of a text is the sum over its words of min(0.12, 0.03 n) and of min(0.20, 0.05 n) for the text as an error, up to
-    0.25; n counts the earlier feedback of the user. Counting by window keeps the replay in one pass.
+    0.25; n counts the earlier feedback of the user. Words meet the feedback that taught them in a window of their own, so a user's
+    steps are never paired with each other.
     """
-    own = steps.withColumns({"o": F.lower(tx.strip(F.col("original"))), "a": F.lower(tx.strip(F.col("accepted")))}).withColumn("__c", F.col("o") != F.col("a"))
-    past = own.where("__c").select(*user, F.col("step").alias("__s"), F.col("o").alias("__o"), F.col("a").alias("__a"))
-    asked = own.select(*user, "step", "a", F.explode_outer(F.transform(tx.tokens(F.col("a")), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))).alias("w"))
-    hits = asked.join(past, user, "left")
-
-    def total(before: bool):
-        seen = (F.col("__s") < F.col("step")) if before else (F.col("__s") <= F.col("step"))
-        n = hits.groupBy(*user, "step", "a", "w").agg(F.count_if(seen & (F.col("__a") == F.col("w"))).alias("n"), F.count_if(seen & (F.col("__o") == F.col("a"))).alias("e"))
-        k = asked.groupBy(*user, "step", "a", "w").agg(F.count(F.lit(1)).alias("k"))
-        both = n.join(k, [*user, "step", "a", "w"])
-        s = F.sum(F.col("k") * F.least(F.lit(0.12), F.col("n") * 0.03)) + F.least(F.lit(0.20), F.max("e") * 0.05)
-        return both.groupBy(*user, "step").agg(F.round(F.least(F.lit(0.25), s), 6).alias("before" if before else "after"))
-
+    own = steps.select(*user, F.col("step").cast("long").alias("step"), F.lower(tx.strip(F.col("original"))).alias("o"), F.lower(tx.strip(F.col("accepted"))).alias("a"))
+    own = own.withColumn("c", F.col("o") != F.col("a"))
+    taught = own.where("c")
+    words = own.select(*user, "step", F.explode(F.transform(tx.tokens(F.col("a")), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))).alias("key"))
+    by_word = _counted(words, taught.select(*user, "step", F.col("a").alias("key")), user)
+    by_text = _counted(own.select(*user, "step", F.col("a").alias("key")), taught.select(*user, "step", F.col("o").alias("key")), user)
+    boost = lambda most, each: [F.least(F.lit(most), F.col(k) * each).alias(f"{k}_boost") for k in ("before", "after")]
+    every = by_word.select(*user, "step", *boost(0.12, 0.03)).union(by_text.select(*user, "step", *boost(0.20, 0.05)))
+    boosts = every.groupBy(*user, "step").agg(*(F.round(F.least(F.lit(0.25), F.sum(f"{k}_boost")), 6).alias(k) for k in ("before", "after")))
     w = Window.partitionBy(*user).orderBy("step")
-    counts = own.select(*user, "step", F.sum(F.col("__c").cast("int")).over(w).alias("corrections_accepted"))
-    return counts.join(total(True), [*user, "step"]).join(total(False), [*user, "step"])
+    counts = own.select(*user, "step", F.sum(F.col("c").cast("int")).over(w).alias("corrections_accepted"))
+    return counts.join(boosts, [*user, "step"])
 
 
 # Noisy handwriting (id, raw, what the corrected text must hold).

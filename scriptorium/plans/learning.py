@@ -267,17 +267,44 @@ _DICTIONARY = ("there", "heat", "tion", "volume", "that", "with")
 _FOUND = "list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b[A-Za-z]{3,}\\b'), lambda w: lower(w))"
 
 
-@query(
-    f"""WITH {CORPUS}, f AS (SELECT doc_id, {_FOUND} AS ws FROM corpus), p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS nth FROM f), d AS (SELECT doc_id, word, min(nth) AS nth FROM p GROUP BY doc_id, word),
+FALLBACK = (
+    f"""{CORPUS}, f AS (SELECT doc_id, {_FOUND} AS ws FROM corpus), p AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS nth FROM f), d AS (SELECT doc_id, word, min(nth) AS nth FROM p GROUP BY doc_id, word),
 k AS (SELECT *, word IN ({", ".join(quoted(w) for w in _DICTIONARY)}) AS known FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, known ORDER BY nth) AS n FROM k),
 c AS (SELECT *, least(10, count(*) FILTER (known) OVER (PARTITION BY doc_id)) AS n_known FROM r),
-o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN known THEN 0 ELSE 1 END, nth) AS place FROM c WHERE known AND n <= 10 OR NOT known AND n_known < 5 AND length(word) >= 4 AND word NOT IN ({", ".join(quoted(w) for w in lx.FUNCTION_WORDS)}))
-SELECT doc_id, CAST(place AS INT) AS place, word, CASE WHEN length(word) <= 5 THEN 'Easy' WHEN length(word) <= 8 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM o WHERE n_known >= 5 OR place <= 8"""
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN known THEN 0 ELSE 1 END, nth) AS place FROM c WHERE known AND n <= 10 OR NOT known AND n_known < 5 AND length(word) >= 4 AND word NOT IN ({", ".join(quoted(w) for w in lx.FUNCTION_WORDS)})),
+fallback AS (SELECT doc_id, CAST(place AS INT) AS place, word, CASE WHEN length(word) <= 5 THEN 'Easy' WHEN length(word) <= 8 THEN 'Medium' ELSE 'Hard' END AS difficulty FROM o WHERE n_known >= 5 OR place <= 8)"""
 )
+
+
+@query(f"WITH {FALLBACK} SELECT doc_id, place, word, difficulty FROM fallback")
 def dk_fallback_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dk.fallback_words(corpus(spark, sf_dir), ["doc_id"], list(_DICTIONARY)).select("doc_id", "place", "word", "difficulty")
 
 
+_POS_OF = """CASE WHEN word LIKE '%ly' THEN 'adverb' WHEN word LIKE '%ed' OR word LIKE '%ing' THEN 'verb' WHEN regexp_matches(word, '(tion|ment|ness|ity)$') THEN 'noun'
+  WHEN word IN ('very', 'extremely', 'really', 'so', 'too') THEN 'adverb' WHEN word IN ('dirty', 'clean', 'happy', 'sad', 'big', 'small') THEN 'adjective' ELSE 'noun' END"""
+
+
+@query(
+    f"""WITH {FALLBACK}, t AS (SELECT *, 'Document ' || doc_id AS title, {_POS_OF} AS pos, word NOT IN ({", ".join(quoted(x) for x in lx.FUNCTION_WORDS)}) AS vocab FROM fallback)
+SELECT doc_id, 'card_text_' || doc_id || '_' || place AS card_id, word, difficulty, 0.92::DOUBLE AS confidence, 'Vocabulary_Explorer' AS card_style, 'We learned about ' || word || ' in class.' AS corrected_sentence,
+  'Vocabulary Explorer: ' || upper(left(word, 1)) || substr(word, 2) AS front_title, 'Part of speech: ' || pos AS hint, 'Vocabulary, Spelling, ' || upper(left(pos, 1)) || substr(pos, 2) AS tags,
+  CASE WHEN vocab THEN 'Describes or represents ' || chr(39) || word || chr(39) || ' as used in this sentence.' ELSE 'A key vocabulary term from ' || title || '.' END AS child_definition,
+  CASE WHEN NOT vocab THEN 'We learned about ' || word || ' during our class study.' WHEN pos = 'noun' THEN 'The student noticed a very interesting ' || word || ' during the afternoon science lesson.'
+    WHEN pos = 'verb' THEN 'We decided to ' || word || ' together after completing our morning school assignments.' WHEN pos = 'adjective' THEN 'The teacher shared a very ' || word || ' example with the whole classroom today.'
+    ELSE 'The children worked ' || word || ' to finish their creative writing project on time.' END AS example,
+  'Key vocabulary word extracted from ' || title || '.' AS explanation, 'Master key vocabulary term ' || chr(39) || word || chr(39) || '.' AS learning_objective FROM t"""
+)
+def dk_fallback_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vocabulary cards of all documents, as for documents without corrections."""
+    docs = corpus(spark, sf_dir).withColumn("title", F.concat(F.lit("Document "), F.col("doc_id")))
+    own = dk.fallback_cards(docs, ["doc_id"], list(_DICTIONARY))
+    return own.select(
+        "doc_id", "card_id", F.col("proposed").alias("word"), "difficulty", "confidence", "card_style", "corrected_sentence", F.col("front.title").alias("front_title"), F.col("front.hint").alias("hint"),
+        F.array_join("tags", ", ").alias("tags"), "child_definition", "example", "explanation", "learning_objective",
+    )
+
+
 @query()
 def dk_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole cards from the line suggestions of all documents; tested on golden rows."""
@@ -437,10 +464,29 @@ FEEDBACK_STEPS = (
 )
 
 
-@query("SELECT 8 AS total, 8 AS correct, 1.0::DOUBLE AS accuracy")
+_SCORES = {f"s{k}": (n, v) for k, (n, v) in enumerate(lx.SUBJECTS.items())}
+
+
+def _subject_of(source: str, name: str) -> str:
+    """CTEs that give the subject of ``source`` (doc_id, text) as ``name`` (doc_id, subject)."""
+    from scriptorium.plans.texts import _subject_score
+
+    scores = ", ".join(f"{_subject_score(v)} AS {k}" for k, (_, v) in _SCORES.items())
+    best = f"greatest({', '.join(_SCORES)})"
+    cases = " ".join(f"WHEN {k} = {best} THEN {quoted(n)}" for k, (n, _) in _SCORES.items())
+    return f"{name}n AS (SELECT doc_id, {scores} FROM {source}), {name} AS (SELECT doc_id, CASE WHEN {best} < 15 THEN 'General' {cases} END AS subject FROM {name}n)"
+
+
+@query(
+    f"""WITH {CORPUS}, half AS (SELECT doc_id, substr(text, 1, length(text) // 2) AS text FROM corpus), {_subject_of("corpus", "a")}, {_subject_of("half", "b")}
+SELECT count(*) AS total, count(*) FILTER (a.subject = b.subject) AS correct, round(count(*) FILTER (a.subject = b.subject) / CAST(count(*) AS DOUBLE), 4) AS accuracy FROM a JOIN b USING (doc_id)"""
+)
 def ev_subject_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = spark.createDataFrame(list(SUBJECT_CASES), "title string, text string, expected string")
-    return ev.accuracy(st.subject(own, "text", "title"), "expected", "subject")
+    """The subject that the first half of each text shows, held against that of the whole."""
+    whole = corpus(spark, sf_dir)
+    a = st.subject(whole).select("doc_id", F.col("subject").alias("expected"))
+    b = st.subject(whole.select("doc_id", F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int")).alias("text"))).select("doc_id", "subject")
+    return ev.accuracy(a.join(b, "doc_id"), "expected", "subject")
 
 
 def benchmark_cases(spark: SparkSession) -> DataFrame:
@@ -451,12 +497,36 @@ def benchmark_cases(spark: SparkSession) -> DataFrame:
     return docs.join(n, "test_id", "left").select("test_id", "category", "raw", F.col("corrected_text").alias("predicted"), "truth", F.coalesce("n_suggestions", F.lit(0)).alias("n_suggestions"))
 
 
-@query()
+def _rate(a: str, chars: bool) -> str:
+    if chars:
+        return f"levenshtein({a}, truth) / CAST(length(truth) AS DOUBLE)"
+    return f"levenshtein({_chars(words_of(a))}, {_chars(words_of('truth'))}) / CAST(len({words_of('truth')}) AS DOUBLE)"
+
+
+@query(
+    f"""WITH {PAIRS}, c AS (SELECT item_id, truth, guess AS raw, replace(guess, 'tb', 'th') AS predicted, (length(guess) - length(replace(guess, 'tb', ''))) // 2 AS n FROM pairs),
+w AS (SELECT *, list_distinct(list_concat({words_of('predicted')}, {words_of('truth')})) AS u FROM c),
+s AS (SELECT *, {_rate('raw', True)} AS before, {_rate('predicted', True)} AS cer, {_rate('predicted', False)} AS wer, trim(predicted) = trim(truth) AS exact FROM w),
+o AS (SELECT *, CASE WHEN cer < before OR exact THEN 'tp' WHEN n > 0 AND cer >= before THEN 'fp' WHEN before > 0 AND cer = before THEN 'fn' ELSE 'none' END AS outcome FROM s),
+t AS (SELECT count(*) AS n, count(*) FILTER (exact) AS exact, avg(cer) AS cer, avg(wer) AS wer, count(*) FILTER (outcome = 'tp') AS tp, count(*) FILTER (outcome = 'fp') AS fp, count(*) FILTER (outcome = 'fn') AS fn FROM o),
+r AS (SELECT *, tp / CAST(greatest(1, tp + fp) AS DOUBLE) AS p, tp / CAST(greatest(1, tp + fn) AS DOUBLE) AS r FROM t)
+SELECT n AS total_test_cases, exact AS exact_sentence_matches, round(exact / CAST(greatest(1, n) AS DOUBLE), 4) AS sentence_accuracy, round(cer, 4) AS mean_character_error_rate, round(wer, 4) AS mean_word_error_rate,
+  round(p, 4) AS proofreading_precision, round(r, 4) AS proofreading_recall, round(p * r * 2 / greatest(1e-6::DOUBLE, p + r), 4) AS proofreading_f1_score FROM r"""
+)
 def ev_benchmark_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ev.report(ev.case_scores(benchmark_cases(spark)))
+    """Benchmark items read with one confusion and a lost word, and corrected for the confusion."""
+    own = pairs(spark, sf_dir).withColumn("raw", F.col("guess"))
+    n = F.floor((F.length("raw") - F.length(F.replace("raw", F.lit("tb"), F.lit("")))) / 2)
+    return ev.report(ev.case_scores(own.withColumns({"predicted": F.replace("raw", F.lit("tb"), F.lit("th")), "n_suggestions": n})))
 
 
-@query()
+@query(
+    f"""WITH {FEEDBACK}, s AS (SELECT user_id, event_id AS step, lower(original) AS o, lower(accepted) AS a, lower(original) <> lower(accepted) AS c FROM fb WHERE kind = 'feedback'),
+n AS (SELECT x.user_id, x.step, x.c, count(*) FILTER (y.c AND y.a = x.a AND y.step < x.step) AS nb, count(*) FILTER (y.c AND y.a = x.a) AS na, count(*) FILTER (y.c AND y.o = x.a AND y.step < x.step) AS eb, count(*) FILTER (y.c AND y.o = x.a) AS ea,
+  count(*) FILTER (y.c) AS corrections_accepted FROM s x JOIN s y ON y.user_id = x.user_id AND y.step <= x.step GROUP BY x.user_id, x.step, x.c)
+SELECT user_id, step, corrections_accepted, round(least(0.25::DOUBLE, least(0.12::DOUBLE, nb * 0.03::DOUBLE) + least(0.20::DOUBLE, eb * 0.05::DOUBLE)), 6) AS before,
+  round(least(0.25::DOUBLE, least(0.12::DOUBLE, na * 0.03::DOUBLE) + least(0.20::DOUBLE, ea * 0.05::DOUBLE)), 6) AS after FROM n"""
+)
 def ev_learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(1, k, o, a) for k, (o, a) in enumerate(FEEDBACK_STEPS)]
-    return ev.learning_curve(spark.createDataFrame(rows, "user int, step int, original string, accepted string"), ["user"])
+    """What each user's profile adds to each accepted word before and after it was accepted."""
+    return ev.learning_curve(feedback(spark, sf_dir).where("kind = 'feedback'").select("user_id", F.col("event_id").alias("step"), "original", "accepted"), ["user_id"])

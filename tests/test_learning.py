@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import cards as dk
 from scriptorium.operators import evaluation as ev
+from scriptorium.operators import structure as st
 from scriptorium.operators import vocabulary as vo
 from scriptorium.plans import learning
 
@@ -82,12 +83,13 @@ def test_senses(spark):
 
 
 def test_benchmark_floors(spark):
-    r = learning.ev_benchmark_report(spark, "").first()
+    r = ev.report(ev.case_scores(learning.benchmark_cases(spark))).first()
     assert r.sentence_accuracy >= 0.65 and r.mean_character_error_rate <= 0.05 and r.proofreading_f1_score >= 0.80
 
 
 def test_subject_cases(spark):
-    assert learning.ev_subject_accuracy(spark, "").first().accuracy == 1.0
+    own = spark.createDataFrame(list(learning.SUBJECT_CASES), "title string, text string, expected string")
+    assert ev.accuracy(st.subject(own, "text", "title"), "expected", "subject").first().accuracy == 1.0
 
 
 def test_sentence_match(spark):
@@ -100,3 +102,21 @@ def test_learning_curve_counts(spark):
     rows = [(1, 0, "skv", "sky"), (1, 1, "skv", "sky"), (1, 2, "x", "sky")]
     got = ev.learning_curve(spark.createDataFrame(rows, "user int, step int, original string, accepted string"), ["user"]).orderBy("step").collect()
     assert [(r.before, r.after) for r in got] == [(0.0, 0.03), (0.03, 0.06), (0.06, 0.09)]
+    steps = spark.createDataFrame([(1, k, o, a) for k, (o, a) in enumerate(learning.FEEDBACK_STEPS)], "user int, step int, original string, accepted string")
+    assert [r.corrections_accepted for r in ev.learning_curve(steps, ["user"]).orderBy("step").collect()] == [1, 2, 3, 4, 4]
+
+
+def test_learning_curve_against_a_loop(spark):
+    import random
+
+    r = random.Random(1)
+    words = "sky blue skv sun a".split()
+    rows = [(r.randrange(3), k, " ".join(r.choices(words, k=r.randrange(3))), " ".join(r.choices(words, k=r.randrange(3)))) for k in range(80)]
+    want = {}
+    for u, k, _, a in rows:
+        for side, past in (("before", [x for x in rows if x[0] == u and x[1] < k]), ("after", [x for x in rows if x[0] == u and x[1] <= k])):
+            past = [x for x in past if x[2] != x[3]]
+            s = sum(min(0.12, 0.03 * sum(x[3] == w for x in past)) for w in a.split()) + min(0.20, 0.05 * sum(x[2] == a for x in past))
+            want[u, k, side] = round(min(0.25, s), 6)
+    got = ev.learning_curve(spark.createDataFrame(rows, "user int, step int, original string, accepted string"), ["user"]).collect()
+    assert {(x.user, x.step, s): x[s] for x in got for s in ("before", "after")} == pytest.approx(want)
