@@ -1,8 +1,7 @@
-"""Queries on study modes, histories, readings at several scales, drawn pages and the suites of accuracy reports."""
+"""Queries on study modes, histories, readings at several scales and the suites of accuracy reports."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +9,12 @@ from scriptorium.functions import lexicons as lx
 from scriptorium.functions import text as tx
 from scriptorium.operators import cards as dk
 from scriptorium.operators import evaluation as ev
-from scriptorium.operators import kernels
 from scriptorium.operators import proofreading as pr
 from scriptorium.operators import recognition as rg
 from scriptorium.operators import structure as st
 from scriptorium.operators import vocabulary as vo
-from scriptorium.plans import learning, pages
-from scriptorium.plans.registry import CORPUS, REGIONS, corpus, query, regions, stripped, table, unequal, words_of
+from scriptorium.plans import learning, pages, texts
+from scriptorium.plans.registry import CORPUS, REGIONS, corpus, query, regions, replaced, stripped, table, unequal, words_of
 
 # -- recognition -----------------------------------------------------------
 
@@ -132,73 +130,53 @@ def dk_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dk.history_matching(own, search="1", kind="flashcards").select("conv_id", "title")
 
 
-# -- drawn pages -----------------------------------------------------------
-
-
-def drawn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A white page of 200 by 160 per document, with 1 to 4 dark bars of 12 to 16 rows, 36 apart; one region holds them all."""
+# -- suites ----------------------------------------------------------------
 
-    def draw(frames):
-        for f in frames:
-            images = []
-            for i in f["page"]:
-                a = kernels.np.full((160, 200), 250, kernels.np.uint8)
-                for k in range(1 + i % 4):
-                    a[10 + 36 * k : 22 + 36 * k + i % 5, 20:180] = 20
-                images.append(a.tobytes())
-            yield pd.DataFrame({"page": f["page"], "image": images})
 
-    own = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("page")).mapInPandas(draw, "page long, image binary")
-    box = {"region_id": 1, "xmin": 0, "ymin": 0, "xmax": 200, "ymax": 160, "height": 160, "width": 200, "channels": 1, "region_type": "Text", "confidence": 0.9}
-    return own.withColumns({k: F.lit(v) for k, v in box.items()})
+def _histogram(column: str) -> str:
+    return f"(SELECT '{{' || string_agg('\"' || {column} || '\":' || n, ',' ORDER BY {column}) || '}}' FROM (SELECT {column}, count(*) AS n FROM carded GROUP BY {column}))"
 
 
 @query(
-    """WITH d AS (SELECT doc_id AS page, unnest(range(0, 1 + doc_id % 4)) AS k, doc_id % 4 = 0 AS one, doc_id % 5 AS more FROM documents)
-SELECT page, CAST(k + 1 AS INT) AS region_id, 0 AS xmin, CAST(CASE WHEN one THEN 0 ELSE 8 + 36 * k END AS INT) AS ymin, 200 AS xmax, CAST(CASE WHEN one THEN 160 ELSE 24 + 36 * k + more END AS INT) AS ymax FROM d"""
+    f"""WITH {learning.STYLED}, t AS (SELECT (SELECT count(DISTINCT conv_id) FROM conversations) AS cases, (SELECT count(*) FROM corr) AS accepted, (SELECT count(*) FROM carded) AS made)
+SELECT cases AS total_test_cases, accepted AS total_accepted_corrections, made AS total_flashcards_created, round(made / CAST(greatest(1, accepted) AS DOUBLE), 4) AS conversion_rate,
+  {_histogram("card_category")} AS category_distribution, {_histogram("card_style")} AS card_style_distribution FROM t"""
 )
-def ly_split_tall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return kernels.split_tall(drawn(spark, sf_dir)).select("page", "region_id", "xmin", "ymin", "xmax", "ymax")
+def ev_flashcard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cards of the conversations' corrections."""
+    cases = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    made = learning.styled(spark, sf_dir).select(F.col("card_category").alias("category"), "card_style")
+    return ev.flashcard_report(cases, learning.corrections(spark, sf_dir), made).withColumns({c: F.to_json(c) for c in ("category_distribution", "card_style_distribution")})
 
 
 @query(
-    """SELECT doc_id AS page, unnest([{'scale': 'original', 'height': 40, 'width': 100}, {'scale': 'clahe_contrast', 'height': 40, 'width': 100}, {'scale': 'unsharp_sharpened', 'height': 40, 'width': 100},
-  {'scale': 'lanczos_super_res', 'height': 80, 'width': 200}, {'scale': 'grayscale_enhanced', 'height': 40, 'width': 100}, {'scale': 'adaptive_threshold', 'height': 40, 'width': 100},
-  {'scale': 'context_expanded', 'height': 50, 'width': 130}, {'scale': 'tighter_crop', 'height': 36, 'width': 94}], recursive := true) FROM documents"""
+    f"""WITH {CORPUS}, {texts.RECOVERED}, decks AS (SELECT DISTINCT doc_id FROM (WITH {learning.FALLBACK} SELECT doc_id FROM fallback)),
+cases AS (SELECT r.doc_id, substr({stripped("r.text")}, 1, 25) AS expected, r.recovered_text, d.doc_id IS NOT NULL AS has_deck FROM rec r LEFT JOIN decks d ON d.doc_id = r.doc_id),
+t AS (SELECT count(*) AS n, count(*) FILTER (contains(lower(recovered_text), lower(expected))) AS found, count(*) FILTER (has_deck) AS decks FROM cases)
+SELECT n AS total_test_cases, found AS successful_text_recoveries, round(found / CAST(n AS DOUBLE), 4) AS recovery_success_rate, decks AS successful_deck_generations, round(decks / CAST(n AS DOUBLE), 4) AS deck_generation_rate FROM t"""
 )
-def im_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sizes of the readings of a crop at the upper edge of each drawn page."""
-    box = {"xmin": 30, "ymin": 0, "xmax": 130, "ymax": 40}
-    return kernels.with_variants(drawn(spark, sf_dir).withColumns({k: F.lit(v) for k, v in box.items()})).select("page", "scale", "height", "width")
-
-
-# -- suites ----------------------------------------------------------------
-
+def ev_resilience_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether recovery leaves the beginning of each text as it was, and whether its words make a deck."""
+    docs = corpus(spark, sf_dir)
+    decks = dk.fallback_words(docs, ["doc_id"], list(learning._DICTIONARY)).select("doc_id").distinct().withColumn("has_deck", F.lit(True))
+    cases = docs.select("doc_id", F.substring(tx.strip(F.col("text")), 1, 25).alias("expected"), tx.recovered(F.col("text")).alias("corrected_text")).join(decks, "doc_id", "left")
+    return ev.resilience_report(cases.withColumn("has_deck", F.coalesce("has_deck", F.lit(False))))
 
-def _analyzed(spark: SparkSession, rows: list[tuple], names: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(cases with corrected_text, suggestions, cards) of cases (test_id, raw, ...)."""
-    own = spark.createDataFrame(rows, names)
-    docs, found = pr.analyze(own, "raw", ("test_id",))
-    titled = docs.select("test_id", F.col("corrected_text").alias("text"), F.col("test_id").alias("title"))
-    accepted = found.withColumns({"ord": F.col("begin"), "explanation": F.lit("")})
-    return docs, found, dk.build_cards(titled, accepted, ["test_id"])
 
+def resilience_cases(spark: SparkSession) -> DataFrame:
+    """The noisy handwriting cases with what analysis makes of them."""
+    own = spark.createDataFrame(list(ev.NOISY_CASES), "test_id string, raw string, expected string")
+    return pr.analyze(own, "raw", ("test_id",))[0]
 
-@query()
-def ev_flashcard_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of the proofreading cases, all suggestions accepted."""
-    docs, found, made = _analyzed(spark, [(i, raw, truth) for i, _, raw, truth in ev.CASES], "test_id string, raw string, truth string")
-    return ev.flashcard_report(docs, found, made).withColumns({c: F.to_json(c) for c in ("category_distribution", "card_style_distribution")})
 
+_FIXED = replaced(replaced("replace(truth, 'th', 'tb')", lx.HEADINGS), lx.VISUAL)
 
-@query("SELECT 5 AS total_test_cases, 4 AS successful_text_recoveries, 0.8::DOUBLE AS recovery_success_rate, 5 AS successful_deck_generations, 1.0::DOUBLE AS deck_generation_rate")
-def ev_resilience_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, _, _ = _analyzed(spark, list(ev.NOISY_CASES), "test_id string, raw string, expected string")
-    # a deck is made of suggestions or, without any, of fallback cards: of every text
-    return ev.resilience_report(docs.withColumn("has_deck", F.lit(True)))
 
-
-@query()
+@query(
+    f"""WITH {learning.PAIRS}, c AS (SELECT truth, {_FIXED} AS predicted FROM pairs), w AS (SELECT *, list_distinct(list_concat({words_of('predicted')}, {words_of('truth')})) AS u FROM c),
+s AS (SELECT {learning._rate('predicted', True)} AS cer, {learning._rate('predicted', False)} AS wer, trim(predicted) = trim(truth) AS exact FROM w)
+SELECT count(*) AS total_benchmark_samples, round(avg(cer), 4) AS pipeline_mean_cer, round(avg(wer), 4) AS pipeline_mean_wer, round(count(*) FILTER (exact) / CAST(greatest(1, count(*)) AS DOUBLE), 4) AS pipeline_sentence_accuracy FROM s"""
+)
 def ev_pipeline_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = learning.pairs(spark, sf_dir)
     samples = own.select("truth", F.create_map(F.lit("easyocr"), "guess", F.lit("trocr"), F.replace("truth", F.lit("th"), F.lit("tb"))).alias("hypotheses"))

@@ -75,3 +75,41 @@ def test_tall_regions_are_numbered_through(spark):
     got = [tuple(r)[1:7] for r in kernels.split_tall(df).orderBy("region_id").collect()]
     assert got == [(1, 0, 18, 50, 34, "Text"), (2, 0, 58, 50, 74, "Text"), (3, 0, 10, 50, 40, "Title")]
     assert {r.scale for r in kernels.with_variants(df).collect()} == set(kernels.VARIANTS)
+
+
+def test_noisy_cases_are_recovered(spark):
+    from scriptorium.plans import study
+
+    r = ev.resilience_report(study.resilience_cases(spark).withColumn("has_deck", F.lit(True))).first()
+    assert (r.total_test_cases, r.successful_text_recoveries) == (5, 4)
+
+
+def test_only_the_readings_asked_for(spark):
+    import numpy as np
+
+    a = np.random.default_rng(1).integers(0, 255, (60, 90)).astype(np.uint8)
+    every = dict(kernels.variants(a[10:50, 20:80], a, (20, 10, 80, 50)))
+    assert list(every) == [v for v in kernels.VARIANTS if v in every] and len(every) == 8
+    some = dict(kernels.variants(a[10:50, 20:80], a, (20, 10, 80, 50), ("tighter_crop", "original")))
+    assert list(some) == ["original", "tighter_crop"] and all((some[k] == every[k]).all() for k in some)
+    assert (every["context_expanded"] == a[0:60, 5:95]).all()
+
+
+def test_filters_against_loops():
+    import numpy as np
+
+    a = np.random.default_rng(2).integers(0, 255, (9, 11)).astype(np.uint8)
+    at = lambda y, x: float(a[min(max(y, 0), 8), min(max(x, 0), 10)])
+    w = [np.exp(-0.5 * k * k) for k in range(-3, 4)]
+    w = [x / sum(w) for x in w]
+    got = kernels.blurred(a)
+    for y in range(9):
+        for x in range(11):
+            assert abs(got[y, x] - sum(w[i + 3] * w[j + 3] * at(y + i, x + j) for i in range(-3, 4) for j in range(-3, 4))) < 1e-9
+    big = kernels.resized(a, 18, 11)
+    for y in range(18):
+        c = (y + 0.5) / 2 - 0.5
+        taps = [(k, np.sinc(c - k) * np.sinc((c - k) / 4)) for k in range(int(np.floor(c)) - 3, int(np.floor(c)) + 5) if abs(c - k) < 4]
+        for x in range(11):
+            v = sum(t * at(k, x) for k, t in taps) / sum(t for _, t in taps)
+            assert abs(int(big[y, x]) - min(255, max(0, v))) <= 1
