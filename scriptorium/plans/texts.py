@@ -265,13 +265,81 @@ def pr_accept_high(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pr.accept_confident(own, own.where("suggestion_id = 'sug_1'"), least=0.92)
 
 
-@query()
+# -- all stages ------------------------------------------------------------
+
+
+def _family(name: str, stage: int, rules: list[tuple], source: str, skip: str = "", case: bool = False) -> str:
+    """CTEs that end in ``name``: suggestions of rules (number, pattern, replacement, category, confidence, whether case counts) in the texts of ``source``
+    (doc_id, line, shift, body). A look-ahead is a condition on what follows a match, and word boundaries are held to letters of all scripts."""
+    rows = []
+    for number, pattern, to, category, confidence, strict in rules:
+        bare, _, ahead = pattern.partition("(?=")
+        flag = "" if strict else "(?i)"
+        ahead = quoted(f"{flag}^(?:{ahead.removesuffix(')')})") if ahead else "NULL"
+        ends = bare.endswith((r"\b", r"\b)"))
+        rows.append(f"({number}, {quoted(flag + bare)}, {quoted(to.replace('$', chr(92)))}, {quoted(category)}, {confidence}::DOUBLE, {ahead}, {str(bare.startswith(chr(92) + 'b')).lower()}, {str(ends).lower()}, {quoted(f'{flag}^(?:{bare})$'.replace('(?:^', '(?:'))})")
+    skipped = f"AND NOT regexp_matches(body, '^({skip})')" if skip else ""
+    kept = "CASE WHEN regexp_matches(left(original, 1), '\\p{Lu}') AND p <> '' AND NOT regexp_matches(left(p, 1), '\\p{Lu}') THEN upper(left(p, 1)) || lower(substr(p, 2)) ELSE p END" if case else "p"
+    return f"""{name}_r(rule, pattern, repl, category, confidence, ahead, from_edge, to_edge, whole) AS (VALUES {", ".join(rows)}),
+{name}_h AS (SELECT s.*, r.*, string_split_regex(regexp_replace(body, pattern, chr(1) || chr(92) || '0' || chr(2), 'g'), '[\\x01\\x02]') AS pieces FROM {source} s, {name}_r r WHERE NOT ({unequal('body')}) {skipped} AND regexp_matches(body, pattern)),
+{name}_f AS (SELECT * EXCLUDE (body), unnest(range(1, len(pieces), 2)) AS k FROM {name}_h),
+{name}_p AS (SELECT *, pieces[k + 1] AS original, CAST(shift + coalesce(list_sum(list_transform(pieces[1:k], lambda x: length(x))), 0) AS BIGINT) AS "begin" FROM {name}_f
+  WHERE (ahead IS NULL OR regexp_matches(array_to_string(pieces[k + 2:], ''), ahead)) AND NOT (from_edge AND regexp_matches(right(pieces[k], 1), {_WORD})) AND NOT (to_edge AND regexp_matches(left(pieces[k + 2], 1), {_WORD}))),
+{name}_q AS (SELECT *, CASE repl WHEN '@ans' THEN 'Ans: ' || upper(right(original, 1)) WHEN '@capital' THEN upper(left(original, 1)) || lower(substr(original, 2)) ELSE regexp_replace(original, whole, repl) END AS p FROM {name}_p),
+{name} AS (SELECT doc_id, {stage} AS stage, rule, "begin", "begin" + length(original) AS stop, original, {kept} AS proposed, category, confidence, line FROM {name}_q WHERE regexp_matches(original, '\\S') AND original <> {kept})"""
+
+
+def _recon_edits() -> str:
+    out, at = "e0 AS (SELECT doc_id, text AS t, CAST([] AS STRUCT(rule INT, b BIGINT, o VARCHAR, p VARCHAR, c DOUBLE)[]) AS edits FROM corpus)", "e0"
+    for k, (p, to, _, confidence) in enumerate(lx.RECONSTRUCTIONS):
+        q = quoted("(?i)" + p)
+        hit = f"regexp_matches(t, {q}) AND regexp_extract(t, {q}, 0) <> {quoted(to)}"
+        edit = f"{{'rule': {k}, 'b': length(string_split_regex(t, {q})[1]), 'o': regexp_extract(t, {q}, 0), 'p': {quoted(to)}, 'c': {confidence}::DOUBLE}}"
+        out += f", e{k + 1} AS (SELECT doc_id, CASE WHEN {hit} THEN regexp_replace(t, {q}, {quoted(to)}) ELSE t END AS t, CASE WHEN {hit} THEN list_append(edits, {edit}) ELSE edits END AS edits FROM {at})"
+        at = f"e{k + 1}"
+    return out
+
+
+_CONTEXT = [(k, p, to, c, conf, False) for k, (p, to, c, conf) in enumerate(lx.CONTEXT)]
+_LINES = [(k, p, to, c, conf, c == "Capitalization") for k, (p, to, c, conf) in enumerate(lx.LINE_RULES)]
+_SHORT = [(k, p, to, "Punctuation Correction", 0.94, False) for k, (p, to) in enumerate(lx.CONTRACTIONS)]
+_EDGES = [(100, lx.POSSESSIVE, "$1's", "Punctuation Correction", 0.92, False), (400, lx.BOUNDARY, "$1. $2", "Punctuation Correction", 0.88, True)]
+_QUESTION = [(200, lx.QUESTION, "?", "Punctuation Correction", 0.92, False)]
+_OPENED = "(?i)" + lx.OPENER
+
+SUGGESTIONS = f"""{CORPUS}, {_recon_edits()}, topics AS (SELECT doc_id, {", ".join(f"{_present('text', lx.TOPICS[t][1])} AS {t}" for t in _TOPICS)} FROM corpus),
+topic AS (SELECT doc_id, CASE WHEN greatest({", ".join(_TOPICS)}) = 0 THEN 'general' {" ".join(f"WHEN {t} = greatest({', '.join(_TOPICS)}) THEN '{t}'" for t in _TOPICS)} END AS topic FROM topics),
+recon AS (SELECT doc_id, {_boosted()} AS text FROM e{len(lx.RECONSTRUCTIONS)} JOIN topic USING (doc_id)), {RECOVERED.replace("FROM corpus", "FROM recon")},
+target AS MATERIALIZED (SELECT doc_id, CASE WHEN {unequal('recovered_text')} THEN text ELSE recovered_text END AS text FROM rec),
+tl0 AS (SELECT doc_id, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line, unnest(string_split(text, chr(10))) AS body FROM target),
+tl AS MATERIALIZED (SELECT *, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM tl0),
+tw AS (SELECT doc_id, 1 AS line, text AS body, 0 AS shift FROM target),
+{_family("short", 1, _SHORT, "tl", "#|[|]|===")}, {_family("edges", 1, _EDGES, "tl", "#|[|]|===")}, {_family("asked", 1, _QUESTION, "tl", "#|[|]|===")},
+{_family("context", 2, _CONTEXT, "tw", case=True)}, {_family("linewise", 3, _LINES, "tl", "#|===")},
+opened AS (SELECT doc_id, line, shift, left(body, length(regexp_extract(body, {quoted(_OPENED)}, 1)) + 2) AS original, regexp_extract(body, {quoted(_OPENED)}, 1) AS word, regexp_extract(body, {quoted(_OPENED)}, 2) AS letter
+  FROM tl WHERE regexp_matches(body, {quoted(_OPENED)}) AND NOT regexp_matches(body, '^(#|[|]|===)')),
+every AS (
+  SELECT doc_id, 0 AS stage, e.rule AS rule, e.b AS "begin", e.b + length(e.o) AS stop, e.o AS original, e.p AS proposed, 'Document Reconstruction' AS category, e.c AS confidence, 1 AS line FROM (SELECT doc_id, unnest(edits) AS e FROM e{len(lx.RECONSTRUCTIONS)})
+  UNION ALL SELECT * FROM short UNION ALL SELECT * FROM edges UNION ALL SELECT * FROM context UNION ALL SELECT * FROM linewise
+  UNION ALL SELECT doc_id, 1, 200, "begin" + length({stripped("original")}), "begin" + length({stripped("original")}), '', '?', 'Punctuation Correction', 0.92::DOUBLE, line FROM asked_p WHERE NOT {stripped("original")} LIKE '%?'
+  UNION ALL SELECT doc_id, 1, 300, shift, shift + length(original), original, upper(left(word, 1)) || lower(substr(word, 2)) || ', ' || letter, 'Punctuation Correction', 0.94::DOUBLE, line FROM opened
+    WHERE original <> upper(left(word, 1)) || lower(substr(word, 2)) || ', ' || letter),
+chosen AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY doc_id, "begin" ORDER BY stage, rule, stop) = 1),
+suggested AS MATERIALIZED (SELECT doc_id, 'sug_' || row_number() OVER (PARTITION BY doc_id ORDER BY "begin") AS suggestion_id, CAST("begin" AS INT) AS "begin", CAST(stop AS INT) AS stop, original, proposed, category, confidence, CAST(line AS INT) AS line,
+  CASE stage WHEN 0 THEN 'raw' ELSE 'target' END AS offset_space FROM chosen)"""
+
+
+@query(f"WITH {SUGGESTIONS} SELECT * FROM suggested")
 def pr_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages; patterns with look-ahead have no SQL form here."""
+    """All stages."""
     return pr.suggest(corpus(spark, sf_dir)).select("doc_id", "suggestion_id", "begin", "stop", "original", "proposed", "category", "confidence", "line", "offset_space")
 
 
-@query()
+@query(
+    f"""WITH {SUGGESTIONS}, edits AS (SELECT doc_id, list({{'b': "begin", 's': stop, 'p': proposed}} ORDER BY "begin" DESC) AS edits FROM suggested WHERE category <> 'Document Reconstruction' AND confidence >= 0.70 GROUP BY doc_id)
+SELECT doc_id, CASE WHEN edits IS NULL THEN text ELSE list_reduce(list_prepend({{'b': 0, 's': 0, 'p': text}}, list_filter(edits, lambda e: e.b >= 0 AND e.b <= e.s AND e.s <= length(text))),
+  lambda acc, e: {{'b': 0, 's': 0, 'p': left(acc.p, e.b) || e.p || substr(acc.p, e.s + 1)}}).p END AS corrected_text FROM target LEFT JOIN edits USING (doc_id)"""
+)
 def pr_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, _ = pr.analyze(corpus(spark, sf_dir))
     return docs.select("doc_id", "corrected_text")
