@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions import text as tx
 
@@ -40,37 +41,53 @@ def paragraphs(regions: DataFrame, page: Sequence[str]) -> DataFrame:
 def merge_lines(regions: DataFrame, page: Sequence[str]) -> DataFrame:
     """Word boxes to line boxes: page, region_id, xmin, ymin, xmax, ymax, region_type, confidence.
 
-    A greedy fold over a page's boxes from the top: each joins the first line that it overlaps by 0.4 of the smaller
-    height, and the line grows. Its state depends on all boxes before, so a page is one group (a page's boxes are few).
+    A greedy fold over a page's boxes from the top: each joins the first line that it overlaps by 0.4 of the smaller height, and the line
+    grows. Boxes come sorted by page and place and are read once; a line that ends above a box is met by no later one and is given out, so
+    only the lines beside the current box are held, however many boxes a page has.
     """
     page = list(page)
-    types = dict(regions.dtypes)
-    schema = ", ".join([*(f"`{c}` {types[c]}" for c in page), "region_id int, xmin int, ymin int, xmax int, ymax int, region_type string, confidence double"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lines: list[dict] = []
-        for r in pdf.sort_values(["ymin", "xmin", "region_id"], kind="stable").to_dict("records"):
-            home = None
-            for line in lines:
-                shared = min(r["ymax"], line["ymax"]) - max(r["ymin"], line["ymin"])
-                if max(0, shared) >= 0.4 * min(max(1, r["ymax"] - r["ymin"]), max(1, line["ymax"] - line["ymin"])):
-                    home = line
-                    break
-            if home is None:
-                home = {"xmin": r["xmin"], "ymin": r["ymin"], "xmax": r["xmax"], "ymax": r["ymax"], "left": r["xmin"], "region_type": r["region_type"], "confidence": r["confidence"]}
-                lines.append(home)
-                continue
-            if r["xmin"] < home["left"]:
-                home["left"], home["region_type"] = r["xmin"], r["region_type"]
-            for k, f in (("xmin", min), ("ymin", min), ("xmax", max), ("ymax", max), ("confidence", max)):
-                home[k] = f(home[k], r[k])
-        out = pd.DataFrame(lines).drop(columns="left")
-        out.insert(0, "region_id", range(1, len(out) + 1))
-        for k, c in enumerate(page):
-            out.insert(k, c, pdf[c].iloc[0])
-        return out
-
-    return regions.groupBy(*page).applyInPandas(fold, schema)
+    names = [f"k{i}" for i in range(len(page))]
+    sides = ["xmin", "ymin", "xmax", "ymax"]
+    own = regions.select(F.struct(*(F.col(c).alias(n) for c, n in zip(page, names, strict=True))).alias("key"), *(F.col(c).cast("int").alias(c) for c in sides), F.col("region_id").cast("long").alias("region_id"), "region_type", F.col("confidence").cast("double").alias("confidence"))
+    dealt = own.repartition("key").sortWithinPartitions("key", "ymin", "xmin", "region_id")
+    schema = T.StructType([dealt.schema["key"], T.StructField("region_id", T.IntegerType()), *(T.StructField(c, T.IntegerType()) for c in sides), T.StructField("region_type", T.StringType()), T.StructField("confidence", T.DoubleType())])
+    kinds = [pa.int32()] * 5 + [pa.string(), pa.float64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: object = None
+        lines: list[list] = []  # number, xmin, ymin, xmax, ymax, type, confidence, and the left edge that its type is from
+        n, began = 0, False
+        for b in batches:
+            done: list[tuple] = []
+            kind = b.schema.field("key").type
+            for k, x0, y0, x1, y1, _, name, sure in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if not began or k != key:
+                    done.extend((key, *line[:7]) for line in lines)
+                    key, lines, n, began = k, [], 0, True
+                done.extend((key, *line[:7]) for line in lines if line[4] <= y0)
+                lines = [line for line in lines if line[4] > y0]
+                for line in lines:
+                    shared = min(y1, line[4]) - max(y0, line[2])
+                    if max(0, shared) >= 0.4 * min(max(1, y1 - y0), max(1, line[4] - line[2])):
+                        if x0 < line[7]:
+                            line[7], line[5] = x0, name
+                        line[1], line[2], line[3], line[4], line[6] = min(line[1], x0), min(line[2], y0), max(line[3], x1), max(line[4], y1), max(line[6], sure)
+                        break
+                else:
+                    n += 1
+                    lines.append([n, x0, y0, x1, y1, name, sure, x0])
+            if done:
+                yield _lines_out(done, kind, kinds)
+        if lines:
+            yield _lines_out([(key, *line[:7]) for line in lines], kind, kinds)
+
+    out = dealt.mapInArrow(run, schema)
+    return out.select(*(F.col(f"key.{n}").alias(c) for c, n in zip(page, names, strict=True)), "region_id", *sides, "region_type", "confidence")
+
+
+def _lines_out(rows: list[tuple], key: pa.DataType, kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [key, *kinds], strict=True)]
+    return pa.RecordBatch.from_arrays(cols, names=["key", "region_id", "xmin", "ymin", "xmax", "ymax", "region_type", "confidence"])
 
 
 def _pieces(lo: Column, hi: Column, levels: int) -> Column:
