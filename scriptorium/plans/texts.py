@@ -345,7 +345,19 @@ def pr_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "corrected_text")
 
 
-@query()
+_ASCII_LETTERS = "regexp_replace({}, '[^\\x00-\\x7F]', '_', 'g')"
+
+
+@query(
+    f"""WITH {LINES}, v AS (SELECT word, count(*) AS f FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all({_ASCII_LETTERS.format('lower(text)')}, '\\b[a-z]{{4,}}\\b')) AS word FROM corpus) GROUP BY word HAVING count(*) >= 20),
+shifted AS (SELECT doc_id, line, body, coalesce(sum(length(body) + 1) OVER (PARTITION BY doc_id ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM lines),
+split AS (SELECT doc_id, line, shift, string_split_regex(regexp_replace({_ASCII_LETTERS.format('body')}, '\\b[A-Za-z]{{4,}}\\b', chr(1) || chr(92) || '0' || chr(2), 'g'), '[\\x01\\x02]') AS pieces FROM shifted),
+found AS (SELECT *, unnest(range(1, len(pieces), 2)) AS k FROM split),
+words AS MATERIALIZED (SELECT doc_id, line, pieces[k + 1] AS original, CAST(shift + list_sum(list_transform(pieces[1:k], lambda x: length(x))) AS BIGINT) AS "begin" FROM found WHERE regexp_matches(pieces[k + 1], '^[a-z]')),
+u AS MATERIALIZED (SELECT DISTINCT lower(original) AS w FROM words WHERE lower(original) NOT IN (SELECT word FROM v)),
+best AS (SELECT w, arg_min(word, {{'f': -f, 'w': word}}) AS proposed FROM u JOIN v ON abs(length(w) - length(word)) <= 1 AND levenshtein(w, word) = 1 GROUP BY w)
+SELECT doc_id, CAST("begin" AS INT) AS "begin", CAST("begin" + length(original) AS INT) AS stop, original, proposed, CAST(line AS INT) AS line FROM words JOIN best ON lower(original) = w"""
+)
 def pr_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Against the words that occur in 20 documents or more."""
     docs = corpus(spark, sf_dir)
