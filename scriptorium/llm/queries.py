@@ -22,7 +22,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    """Blocked are the hosts of pages whose documents are labelled as of no quality."""
+    pages, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("pages", "labels"))
+    bad = labels.where("quality = 0").select(F.col("doc_id").alias("page_id"))
+    hosts = pages.join(bad, "page_id", "left_semi").select(url_filter.parts(F.col("url"))[0].alias("host")).where("host <> ''")
+    return url_filter.judge(pages, blocked=hosts.distinct())
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,8 +220,9 @@ r AS (
     WHEN ('.' || host) LIKE '%.example.org' AND path LIKE '/es/%' THEN 'example.org/es/'
     WHEN ('.' || host) LIKE '%.org' AND path LIKE '/%' THEN 'org/'
     WHEN ('.' || host) LIKE '%.com' AND path LIKE '/fr/%' THEN 'com/fr/'
-    WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/' END AS rule FROM p)
+    WHEN ('.' || host) LIKE '%.com' AND path LIKE '/de/%' THEN 'com/de/' END AS rule FROM p),
+blocked AS (SELECT DISTINCT host FROM p WHERE host <> '' AND page_id IN (SELECT doc_id FROM labels WHERE quality = 0))
 SELECT page_id, host, path, rule, CASE
     WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
-    WHEN regexp_matches('.' || host, '\.(example|invalid|local|localhost|onion|test)$') THEN 'block' ELSE 'allow' END AS verdict
+    WHEN EXISTS (SELECT 1 FROM blocked b WHERE ends_with('.' || r.host, '.' || b.host)) THEN 'block' ELSE 'allow' END AS verdict
 FROM r"""

@@ -60,3 +60,19 @@ def test_of_equal_entries_one_stays(spark):
 
 def test_empty(spark):
     assert uf.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+
+
+def test_the_query_blocks_by_the_array(spark):
+    """Hosts of a given table are blocked where no rule fits, as the SQL has it; without them nothing else would be."""
+    import duckdb
+
+    from scriptorium.llm.queries import op4_url_filter
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '/root/testdata/sf0.01/{t}.parquet'")
+    got = sorted((tuple(r) for r in op4_url_filter(spark, "/root/testdata/sf0.01").collect()), key=repr)
+    assert got == sorted(con.sql(f"SELECT page_id, host, path, rule, verdict FROM ({uf.SQL})").fetchall(), key=repr)
+    plain = {r.page_id: r.verdict for r in uf.judge(spark.read.parquet("/root/testdata/sf0.01/pages.parquet"), blocked=()).collect()}
+    assert sum(v == "block" and rule is None for _, _, _, rule, v in got) > 20
+    assert all(plain[i] == "allow" for i, _, _, rule, v in got if rule is None)
