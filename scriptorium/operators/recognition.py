@@ -60,10 +60,10 @@ def recovery_plan(regions: DataFrame, page: list[str], order: str, min_confidenc
     return out.withColumn("recover", F.col("needs_recovery") & (n <= budget))
 
 
-def recover(planned: DataFrame, retried: DataFrame, keys: list[str]) -> DataFrame:
+def recover(planned: DataFrame, retried: DataFrame, keys: list[str], digits: int = 4) -> DataFrame:
     """Takes over, for regions marked ``recover``, the best of ``retried`` (keys, tier, text, confidence) that improves quality."""
     again = planned.where("recover").select(*keys, "ink_density", "width", "height", F.col("quality").alias("__old"))
-    tried = region_quality(retried.join(again, keys)).where((F.col("quality") > F.col("__old")) & ~tx.blank(F.col("text")))
+    tried = region_quality(retried.join(again, keys), digits).where((F.col("quality") > F.col("__old")) & ~tx.blank(F.col("text")))
     best = tried.groupBy(*keys).agg(F.min_by(F.struct(F.col("text").alias("t"), F.col("confidence").alias("c"), F.col("quality").alias("q")), F.struct((-F.col("quality")).alias("less"), "tier")).alias("__new"))
     out = planned.join(best, keys, "left")
     new = F.col("__new")

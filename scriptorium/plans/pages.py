@@ -69,6 +69,25 @@ def oc_page_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rg.page_stats(rg.recovery_plan(sized(spark, sf_dir), ["doc_id"], "region_id", digits=9), ["doc_id"], digits=7)
 
 
+_AGAIN = QUALITY[len(REGIONS) :].replace("FROM regions", "FROM again").replace("q0", "a0").replace("q1", "a1").replace("q2", "a2").replace("quality AS (SELECT", "judged AS (SELECT")
+
+
+@query(
+    f"""{_PLAN}, tries(tier) AS (VALUES (1), (2)),
+again AS (SELECT doc_id, region_id, tier, CASE tier WHEN 1 THEN replace(text, 'e', '~') ELSE lower(text) END AS text, least(1.0::DOUBLE, round(confidence + tier * 0.1::DOUBLE, 4)) AS confidence, ink_density, xmin, xmax, ymin, ymax, q AS old FROM p, tries WHERE recover){_AGAIN},
+better AS (SELECT * FROM judged WHERE round(quality, 9) > round(old, 9) AND NOT ({unequal('text')}) QUALIFY row_number() OVER (PARTITION BY doc_id, region_id ORDER BY round(quality, 9) DESC, tier) = 1)
+SELECT p.doc_id, p.region_id, coalesce(b.text, p.text) AS text, coalesce(b.confidence, p.confidence) AS confidence, round(coalesce(b.quality, p.q), 9) AS quality, b.text IS NOT NULL AS improved
+FROM p LEFT JOIN better b ON b.doc_id = p.doc_id AND b.region_id = p.region_id"""
+)
+def oc_recover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubtful regions read again by two more tiers, the better reading taken over."""
+    planned = rg.recovery_plan(sized(spark, sf_dir), ["doc_id"], "region_id", digits=9)
+    tier = F.explode(F.array(F.lit(1), F.lit(2))).alias("tier")
+    retried = regions(spark, sf_dir).select("doc_id", "region_id", tier, "text", "confidence")
+    retried = retried.withColumns({"text": F.when(F.col("tier") == 1, F.replace("text", F.lit("e"), F.lit("~"))).otherwise(F.lower("text")), "confidence": F.least(F.lit(1.0), F.round(F.col("confidence") + F.col("tier") * 0.1, 4))})
+    return rg.recover(planned, retried, ["doc_id", "region_id"], digits=9).select("doc_id", "region_id", "text", "confidence", "quality", "improved")
+
+
 _CANDIDATES = (
     REGIONS
     + """, cands AS (SELECT doc_id, region_id, 0 AS place, 'easyocr' AS model, 'original' AS scale, text, confidence FROM regions
