@@ -30,7 +30,7 @@ from scriptorium.llm import common
 
 CAPACITY = 2048
 END = 0
-CACHE = 1_000_000
+CACHE = 250_000
 SALT_ROWS = 50_000
 MARKS = re.compile(rb"(?<=[a-z])([.,:;!?]+)(?=[ \t-\r]|\Z)")
 
