@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import struct
+import zlib
+
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from scriptorium.operators import components as cp
 from scriptorium.operators import images as im
 from scriptorium.operators import kernels as k
+from scriptorium.sources.files import data_uri
+
+LONGEST = 1280  # pixels of a preview's longer side
 
 #: what each step does; borders come off first
 STEPS = {"borders": lambda a: k.without_borders(a)[0], "shadows": k.without_shadows, "denoise": k.denoised, "contrast": k.equalized, "sharpen": k.sharpened}
@@ -65,3 +72,28 @@ def straighten(images: DataFrame, keys: list[str]) -> DataFrame:
         return [(rectified, turn, skew, np.ascontiguousarray(out).tobytes(), *out.shape, 1)]
 
     return cp._each(images, keys, [], "rectified boolean, turn int, skew double, image binary, height int, width int, channels int", make)
+
+
+def png(a: np.ndarray) -> bytes:
+    """A grey image as PNG."""
+    h, w = a.shape
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+
+    rows = np.zeros((h, w + 1), np.uint8)  # each row begins with its filter: none
+    rows[:, 1:] = a
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
+def previews(images: DataFrame, keys: list[str], longest: int = LONGEST) -> DataFrame:
+    """Each image as PNG, made smaller where a side is longer than ``longest``: the keys, png, height, width, data_uri."""
+
+    def make(a: np.ndarray) -> list:
+        h, w = a.shape
+        if max(h, w) > longest:
+            a = k.resized(a, max(1, round(h * longest / max(h, w))), max(1, round(w * longest / max(h, w))))
+        return [(png(a), *a.shape)]
+
+    out = cp._each(images, keys, [], "png binary, height int, width int", make)
+    return out.withColumn("data_uri", data_uri(F.col("png"), "image/png"))

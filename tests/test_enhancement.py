@@ -53,6 +53,38 @@ def test_a_turned_page_is_straightened(spark, degrees):
     assert abs(k.skew(back)) < 0.5
 
 
+def unpacked(data):
+    """Pixels of a grey PNG without filters."""
+    import struct
+    import zlib
+
+    assert data[:8] == b"\x89PNG\r\n\x1a\n"
+    at, parts = 8, {}
+    while at < len(data):
+        n, kind = struct.unpack(">I4s", data[at : at + 8])
+        body = data[at + 8 : at + 8 + n]
+        assert struct.unpack(">I", data[at + 8 + n : at + 12 + n])[0] == zlib.crc32(kind + body)
+        parts[kind] = parts.get(kind, b"") + body
+        at += 12 + n
+    w, h = struct.unpack(">II", parts[b"IHDR"][:8])
+    rows = np.frombuffer(zlib.decompress(parts[b"IDAT"]), np.uint8).reshape(h, w + 1)
+    assert not rows[:, 0].any()
+    return rows[:, 1:]
+
+
+def test_previews(spark):
+    import base64
+
+    a, wide = page(), np.full((20, 100), 200, np.uint8)
+    df = spark.createDataFrame([(1, a.tobytes(), *a.shape, 1), (2, wide.tobytes(), *wide.shape, 1), (3, None, 1, 1, 1)], "id int, image binary, height int, width int, channels int")
+    got = {r.id: r for r in en.previews(df, ["id"]).collect()}
+    assert sorted(got) == [1, 2] and (unpacked(bytes(got[1].png)) == a).all()
+    head, _, body = got[1].data_uri.partition(",")
+    assert head == "data:image/png;base64" and base64.b64decode(body) == bytes(got[1].png)
+    small = {r.id: r for r in en.previews(df, ["id"], longest=50).collect()}
+    assert (small[2].height, small[2].width) == (10, 50) and (unpacked(bytes(small[2].png)) == 200).all()
+
+
 # -- word distance ---------------------------------------------------------
 
 
