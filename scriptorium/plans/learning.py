@@ -16,7 +16,6 @@ from scriptorium.operators import structure as st
 from scriptorium.operators import tagging as tg
 from scriptorium.operators import vocabulary as vo
 from scriptorium.plans.registry import CORPUS, corpus, query, quoted, sql_list, sql_text, table, words_of
-from scriptorium.plans.texts import line_suggestions
 from scriptorium.sources import decks as library
 
 # -- vocabulary ------------------------------------------------------------
@@ -305,12 +304,20 @@ def dk_fallback_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def conversation_corrections(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(turns as documents, their corrections): of each two words of a turn the second replaces the first, where that stands first."""
+    docs = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.coalesce("text", F.lit("")).alias("text"), F.concat(F.lit("Talk "), "conv_id").alias("title"))
+    own = corrections(spark, sf_dir).select(F.col("doc_id").alias("conv_id"), F.floor(F.col("ord") / 1000).cast("long").alias("turn"), "ord", "original", "proposed", "category", "explanation", "confidence")
+    own = own.join(docs.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+    begin = (F.position("original", "text") - 1).cast("int")
+    return docs, own.withColumns({"begin": begin, "stop": (begin + F.length("original")).cast("int")}).drop("text")
+
+
 @query()
 def dk_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole cards from the line suggestions of all documents; tested on golden rows."""
-    docs = corpus(spark, sf_dir).withColumn("title", F.concat(F.lit("Document "), F.col("doc_id")))
-    found = line_suggestions(spark, sf_dir).withColumns({"ord": F.col("begin"), "explanation": F.lit("")})
-    return dk.build_cards(docs, found, ["doc_id"], senses=senses(spark)).withColumns({"front": F.to_json("front"), "back": F.to_json("back")})
+    """Whole cards of the conversations' corrections; tested against a loop, and on golden rows."""
+    docs, own = conversation_corrections(spark, sf_dir)
+    return dk.build_cards(docs, own, ["conv_id", "turn"], senses=senses(spark)).withColumns({"front": F.to_json("front"), "back": F.to_json("back")})
 
 
 @query("SELECT 'deck_' || conv_id AS deck_id, 'Talk ' || conv_id AS source_document_title, max(turn) AS created_at, count(*) AS total_flashcards, 0.0::DOUBLE AS mastery_percentage FROM conversations GROUP BY conv_id")
