@@ -108,7 +108,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_
     Each rule has two rates: how often it votes bad on bad documents and on good ones, where it votes;
     an abstention tells nothing. It begins from "one bad vote is enough": kinds of junk are caught by
     different rules, and a start from the majority would take each rule's finds for noise. The rate on good
-    documents has a prior of one in 500 worth ``prior_documents`` documents, however many there are: it keeps the classes' meaning where
+    documents has a prior of one in 500 worth as many documents as there are, and ``prior_documents`` at most: it keeps the classes' meaning where
     little is known, and a rule that calls many documents bad which all others call good is outvoted. That on bad documents has a prior of a
     half worth one document.
     """
@@ -118,9 +118,10 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior_
     votes = (patterns[:, None] // 3 ** np.arange(k)) % 3
     bad, cast = votes == 0, votes != 1
     good = np.where(bad.any(1), 0.05, 0.95)
+    known = min(counts.sum(), prior_documents) + 1
     for _ in range(rounds):
         rates = []
-        for p, r, n in ((1 - good, 0.5, 1.0), (good, 0.002, prior_documents + 1)):
+        for p, r, n in ((1 - good, 0.5, 1.0), (good, 0.002, known)):
             w = (counts * p)[:, None]
             rates.append(((w * bad).sum(0) + n * r) / ((w * cast).sum(0) + n))
         prior = ((counts * good).sum() + 1) / (counts.sum() + 2)
