@@ -30,7 +30,7 @@ from scriptorium.llm import common
 
 CAPACITY = 2048
 END = 0
-CACHE = 250_000
+CACHE = 1_000_000  # words that a worker keeps, some 200 bytes each
 SALT_ROWS = 50_000
 MARKS = re.compile(rb"(?<=[a-z])([.,:;!?]+)(?=[ \t-\r]|\Z)")
 
@@ -89,13 +89,13 @@ class WordTokens:
                 yield b"".join(map(self.known.__getitem__, words))
 
 
-_workers: dict[str, WordTokens] = {}
+_workers: dict[tuple[str, int], WordTokens] = {}
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int) -> Iterator[pa.RecordBatch]:
-    if path not in _workers:
-        _workers[path] = WordTokens(path)
-    tokens = _workers[path]
+def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, cache: int) -> Iterator[pa.RecordBatch]:
+    if (path, cache) not in _workers:
+        _workers[path, cache] = WordTokens(path, cache)
+    tokens = _workers[path, cache]
     end = np.array([END], "<u4").tobytes()
     step = 4 * capacity
     for b in batches:
@@ -190,16 +190,16 @@ def _place(batches: Iterator[pa.RecordBatch], runs: np.ndarray) -> Iterator[pa.R
         )
 
 
-def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, cache: int = CACHE) -> DataFrame:
     """One row per piece of the documents of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its ids and id 0; longer ones than ``capacity`` are cut. Null and empty texts are
     one piece of one token; repeated rows are packed each; an empty table gives no rows; other
-    columns are ignored. ``tokenizer`` is a path that every worker can open.
+    columns are ignored. ``tokenizer`` is a path that every worker can open; a worker keeps the ids of ``cache`` words.
     """
     spark = docs.sparkSession
     path = tokenizer or default_tokenizer()
-    pieces = common.stored(spark, common.id_text(docs).mapInArrow(lambda it: _pieces(it, path, capacity), _SCHEMA), "pieces")
+    pieces = common.stored(spark, common.id_text(docs).mapInArrow(lambda it: _pieces(it, path, capacity, cache), _SCHEMA), "pieces")
     counts = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # ``capacity`` rows at most
     runs = np.array(sorted(plan(counts, capacity)) or np.zeros((0, 6)), np.int64)
     salts = common.buckets_for(spark, sum(counts.values()), SALT_ROWS)
