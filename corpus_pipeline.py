@@ -13,6 +13,8 @@ from scriptorium.llm import common, decontaminate, line_dedup, packing, quality,
 
 
 NEAR_WORDS = 5
+#: a worker that packs has served the other stages before, and keeps fewer words
+PACK_WORDS = 250_000
 
 
 def _columns(docs: DataFrame, like: DataFrame) -> DataFrame:
@@ -47,7 +49,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents at their places in sequences; null and empty texts are one token, repeated rows are packed each, an
     empty table gives no pieces."""
-    return packing.pack(docs)
+    return packing.pack(docs, cache=PACK_WORDS)
 
 
 STAGES = [
