@@ -53,14 +53,16 @@ def confusions(events: DataFrame, weights: bool = True) -> DataFrame:
 
 
 def boosts(candidates: DataFrame, errors: DataFrame, words: DataFrame) -> DataFrame:
-    """Adds boost to candidates (user_id, text): what the profile knows about the text and each of its words, up to 0.25."""
-    own = candidates.withColumn("__rid", F.monotonically_increasing_id())
-    t = F.lower(tx.strip(F.col("text")))
-    whole = own.select("__rid", "user_id", t.alias("text")).join(errors, ["user_id", "text"]).select("__rid", F.least(F.lit(0.20), F.col("n") * 0.05).alias("b"))
-    each = own.select("__rid", "user_id", F.explode(F.transform(tx.tokens(t), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))).alias("word"))
-    each = each.join(words, ["user_id", "word"]).select("__rid", F.least(F.lit(0.12), F.col("n") * 0.03).alias("b"))
-    total = whole.union(each).groupBy("__rid").agg(F.round(F.least(F.lit(0.25), F.sum("b")), 6).alias("boost"))
-    return own.join(total, "__rid", "left").withColumn("boost", F.coalesce("boost", F.lit(0.0))).drop("__rid")
+    """Adds boost to candidates (user_id, text): what the profile knows about the text and each of its words, up to 0.25. Candidates
+    are met by their values: numbers given to rows would differ wherever a shuffle delivers the rows in another order."""
+    asked = candidates.select("user_id", F.col("text").alias("__asked")).distinct()
+    t = F.lower(tx.strip(F.col("__asked")))
+    whole = asked.withColumn("text", t).join(errors, ["user_id", "text"]).select("user_id", "__asked", F.least(F.lit(0.20), F.col("n") * 0.05).alias("b"))
+    each = asked.select("user_id", "__asked", F.explode(F.transform(tx.tokens(t), lambda w: F.regexp_replace(w, "[^a-z0-9]", ""))).alias("word"))
+    each = each.join(words, ["user_id", "word"]).select("user_id", "__asked", F.least(F.lit(0.12), F.col("n") * 0.03).alias("b"))
+    total = whole.union(each).groupBy("user_id", F.col("__asked").alias("text")).agg(F.round(F.least(F.lit(0.25), F.sum("b")), 6).alias("boost"))
+    out = candidates.join(total, ["user_id", "text"], "left")
+    return out.select(*candidates.columns, F.coalesce("boost", F.lit(0.0)).alias("boost"))
 
 
 def export(events: DataFrame) -> DataFrame:

@@ -372,7 +372,7 @@ SELECT user_id, text, round(least(0.25::DOUBLE, s), 6) AS boost FROM b"""
 )
 def ad_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     fb = feedback(spark, sf_dir)
-    asked = fb.select("user_id", F.concat_ws(" ", "original", "accepted").alias("text")).union(fb.select("user_id", "original")).distinct()
+    asked = fb.select("user_id", F.concat("original", F.lit(" "), "accepted").alias("text")).union(fb.select("user_id", "original")).distinct()
     return ad.boosts(asked, ad.errors(fb), ad.words(fb))
 
 

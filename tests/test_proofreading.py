@@ -97,3 +97,22 @@ def test_stems_are_in_every_match(spark):
         for r in own:
             assert df.where(F.col("body").rlike(r[5] + r[1]) & ~rl.may_match(F.col("body"), [r])).count() == 0, r
     assert rl.stem(r"\b(do)nt\b") == "dont" and rl.stem(r"\b(can|may)\s+sea\b(?=\s+a)") == "sea" and rl.stem(r"^(which|where)\b") == "" and rl.stem(r"of (?:the )?platform") == "platform"
+
+
+def test_boosts_do_not_depend_on_the_order_of_rows(spark):
+    def shuffled(batches):
+        import random
+
+        import pyarrow as pa
+
+        rows = [(f"u{k % 40}", f"w{k}") for k in range(400)]
+        random.SystemRandom().shuffle(rows)  # as a shuffle may deliver them, each time anew
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=["user_id", "text"])
+
+    asked = spark.range(1).coalesce(1).mapInArrow(shuffled, "user_id string, text string")
+    errors = spark.createDataFrame([(f"u{k % 40}", f"w{k}", 1 + k % 4) for k in range(0, 400, 3)], "user_id string, text string, n long")
+    words = spark.createDataFrame([(f"u{k % 40}", f"w{k}", 1 + k % 4) for k in range(0, 400, 5)], "user_id string, word string, n long")
+    got = {r.text: r.boost for r in profiles.boosts(asked, errors, words).collect()}
+    assert got == {f"w{k}": round((k % 3 == 0) * (1 + k % 4) * 0.05 + (k % 5 == 0) * min(0.12, (1 + k % 4) * 0.03), 6) if (k % 3 == 0) * (1 + k % 4) * 0.05 + (k % 5 == 0) * min(0.12, (1 + k % 4) * 0.03) < 0.25 else 0.25 for k in range(400)}
