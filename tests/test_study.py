@@ -113,3 +113,10 @@ def test_filters_against_loops():
         for x in range(11):
             v = sum(t * at(k, x) for k, t in taps) / sum(t for _, t in taps)
             assert abs(int(big[y, x]) - min(255, max(0, v))) <= 1
+
+
+def test_crops_of_pages_are_read_in_all_ways(spark):
+    from scriptorium.plans import catalog
+
+    got = catalog.queries()["im_variants"](spark, "/root/testdata/sf0.001").groupBy("page").agg(F.sort_array(F.collect_list("scale")).alias("s"), F.countDistinct("digest").alias("n")).collect()
+    assert got and {tuple(r.s) for r in got} == {tuple(sorted(kernels.VARIANTS))} and max(r.n for r in got) == len(kernels.VARIANTS)
