@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +13,9 @@ from pyspark.sql import types as T
 from scriptorium.functions import text as tx
 
 MIN_INK = 0.015
+SMALL, PAIRS = 1000, 1_000_000  # boxes of a page, and pairs at once, that are compared each with each
+NONE = -(1 << 62)
+_SIDES, _WAYS = ("xmin", "ymin", "xmax", "ymax"), ("above", "below", "left", "right")
 
 
 def without_empty(regions: DataFrame, least: float = MIN_INK) -> DataFrame:
@@ -108,21 +112,82 @@ def _strip(size: int, place: Column) -> Column:
     return F.lit(size << 40) + place + F.lit(1 << 39)
 
 
-def neighbours(regions: DataFrame, page: Sequence[str]) -> DataFrame:
+def neighbours(regions: DataFrame, page: Sequence[str], small: int = SMALL) -> DataFrame:
     """Distinct boxes of each page with the edges that face them: the page's columns, xmin, ymin, xmax, ymax, above (the lowest lower edge
     of the boxes over it), below, left, right (null where nothing is). A box faces those others that it overlaps on the other axis; equal
     boxes are one. Boxes with a null coordinate have no row.
 
+    A page of at most ``SMALL`` boxes is one row that holds them, and compares each with each; larger ones go by :func:`_by_strips`.
+    """
+    page = list(page)
+    names = {c: f"p{k}" for k, c in enumerate(page)}
+    key = list(names.values())
+    boxes = regions.select(*(F.col(c).alias(n) for c, n in names.items()), *(F.col(c).cast("long").alias(c) for c in _SIDES)).dropna(subset=list(_SIDES)).distinct()
+    # a page's boxes are gathered only if they are few: no row grows with a page
+    counted = boxes.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    least, most = counted.agg(F.min("n"), F.max("n")).first()
+    few, out = boxes, None
+    if most is not None and most > small:
+        large = counted.where(F.col("n") > small).select(*(F.col(k).alias(f"l_{k}") for k in key))
+        on = [F.col(k).eqNullSafe(F.col(f"l_{k}")) for k in key]
+        few, out = boxes.join(large, on, "left_anti"), _by_strips(boxes.join(large, on, "left_semi"), key)
+    if most is None or least <= small:
+        schema = few.select(*key).schema
+        schema = T.StructType([*schema.fields, *(T.StructField(c, T.LongType()) for c in (*_SIDES, *_WAYS))])
+        own = few.groupBy(*key).agg(F.collect_list(F.struct(*_SIDES)).alias("b"))
+        own = own.select(*key, *(F.col(f"b.{c}").alias(c) for c in _SIDES)).mapInArrow(_facing, schema)
+        out = own if out is None else own.union(out.select(own.columns))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()), *_SIDES, *_WAYS)
+
+
+def _facing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The boxes of pages (one a row, their sides as lists) with the edges that face them; pairs of bounded number at once."""
+    for b in batches:
+        n = np.diff(b.column(_SIDES[0]).offsets.to_numpy()).astype(np.int64)
+        at, first = 0, np.concatenate(([0], np.cumsum(n)))
+        sides = [b.column(c).flatten().to_numpy() for c in _SIDES]
+        load = np.cumsum(n * n)
+        while at < len(n):
+            to = max(at + 1, int(np.searchsorted(load, (load[at - 1] if at else 0) + PAIRS, "right")))
+            own = [s[first[at] : first[to]] for s in sides]
+            found = _nearest(own, n[at:to])
+            rows = pa.array(np.repeat(np.arange(at, to), n[at:to]))
+            keys = [b.column(k).take(rows) for k in range(b.num_columns - len(_SIDES))]
+            yield pa.RecordBatch.from_arrays([*keys, *map(pa.array, own), *found], names=[*b.schema.names, *_WAYS])
+            at = to
+
+
+def _nearest(sides: list[np.ndarray], n: np.ndarray) -> list[pa.Array]:
+    """above, below, left and right of the boxes of pages with ``n`` boxes each, from all pairs of a page."""
+    total, start = int(n.sum()), np.cumsum(n) - n
+    mates, base = np.repeat(n, n), np.repeat(start, n)
+    begin = np.cumsum(mates) - mates
+    i = np.repeat(np.arange(total), mates)
+    j = np.arange(int(mates.sum())) - np.repeat(begin - base, mates)
+    i, j = i[i != j], j[i != j]
+    x0, y0, x1, y1 = sides
+    meets_x = np.minimum(x1[i], x1[j]) > np.maximum(x0[i], x0[j])
+    meets_y = np.minimum(y1[i], y1[j]) > np.maximum(y0[i], y0[j])
+    out = []
+    for meets, facing, edge, sign in (
+        (meets_x, y1[j] <= y0[i], y1, 1), (meets_x, (y0[j] >= y1[i]) & (y1[j] > y0[i]), y0, -1), (meets_y, x1[j] <= x0[i], x1, 1), (meets_y, (x0[j] >= x1[i]) & (x1[j] > x0[i]), x0, -1),
+    ):
+        hit = np.flatnonzero(meets & facing)
+        best = np.full(total, NONE, np.int64)
+        np.maximum.at(best, i[hit], edge[j[hit]] * sign)
+        out.append(pa.array(best * sign, mask=best == NONE))
+    return out
+
+
+def _by_strips(boxes: DataFrame, key: list[str]) -> DataFrame:
+    """The same for distinct boxes (key, sides) of pages of any size.
+
     Two intervals overlap if one begins in the other. An interval is cut into dyadic strips, a point lies in one strip of each size;
     in each strip the edges and the boxes that look for one are sorted, and the last edge before a box is its nearest: a
     window, without pairs. Equal edges of a strip are one before they are sorted, so a strip has no more rows than the page has
     coordinates, however many boxes it has.
     """
-    page = list(page)
-    names = {c: f"p{k}" for k, c in enumerate(page)}
-    sides = ["xmin", "ymin", "xmax", "ymax"]
-    key = list(names.values())
-    boxes = regions.select(*(F.col(c).alias(n) for c, n in names.items()), *(F.col(c).cast("long").alias(c) for c in sides)).dropna(subset=sides).distinct()
+    sides = list(_SIDES)
     most = boxes.agg(F.max(F.greatest(*(F.abs(c) for c in sides)))).first()[0] or 0
     levels = max(1, int(most).bit_length() + 1)
     x0, y0, x1, y1 = (F.col(c) for c in sides)
@@ -156,7 +221,7 @@ def neighbours(regions: DataFrame, page: Sequence[str]) -> DataFrame:
     out = found.groupBy(*key, *sides).agg(way("above", 1), way("below", -1), way("left", 1), way("right", -1))
     back = [F.col(f"b.{c}").eqNullSafe(F.col(f"o.{c}")) for c in key] + [F.col(f"b.{c}") == F.col(f"o.{c}") for c in sides]
     out = boxes.alias("b").join(out.alias("o"), back, "left")
-    return out.select(*(F.col(f"b.{n}").alias(c) for c, n in names.items()), *(F.col(f"b.{c}").alias(c) for c in sides), *(F.col(f"o.{c}").alias(c) for c in ("above", "below", "left", "right")))
+    return out.select(*(F.col(f"b.{c}").alias(c) for c in (*key, *sides)), *(F.col(f"o.{c}").alias(c) for c in _WAYS))
 
 
 def padded(regions: DataFrame, page: Sequence[str], vertical: float = 0.18, horizontal: float = 0.08, least: int = 6) -> DataFrame:

@@ -77,3 +77,17 @@ def test_a_page_of_many_boxes(spark):
     assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
     # the gap of 6 pixels between neighbours is what bounds each box
     assert got.where("pxmin = greatest(0, xmin - 6) and pymin = greatest(0, ymin - 6) and pxmax = xmax + 6 and pymax = ymax + 6").count() == n
+
+
+def test_pages_below_and_above_the_bound_alike(spark):
+    r = random.Random(7)
+    rows = [(p, k, x, y, x + r.choice((0, 3, 40)), y + r.choice((0, 5, 12))) for p in range(12) for k in range(3 + 4 * p) for x, y in [(r.randrange(90), r.randrange(90))]]
+    df = spark.createDataFrame(rows, "page int, region_id int, xmin int, ymin int, xmax int, ymax int")
+    ways = [sorted(map(tuple, layout.neighbours(df, ["page"], small=n).collect()), key=repr) for n in (0, 20, 1000)]
+    assert ways[0] == ways[1] == ways[2] and len(ways[0]) == len({r[:1] + r[2:] for r in rows})
+
+
+def test_small_pages_make_no_strips(spark):
+    """A box of a small page is one entry of its page's row, not some 240 rows of a shuffle."""
+    df = spark.createDataFrame([(1, 1, 0, 0, 9, 9), (1, 2, 0, 20, 9, 30)], "page int, region_id int, xmin int, ymin int, xmax int, ymax int")
+    assert "Window" not in layout.neighbours(df, ["page"])._jdf.queryExecution().executedPlan().toString()
