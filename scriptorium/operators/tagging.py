@@ -35,6 +35,7 @@ ROUNDS = 4
 UNIT = 1 << 16
 #: tokens that a kernel takes at once, and sentences
 TOKENS, SENTENCES = 100_000, 2000
+TEXT = 1 << 20  # characters that are tagged at once
 
 CLOSED = {
     "pronoun": "i you he she it we they me him her us them myself yourself himself herself itself ourselves themselves who whom whose what which this that these those someone something anyone anything everyone everything nobody nothing mine yours hers ours theirs",
@@ -303,6 +304,27 @@ def letters(word: str) -> str:
     return "".join(c for c in word if "a" <= c <= "z" or "A" <= c <= "Z").lower()
 
 
+def _first_tags(model: Model, asked: dict[str, dict[str, str | None]]) -> None:
+    """Puts the tag of each text's first token with the letters that are asked for; texts are tagged many at once."""
+    low: dict[str, str] = {}
+    every, at = list(asked), 0
+    while at < len(every):
+        to, size = at, 0
+        while to < len(every) and (to == at or size + len(every[to]) <= TEXT):
+            size += len(every[to])
+            to += 1
+        found = [(asked[t], s) for t in every[at:to] for s in sentences(t)]
+        tags = viterbi(model, [np.fromiter(map(class_of, s), np.int64, len(s)) for _, s in found])
+        for (want, s), own in zip(found, tags, strict=True):
+            for token, t in zip(s, own.tolist(), strict=True):
+                key = low.get(token)
+                if key is None:
+                    key = low[token] = letters(token)
+                if key and key in want and want[key] is None:
+                    want[key] = TAGS[t]
+        at = to
+
+
 def in_context(rows: DataFrame, word: Column, sentence: Column, model: Model | None = None) -> DataFrame:
     """``rows`` with pos and pos_confidence of ``word`` in ``sentence``: the tag of the sentence's first token that has the same letters,
     with 0.98 for nouns, verbs, adjectives and adverbs and 0.85 for others; where there is none, by the word's ending. A word without a letter
@@ -313,20 +335,12 @@ def in_context(rows: DataFrame, word: Column, sentence: Column, model: Model | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            seen: dict[str, dict[str, str]] = {}
-            out = []
-            for w, text in zip(b.column("word").to_pylist(), b.column("text").to_pylist(), strict=True):
-                if text not in seen:
-                    if len(seen) > 1000:
-                        seen.clear()
-                    found = sentences(text)
-                    first: dict[str, str] = {}
-                    for s, tags in zip(found, viterbi(own, [np.fromiter(map(class_of, x), np.int64, len(x)) for x in found]), strict=True):
-                        for token, t in zip(s, tags, strict=True):
-                            first.setdefault(letters(token), TAGS[t])
-                    seen[text] = first
-                key = letters(w)
-                out.append(seen[text].get(key) if key else None)
+            words, texts = b.column("word").to_pylist(), b.column("text").to_pylist()
+            asked: dict[str, dict[str, str | None]] = {}
+            for w, text in zip(words, texts, strict=True):
+                asked.setdefault(text, {})[letters(w)] = None
+            _first_tags(own, asked)
+            out = [asked[text][letters(w)] for w, text in zip(words, texts, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column("row"), b.column("word"), pa.array(out, pa.string())], names=["row", "word", "tag"])
 
     found = wanted.mapInArrow(run, schema)

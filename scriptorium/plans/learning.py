@@ -103,7 +103,12 @@ SELECT conv_id, turn, word, sense_id, round(similarity, 3) AS similarity FROM r
 )
 def vo_rank_senses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Senses of each word that have its part of speech in the turn."""
-    words = tokens(spark, sf_dir).select("conv_id", "turn", "word", F.col("text").alias("sentence")).distinct()
+    # words without an entry have no sense; the words of a turn stay together, so that its sentences are tagged once
+    known = sorted({r[0] for r in SENSES})
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("sentence"))
+    turns = turns.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")  # tagging is dear and texts are not
+    own = F.filter(F.array_distinct(tx.tokens(F.col("sentence"))), lambda w: tx.letters(w).isin(known))
+    words = turns.select("conv_id", "turn", F.explode(own).alias("word"), "sentence")
     words = tg.in_context(words, F.col("word"), F.col("sentence")).drop("pos_confidence")
     best = vo.rank_senses(words, senses(spark), ["conv_id", "turn", "word"])
     return best.select("conv_id", "turn", "word", "sense_id", F.round("similarity", 3).alias("similarity"))

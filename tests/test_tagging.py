@@ -133,3 +133,18 @@ def test_describe_by_the_tag_in_context(spark):
     assert got == {1: "walk.verb.01", 2: "walk.noun.01"}
     plain = {r.id: r.sense for r in vo.describe(df, ["id"], senses).collect()}
     assert plain == {1: "walk.noun.01", 2: "walk.noun.01"}
+
+
+def test_texts_are_tagged_many_at_once(monkeypatch):
+    calls, viterbi = [], tg.viterbi
+    monkeypatch.setattr(tg, "viterbi", lambda model, codes: calls.append(len(codes)) or viterbi(model, codes))
+    texts = [f"The {a} of the house runs. It is {b}!" for a in ("dog", "cat", "garden") for b in ("big", "in")]
+    asked = {t: {"the": None, "of": None, "runs": None, "in": None, "": None, "zebra": None} for t in texts}
+    tg._first_tags(tg.prior(), asked)
+    assert calls == [12]
+    for t in texts:
+        first = {}
+        for s in tg.sentences(t):
+            for token, k in zip(s, viterbi(tg.prior(), [np.array([tg.class_of(x) for x in s])])[0], strict=True):
+                first.setdefault(tg.letters(token), tg.TAGS[k])
+        assert asked[t] == {w: first.get(w) if w else None for w in asked[t]}
