@@ -88,26 +88,33 @@ def clean_sentence(c: Column) -> Column:
     return tx.strip(F.regexp_replace(t, " +", " "))
 
 
-def context_sentences(text: Column, begin: Column, stop: Column, original: Column, proposed: Column) -> tuple[Column, Column]:
-    """(sentence as it was, sentence corrected) around a correction; a template without a place in the text."""
+def context_sentences(text: Column, begin: Column, stop: Column, original: Column, proposed: Column) -> Column:
+    """Sentence as it ``was`` and as it is ``now``, corrected, around a correction; a template without a place in the text."""
     left, right = F.substring(text, F.lit(1), begin), F.substring(text, stop + 1, F.length(text))
-    own_left = F.regexp_extract(left, r"([^.!?\n]*)$", 1)
+    # tried at the beginnings of sentences alone: from each character it would be square in the text
+    own_left = F.regexp_extract(left, r"(?:^|(?<=[.!?\n]))([^.!?\n]*)$", 1)
     own_right = F.regexp_extract(right, r"^([^.!?\n]*)", 1)
-    sentence = tx.strip(F.concat(own_left, F.substring(text, begin + 1, stop - begin), own_right))
-    # the first whole word in the sentence, else the first occurrence, is replaced
-    quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(original, F.lit(r"\E"), F.lit("")), F.lit(r"\E\b"))
-    at = F.regexp_instr(sentence, quoted)
-    at = F.when(at > 0, at).otherwise(F.position(original, sentence))
-    swapped = F.concat(F.substring(sentence, F.lit(1), at - 1), proposed, F.substring(sentence, at + F.length(original), F.length(sentence)))
-    gap_left = F.when((own_left != "") & ~own_left.endswith(" "), " ").otherwise("")
-    gap_right = F.when((own_right != "") & ~own_right.rlike(r"^[ ,.!?;:]"), " ").otherwise("")
-    inserted = F.concat(own_left, gap_left, proposed, gap_right, own_right)
-    corrected = F.when((original != "") & (at > 0), swapped).otherwise(inserted)
-    placed = (begin >= 0) & (stop <= F.length(text)) & (begin < stop) & (clean_sentence(sentence) != "")
-    return (
-        F.when(placed, clean_sentence(sentence)).otherwise(clean_sentence(F.concat(F.lit("The sentence contained '"), original, F.lit("'.")))),
-        F.when(placed, clean_sentence(corrected)).otherwise(clean_sentence(F.concat(F.lit("The sentence was corrected to '"), proposed, F.lit("'.")))),
-    )
+    found = F.struct(own_left.alias("left"), own_right.alias("right"), tx.strip(F.concat(own_left, F.substring(text, begin + 1, stop - begin), own_right)).alias("sentence"))
+
+    def corrected(x: Column) -> Column:
+        # the first whole word in the sentence, else the first occurrence, is replaced
+        sentence, own_left, own_right = x["sentence"], x["left"], x["right"]
+        quoted = F.concat(F.lit(r"(?U)\b\Q"), F.replace(original, F.lit(r"\E"), F.lit("")), F.lit(r"\E\b"))
+        place = tx.let(F.regexp_instr(sentence, quoted), lambda n: F.when(n > 0, n).otherwise(F.position(original, sentence)))
+        gap_left = F.when((own_left != "") & ~own_left.endswith(" "), " ").otherwise("")
+        gap_right = F.when((own_right != "") & ~own_right.rlike(r"^[ ,.!?;:]"), " ").otherwise("")
+        inserted = F.concat(own_left, gap_left, proposed, gap_right, own_right)
+
+        def put(at: Column) -> Column:
+            swapped = F.concat(F.substring(sentence, F.lit(1), at - 1), proposed, F.substring(sentence, at + F.length(original), F.length(sentence)))
+            return F.when((original != "") & (at > 0), swapped).otherwise(inserted)
+
+        return tx.let(place, put)
+
+    both = tx.let(found, lambda x: tx.let(clean_sentence(x["sentence"]), lambda c: F.struct(c.alias("was"), F.when(c != "", clean_sentence(corrected(x))).alias("now"))))
+    placed = (begin >= 0) & (stop <= F.length(text)) & (begin < stop)
+    none = F.struct(clean_sentence(F.concat(F.lit("The sentence contained '"), original, F.lit("'."))).alias("was"), clean_sentence(F.concat(F.lit("The sentence was corrected to '"), proposed, F.lit("'."))).alias("now"))
+    return F.when(placed, tx.let(both, lambda x: F.when(x["was"] != "", x).otherwise(none))).otherwise(none)
 
 
 def resolved_style(category: Column, original: Column, proposed: Column, explanation: Column) -> tuple[Column, Column]:
@@ -239,8 +246,8 @@ def build_cards(docs: DataFrame, corrections: DataFrame, doc: list[str], text: s
     built twice is the same deck. ``front`` and ``back`` are structs with the fields of all styles.
     """
     own = with_defaults(corrections).join(docs.select(*doc, F.col(text).alias("__text"), F.col(title).alias("title")), doc)
-    before, after = context_sentences(F.col("__text"), F.col("begin"), F.col("stop"), F.col("original"), F.col("proposed"))
-    own = own.withColumns({"original_sentence": before, "corrected_sentence": after}).drop("__text")
+    own = own.withColumn("__both", context_sentences(F.col("__text"), F.col("begin"), F.col("stop"), F.col("original"), F.col("proposed")))
+    own = own.withColumns({"original_sentence": F.col("__both.was"), "corrected_sentence": F.col("__both.now")}).drop("__text", "__both")
     one = merged_concepts(own, doc)
     o, p, e = F.col("original"), F.col("proposed"), F.col("explanation")
     style, category = resolved_style(F.col("category"), o, p, e)

@@ -135,3 +135,18 @@ def test_the_query_has_these_cards(spark):
     made = learning.dk_cards(spark, SF)
     assert made.select("card_id").exceptAll(dk.build_cards(docs, rows, ["conv_id", "turn"]).select("card_id")).count() == 0
     assert made.where(F.col("sense").contains(".det.") | F.col("sense").contains(".noun.")).count() > 0
+
+
+def test_the_sentence_of_a_long_text_is_found_in_time_linear_in_it(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from scriptorium.operators import cards as dk
+
+    long = "word " * 60_000  # a sentence tried from each of its characters that a later stop ends would take minutes
+    for text, was, now in ((long + ". A cat sat\nhere", "A cat sat", "A dog sat"), (long + "\nA cat sat\r\n", "A cat sat", "A dog sat"), (long + "!\ncat", "cat", "dog")):
+        df = spark.createDataFrame([(text,)], "text string").withColumn("begin", F.position(F.lit("cat"), "text") - 1)
+        began = time.time()
+        got = df.select(dk.context_sentences(F.col("text"), F.col("begin"), F.col("begin") + 3, F.lit("cat"), F.lit("dog")).alias("x")).first().x
+        assert (got.was, got.now) == (was, now) and time.time() - began < 15
