@@ -1,22 +1,20 @@
 """Operator 8: language-model scoring by logistic context mixing.
 
-A text is the sequence of its lower-cased words and one end. A word is coded as its bytes and
-a closing blank, the end as a blank alone, bit by bit. Several predictors, each a hashed context (the
-last 1 to 5 bytes of the word, and all of it so far) with counts of both bit values, give their
-logits; weights gated by the bit's place and the byte's place mix them, learned online by second-order
-steps; an adaptive probability map refines the result. The probability of a word is a mixture
-of its relative frequency in the training texts and of the bit model, so known words cost what
-counting says and new ones what their spelling says. In the text at hand the mixture is refined
-twice more by what the text itself has said so far, with weights that its past tokens have earned: by its words, and by the words
-that have followed the preceding one.
+A text is the sequence of its lower-cased words and one end. It is coded as running bytes, each word with
+a closing blank and the end as a blank alone, bit by bit. Several predictors, each a hashed context (the
+last 1 to 5 bytes, which reach across blanks into the words before; the word so far; the preceding word and the
+word so far) with counts of both bit values over every occurrence in the training texts, give their
+logits; weights gated by the bit's place and the byte's place in its word mix them, trained online by second-order
+steps, and go on learning inside each text while it is scored; an adaptive probability map refines the result.
+A word's probability under the bit model is then mixed with its relative frequency in the training texts, with its
+share of what the text itself has said so far, and with its share of what has followed the preceding word
+there, each with a weight that its past tokens have earned.
 All of it is a probability distribution over texts: total bits per byte follow from the score.
 
-Because hashed contexts stay within a word, each distinct word is modelled once for the corpus:
-chunks send their distinct words to buckets, buckets answer with counts and log probabilities.
-What is learned leaves each word's own occurrence out, so training texts don't vouch for
-themselves. Tables of contexts grow with the vocabulary up to 2**MAX_BITS slots, so their size is bounded; vocabularies never leave
-the buckets. Buckets depend on the size of the input alone, words stand in them in a fixed order, and each trains from the same
-start, so the scores do not depend on how Spark deals out the rows.
+Texts are dealt into chunks by their hashes, in that order, so counts, weights and scores do not depend on how Spark
+deals out the rows. For the counts of words, chunks send their distinct words to buckets and buckets answer with totals.
+What is trained leaves each bit's own occurrence out, so training texts don't vouch for themselves. A context table has up to
+2**MAX_BITS slots, so its size is bounded; it is summed by ranges of slots. Vocabularies never leave the buckets.
 """
 
 from __future__ import annotations
@@ -32,16 +30,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import common, exchange
-from scriptorium.llm.bytehash import Windows, mix
+from scriptorium.llm.bytehash import Windows
 
-ORDERS = (1, 2, 3, 4, 5, 1 << 30)
+ORDERS = (1, 2, 3, 4, 5)  # bytes; after them the word so far, and the preceding word with it
+PREDICTORS = len(ORDERS) + 2
 MIN_BITS, MAX_BITS = 16, 22  # of a context table
-CHUNK = 4 << 20
-BUCKET_TEXT = 16 << 20  # text per bucket; small inputs have up to 8 buckets of SMALL_TEXT or more, which is enough to train on
+RANGE_BITS = 18  # slots of a table that are summed in one group
+CHUNK, SMALL_CHUNK = 4 << 20, 1 << 20
+COUNTED = 64 << 20  # text per set of tables, and sets at least and at most
+SETS = 4, 256
+BUCKET_TEXT = 16 << 20  # text per bucket of words; small inputs have up to 8 buckets of SMALL_TEXT or more
 SMALL_TEXT = 4 << 20
-BATCH = 24_000  # bytes of words modelled at once: arrays that stay in the processor's cache
+BATCH = 6000  # bytes modelled at once: arrays that stay in the processor's cache
+TRAIN_BATCH = 12_000  # bytes between two steps of training at most
+BLOCK, RATE = 256, 0.002  # bytes of a text between two steps of its weights, and the size of a step
 PLACES = 4
-CACHE = 0.05, 20.0  # weight of what the text has said so far, and the tokens that this is worth
+COUNTS = 0.3, 20.0  # weight of relative frequencies at a text's beginning, and the tokens that this is worth
+CACHE = 0.05, 20.0  # the same for what the text has said so far
 _U = np.uint64
 
 
@@ -56,6 +61,7 @@ class Chunk:
     """Distinct words of a chunk in the order of their buckets, and the texts as their numbers; the end is the empty word."""
 
     def __init__(self, blob: np.ndarray, lens: np.ndarray, ids: list, n_buckets: int):
+        self.blob, self.lens = blob, lens
         seen: dict[bytes, int] = {b"": 0}
         number = seen.setdefault
         raw, at, parts = blob.tobytes(), 0, []
@@ -104,8 +110,7 @@ def _merge(group: pa.Table) -> pa.Table:
         counts, names = _parse(m)
         for u, c in zip(names, counts.tolist(), strict=True):
             total[u] = get(u, 0) + c
-    names = sorted(total, key=lambda u: (xxhash.xxh64_intdigest(u, 1), u))  # neighbours in the alphabet would mislead an online pass
-    counts = np.fromiter((total[u] for u in names), np.int64, len(names))
+    names, counts = list(total), np.fromiter(total.values(), np.int64, len(total))
     lens = np.fromiter(map(len, names), np.int32, len(names)) + np.int32(1)
     return pa.table(
         {
@@ -125,60 +130,130 @@ _VOCAB = "bucket int, blob binary, lens binary, counts binary, tokens long, type
 # -- the bit model ---------------------------------------------------------
 
 
+def coded(blob: np.ndarray, lens: np.ndarray, keep: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Texts (those of ``keep``) as the bytes to be predicted, and their lengths."""
+    raw, at, out = blob.tobytes(), 0, []
+    for k, n in enumerate(lens.tolist()):
+        if keep is None or keep[k]:
+            out.append(b" ".join([*raw[at : at + n].lower().split(), b" "]))
+        at += n
+    return np.frombuffer(b"".join(out), np.uint8), np.fromiter(map(len, out), np.int64, len(out))
+
+
+class Stream:
+    """Coded texts: the token and the place of each byte, and where its contexts begin."""
+
+    def __init__(self, blob: np.ndarray, lens: np.ndarray):
+        n = len(blob)
+        self.blob, self.lens = blob, lens
+        self.begins = np.cumsum(lens) - lens
+        self.begin = np.repeat(self.begins, lens).astype(np.int32)
+        blank = blob == 32
+        self.token = (np.cumsum(blank) - blank).astype(np.int32)
+        self.tokens = np.concatenate(([0], np.flatnonzero(blank)[:-1] + 1))
+        before = np.concatenate(([0], self.tokens[:-1]))
+        self.word = self.tokens[self.token].astype(np.int32)
+        self.both = np.maximum(before[self.token], self.begin).astype(np.int32)
+        self.place = np.minimum(np.arange(n) - self.word, PLACES - 1).astype(np.int32)
+        self.hashes = Windows(blob)
+
+    def contexts(self, at: np.ndarray) -> list[np.ndarray]:
+        """A hash per predictor of what precedes the bytes at ``at``."""
+        sums, down = self.hashes.sums, self.hashes.down
+        end, first = sums[at], self.begin[at]
+        out = []
+        for start in [*(np.maximum(at - k, first) for k in ORDERS), self.word[at], self.both[at]]:
+            out.append((((end - sums[start]) * down[start]) >> _U(32)).astype(np.uint32))
+        return out
+
+
+_SHIFTS = np.arange(8)
+_BITS = ((np.arange(256)[:, None] >> (7 - _SHIFTS)) & 1).astype(np.int8)
+_HALF = np.array([0, 1, 2, 3] * 2)
+_NODES = (1 << _HALF) | ((np.arange(256)[:, None] >> np.array([4] * 4 + [0] * 4) & 15) >> (4 - _HALF))  # 1 to 15 in either half of a byte
+_PAIRS = _NODES * 2 + _BITS
+_HIGH = ((np.arange(256) >> 4) + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
+
+
 class Batch:
-    """The bits of some words, bytes sorted by their place: table slots of every predictor and bit values."""
+    """The bits of some bytes, sorted by the weights that they take: table slots of every predictor and bit values."""
 
     def __init__(self, blob: np.ndarray, lens: np.ndarray, bits: int):
-        n = len(blob)
-        word = np.repeat(np.arange(len(lens)), lens)
-        pos = np.arange(n) - (np.cumsum(lens) - lens)[word]
-        place = np.minimum(pos, PLACES - 1)
-        order = np.argsort(place, kind="stable")
-        self.word, pos, self.n_words = word[order], pos[order], len(lens)
-        at = order
-        ends = np.searchsorted(place[order], np.arange(PLACES + 1))
-        self.places = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        w = Windows(blob)
-        byte = blob[order].astype(np.int64)
-        shifts = np.arange(8)
-        self.bits = ((byte[:, None] >> (7 - shifts)) & 1).astype(np.int8)
-        node = ((1 << shifts) | (byte[:, None] >> (8 - shifts))).astype(np.uint32) * np.uint32(0x9E3779B1)
-        self.slots = []
-        for k, size in enumerate(ORDERS):
-            m = np.minimum(size, pos)
-            base = mix(w.hash(at - m, m) + (_U(k + 1) << _U(40)) + m.astype(np.uint64))
-            self.slots.append(((base >> _U(32)).astype(np.uint32)[:, None] + node) >> np.uint32(32 - bits))
+        s = Stream(blob, lens)
+        self._fill(s, np.arange(len(blob)), s.place, bits)
+
+    @classmethod
+    def of(cls, s: Stream, at: np.ndarray, row: np.ndarray, bits: int) -> Batch:
+        """``row``: which weights the byte takes, PLACES rows a set."""
+        out = cls.__new__(cls)
+        out._fill(s, at, row, bits)
+        return out
+
+    def _fill(self, s: Stream, at: np.ndarray, row: np.ndarray, bits: int) -> None:
+        # narrow keys are sorted in one pass
+        order = np.argsort(row.astype(np.int16) if len(row) and row.max() < 1 << 15 else row, kind="stable")
+        self.at, self.row = at[order], row[order]
+        self.word, self.n_words = s.token[self.at], len(s.tokens)
+        self.byte = s.blob[self.at]
+        self.bits = _BITS.take(self.byte, 0)
+        high, shift = _HIGH.take(self.byte), np.uint32(36 - bits)
+        self.lines = []
+        for base in s.contexts(self.at):  # either half of a byte has its 16 slots side by side
+            line = np.empty((len(base), 2), np.int64)
+            line[:, 0] = base >> shift
+            line[:, 1] = (base + high) * np.uint32(0x85EBCA6B) >> shift
+            self.lines.append(line.ravel())
+
+    def _placed(self, size: int, within: np.ndarray) -> Iterator[np.ndarray]:
+        own = within.take(self.byte, 0).ravel()
+        for line in self.lines:
+            out = np.repeat(line * size, 4)
+            out += own
+            yield out.reshape(-1, 8)
+
+    @property
+    def slots(self) -> list[np.ndarray]:
+        return list(self._placed(16, _NODES))
+
+    def pairs(self) -> Iterator[np.ndarray]:
+        """Of each predictor the numbers of the bits' own counts: twice the slot, and the bit."""
+        return self._placed(32, _PAIRS)
 
     def sum(self, x: np.ndarray) -> np.ndarray:
         """Per word, of what each bit has."""
         return np.bincount(self.word, x.sum(1), minlength=self.n_words)
 
 
-def batches(row: dict) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
-    lens = np.frombuffer(row["lens"], np.int32).astype(np.int64)
-    blob = np.frombuffer(row["blob"], np.uint8)
-    ends = np.cumsum(lens)
-    at = 0
-    while at < len(lens):
-        start = ends[at] - lens[at]
-        to = max(at + 1, int(np.searchsorted(ends, start + BATCH, "right")))
-        yield slice(at, to), blob[start : ends[to - 1]], lens[at:to]
-        at = to
+def _ranges(bits: int) -> int:
+    return 1 << max(0, bits - RANGE_BITS)
+
+
+def _training(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Stream]]:
+    """The training texts of each chunk."""
+    for rb in rows:
+        for k in range(rb.num_rows):
+            ids = rb.column("ids")[k].as_py()
+            blob = np.frombuffer(rb.column("blob")[k].as_buffer() or b"", np.uint8)
+            keep = np.array([not held_out(i) for i in ids], bool)
+            yield rb.column("chunk")[k].as_py(), Stream(*coded(blob, np.frombuffer(rb.column("lens")[k].as_py(), np.int64), keep))
+
+
+def count(s: Stream, out: np.ndarray, bits: int) -> None:
+    """Adds the bits of a stream to the counts of each predictor's slots, those of zeros beside those of ones."""
+    for a in range(0, len(s.blob), BATCH):
+        at = np.arange(a, min(a + BATCH, len(s.blob)))
+        b = Batch.of(s, at, s.place[at], bits)
+        for x, pair in zip(out, b.pairs(), strict=True):
+            np.add.at(x, pair.ravel(), np.int32(1))
 
 
 def _tables(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of both bit values in each slot over the training words, one each; a row per predictor."""
-    out = np.zeros((len(ORDERS), 2 << bits), np.int32)
-    for b in rows:
-        for r in b.to_pylist():
-            trained = np.frombuffer(r["counts"], np.int64) > 0
-            for s, blob, lens in batches(r):
-                keep = trained[s]
-                if keep.any():
-                    own = Batch(blob[np.repeat(keep, lens)], lens[keep], bits)
-                    for k in range(len(ORDERS)):
-                        np.add.at(out[k], (own.slots[k] * np.uint32(2) + own.bits.astype(np.uint32)).ravel(), np.int32(1))
-    yield pa.RecordBatch.from_arrays([pa.array(range(len(ORDERS)), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in out], pa.binary())], names=["part", "counts"])
+    """Counts of both bit values in each slot over all bits of the training texts; a row per range of slots of a predictor."""
+    out = np.zeros((PREDICTORS, 2 << bits), np.int32)
+    for _, s in _training(rows):
+        count(s, out, bits)
+    for part, x in enumerate(out.reshape(PREDICTORS * _ranges(bits), -1)):
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
 
 def _fitting(total: np.ndarray, most: int = (1 << 31) - 1) -> np.ndarray:
@@ -192,195 +267,198 @@ def _fitting(total: np.ndarray, most: int = (1 << 31) - 1) -> np.ndarray:
 
 def _logit(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     add = np.float32(0.4)
-    return np.log(ones.astype(np.float32) + add) - np.log(zeros.astype(np.float32) + add)
+    return np.log(np.maximum(ones, 0).astype(np.float32) + add) - np.log(np.maximum(zeros, 0).astype(np.float32) + add)
 
 
-def _add(group: pa.Table, bits: int) -> pa.Table:
-    total = np.zeros(2 << bits, np.int64)
+def _add(group: pa.Table) -> pa.Table:
+    total = np.int64(0)
     for c in group.column("counts"):
-        total += np.frombuffer(zlib.decompress(c.as_py()), np.int32)
+        total = total + np.frombuffer(zlib.decompress(c.as_py()), np.int32)
     total = _fitting(total).astype(np.int32)
     return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
 
 
 class Model:
-    """Context tables with mixing weights, a probability map and the share of the counts."""
+    """Context tables, the trained mixing weights (predictors and a constant, places, bits) and the probability map."""
 
     def __init__(self, parts: dict[int, bytes], bits: int):
         self.parts, self.bits = parts, bits
-        self.weights = np.full((PLACES, 8, len(ORDERS) + 1), 0.3)
-        self.weights[:, :, -1] = 0
+        self.weights = np.full((PREDICTORS + 1, PLACES, 8), 0.3, np.float32)
+        self.weights[-1] = 0
         self.map = None
-        self.share = 0.5
+        self.ready: bool | None = None
 
     def open(self, scoring: bool = False) -> None:
-        none = np.zeros(2 << self.bits, np.int32)
-        self.counts = [np.frombuffer(zlib.decompress(self.parts[k]), np.int32).reshape(-1, 2) if k in self.parts else none.reshape(-1, 2) for k in range(len(ORDERS))]
-        if scoring:
-            self.logits = [_logit(c[:, 1], c[:, 0]) for c in self.counts]
-            self.counts = []
+        """Logits of the slots, once a process; for training those with a zero or a one left out."""
+        if self.ready is scoring:
+            return
+        n, size = _ranges(self.bits), (1 << self.bits) // _ranges(self.bits)
+        shape = (1 << self.bits,) if scoring else (1 << self.bits, 2)
+        self.logits = [np.zeros(shape, np.float32) for _ in range(PREDICTORS)]
+        for part, data in self.parts.items():
+            zeros, ones = np.frombuffer(zlib.decompress(data), np.int32).reshape(-1, 2).T
+            out = self.logits[part // n][part % n * size : (part % n + 1) * size]
+            if scoring:
+                out[:] = _logit(ones, zeros)
+            else:
+                out[:, 0], out[:, 1] = _logit(ones, zeros - 1), _logit(ones - 1, zeros)
+        self.ready = scoring
 
     def inputs(self, b: Batch) -> list[np.ndarray]:
         """Logits of the predictors."""
-        return [t[s] for t, s in zip(self.logits, b.slots, strict=True)]
+        return [t.take(s, mode="clip") for t, s in zip(self.logits, b._placed(16, _NODES), strict=True)]
 
     def inputs_without(self, b: Batch) -> list[np.ndarray]:
         """Logits of the predictors, each bit's own occurrence left out of the counts."""
-        out = []
-        for c, s in zip(self.counts, b.slots, strict=True):
-            pair = c[s]
-            out.append(_logit(pair[:, :, 1] - b.bits, pair[:, :, 0] - (1 - b.bits)))
-        return out
-
-    def mixed(self, b: Batch, x: list[np.ndarray]) -> np.ndarray:
-        z = np.empty(b.bits.shape, np.float32)
-        for q, part in enumerate(b.places):
-            w = self.weights[q].astype(np.float32)
-            z[part] = w[:, -1]
-            for k, xk in enumerate(x):
-                z[part] += xk[part] * w[:, k]
+        return [t.take(s, mode="clip") for t, s in zip(self.logits, b.pairs(), strict=True)]
+
+    def mixed(self, b: Batch, x: list[np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
+        w = self.weights if weights is None else weights
+        z = w[-1].take(b.row, 0)
+        for k, xk in enumerate(x):
+            part = w[k].take(b.row, 0)
+            part *= xk
+            z += part
         return z
 
     def cell(self, b: Batch, z: np.ndarray) -> np.ndarray:
         out = np.rint(np.clip(z, -8, 8) * np.float32(2)).astype(np.int32) + (np.arange(8, dtype=np.int32) * 33 + 16)
-        for q, part in enumerate(b.places):
-            out[part] += q * 264
+        out += (b.row % PLACES * 264).astype(np.int32)[:, None]
         return out
 
     def log_bits(self, b: Batch, z: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
         """Natural log of the probability of each bit."""
+        return np.log(self.chances(b, z, cell))
+
+    def chances(self, b: Batch, z: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
+        """The probability of each bit."""
         p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
         if self.map is not None:
-            p = (p + self.map[self.cell(b, z) if cell is None else cell]) / 2
-        return np.log(np.where(b.bits == 1, p, 1 - p))
+            p = (p + self.map.take(self.cell(b, z) if cell is None else cell)) / 2
+        return np.abs(1 - b.bits - p)
 
 
 _CELLS = PLACES * 8 * 33
-_RATIOS = 512  # cells of a quarter, from e**-64
 
 
-def _train(rows: Iterator[pa.RecordBatch], model, tokens: int) -> Iterator[pa.RecordBatch]:
-    """Online pass over the training units of each bucket: weights, the map's counts, and log ratios of counts to the bit model."""
+def learned(own: Model, s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Online pass over texts by second-order steps: weights, and how often each cell of the map was met and had a one."""
+    k = PREDICTORS + 1
+    w = own.weights.astype(np.float64).transpose(1, 2, 0).copy()  # place, bit, predictor
+    curve = np.zeros((PLACES, 8, k, k)) + np.eye(k) * 50.0
+    seen, ones = np.zeros(_CELLS), np.zeros(_CELLS)
+    a = 0
+    while a < len(s.blob):
+        at = np.arange(a, min(a + min(TRAIN_BATCH, max(500, a // 4)), len(s.blob)))  # a step from few bytes that rests on many would overshoot
+        a += len(at)
+        b = Batch.of(s, at, s.place[at], own.bits)
+        x = own.inputs_without(b)
+        z = own.mixed(b, x, w.transpose(2, 0, 1).astype(np.float32))
+        cell = own.cell(b, z)
+        seen += np.bincount(cell.ravel(), minlength=_CELLS)
+        ones += np.bincount(cell.ravel(), b.bits.ravel(), minlength=_CELLS)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        ends = np.searchsorted(b.row, np.arange(PLACES + 1))
+        for q, part in enumerate(map(slice, ends[:-1], ends[1:])):
+            if part.stop > part.start:
+                xs = np.stack([*(xk[part] for xk in x), np.ones_like(z[part])]).transpose(2, 0, 1)  # bit, predictor, byte
+                ps = p[part].T
+                curve[q] += (xs * (ps * (1 - ps))[:, None]) @ xs.transpose(0, 2, 1)
+                slope = (xs @ (b.bits[part].T - ps)[:, :, None]).astype(np.float64)
+                w[q] += np.linalg.solve(curve[q], slope)[:, :, 0]
+    return w.transpose(2, 0, 1), seen, ones
+
+
+def _train(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     own: Model = model.value
     own.open()
-    k = len(ORDERS) + 1
-    begin = own.weights
-    for rb in rows:
-        for r in rb.to_pylist():
-            own.weights = begin.copy()
-            curve = np.zeros((PLACES, 8, k, k)) + np.eye(k) * 50.0
-            seen, ones = np.zeros(_CELLS), np.zeros(_CELLS)
-            ratios, n_units = np.zeros(_RATIOS + 1), 0
-            counts = np.frombuffer(r["counts"], np.int64)
-            for s, blob, lens in batches(r):
-                keep = counts[s] > 0
-                if not keep.any():
-                    continue
-                blob, c = blob[np.repeat(keep, lens)], counts[s][keep]
-                b = Batch(blob, lens[keep], own.bits)
-                x = own.inputs_without(b)
-                z = own.mixed(b, x)
-                cell = own.cell(b, z)
-                seen += np.bincount(cell.ravel(), minlength=_CELLS)
-                ones += np.bincount(cell.ravel(), b.bits.ravel(), minlength=_CELLS)
-                bit_logs = b.sum(own.log_bits(b, z, cell))
-                left_out = np.log(np.maximum(c - 1, 1e-300) / max(1, tokens - 1))
-                place = np.clip(np.floor((left_out - bit_logs) * 4) + _RATIOS // 2, 0, _RATIOS - 1).astype(np.int64)
-                place[c == 1] = _RATIOS
-                ratios += np.bincount(place, c, minlength=_RATIOS + 1)
-                p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-                for q, part in enumerate(b.places):
-                    if part.stop > part.start:
-                        xs = np.stack([*(xk[part] for xk in x), np.ones_like(z[part])], axis=2).transpose(1, 0, 2)  # bit, byte, predictor
-                        ps = p[part].T
-                        curve[q] += (xs * (ps * (1 - ps))[:, :, None]).transpose(0, 2, 1) @ xs
-                        slope = (xs.transpose(0, 2, 1) @ (b.bits[part].T - ps)[:, :, None]).astype(np.float64)
-                        own.weights[q] += np.linalg.solve(curve[q], slope)[:, :, 0]
-                n_units += len(c)
-            state = [own.weights * n_units, seen, ones, ratios, np.array([n_units])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["bucket"]], pa.int32()), pa.array([zlib.compress(np.concatenate([a.ravel() for a in state]).tobytes(), 1)], pa.binary())], names=["bucket", "state"]
-            )
-    own.weights = begin
+    for chunk, s in _training(rows):
+        weights, seen, ones = learned(own, s)
+        state = [weights * len(s.blob), seen, ones, np.array([len(s.blob)])]
+        yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([zlib.compress(np.concatenate([a.ravel() for a in state]).tobytes(), 1)], pa.binary())], names=["chunk", "state"])
 
 
 def _sum(group: pa.Table) -> pa.Table:
-    """The states of some buckets, in the order of the buckets, as one."""
+    """The states of some chunks, in the order of the chunks, as one."""
     total = 0
-    for s in group.sort_by("bucket").column("state"):
+    for s in group.sort_by("chunk").column("state"):
         total = total + np.frombuffer(zlib.decompress(s.as_py()))
-    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int32()), "state": pa.array([np.asarray(total).tobytes()], pa.binary())})
+    return pa.table({"part": pa.array([group.column("part")[0].as_py()], pa.int64()), "state": pa.array([np.asarray(total).tobytes()], pa.binary())})
 
 
 def _finish(model: Model, states: list[bytes]) -> Model:
-    """The mean of the passes' weights, the map, and the counts' share by expectation-maximisation."""
-    size = PLACES * 8 * (len(ORDERS) + 1)
-    total = np.zeros(size + 2 * _CELLS + _RATIOS + 2)
+    """The mean of the passes' weights, and the map."""
+    size = model.weights.size
+    total = np.zeros(size + 2 * _CELLS + 1)
     for s in states:
         total += np.frombuffer(s)
     if total[-1]:
-        model.weights = (total[:size] / total[-1]).reshape(model.weights.shape)
-    seen, ones = total[size : size + _CELLS], total[size + _CELLS : size + 2 * _CELLS]
+        model.weights = (total[:size] / total[-1]).reshape(model.weights.shape).astype(np.float32)
+    seen, ones = total[size : size + _CELLS], total[size + _CELLS : -1]
     middle = 1 / (1 + np.exp(-(np.arange(_CELLS) % 33 - 16) / 2.0))
-    model.map = np.clip((ones + 20 * middle) / (seen + 20), 1e-5, 1 - 1e-5)
-    ratios = total[size + 2 * _CELLS : -1]
-    e = np.append(np.exp((np.arange(_RATIOS) - _RATIOS // 2 + 0.5) / 4), 0.0)
-    share = 0.5
-    for _ in range(200):
-        share = float((ratios * share * e / (share * e + 1 - share)).sum() / max(1.0, ratios.sum()))
-        share = min(max(share, 1e-3), 1 - 1e-3)
-    model.share = share
+    model.map = np.clip((ones + 20 * middle) / (seen + 20), 1e-5, 1 - 1e-5).astype(np.float32)
     return model
 
 
-def _model_logs(rows: Iterator[pa.RecordBatch], model, tokens: int) -> Iterator[pa.RecordBatch]:
-    """log10 probability of every unit of a bucket."""
-    own: Model = model.value
-    own.open(scoring=True)
-    for rb in rows:
-        for r in rb.to_pylist():
-            counts = np.frombuffer(r["counts"], np.int64)
-            out = np.zeros(len(counts))
-            for s, blob, lens in batches(r):
-                b = Batch(blob, lens, own.bits)
-                spelled = b.sum(own.log_bits(b, own.mixed(b, own.inputs(b))))
-                seen = np.log(np.maximum(counts[s], 1e-300) / max(1, tokens)) + np.log(own.share)
-                out[s] = np.logaddexp(np.where(counts[s] > 0, seen, -np.inf), spelled + np.log1p(-own.share)) / np.log(10)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r["bucket"]], pa.int32()), *(pa.array([r[c]], pa.binary()) for c in ("blob", "lens", "counts")), pa.array([out.tobytes()], pa.binary())],
-                names=["bucket", "blob", "lens", "counts", "logs"],
-            )
-
-
-_SCORED = "bucket int, blob binary, lens binary, counts binary, logs binary"
+def _waves(s: Stream) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Texts, their next BLOCK bytes' beginnings and sizes, some texts at a time; what precedes comes first."""
+    texts, done = np.arange(len(s.lens)), 0
+    while len(texts):
+        sizes = np.minimum(s.lens[texts] - done, BLOCK)
+        group = np.cumsum(sizes) // BATCH
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(texts)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            yield texts[a:b], s.begins[texts[a:b]] + done, sizes[a:b]
+        done += BLOCK
+        texts = texts[s.lens[texts] > done]
+
+
+def spelled(model: Model, s: Stream) -> np.ndarray:
+    """log10 probability of each token by the bit model. A text begins with the trained weights; after each BLOCK bytes they
+    take a step along what these bytes have taught."""
+    logs = np.empty(len(s.blob))
+    on = s.lens > BLOCK
+    own = np.cumsum(on) * on  # the set of weights of a text; those without a second block share the trained ones
+    w = np.tile(model.weights, (1, 1 + int(on.sum()), 1))
+    for texts, at, sizes in _waves(s):
+        at = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        b = Batch.of(s, at, np.repeat(own[texts] * PLACES, sizes) + s.place[at], model.bits)
+        x = model.inputs(b)
+        z = model.mixed(b, x, w)
+        p = model.chances(b, z)
+        p = p[:, :4] * p[:, 4:]
+        p = (p[:, :2] * p[:, 2:]).astype(np.float64)  # the product of eight may be too small for 32 bits
+        logs[b.at] = np.log(p[:, 0] * p[:, 1])
+        first = np.flatnonzero(np.diff(b.row, prepend=-1))
+        first = first[np.searchsorted(b.row[first], PLACES) :]
+        if len(first):
+            left = b.bits[first[0] :] - 1 / (1 + np.exp(-np.clip(z[first[0] :], -30, 30)))
+            rows, cut = b.row[first], first - first[0]
+            for k, xk in enumerate(x):
+                w[k, rows] += np.float32(RATE) * np.add.reduceat(left * xk[first[0] :], cut, axis=0)
+            w[-1, rows] += np.float32(RATE) * np.add.reduceat(left, cut, axis=0)
+    return np.add.reduceat(logs, s.tokens) / np.log(10) if len(logs) else logs
 
 
-def _answer(messages: pa.Table, scored: pa.Table) -> pa.Table:
-    row = {c: scored.column(c)[0].as_py() for c in ("blob", "lens", "counts", "logs")}
+def _answer(messages: pa.Table, vocabulary: pa.Table) -> pa.Table:
+    row = {c: vocabulary.column(c)[0].as_py() for c in ("blob", "lens", "counts")}
     ends = np.cumsum(np.frombuffer(row["lens"], np.int32)).tolist()
     number = {row["blob"][a : b - 1]: k for k, (a, b) in enumerate(zip([0, *ends], ends, strict=False))}
-    known, logs = np.frombuffer(row["counts"], np.int64), np.frombuffer(row["logs"], np.float64)
-    bits = []
-    for m in messages.column("message").to_pylist():
-        k = np.fromiter(map(number.__getitem__, _parse(m)[1]), np.int64)
-        both = np.empty((len(k), 2))
-        both[:, 0] = known[k]
-        both[:, 1] = logs[k]
-        bits.append(both.tobytes())
+    known = np.frombuffer(row["counts"], np.int64)
+    bits = [known[np.fromiter(map(number.__getitem__, _parse(m)[1]), np.int64)].tobytes() for m in messages.column("message").to_pylist()]
     return pa.table({"bucket": messages.column("bucket"), "chunk": messages.column("chunk"), "bits": pa.array(bits, pa.binary())})
 
 
-def _protocol(blob, lens, ids, n_buckets: int):
+def _protocol(blob, lens, ids, n_buckets: int, ask: bool = True):
     c = Chunk(blob, lens, ids, n_buckets)
-    got = yield c.messages()
-    both = np.frombuffer(got, np.float64).reshape(-1, 2)
-    return c, both[:, 0], both[:, 1]
+    got = yield c.messages() if ask else None
+    return c, np.frombuffer(got, np.int64)
 
 
-def _earned(plain: np.ndarray, own: np.ndarray, speaks: np.ndarray, text: np.ndarray, begins: np.ndarray) -> np.ndarray:
+def _earned(plain: np.ndarray, own: np.ndarray, speaks: np.ndarray, text: np.ndarray, begins: np.ndarray, start: tuple[float, float] = CACHE) -> np.ndarray:
     """log10 probabilities ``plain`` mixed with a predictor's ``own`` where it ``speaks``, weighed by what it has earned there
     so far in the text."""
-    w, worth = CACHE
+    w, worth = start
     static = 10**plain  # may be below the smallest number's log
     said = own > 0
     credit = np.zeros(len(plain))
@@ -411,7 +489,18 @@ def _before(key: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def counted(c: Chunk, logs: np.ndarray, known: np.ndarray, n_tokens: int, begins: np.ndarray) -> np.ndarray:
+    """log10 probability of each token, mixed with its relative frequency in the training texts."""
+    text = np.repeat(np.arange(len(c.sizes)), c.sizes)
+    return _earned(logs, known[c.flat] / max(1, n_tokens), np.full(len(c.flat), n_tokens > 0), text, begins, COUNTS)
+
+
 def refined(c: Chunk, logs: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """``with_past`` of words that have the same probability wherever they stand."""
+    return with_past(c, logs[c.flat], begins)
+
+
+def with_past(c: Chunk, logs: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """log10 probability of each token, mixed with its share of the tokens before it in its text, then with its share of those
     that have followed its preceding token there."""
     n, k = len(c.flat), len(c.names)
@@ -419,7 +508,7 @@ def refined(c: Chunk, logs: np.ndarray, begins: np.ndarray) -> np.ndarray:
     place = np.arange(n) - begins[text]
     word = text * k + c.flat
     before = _before(word, len(c.sizes) * k)
-    out = _earned(logs[c.flat], before / np.maximum(place, 1), place > 0, text, begins)
+    out = _earned(logs, before / np.maximum(place, 1), place > 0, text, begins)
     led = np.concatenate(([0], before[:-1])) * (place > 0)
     pair = np.concatenate(([0], word[:-1])) * k + c.flat if len(c.sizes) * k < (1 << 62) // max(1, k) else _numbered(word) * k + c.flat
     follows = np.where(place > 0, _before(pair, len(c.sizes) * k * k), 0)
@@ -431,11 +520,14 @@ def _numbered(word: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.unique(word, return_inverse=True)[1][:-1]))
 
 
-def _scores(rows: Iterator[pa.RecordBatch], protocol, n_tokens: int, n_types: int) -> Iterator[pa.RecordBatch]:
+def _scores(rows: Iterator[pa.RecordBatch], protocol, model, n_tokens: int, n_types: int) -> Iterator[pa.RecordBatch]:
     base = np.log10(n_tokens + n_types + 1)
-    for _, ids, (c, known, logs) in exchange.replay(rows, protocol, 1):
+    own: Model = model.value
+    own.open(scoring=True)
+    for _, ids, (c, known) in exchange.replay(rows, protocol, 1):
         begins = np.cumsum(c.sizes) - c.sizes
         add = lambda x: np.add.reduceat(x, begins)  # noqa: E731  (each text has a token at least)
+        logs = counted(c, spelled(own, Stream(*coded(c.blob, c.lens))), known, n_tokens, begins)
         cols = [
             pa.array(ids, pa.int64()),
             pa.array(~c.train),
@@ -443,7 +535,7 @@ def _scores(rows: Iterator[pa.RecordBatch], protocol, n_tokens: int, n_types: in
             pa.array(add((known > 0).astype(np.int64)[c.flat])),
             pa.array(np.full(len(ids), n_tokens)),
             pa.array(add((np.log10(known + 1) - base)[c.flat])),
-            pa.array(add(refined(c, logs, begins))),
+            pa.array(add(with_past(c, logs, begins))),
             pa.array(add(np.fromiter(map(len, c.names), np.int64, len(c.names))[c.flat] + 1)),
         ]
         yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes"])
@@ -459,9 +551,14 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     one = {"spark__sql__execution__arrow__maxRecordsPerBatch": 1}
-    table = exchange.Table.write(docs, CHUNK)
+    docs = common.id_text(docs)
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    chunk_bytes = min(CHUNK, max(SMALL_CHUNK, size // 16))
+    dealt = docs.withColumn("h", F.xxhash64("doc_id", "text")).repartition(max(1, math.ceil(size / (4 * chunk_bytes))), "h").sortWithinPartitions("h")
+    table = exchange.Table.write(dealt, chunk_bytes)
     n = max(1, math.ceil(table.n_bytes / BUCKET_TEXT), min(8, math.ceil(table.n_bytes / SMALL_TEXT)))
     protocol = lambda blob, lens, ids: _protocol(blob, lens, ids, n)
+    answered = lambda blob, lens, ids: _protocol(blob, lens, ids, n, False)
 
     def send(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk, _, request in exchange.replay(rows, protocol, 0):
@@ -473,23 +570,25 @@ def score(docs: DataFrame) -> DataFrame:
         messages = common.stored(spark, table.rows([]).mapInArrow(send, "bucket int, chunk long, message binary").repartition(n, "bucket"), "units")
         vocab = common.stored(spark, messages.groupBy("bucket").applyInArrow(_merge, _VOCAB), "vocabulary")
         common.free(spark)
-        got = vocab.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types", F.octet_length("blob")))).first()
+        got = vocab.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "types"))).first()
         tokens, n_types = got[0], got[1]
-        bits = min(MAX_BITS, max(MIN_BITS, (8 * int(got[2])).bit_length()))  # a node a bit at most
-        words = vocab.select("bucket", "blob", "lens", "counts")
-        parts = words.mapInArrow(lambda it: _tables(it, bits), "part int, counts binary").groupBy("part").applyInArrow(lambda g: _add(g, bits), "part int, counts binary")
+        bits = min(MAX_BITS, max(MIN_BITS, (2 * table.n_bytes).bit_length()))
+        sets = min(SETS[1], max(SETS[0], math.ceil(table.n_bytes / COUNTED)))
+        texts = table.rows([])
+        parts = texts.coalesce(sets).mapInArrow(lambda it: _tables(it, bits), "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary")
         model = Model({r[0]: r[1] for r in parts.collect()}, bits)  # bounded: a table of 2**(MAX_BITS + 1) counts per predictor
+        common.free(spark)
         first = spark.sparkContext.broadcast(model)
-        states = common.stored(spark, words.mapInArrow(lambda it: _train(it, first, tokens), "bucket int, state binary"), "states")
-        # first runs of 64 buckets, then the runs: the same sums in the same order whatever the partitions
-        states = states.withColumn("part", F.floor(F.col("bucket") / 64).cast("int")).groupBy("part").applyInArrow(_sum, "part int, state binary")
+        states = common.stored(spark, texts.mapInArrow(lambda it: _train(it, first), "chunk long, state binary"), "states")
+        # the chunks of 16 partitions first, then these sums: the same sums in the same order however the rows lie
+        states = states.withColumn("part", F.shiftright("chunk", 36)).groupBy("part").applyInArrow(_sum, "part long, state binary")
         model = _finish(model, [r[1] for r in states.orderBy("part").collect()])
+        first.unpersist()
         final = spark.sparkContext.broadcast(model)
-        scored = common.stored(spark, words.mapInArrow(lambda it: _model_logs(it, final, tokens), _SCORED), "scored")
-        answers = messages.groupBy("bucket").cogroup(scored.groupBy("bucket")).applyInArrow(_answer, "bucket int, chunk long, bits binary")
+        answers = messages.groupBy("bucket").cogroup(vocab.select("bucket", "blob", "lens", "counts").groupBy("bucket")).applyInArrow(_answer, "bucket int, chunk long, bits binary")
         answers = common.stored(spark, answers, "answers")
         common.free(spark)
         schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-        out = table.rows([answers]).mapInArrow(lambda it: _scores(it, protocol, tokens, n_types), schema)
+        out = table.rows([answers]).mapInArrow(lambda it: _scores(it, answered, final, tokens, n_types), schema)
         out = common.stored(spark, out, "scores")
     return out.withColumn("bits_per_byte", -F.col("score") * float(np.log2(10)) / F.greatest("n_bytes", F.lit(1)))

@@ -145,3 +145,67 @@ def test_scores_do_not_depend_on_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
     assert got[0] == pytest.approx(got[1], rel=1e-9)
+
+
+def test_preceding_word_is_a_context(spark):
+    """Words that follow one another in the training texts, in that order and in another; no text says a word twice."""
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(60)]
+    words = list(dict.fromkeys(words))
+    a, b = [k for k in range(1000, 1200) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows = []
+    for k in range(80):
+        at = r.randrange(len(words))
+        rows.append((k, " ".join((words[at:] + words[:at])[:30])))
+    mixed = words[:30]
+    r.shuffle(mixed)
+    rows += [(a, " ".join(words[:30])), (b, " ".join(mixed))]
+    got = {x.doc_id: x for x in mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[a].base_score == pytest.approx(got[b].base_score)
+    assert got[a].score > got[b].score + 5
+
+
+def test_every_occurrence_is_counted():
+    import numpy as np
+
+    out = np.zeros((mixing.PREDICTORS, 2 << 16), np.int32)
+    s = mixing.Stream(*mixing.coded(np.frombuffer(b"The cat the catthe", np.uint8), np.array([15, 3]), np.array([True, False])))
+    assert s.blob.tobytes() == b"the cat the cat  " and s.lens.tolist() == [17]
+    mixing.count(s, out, 16)
+    assert (out.sum(1) == 8 * 17).all()
+    one = mixing.Batch(np.frombuffer(b"the ", np.uint8), np.array([4]), 16)
+    assert [out[5][p] for p in next(x for k, x in enumerate(one.pairs()) if k == 5)[0, :1]] == [5]  # five words begin, with the end
+
+
+def test_weights_learn_within_a_text(monkeypatch):
+    """A model without counts learns by its constants alone; a plain loop over the blocks does the same."""
+    import numpy as np
+
+    monkeypatch.setattr(mixing, "BLOCK", 8)
+    monkeypatch.setattr(mixing, "RATE", 0.05)
+    texts = [b"abab ba  ", b"a  ", b"hello my dear hello my dear hello  "]
+    s = mixing.Stream(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]))
+    model = mixing.Model({}, 16)
+    model.open(scoring=True)
+    want = []
+    for t in texts:
+        w = np.zeros((mixing.PLACES, 8))
+        place = 0
+        logs, token = [], 0.0
+        for at in range(0, len(t), 8):
+            step = np.zeros_like(w)
+            for c in t[at : at + 8]:
+                for j in range(8):
+                    bit = c >> (7 - j) & 1
+                    p = 1 / (1 + math.exp(-w[min(place, 3), j]))
+                    token += math.log10(p if bit else 1 - p)
+                    step[min(place, 3), j] += bit - p
+                place += 1
+                if c == 32:
+                    logs.append(token)
+                    token, place = 0.0, 0
+            w += 0.05 * step
+        want += logs
+    assert mixing.spelled(model, s) == pytest.approx(want, rel=1e-5)
+    monkeypatch.setattr(mixing, "RATE", 0.0)
+    assert mixing.spelled(model, s)[-2] < want[-2] - 0.1
