@@ -1,10 +1,11 @@
 """Operator 8: language-model scoring by logistic context mixing.
 
 A text is the sequence of its lower-cased words and one end. It is coded as running bytes, each word with
-a closing blank and the end as a blank alone, bit by bit. Several predictors, each a hashed context (the
+a closing blank and the end as a blank alone, each byte by binary decisions down a tree (a Huffman tree for each
+preceding byte, which all contexts know). Several predictors, each a hashed context (the
 last 1 to 5 bytes, which reach across blanks into the words before; the word so far; the preceding word and the
-word so far) with counts of both bit values over every occurrence in the training texts, give their
-logits; weights gated by the bit's place and the byte's place in its word mix them, trained online by second-order
+word so far) with counts of both values over every occurrence in the training texts, give their
+logits; weights gated by the decision's depth and the byte's place in its word mix them, trained online by second-order
 steps, and go on learning inside each text while it is scored; an adaptive probability map refines the result.
 A word's probability under the bit model is then mixed with its relative frequency in the training texts, with its
 share of what the text itself has said so far, and with its share of what has followed the preceding word
@@ -13,12 +14,14 @@ All of it is a probability distribution over texts: total bits per byte follow f
 
 Texts are dealt into chunks by their hashes, in that order, so counts, weights and scores do not depend on how Spark
 deals out the rows. For the counts of words, chunks send their distinct words to buckets and buckets answer with totals.
-What is trained leaves each bit's own occurrence out, so training texts don't vouch for themselves. A context table has up to
+What is trained leaves each decision's own occurrence out, so training texts don't vouch for themselves. A context table has up to
 2**MAX_BITS slots, so its size is bounded; it is summed by ranges of slots. Vocabularies never leave the buckets.
 """
 
 from __future__ import annotations
 
+import functools
+import heapq
 import math
 import zlib
 from collections.abc import Iterator
@@ -44,7 +47,8 @@ SMALL_TEXT = 4 << 20
 BATCH = 6000  # bytes modelled at once: arrays that stay in the processor's cache
 TRAIN_BATCH = 12_000  # bytes between two steps of training at most
 BLOCK, RATE = 256, 0.002  # bytes of a text between two steps of its weights, and the size of a step
-PLACES = 4
+COUNT_BATCH = 1 << 20  # bytes counted at once
+PLACES, DEPTHS = 4, 8
 COUNTS = 0.3, 20.0  # weight of relative frequencies at a text's beginning, and the tokens that this is worth
 CACHE = 0.05, 20.0  # the same for what the text has said so far
 _U = np.uint64
@@ -102,6 +106,16 @@ def _parse(message: bytes) -> tuple[np.ndarray, list[bytes]]:
     return counts, [body[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
+def pair_times(blob: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """How often each byte follows each other: of words with their closing blanks, as a blank precedes every word."""
+    pair = blob.astype(np.int64)
+    pair[1:] |= pair[:-1] << 8
+    pair[:1] |= 32 << 8
+    out = np.zeros(1 << 16, np.int64)
+    np.add.at(out, pair, counts)
+    return out
+
+
 def _merge(group: pa.Table) -> pa.Table:
     """The vocabulary of a bucket: words, each with a closing blank, and training counts."""
     total: dict[bytes, int] = {}
@@ -112,19 +126,24 @@ def _merge(group: pa.Table) -> pa.Table:
             total[u] = get(u, 0) + c
     names, counts = list(total), np.fromiter(total.values(), np.int64, len(total))
     lens = np.fromiter(map(len, names), np.int32, len(names)) + np.int32(1)
+    blob = b" ".join([*names, b""])
+    times = pair_times(np.frombuffer(blob, np.uint8), np.repeat(counts, lens))
+    pair = np.flatnonzero(times)
     return pa.table(
         {
             "bucket": pa.array([group.column("bucket")[0].as_py()], pa.int32()),
-            "blob": pa.array([b" ".join([*names, b""])], pa.binary()),
+            "blob": pa.array([blob], pa.binary()),
             "lens": pa.array([lens.tobytes()], pa.binary()),
             "counts": pa.array([counts.tobytes()], pa.binary()),
             "tokens": pa.array([int(counts.sum())], pa.int64()),
             "types": pa.array([int(np.count_nonzero(counts))], pa.int64()),
+            "pairs": pa.array([pair.tolist()], pa.list_(pa.int32())),
+            "times": pa.array([times[pair].tolist()], pa.list_(pa.int64())),
         }
     )
 
 
-_VOCAB = "bucket int, blob binary, lens binary, counts binary, tokens long, types long"
+_VOCAB = "bucket int, blob binary, lens binary, counts binary, tokens long, types long, pairs array<int>, times array<long>"
 
 
 # -- the bit model ---------------------------------------------------------
@@ -147,81 +166,165 @@ class Stream:
         n = len(blob)
         self.blob, self.lens = blob, lens
         self.begins = np.cumsum(lens) - lens
-        self.begin = np.repeat(self.begins, lens).astype(np.int32)
-        blank = blob == 32
-        self.token = (np.cumsum(blank) - blank).astype(np.int32)
-        self.tokens = np.concatenate(([0], np.flatnonzero(blank)[:-1] + 1))
+        blank = np.flatnonzero(blob == 32)  # each text ends with one
+        self.tokens = np.concatenate(([0], blank[:-1] + 1))
+        first = np.searchsorted(self.tokens, self.begins)
         before = np.concatenate(([0], self.tokens[:-1]))
-        self.word = self.tokens[self.token].astype(np.int32)
-        self.both = np.maximum(before[self.token], self.begin).astype(np.int32)
-        self.place = np.minimum(np.arange(n) - self.word, PLACES - 1).astype(np.int32)
+        before[first[first < len(before)]] = self.begins[first < len(before)]
+        self.sizes = np.diff(np.append(self.tokens, n))
+        self.word = np.repeat(self.tokens.astype(np.int32), self.sizes)
+        self.both = np.repeat(before.astype(np.int32), self.sizes)
+        self.place = np.minimum(np.arange(n, dtype=np.int32) - self.word, PLACES - 1).astype(np.uint8)
         self.hashes = Windows(blob)
+        two = np.zeros(n + 1, np.uint16)  # the bytes before, the nearest one lowest; before a text lies a blank, as before a word
+        two[1:] = blob
+        two[0] = 32
+        self.pair = two[:-1] << np.uint16(8) | blob
+        two[1:] |= two[:-1] << np.uint16(8)
+        self.last = two[:-1].astype(np.uint32)
+        self.last[2:] |= self.last[:-2] << np.uint32(16)
+        self.fifth = np.zeros(n, np.uint8)
+        self.fifth[5:] = blob[: max(0, n - 5)]
+        self.fifth[4:5] = 32
+        for k in range(ORDERS[-1] - 1):
+            near = self.begins[self.lens > k] + k
+            self.fifth[near] = 0
+            self.last[near] &= np.uint32((1 << 8 * k + 8) - 1)
 
-    def contexts(self, at: np.ndarray) -> list[np.ndarray]:
+    @property
+    def token(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def contexts(self, at: np.ndarray) -> Iterator[np.ndarray]:
         """A hash per predictor of what precedes the bytes at ``at``."""
-        sums, down = self.hashes.sums, self.hashes.down
-        end, first = sums[at], self.begin[at]
-        out = []
-        for start in [*(np.maximum(at - k, first) for k in ORDERS), self.word[at], self.both[at]]:
-            out.append((((end - sums[start]) * down[start]) >> _U(32)).astype(np.uint32))
-        return out
+        last, odd = self.last.take(at, mode="clip"), np.uint32(0x9E3779B1)
+        for k in ORDERS[:4]:
+            yield (last & np.uint32((1 << 8 * k) - 1)) * odd
+        yield last * odd ^ (self.fifth.take(at, mode="clip") + np.uint32(1)) * np.uint32(0x85EBCA6B)
+        end = self.hashes.sums.take(at, mode="clip")
+        for start in (self.word.take(at, mode="clip"), self.both.take(at, mode="clip")):
+            yield ((end - self.hashes.sums.take(start, mode="clip")) * self.hashes.down.take(start, mode="clip") >> _U(32)).astype(np.uint32)
+
+
+class Code:
+    """The binary decisions that tell a byte after another: of each pair (256 times the preceding byte, and the byte) how
+    many there are and their values, first one highest. Every byte has a path, and the paths after a byte are a whole tree,
+    so that chances of decisions make a distribution over bytes."""
+
+    def __init__(self, length: np.ndarray, path: np.ndarray):
+        self.length, self.path = length.astype(np.int64), path
+        n = self.length
+        self.start = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(n)), n)
+        d = np.arange(n.sum()) - self.start[own]
+        left, whole = n[own] - d, path[own]
+        above = d & ~3  # four decisions in a row share a line of 16 slots
+        self.bit = (whole >> (left - 1) & 1).astype(np.int8)
+        node = (1 << (d & 3)) | (whole >> left & (1 << (d & 3)) - 1)
+        # those further down lie in one of the 255 lines about the context's own, so that a look at them isn't far
+        line = np.where(above > 0, 1 + ((whole >> (left + (d & 3))) * 157 + above * 89 + (own >> 8) * 59) % 255, 0)
+        self.slot = line * 16 | node
+        self.count = self.slot * 2 | self.bit
+        self.depth = np.minimum(d, DEPTHS - 1)
+
+    def __reduce__(self):
+        return Code, (self.length, self.path)
+
+    def steps(self, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each decision of some bytes: the number of its byte, and its own in this code."""
+        n = self.length.take(pair, mode="clip")
+        begins = np.cumsum(n) - n
+        own = np.repeat(np.arange(len(pair)), n)
+        step = (self.start.take(pair, mode="clip") - begins).take(own, mode="clip")
+        step += np.arange(len(own))
+        return own, step
 
+    @classmethod
+    def plain(cls) -> Code:
+        """The eight bits of a byte."""
+        return cls(np.full(1 << 16, 8, np.int8), np.arange(1 << 16) & 255)
 
-_SHIFTS = np.arange(8)
-_BITS = ((np.arange(256)[:, None] >> (7 - _SHIFTS)) & 1).astype(np.int8)
-_HALF = np.array([0, 1, 2, 3] * 2)
-_NODES = (1 << _HALF) | ((np.arange(256)[:, None] >> np.array([4] * 4 + [0] * 4) & 15) >> (4 - _HALF))  # 1 to 15 in either half of a byte
-_PAIRS = _NODES * 2 + _BITS
-_HIGH = ((np.arange(256) >> 4) + 1).astype(np.uint32) * np.uint32(0x9E3779B1)
+    @classmethod
+    def short(cls, times: np.ndarray) -> Code:
+        """Huffman trees, one for each preceding byte, of how often the pairs occur: frequent bytes take few decisions.
+        After a byte that never came before another they are its bits."""
+        length, path = np.full(1 << 16, 8, np.int8), np.arange(1 << 16) & 255
+        for first in np.flatnonzero(times.reshape(256, 256).any(1)).tolist():
+            row = times[first << 8 : (first + 1) << 8].tolist()
+            length[first << 8 : (first + 1) << 8] = path[first << 8 : (first + 1) << 8] = 0
+            least = sum(row) / 4096 + 1  # bytes that never occurred get a path as well, of bounded length
+            heap = [(c + least, k, (k,)) for k, c in enumerate(row)]
+            heapq.heapify(heap)
+            base = first << 8
+            while len(heap) > 1:
+                (a, i, low), (b, j, high) = heapq.heappop(heap), heapq.heappop(heap)
+                for bit, side in enumerate((low, high)):
+                    at = base + np.array(side)
+                    path[at] |= bit << length[at].astype(np.int64)
+                    length[at] += 1
+                heapq.heappush(heap, (a + b, min(i, j), low + high))
+        return cls(length, path)
+
+
+@functools.cache
+def _plain() -> Code:
+    return Code.plain()
+
+
+def _line(base: np.ndarray, bits: int, size: int) -> np.ndarray:
+    """Where a context's line begins, 16 slots of a table, each of ``size`` counts."""
+    return (base >> np.uint32(36 - bits)).astype(np.int64) * (16 * size)
 
 
 class Batch:
-    """The bits of some bytes, sorted by the weights that they take: table slots of every predictor and bit values."""
+    """The decisions of some bytes: table slots of every predictor, weights they take, and their values."""
 
     def __init__(self, blob: np.ndarray, lens: np.ndarray, bits: int):
         s = Stream(blob, lens)
-        self._fill(s, np.arange(len(blob)), s.place, bits)
+        self._fill(s, np.arange(len(blob)), s.place, bits, _plain(), False)
 
     @classmethod
-    def of(cls, s: Stream, at: np.ndarray, row: np.ndarray, bits: int) -> Batch:
-        """``row``: which weights the byte takes, PLACES rows a set."""
+    def of(cls, s: Stream, at: np.ndarray, row: np.ndarray, bits: int, code: Code | None = None, sort: bool = False) -> Batch:
+        """``row``: which weights the byte takes, PLACES rows a set. ``sort``: by the weights that decisions take."""
         out = cls.__new__(cls)
-        out._fill(s, at, row, bits)
+        out._fill(s, at, row, bits, code or _plain(), sort)
         return out
 
-    def _fill(self, s: Stream, at: np.ndarray, row: np.ndarray, bits: int) -> None:
-        # narrow keys are sorted in one pass
-        order = np.argsort(row.astype(np.int16) if len(row) and row.max() < 1 << 15 else row, kind="stable")
-        self.at, self.row = at[order], row[order]
-        self.word, self.n_words = s.token[self.at], len(s.tokens)
-        self.byte = s.blob[self.at]
-        self.bits = _BITS.take(self.byte, 0)
-        high, shift = _HIGH.take(self.byte), np.uint32(36 - bits)
-        self.lines = []
-        for base in s.contexts(self.at):  # either half of a byte has its 16 slots side by side
-            line = np.empty((len(base), 2), np.int64)
-            line[:, 0] = base >> shift
-            line[:, 1] = (base + high) * np.uint32(0x85EBCA6B) >> shift
-            self.lines.append(line.ravel())
-
-    def _placed(self, size: int, within: np.ndarray) -> Iterator[np.ndarray]:
-        own = within.take(self.byte, 0).ravel()
-        for line in self.lines:
-            out = np.repeat(line * size, 4)
-            out += own
-            yield out.reshape(-1, 8)
+    def _fill(self, s: Stream, at: np.ndarray, row: np.ndarray, bits: int, code: Code, sort: bool) -> None:
+        self.at, self.n_bits, self.stream, self.code = at, bits, s, code
+        self.own, self.step = code.steps(s.pair.take(at, mode="clip"))
+        self.shape = (-1, 8) if code is _plain() and not sort else (-1,)
+        self.cell = (row * np.int64(DEPTHS)).take(self.own, mode="clip")
+        self.cell += code.depth.take(self.step, mode="clip")
+        if sort:
+            most = self.cell.max()  # narrow keys are sorted in a pass or two
+            order = np.argsort(self.cell.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.int64), kind="stable")
+            self.own, self.step, self.cell = (x.take(order, mode="clip") for x in (self.own, self.step, self.cell))
+            self.first = np.flatnonzero(np.diff(self.cell, prepend=-1))
+        self.bits = code.bit.take(self.step, mode="clip")
+
+    @property
+    def word(self) -> np.ndarray:
+        return self.stream.token.take(self.at)
+
+    def _placed(self, pairs: bool) -> Iterator[np.ndarray]:
+        within = (self.code.count if pairs else self.code.slot).take(self.step, mode="clip")
+        for base in self.stream.contexts(self.at):
+            out = _line(base, self.n_bits, 1 + pairs).take(self.own, mode="clip")
+            out ^= within
+            yield out
 
     @property
     def slots(self) -> list[np.ndarray]:
-        return list(self._placed(16, _NODES))
+        return [x.reshape(self.shape) for x in self._placed(False)]
 
     def pairs(self) -> Iterator[np.ndarray]:
-        """Of each predictor the numbers of the bits' own counts: twice the slot, and the bit."""
-        return self._placed(32, _PAIRS)
+        """Of each predictor the numbers of the decisions' own counts: twice the slot, and the value."""
+        return (x.reshape(self.shape) for x in self._placed(True))
 
     def sum(self, x: np.ndarray) -> np.ndarray:
-        """Per word, of what each bit has."""
-        return np.bincount(self.word, x.sum(1), minlength=self.n_words)
+        """Per word, of what each decision has."""
+        return np.bincount(self.word.take(self.own), x.ravel(), minlength=len(self.stream.tokens))
 
 
 def _ranges(bits: int) -> int:
@@ -238,20 +341,30 @@ def _training(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Stream]]:
             yield rb.column("chunk")[k].as_py(), Stream(*coded(blob, np.frombuffer(rb.column("lens")[k].as_py(), np.int64), keep))
 
 
-def count(s: Stream, out: np.ndarray, bits: int) -> None:
-    """Adds the bits of a stream to the counts of each predictor's slots, those of zeros beside those of ones."""
-    for a in range(0, len(s.blob), BATCH):
-        at = np.arange(a, min(a + BATCH, len(s.blob)))
-        b = Batch.of(s, at, s.place[at], bits)
-        for x, pair in zip(out, b.pairs(), strict=True):
-            np.add.at(x, pair.ravel(), np.int32(1))
-
-
-def _tables(rows: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Counts of both bit values in each slot over all bits of the training texts; a row per range of slots of a predictor."""
+def count(s: Stream, out: np.ndarray, bits: int, code: Code | None = None) -> None:
+    """Adds the decisions of a stream to the counts of each predictor's slots, those of zeros beside those of ones. What a
+    context and a byte have in common is worked out once for all their occurrences."""
+    code = code or _plain()
+    for a in range(0, len(s.blob), COUNT_BATCH):
+        at = np.arange(a, min(a + COUNT_BATCH, len(s.blob)))
+        pair = s.pair.take(at).astype(_U)
+        for x, base in zip(out, s.contexts(at), strict=True):
+            key = base.astype(_U) << _U(16) | pair
+            key.sort()
+            first = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
+            times, key = np.diff(np.append(first, len(key))).astype(np.int32), key[first]
+            for k in range(0, len(key), 4 * BATCH):
+                part = key[k : k + 4 * BATCH]
+                own, step = code.steps((part & _U(0xFFFF)).astype(np.int64))
+                line = _line((part >> _U(16)).astype(np.uint32), bits, 2).take(own)
+                np.add.at(x, line ^ code.count.take(step), times[k : k + 4 * BATCH].take(own))
+
+
+def _tables(rows: Iterator[pa.RecordBatch], bits: int, code) -> Iterator[pa.RecordBatch]:
+    """Counts of both values in each slot over all decisions of the training texts; a row per range of slots of a predictor."""
     out = np.zeros((PREDICTORS, 2 << bits), np.int32)
     for _, s in _training(rows):
-        count(s, out, bits)
+        count(s, out, bits, code.value)
     for part, x in enumerate(out.reshape(PREDICTORS * _ranges(bits), -1)):
         yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1)], pa.binary())], names=["part", "counts"])
 
@@ -279,11 +392,11 @@ def _add(group: pa.Table) -> pa.Table:
 
 
 class Model:
-    """Context tables, the trained mixing weights (predictors and a constant, places, bits) and the probability map."""
+    """The code of bytes, context tables, the trained mixing weights (predictors and a constant, places, depths) and the probability map."""
 
-    def __init__(self, parts: dict[int, bytes], bits: int):
-        self.parts, self.bits = parts, bits
-        self.weights = np.full((PREDICTORS + 1, PLACES, 8), 0.3, np.float32)
+    def __init__(self, parts: dict[int, bytes], bits: int, code: Code | None = None):
+        self.parts, self.bits, self.code = parts, bits, code
+        self.weights = np.full((PREDICTORS + 1, PLACES, DEPTHS), 0.3, np.float32)
         self.weights[-1] = 0
         self.map = None
         self.ready: bool | None = None
@@ -306,67 +419,89 @@ class Model:
 
     def inputs(self, b: Batch) -> list[np.ndarray]:
         """Logits of the predictors."""
-        return [t.take(s, mode="clip") for t, s in zip(self.logits, b._placed(16, _NODES), strict=True)]
+        return [t.take(s, mode="clip").reshape(b.shape) for t, s in zip(self.logits, b._placed(False), strict=True)]
 
     def inputs_without(self, b: Batch) -> list[np.ndarray]:
-        """Logits of the predictors, each bit's own occurrence left out of the counts."""
-        return [t.take(s, mode="clip") for t, s in zip(self.logits, b.pairs(), strict=True)]
+        """Logits of the predictors, each decision's own occurrence left out of the counts."""
+        return [t.take(s, mode="clip").reshape(b.shape) for t, s in zip(self.logits, b.pairs(), strict=True)]
+
+    def matrix(self, b: Batch, pairs: bool) -> np.ndarray:
+        """The same as rows, and a row of ones."""
+        x = np.ones((PREDICTORS + 1, len(b.own)), np.float32)
+        for row, t, at in zip(x, self.logits, b._placed(pairs), strict=False):
+            t.take(at, mode="clip", out=row)
+        return x
 
     def mixed(self, b: Batch, x: list[np.ndarray], weights: np.ndarray | None = None) -> np.ndarray:
-        w = self.weights if weights is None else weights
-        z = w[-1].take(b.row, 0)
+        w = (self.weights if weights is None else weights).reshape(PREDICTORS + 1, -1)
+        z = w[-1].take(b.cell, mode="clip").reshape(b.shape)
         for k, xk in enumerate(x):
-            part = w[k].take(b.row, 0)
+            part = w[k].take(b.cell, mode="clip").reshape(b.shape)
             part *= xk
             z += part
         return z
 
-    def cell(self, b: Batch, z: np.ndarray) -> np.ndarray:
-        out = np.rint(np.clip(z, -8, 8) * np.float32(2)).astype(np.int32) + (np.arange(8, dtype=np.int32) * 33 + 16)
-        out += (b.row % PLACES * 264).astype(np.int32)[:, None]
-        return out
-
-    def log_bits(self, b: Batch, z: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
-        """Natural log of the probability of each bit."""
-        return np.log(self.chances(b, z, cell))
+    def log_bits(self, b: Batch, z: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of each decision."""
+        return np.log(self.chances(b, z))
 
-    def chances(self, b: Batch, z: np.ndarray, cell: np.ndarray | None = None) -> np.ndarray:
-        """The probability of each bit."""
-        p = 1 / (1 + np.exp(-np.clip(z, -12, 12)))
+    def chances(self, b: Batch, z: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
+        """The probability of each decision (``p``: what z stands for)."""
+        p = _chance(z) if p is None else p
         if self.map is not None:
-            p = (p + self.map.take(self.cell(b, z) if cell is None else cell)) / 2
-        return np.abs(1 - b.bits - p)
+            p = p + self.map.take(_cell(b, z.ravel()), mode="clip").reshape(b.shape)
+            p *= np.float32(0.5)
+        return np.abs(1 - b.bits.reshape(b.shape) - p)
+
+
+def _chance(z: np.ndarray) -> np.ndarray:
+    p = np.clip(z, -12, 12)
+    np.negative(p, out=p)
+    np.exp(p, out=p)
+    p += 1
+    return np.reciprocal(p, out=p)
+
+
+def _cell(b: Batch, z: np.ndarray) -> np.ndarray:
+    """Of the probability map."""
+    out = np.clip(z, -8, 8)
+    out *= 2
+    out = np.rint(out, out=out).astype(np.int64)
+    out += b.cell % (PLACES * DEPTHS) * 33 + 16
+    return out
 
 
-_CELLS = PLACES * 8 * 33
+_CELLS = PLACES * DEPTHS * 33
 
 
 def learned(own: Model, s: Stream) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Online pass over texts by second-order steps: weights, and how often each cell of the map was met and had a one."""
     k = PREDICTORS + 1
-    w = own.weights.astype(np.float64).transpose(1, 2, 0).copy()  # place, bit, predictor
-    curve = np.zeros((PLACES, 8, k, k)) + np.eye(k) * 50.0
+    w = own.weights.reshape(k, -1).T.astype(np.float64)  # place and depth, predictor
+    curve = np.zeros((PLACES * DEPTHS, k, k)) + np.eye(k) * 50.0
     seen, ones = np.zeros(_CELLS), np.zeros(_CELLS)
     a = 0
     while a < len(s.blob):
         at = np.arange(a, min(a + min(TRAIN_BATCH, max(500, a // 4)), len(s.blob)))  # a step from few bytes that rests on many would overshoot
         a += len(at)
-        b = Batch.of(s, at, s.place[at], own.bits)
-        x = own.inputs_without(b)
-        z = own.mixed(b, x, w.transpose(2, 0, 1).astype(np.float32))
-        cell = own.cell(b, z)
-        seen += np.bincount(cell.ravel(), minlength=_CELLS)
-        ones += np.bincount(cell.ravel(), b.bits.ravel(), minlength=_CELLS)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        ends = np.searchsorted(b.row, np.arange(PLACES + 1))
-        for q, part in enumerate(map(slice, ends[:-1], ends[1:])):
-            if part.stop > part.start:
-                xs = np.stack([*(xk[part] for xk in x), np.ones_like(z[part])]).transpose(2, 0, 1)  # bit, predictor, byte
-                ps = p[part].T
-                curve[q] += (xs * (ps * (1 - ps))[:, None]) @ xs.transpose(0, 2, 1)
-                slope = (xs @ (b.bits[part].T - ps)[:, :, None]).astype(np.float64)
-                w[q] += np.linalg.solve(curve[q], slope)[:, :, 0]
-    return w.transpose(2, 0, 1), seen, ones
+        b = Batch.of(s, at, s.place.take(at), own.bits, own.code, True)
+        x = own.matrix(b, True)
+        now = w.astype(np.float32)
+        cuts = np.append(b.first, len(b.own)).tolist()
+        parts = [(q, slice(i, j)) for q, i, j in zip(b.cell[b.first].tolist(), cuts[:-1], cuts[1:], strict=True)]
+        z = np.concatenate([now[q] @ x[:, part] for q, part in parts])
+        cell = _cell(b, z)
+        seen += np.bincount(cell, minlength=_CELLS)
+        ones += np.bincount(cell[b.bits > 0], minlength=_CELLS)
+        p = _chance(z)
+        left, bend = b.bits - p, p * (1 - p)
+        slope = np.zeros_like(w)
+        for q, part in parts:
+            xs = x[:, part]
+            curve[q] += (xs * bend[part]) @ xs.T
+            slope[q] = xs @ left[part]
+        w += np.linalg.solve(curve, slope[:, :, None])[:, :, 0]
+    return w.T.reshape(own.weights.shape), seen, ones
 
 
 def _train(rows: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
@@ -418,25 +553,26 @@ def spelled(model: Model, s: Stream) -> np.ndarray:
     take a step along what these bytes have taught."""
     logs = np.empty(len(s.blob))
     on = s.lens > BLOCK
-    own = np.cumsum(on) * on  # the set of weights of a text; those without a second block share the trained ones
-    w = np.tile(model.weights, (1, 1 + int(on.sum()), 1))
+    number = np.cumsum(on) - 1
+    trained = model.weights.reshape(PREDICTORS + 1, 1, -1)
+    w = np.repeat(trained, int(on.sum()), axis=1)  # those of texts with more than a block
     for texts, at, sizes in _waves(s):
+        own = on[texts]
+        sets = number[texts[own]]
+        now = np.concatenate((trained, w.take(sets, axis=1)), axis=1).reshape(PREDICTORS + 1, -1)
         at = np.repeat(at - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-        b = Batch.of(s, at, np.repeat(own[texts] * PLACES, sizes) + s.place[at], model.bits)
-        x = model.inputs(b)
-        z = model.mixed(b, x, w)
-        p = model.chances(b, z)
-        p = p[:, :4] * p[:, 4:]
-        p = (p[:, :2] * p[:, 2:]).astype(np.float64)  # the product of eight may be too small for 32 bits
-        logs[b.at] = np.log(p[:, 0] * p[:, 1])
-        first = np.flatnonzero(np.diff(b.row, prepend=-1))
-        first = first[np.searchsorted(b.row[first], PLACES) :]
-        if len(first):
-            left = b.bits[first[0] :] - 1 / (1 + np.exp(-np.clip(z[first[0] :], -30, 30)))
-            rows, cut = b.row[first], first - first[0]
-            for k, xk in enumerate(x):
-                w[k, rows] += np.float32(RATE) * np.add.reduceat(left * xk[first[0] :], cut, axis=0)
-            w[-1, rows] += np.float32(RATE) * np.add.reduceat(left, cut, axis=0)
+        b = Batch.of(s, at, np.repeat(np.cumsum(own) * own * PLACES, sizes) + s.place.take(at, mode="clip"), model.bits, model.code, True)
+        x = model.matrix(b, False)
+        cells, times = b.cell[b.first], np.diff(np.append(b.first, len(b.own)))
+        mixed = np.repeat(now.take(cells, axis=1), times, axis=1)
+        mixed *= x
+        z = mixed.sum(0)
+        p = _chance(z)
+        logs[at] = np.bincount(b.own, np.log(model.chances(b, z, p)), minlength=len(at))
+        if len(sets):
+            x *= (b.bits - p) * np.float32(RATE)
+            now[:, cells] += np.add.reduceat(x, b.first, axis=1)
+            w[:, sets] = now.reshape(PREDICTORS + 1, len(sets) + 1, -1)[:, 1:]
     return np.add.reduceat(logs, s.tokens) / np.log(10) if len(logs) else logs
 
 
@@ -574,9 +710,15 @@ def score(docs: DataFrame) -> DataFrame:
         tokens, n_types = got[0], got[1]
         bits = min(MAX_BITS, max(MIN_BITS, (2 * table.n_bytes).bit_length()))
         sets = min(SETS[1], max(SETS[0], math.ceil(table.n_bytes / COUNTED)))
+        pairs = vocab.select(F.explode(F.arrays_zip("pairs", "times")).alias("x")).groupBy("x.pairs").agg(F.sum("x.times")).collect()  # 2**16 at most
+        times = np.zeros(1 << 16, np.int64)
+        for pair, n_times in pairs:
+            times[pair] = n_times
+        code = Code.short(times)
+        shared = spark.sparkContext.broadcast(code)
         texts = table.rows([])
-        parts = texts.coalesce(sets).mapInArrow(lambda it: _tables(it, bits), "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary")
-        model = Model({r[0]: r[1] for r in parts.collect()}, bits)  # bounded: a table of 2**(MAX_BITS + 1) counts per predictor
+        parts = texts.coalesce(sets).mapInArrow(lambda it: _tables(it, bits, shared), "part int, counts binary").groupBy("part").applyInArrow(_add, "part int, counts binary")
+        model = Model({r[0]: r[1] for r in parts.collect()}, bits, code)  # bounded: a table of 2**(MAX_BITS + 1) counts per predictor
         common.free(spark)
         first = spark.sparkContext.broadcast(model)
         states = common.stored(spark, texts.mapInArrow(lambda it: _train(it, first), "chunk long, state binary"), "states")

@@ -209,3 +209,60 @@ def test_weights_learn_within_a_text(monkeypatch):
     assert mixing.spelled(model, s) == pytest.approx(want, rel=1e-5)
     monkeypatch.setattr(mixing, "RATE", 0.0)
     assert mixing.spelled(model, s)[-2] < want[-2] - 0.1
+
+
+def short_code(texts):
+    import numpy as np
+
+    s = mixing.Stream(*mixing.coded(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts])))
+    words = sorted(set(s.blob.tobytes().replace(b" ", b" \0").split(b"\0")) - {b""})
+    times = Counter(s.blob.tobytes().replace(b" ", b" \0").split(b"\0"))
+    blob = np.frombuffer(b"".join(words), np.uint8)
+    counts = mixing.pair_times(blob, np.repeat([times[w] for w in words], [len(w) for w in words]))
+    assert (counts == np.bincount(s.pair, minlength=1 << 16)).all()
+    return s, counts, mixing.Code.short(counts)
+
+
+def test_frequent_bytes_take_few_decisions():
+    """At most five a byte of prose, where its bits are eight; the paths after each byte are a whole tree."""
+    import numpy as np
+
+    _, counts, code = short_code([cases.prose(random.Random(k), 200).encode() for k in range(5)])
+    assert (counts * code.length).sum() < 5 * counts.sum()
+    assert (np.ldexp(1.0, -code.length.astype(int)).reshape(256, 256).sum(1) == 1).all()
+    for first in (32, ord("e"), 200):
+        paths = {(int(n), int(p)) for n, p in zip(code.length[first << 8 :][:256], code.path[first << 8 :][:256], strict=True)}
+        assert len(paths) == 256 and not any((m, p >> (n - m)) in paths for n, p in paths for m in range(1, n))
+
+
+def test_short_codes_are_counted_like_a_loop():
+    import numpy as np
+
+    s, _, code = short_code([cases.prose(random.Random(k % 3), 60).encode() for k in range(6)] + [b"", "gaß éé".encode()])
+    out, want = (np.zeros((mixing.PREDICTORS, 2 << 16), np.int32) for _ in range(2))
+    mixing.count(s, out, 16, code)
+    for at in range(len(s.blob)):
+        b = mixing.Batch.of(s, np.arange(at, at + 1), s.place[at : at + 1], 16, code)
+        for x, pairs in zip(want, b.pairs(), strict=True):
+            for p in pairs.tolist():
+                x[p] += 1
+    assert (out == want).all()
+
+
+def test_short_codes_spell_a_distribution(monkeypatch):
+    """Of one byte and a blank, after any counts; and sorting by weights changes nothing."""
+    import numpy as np
+
+    s, _, code = short_code([cases.prose(random.Random(k), 90).encode() for k in range(4)] + [b"a b"])
+    out = np.zeros((mixing.PREDICTORS, 2 << 16), np.int32)
+    mixing.count(s, out, 16, code)
+    model = mixing.Model({k: zlib.compress(x.tobytes()) for k, x in enumerate(out)}, 16, code)
+    model.open(scoring=True)
+    short = mixing.Stream(np.frombuffer(b"".join(bytes((c, 32, 32)) for c in range(256) if c != 32) + b" ", np.uint8), np.array([3] * 255 + [1]))
+    first = np.append(np.arange(255) * 3, 765)  # each byte there is, at a text's beginning
+    b = mixing.Batch.of(short, first, short.place[first], 16, code)
+    chance = np.bincount(b.own, model.log_bits(b, model.mixed(b, model.inputs(b))), minlength=256)
+    assert np.exp(chance).sum() == pytest.approx(1, rel=1e-5)
+    monkeypatch.setattr(mixing, "RATE", 0.0)
+    b = mixing.Batch.of(s, np.arange(len(s.blob)), s.place, 16, code)
+    assert mixing.spelled(model, s) == pytest.approx(b.sum(model.log_bits(b, model.mixed(b, model.inputs(b)))) / math.log(10), rel=1e-4)
